@@ -456,3 +456,30 @@ wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't
 shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
 what's when's where's who's why's would
 """.split()
+
+# --- Fixed values: validation message formats -------------------------------------
+# severity, issue type, description, suggestion
+
+VALIDATION = {
+    "missing_field": ("critical", "missing_field", "Missing required field: {field}", "Add {field} to question structure"),
+    "position": ("major", "invalid_position", "Invalid correct_position: {value}", "Use A, B, C, or D for correct_position"),
+    "difficulty": ("minor", "invalid_difficulty", "Invalid difficulty: {value}", "Use easy, medium, or hard for difficulty"),
+    "empty": ("critical", "empty_field", "{field} is empty", "Provide content for {field}"),
+    "placeholder": ("critical", "placeholder", "{field} contains placeholder text: {text}...", "Replace placeholder with actual content"),
+    "short": ("major", "too_short", "{field} too short: {n} words (min: {limit})", "Expand {field} to at least {limit} words"),
+    "long": ("minor", "too_long", "{field} too long: {n} words (max: {limit})", "Shorten {field} to under {limit} words"),
+    "question_mark": ("minor", "formatting", "{field} ends with question mark (should be statement)", "Remove question mark from answer option"),
+    "missing_option": ("critical", "missing_option", "Missing option {key}", "Add option {key} to question"),
+    "unbalanced": ("minor", "unbalanced_options", "Option {key} length varies significantly from others", "Balance option lengths for better question quality"),
+    "duplicate": ("major", "duplicate", "Duplicate question text (same as question {n})", "Generate unique question content"),
+}
+REPORT_GRADES = [(90, "🏆 EXCELLENT"), (80, "✅ GOOD"), (70, "⚠️  FAIR"), (60, "❌ POOR")]
+REPORT_GRADE_LAST = "💥 CRITICAL"
+REPORT_ADVICE = [
+    ("critical_issues", "   1. Fix all critical issues immediately - these prevent proper functionality"),
+    ("major_issues", "   2. Address major issues - these significantly impact quality"),
+    ("bias_detected", "   3. Randomize correct answer positions more effectively"),
+    ("duplicate_questions", "   4. Ensure all questions are unique"),
+]
+REPORT_TITLE = "QUESTION QUALITY VALIDATION REPORT"
+REPORT_LAST = "For help fixing these issues, refer to the manual testing guide."

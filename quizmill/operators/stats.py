@@ -361,16 +361,14 @@ def quality_bins(scores: DataFrame, column: str) -> DataFrame:
 
 
 def low_quality(scores: DataFrame, column: str, limit: float = 0.7, cut: int = 100) -> DataFrame:
-    return (
-        scores.filter(F.col(column) < limit)
-        .select(
-            KEY,
-            (F.col("question_index") + 1).alias("question_number"),
-            F.col(column).alias("score"),
-            F.substring("question_text", 1, cut).alias("preview"),
-        )
-        .orderBy("score", KEY, "question_number")
+    # inline() keeps the filter above the score, so the score is not computed a second time for it
+    rows = scores.select(
+        KEY,
+        (F.col("question_index") + 1).alias("question_number"),
+        F.substring("question_text", 1, cut).alias("preview"),
+        F.inline(F.array(F.struct(F.col(column).alias("score")))),
     )
+    return rows.filter(F.col("score") < limit).orderBy("score", KEY, "question_number")
 
 
 def concept_sets(bank: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quizmill.plans import questions
+from quizmill.plans import checks, ops, questions
 
-MODULES = [questions]
+MODULES = [questions, checks, ops]
 
 
 def queries() -> dict:

@@ -171,6 +171,22 @@ scored AS (SELECT *, {bands('overall_score', lx.GRADE_BANDS, lx.GRADE_LAST)} AS
           ("len(language_issues) > 0", lit(_a['grammar'])))} AS recommendations FROM sc3)
 """
 
+_checks = {
+    "no_placeholder": f"len([t FOR t IN {OPTION_TEXTS} IF {any_word('lower(t)', lx.GATE_PLACEHOLDERS)}]) = 0",
+    "option_length": "len([k FOR k IN ow IF k < 3 OR k > 35]) = 0",
+    "distractors_ok": "len(distractors) >= 2 AND len([x FOR x IN distractors IF length(trim(x.text)) < 5]) = 0",
+    "clear_question": f"regexp_matches(question_text, '[?]\\s*$') AND {wc('question_text')} BETWEEN 3 AND 25",
+    "no_negative": f"NOT {any_word('lower(question_text)', lx.GATE_NEGATIVES)}",
+    "balanced": "list_max(ow) <= 2 * list_min(ow)",
+}
+GATE = (
+    "gate AS (SELECT *, "
+    + ", ".join(f"({c}) AS {n}" for n, c in _checks.items())
+    + ", "
+    + " + ".join(f"CAST(({c}) AS BIGINT)" for c in _checks.values())
+    + f" AS passed FROM (SELECT *, {words_of(OPTION_TEXTS)} ow FROM bank))"
+)
+
 EVENTS = "ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events)"
 
 SESSIONS = EVENTS + f""",
@@ -193,7 +209,7 @@ api_calls AS (SELECT event_id, CASE WHEN event_type IN ('purchase', 'error') THE
 CACHE = EVENTS + f""",
 cache_events AS (SELECT event_id, {pick(list(lx.TTL_DAYS), f"user_id % {len(lx.TTL_DAYS)}")} AS cache_type,
   CASE event_type WHEN 'view' THEN 'hit' WHEN 'click' THEN 'miss' WHEN 'purchase' THEN 'save' WHEN 'error' THEN 'expired' ELSE 'hit' END AS operation,
-  ts AS stored_at, CAST(value * 1000 AS BIGINT) AS bytes FROM ev)
+  ts AS stored_at, CAST(floor(value * 1000) AS BIGINT) AS bytes FROM ev)
 """
 
 VECTORS = """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.functions import text as tx
-from quizmill.session import load
+from quizmill.session import load, spread
 
 STEMS = [
     "What is", "How does", "Compare and contrast", "Which design would you use for",
@@ -57,8 +57,9 @@ def page_texts(lines: Column, doc_id: Column) -> Column:
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_num, text: every page of every document, blank pages dropped."""
-    docs = load(spark, sf_dir, "documents")
-    pages = page_texts(F.split("text", "\n"), F.col("doc_id"))
+    # the line array is a column of its own: inside the lambda it would be split again per page
+    docs = spread(load(spark, sf_dir, "documents")).select("doc_id", F.split("text", "\n").alias("lines"))
+    pages = page_texts(F.col("lines"), F.col("doc_id"))
     return (
         docs.select("doc_id", F.posexplode(pages).alias("pos", "text"))
         .select("doc_id", (F.col("pos") + 1).cast("bigint").alias("page_num"), "text")
@@ -68,8 +69,10 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One assessment per document; every five sentences are a question, its answer and distractors."""
-    docs = load(spark, sf_dir, "documents")
-    s = tx.sentences(F.trim("text"))
+    docs = spread(load(spark, sf_dir, "documents")).select(
+        "doc_id", "source", tx.sentences(F.trim("text")).alias("s")
+    )
+    s = F.col("s")
     n = F.ceil(F.size(s) / F.lit(SENTENCES_PER_QUESTION)).cast("int")
     blocks = F.transform(
         F.sequence(F.lit(0), n - 1),
