@@ -48,7 +48,8 @@ def found(*pairs: tuple[Column, Column]) -> Column:
 def bounded(pattern: str) -> str:
     """Word boundaries as explicit character tests, alike for every script."""
     edge = r"[^\p{L}\p{N}_]"
-    return re.sub(r"^\\b(.*)\\b$", rf"(?:^|{edge})\1(?:{edge}|$)", pattern)
+    inner = re.fullmatch(r"\\b(.*)\\b", pattern)
+    return f"(?:^|{edge}){inner[1]}(?:{edge}|$)" if inner else pattern
 
 
 def text_issues(text: Column, field: str) -> Column:
