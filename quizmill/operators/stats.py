@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quizmill import lexicon as lx
 from quizmill.functions import rules
 from quizmill.functions import text as tx
+from quizmill.functions.frames import hold
 
 KEY = "assessment_id"
 
@@ -361,13 +362,13 @@ def quality_bins(scores: DataFrame, column: str) -> DataFrame:
 
 
 def low_quality(scores: DataFrame, column: str, limit: float = 0.7, cut: int = 100) -> DataFrame:
-    # inline() keeps the filter above the score, so the score is not computed a second time for it
     rows = scores.select(
         KEY,
         (F.col("question_index") + 1).alias("question_number"),
         F.substring("question_text", 1, cut).alias("preview"),
-        F.inline(F.array(F.struct(F.col(column).alias("score")))),
+        F.col(column).alias("s"),
     )
+    rows = hold(rows, score=F.col("s")).drop("s")
     return rows.filter(F.col("score") < limit).orderBy("score", KEY, "question_number")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quizmill.plans import checks, ops, questions
+from quizmill.plans import checks, ops, questions, texts
 
-MODULES = [questions, checks, ops]
+MODULES = [questions, checks, ops, texts]
 
 
 def queries() -> dict:

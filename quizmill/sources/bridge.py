@@ -55,16 +55,15 @@ def page_texts(lines: Column, doc_id: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), page)
 
 
-def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_num, text: every page of every document, blank pages dropped."""
+def doc_pages(spark: SparkSession, sf_dir: str, keep_blank: bool = False) -> DataFrame:
+    """doc_id, page_num, text: every page of every document; blank pages are dropped unless kept."""
     # the line array is a column of its own: inside the lambda it would be split again per page
     docs = spread(load(spark, sf_dir, "documents")).select("doc_id", F.split("text", "\n").alias("lines"))
     pages = page_texts(F.col("lines"), F.col("doc_id"))
-    return (
-        docs.select("doc_id", F.posexplode(pages).alias("pos", "text"))
-        .select("doc_id", (F.col("pos") + 1).cast("bigint").alias("page_num"), "text")
-        .filter(F.trim("text") != "")
+    rows = docs.select("doc_id", F.posexplode(pages).alias("pos", "text")).select(
+        "doc_id", (F.col("pos") + 1).cast("bigint").alias("page_num"), "text"
     )
+    return rows if keep_blank else rows.filter(F.trim("text") != "")
 
 
 def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
