@@ -19,8 +19,13 @@ WORD = r"[\p{L}\p{N}_]"
 
 
 def unicode_words(pattern: str) -> str:
-    """The same pattern with word characters meaning letters and digits of any script."""
-    return pattern.replace(r"\w", WORD)
+    """The same pattern with word characters meaning letters and digits of any script.
+
+    A leading word boundary becomes a look-behind, and word runs are possessive: what follows them
+    in these patterns is never a word character, so giving characters back cannot help.
+    """
+    pattern = pattern.replace(r"\b(", rf"(?<!{WORD})(")
+    return pattern.replace(r"\w+\s*[", WORD + r"++\s*+[").replace(r"\w", WORD)
 
 
 def either(patterns: list[str], flags: str = "s") -> str:
@@ -196,7 +201,9 @@ def code_language(c: Column) -> Column:
     low = F.lower(c)
     out = None
     for language, patterns in lx.LANGUAGE_PATTERNS.items():
-        hit = F.rlike(low, F.lit(either(patterns, "s")))
+        # one character before the brace decides as well as a run of them, in linear time
+        linear = [p.replace(r"[^{]+\s*\{", r"[^{]\{") for p in patterns]
+        hit = F.rlike(low, F.lit(either(linear, "s")))
         out = F.when(hit, language) if out is None else out.when(hit, language)
     return out.otherwise("unknown")
 

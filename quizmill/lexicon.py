@@ -18,7 +18,7 @@ EQUATION_PATTERNS = [
     r"\\sum_\{[^}]*\}\^\{[^}]*\}",
     r"\\int_\{[^}]*\}\^\{[^}]*\}",
     r"\\lim_\{[^}]*\}",
-    r"(?:\w+\s*[=≠<>≤≥±∞]+\s*\w+|\w+\s*[+\-*/∇∂]+\s*\w+)",
+    r"\b(?:\w+\s*[=≠<>≤≥±∞]+\s*\w+|\w+\s*[+\-*/∇∂]+\s*\w+)",
     r"[α-ωΑ-Ω]+",
     r"[∑∫∂∇∞±≤≥≠≈∈∉⊂⊃∪∩∧∨¬→↔∀∃]+",
 ]
@@ -46,7 +46,7 @@ NAMED_EQUATIONS = [
     ("fraction", r"\\frac\{([^}]+)\}\{([^}]+)\}"),
     ("summation", r"\\sum_\{([^}]*)\}\^\{([^}]*)\}"),
     ("integral", r"\\int_\{([^}]*)\}\^\{([^}]*)\}"),
-    ("basic_equation", r"(\w+\s*[=≠<>≤≥±]+\s*\w+)"),
+    ("basic_equation", r"\b(\w+\s*[=≠<>≤≥±]+\s*\w+)"),
     ("symbols", r"([α-ωΑ-Ω∑∫∂∇∞±≤≥≠≈∈∉⊂⊃∪∩∧∨¬→↔∀∃]+)"),
 ]
 

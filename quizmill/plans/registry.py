@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quizmill.plans import checks, ops, questions, texts
+from quizmill.plans import checks, generate, ops, questions, retrieve, texts
 
-MODULES = [questions, checks, ops, texts]
+MODULES = [questions, checks, ops, texts, retrieve, generate]
 
 
 def queries() -> dict:

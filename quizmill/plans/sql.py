@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from quizmill import lexicon as lx
-from quizmill.functions.text import unicode_words
 from quizmill.sources.bridge import CLAUSES, HEADINGS, STEMS
 
 
+def unicode_words(pattern: str) -> str:
+    """RE2 has no look-behind; a match that could start inside a word also starts at its beginning."""
+    return pattern.replace(r"\b(", "(").replace(r"\w", r"[\p{L}\p{N}_]")
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -83,7 +83,7 @@ add(
 
 
 def all_matches(x: str, patterns, flags: str) -> str:
-    parts = [f"regexp_extract_all({x}, {S.lit(f'(?{flags})' + tx.unicode_words(p))})" for p in patterns]
+    parts = [f"regexp_extract_all({x}, {S.lit(f'(?{flags})' + S.unicode_words(p))})" for p in patterns]
     out = parts[0]
     for p in parts[1:]:
         out = f"list_concat({out}, {p})"
@@ -109,7 +109,7 @@ def spans_sql(x: str, named, flags: str) -> str:
     """List of {start_pos, end_pos, kind, ord, full_match}, pattern after pattern."""
     parts = []
     for i, (name, p) in enumerate(named):
-        m = marked(x, f"(?{flags}:{tx.unicode_words(p)})")
+        m = marked(x, f"(?{flags}:{S.unicode_words(p)})")
         parts.append(
             f"list_transform(range(2, len({m}) + 1), lambda i: {{'start_pos': CAST(list_sum([length(y) FOR y IN ({m})[1:i - 1]]) AS BIGINT) - (i - 2), 'kind': {S.lit(name)}, 'ord': {i}, "
             f"'full_match': split_part(({m})[i], chr(2), 1)}})"
@@ -134,7 +134,7 @@ FIGS = spans_cte("figs", FIG, "i")
 CODES = spans_cte("codes", lx.NAMED_CODE, "sm")
 TABS = spans_cte("tabs", TAB, "m")
 content = "CASE kind " + " ".join(
-    f"WHEN {S.lit(n)} THEN regexp_extract(full_match, {S.lit(f'(?si:{tx.unicode_words(p)})')}, 1)" for n, p in lx.NAMED_EQUATIONS
+    f"WHEN {S.lit(n)} THEN regexp_extract(full_match, {S.lit(f'(?si:{S.unicode_words(p)})')}, 1)" for n, p in lx.NAMED_EQUATIONS
 ) + " END"
 add(
     "detect_equations",
@@ -355,7 +355,7 @@ def rc(x: str, pattern: str) -> str:
     return f"len(regexp_extract_all({x}, {S.lit(pattern)}))"
 
 
-HINT = tx.unicode_words(lx.CODE_HINT)
+HINT = S.unicode_words(lx.CODE_HINT)
 add(
     "chunk_complexity",
     lambda s, d: ch.chunk_complexity(pages(s, d)).drop("text"),
@@ -366,7 +366,7 @@ add(
 
 
 def count_all(named, flags) -> str:
-    return "(" + " + ".join(rc("text", f"(?{flags}:{tx.unicode_words(p)})") for _, p in named) + ")"
+    return "(" + " + ".join(rc("text", f"(?{flags}:{S.unicode_words(p)})") for _, p in named) + ")"
 
 
 COUNTS = f"""
