@@ -483,3 +483,25 @@ REPORT_ADVICE = [
 ]
 REPORT_TITLE = "QUESTION QUALITY VALIDATION REPORT"
 REPORT_LAST = "For help fixing these issues, refer to the manual testing guide."
+
+# --- Fixed values: generated responses ---------------------------------------------
+
+RESPONSE_DEFAULTS = {
+    "concept": "unknown",
+    "misconception": "General Misconception",
+    "why_wrong": "Common error in {perspective} understanding",
+    "explanation": "This {perspective} question tests understanding of {concept}",
+}
+
+# --- Fixed values: export formats -----------------------------------------------------
+
+EXPORT_FORMAT, EXPORT_VERSION = "stem_assessment_json", "1.0"
+CANVAS_HEADER = [
+    "Title", "Question Text", "Question Type", "Points Possible", "Correct Comments",
+    "Incorrect Comments", "Neutral Comments",
+    "Answer 1", "Answer 1 Comment", "Answer 1 Weight", "Answer 2", "Answer 2 Comment", "Answer 2 Weight",
+    "Answer 3", "Answer 3 Comment", "Answer 3 Weight", "Answer 4", "Answer 4 Comment", "Answer 4 Weight",
+]
+CANVAS_INCORRECT = "Please review the material and try again."
+FORMS_HEADER = ["Question", "Option A", "Option B", "Option C", "Option D", "Correct Answer", "Explanation"]
+NO_EXPLANATION = "No explanation provided"

@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quizmill import lexicon as lx
 from quizmill.functions import vectors as vx
@@ -144,7 +145,7 @@ def _pick_diverse(rows: pd.DataFrame, top_k: int, diversity: float) -> pd.DataFr
 def diversify(boosted: DataFrame, top_k: int, diversity: float = 0.3) -> DataFrame:
     """Diverse top_k per query. A group is one query's candidates, at most fifty rows by construction."""
     columns = ["query_id", "collection", "chunk_id", "text", "similarity_score", "final_score"]
-    schema = boosted.select(*columns).schema.add("pick", "bigint")
+    schema = boosted.select(*columns).schema.add("pick", T.LongType())
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         out = _pick_diverse(rows, top_k, diversity)[columns]
@@ -233,9 +234,9 @@ def retrieval_stats(found: DataFrame, kept: DataFrame) -> DataFrame:
 def probe_queries(collections: DataFrame, probe_vectors: DataFrame, n_questions: int) -> DataFrame:
     """The fixed probes for every collection. probe_vectors: probe (0-based), vector."""
     used = min(n_questions * 2, 12) // 2
-    probes = F.explode(F.sequence(F.lit(0), F.lit(min(used, len(lx.PROBES)) - 1)))
+    last = F.lit(min(used, len(lx.PROBES)) - 1).cast("bigint")
     return (
-        collections.select("collection", probes.cast("bigint").alias("probe"))
+        collections.select("collection", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("probe"))
         .join(probe_vectors, "probe")
         .withColumn("query_id", F.concat_ws("-", "collection", "probe"))
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quizmill.plans import checks, generate, ops, questions, retrieve, texts
+from quizmill.plans import checks, exchange, generate, ops, questions, retrieve, texts
 
-MODULES = [questions, checks, ops, texts, retrieve, generate]
+MODULES = [questions, checks, ops, texts, retrieve, generate, exchange]
 
 
 def queries() -> dict:
