@@ -198,19 +198,19 @@ add(
 UNITS = f"""
 un_p AS (SELECT {DP}, unnest(range(1, len(l) + 1)) para, l FROM (SELECT {DP}, [x FOR x IN [{STRIP.format('y')} FOR y IN regexp_split_to_array(text, '\\n\\s*\\n')] IF x <> ''] l FROM cleaned)),
 un_s AS (SELECT {DP}, para, CASE WHEN {S.wc('l[para]')} > 200 THEN string_split(regexp_replace(l[para], '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) ELSE [l[para]] END s FROM un_p),
-un_i AS (SELECT {DP}, para, i, s[i] s, {S.wc('s[i]')} n FROM (SELECT *, unnest(range(1, len(s) + 1)) i FROM un_s)),
+un_i AS MATERIALIZED (SELECT {DP}, para, i, s[i] s, {S.wc('s[i]')} n FROM (SELECT *, unnest(range(1, len(s) + 1)) i FROM un_s)),
 un_f AS (SELECT {DP}, para, i, 0 u, n w FROM un_i WHERE i = 1 UNION ALL
   SELECT x.doc_id, x.page_num, x.para, x.i, CASE WHEN f.w + x.n <= 200 THEN f.u ELSE f.u + 1 END, CASE WHEN f.w + x.n <= 200 THEN f.w + x.n ELSE x.n END
   FROM un_f f JOIN un_i x ON x.doc_id = f.doc_id AND x.page_num = f.page_num AND x.para = f.para AND x.i = f.i + 1),
 un_t AS (SELECT {DP}, para, u, string_agg(s, ' ' ORDER BY i) AS text, sum(n) n FROM un_f JOIN un_i USING (doc_id, page_num, para, i) GROUP BY ALL),
-units AS (SELECT {DP}, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY para, u) k, text, CAST(n AS BIGINT) n FROM un_t)
+units AS MATERIALIZED (SELECT {DP}, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY para, u) k, text, CAST(n AS BIGINT) n FROM un_t)
 """
 UNITS = UNITS.replace("un_f JOIN un_i USING (doc_id, page_num, para, i) GROUP BY ALL", "(SELECT f.doc_id, f.page_num, f.para, f.u, f.i, x.s, x.n FROM un_f f JOIN un_i x ON x.doc_id = f.doc_id AND x.page_num = f.page_num AND x.para = f.para AND x.i = f.i) GROUP BY 1, 2, 3, 4")
 CHUNKS = f"""
 ck_f AS (SELECT {DP}, k, 0 c, n w FROM units WHERE k = 1 UNION ALL
   SELECT x.doc_id, x.page_num, x.k, CASE WHEN f.w + x.n <= 500 THEN f.c ELSE f.c + 1 END, CASE WHEN f.w + x.n <= 500 THEN f.w + x.n ELSE least(50, f.w) + x.n END
   FROM ck_f f JOIN units x ON x.doc_id = f.doc_id AND x.page_num = f.page_num AND x.k = f.k + 1),
-ck_o AS (SELECT f.doc_id, f.page_num, f.c, string_agg(x.text, chr(10) ORDER BY f.k) own, count(*) AS semantic_units,
+ck_o AS MATERIALIZED (SELECT f.doc_id, f.page_num, f.c, string_agg(x.text, chr(10) ORDER BY f.k) own, count(*) AS semantic_units,
   list(x.text ORDER BY f.k) FILTER ({S.matches('x.text', S.SECTION_RE)}) titles
   FROM ck_f f JOIN units x ON x.doc_id = f.doc_id AND x.page_num = f.page_num AND x.k = f.k GROUP BY 1, 2, 3),
 ck_t AS (SELECT {DP}, c, own AS text FROM ck_o WHERE c = 0 UNION ALL
@@ -339,7 +339,7 @@ add(
 STEM = f"""
 el AS (SELECT {DP}, start_pos s, end_pos e, 'equation' t, 0 g, ord FROM eqs UNION ALL SELECT x.doc_id, x.page_num, 0, length(p.text), 'table', 1, ord FROM tabs x JOIN doc_pages p ON p.doc_id = x.doc_id AND p.page_num = x.page_num
   UNION ALL SELECT {DP}, start_pos, end_pos, 'figure', 2, ord FROM figs UNION ALL SELECT {DP}, start_pos, end_pos, 'code', 3, ord FROM codes),
-el_r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY s, g, ord, e) k FROM el),
+el_r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY s, g, ord, e) k FROM el),
 sw_f AS (SELECT {DP}, 0::BIGINT k, 0::BIGINT before, 0::BIGINT cur, FALSE taken, 0::BIGINT s, 0::BIGINT e, '' t FROM doc_pages UNION ALL
   SELECT r.doc_id, r.page_num, r.k, f.cur, CASE WHEN r.s >= f.cur THEN r.e ELSE f.cur END, r.s >= f.cur, r.s, r.e, r.t FROM sw_f f JOIN el_r r ON r.doc_id = f.doc_id AND r.page_num = f.page_num AND r.k = f.k + 1),
 cut AS (SELECT {DP}, before a, s b, 'text' t FROM sw_f WHERE taken AND s > before UNION ALL SELECT {DP}, s, e, t FROM sw_f WHERE taken UNION ALL
