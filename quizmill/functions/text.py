@@ -107,15 +107,16 @@ def spans(c: Column, pattern: str, kind: str, order: int = 0) -> Column:
             F.lit(order).alias("ord"),
             m.alias("full_match"),
         )
-        return F.struct(
+        first = F.struct(F.length(piece).cast("bigint").alias("pos"), acc["out"].alias("out"))
+        later = F.struct(
             (start + F.length(piece) - 1).cast("bigint").alias("pos"),
             F.concat(acc["out"], F.array(found)).alias("out"),
         )
+        return F.when(start < 0, first).otherwise(later)
 
-    pieces = marked(c, pattern)
-    start = F.struct(F.length(F.get(pieces, 0)).cast("bigint").alias("pos"), empty.alias("out"))
-    body = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.aggregate(body, start, step, lambda acc: acc["out"])
+    # the pieces are named once, so the text is searched once
+    start = F.struct(F.lit(-1).cast("bigint").alias("pos"), empty.alias("out"))
+    return F.aggregate(marked(c, pattern), start, step, lambda acc: acc["out"])
 
 
 def tidy_gap(c: Column) -> Column:

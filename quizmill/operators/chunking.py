@@ -404,15 +404,15 @@ def element_counts(pages: DataFrame) -> DataFrame:
     """Per document: element counts, symbols and characters, in one pass over the pages."""
     t = F.col("text")
 
-    def n(spans: Column) -> Column:
-        return F.size(spans).cast("bigint")
+    def n(patterns: list[str], flags: str) -> Column:
+        return sum((F.regexp_count(t, F.lit(_regex(p, flags))) for p in patterns), F.lit(0)).cast("bigint")
 
     per_page = pages.select(
         DOC,
-        n(all_spans(t, lx.NAMED_EQUATIONS, "si")).alias("equations"),
-        n(table_spans(t)).alias("tables"),
-        n(figure_spans(t)).alias("figures"),
-        n(code_spans(t)).alias("code_blocks"),
+        n([p for _, p in lx.NAMED_EQUATIONS], "si").alias("equations"),
+        n(lx.TABLE_PATTERNS, "m").alias("tables"),
+        n(lx.FIGURE_PATTERNS, "i").alias("figures"),
+        n([p for _, p in lx.NAMED_CODE], "sm").alias("code_blocks"),
         F.regexp_count(t, F.lit(lx.SYMBOL_CLASS)).cast("bigint").alias("symbols"),
         F.length(t).cast("bigint").alias("chars"),
     )

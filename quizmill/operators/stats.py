@@ -121,10 +121,9 @@ def weighted_terms(tf: DataFrame, sizes: DataFrame, keep: int | None = None) ->
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     terms = terms.join(sizes, KEY).select(KEY, "term", idf.alias("idf"))
     raw = tf.join(terms, [KEY, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(KEY, "question_index").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, [KEY, "question_index"]).select(
-        KEY, "question_index", "term", (F.col("w") / F.col("norm")).alias("weight")
-    )
+    # one window group is the terms of one question
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(KEY, "question_index")))
+    return raw.select(KEY, "question_index", "term", (F.col("w") / norm).alias("weight"))
 
 
 def assessment_sizes(bank: DataFrame) -> DataFrame:
@@ -135,12 +134,12 @@ def concept_coverage(bank: DataFrame, vocabulary: int = 50, top: int = 10) -> Da
     """Top terms by summed weight, among the most frequent single words and word pairs."""
     weights = weighted_terms(term_counts(bank, bigrams=True), assessment_sizes(bank), keep=vocabulary)
     sums = weights.groupBy(KEY, "term").agg(F.round(F.sum("weight"), 9).alias("s"))
-    size = sums.groupBy(KEY).agg(F.count("*").alias("concept_diversity"))
+    # at most vocabulary rows per assessment are left here
     order = W.partitionBy(KEY).orderBy(F.desc("s"), "term")
     return (
-        sums.withColumn("term_rank", F.row_number().over(order))
+        sums.withColumn("concept_diversity", F.count("*").over(W.partitionBy(KEY)))
+        .withColumn("term_rank", F.row_number().over(order))
         .filter(F.col("term_rank") <= top)
-        .join(size, KEY)
         .select(
             KEY,
             F.col("term_rank").cast("bigint").alias("term_rank"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quizmill import lexicon as lx
 from quizmill.functions import rules
 from quizmill.functions import text as tx
+from quizmill.functions.frames import hold
 from quizmill.operators import stats
 from quizmill.operators.dedupe import exact_duplicates
 
@@ -73,11 +74,19 @@ def text_issues(text: Column, field: str) -> Column:
 
 def option(letter: str) -> Column:
     """Text of an option: the answer at A, distractors after it; null when missing."""
-    return F.get(rules.option_texts(3), F.lit("ABCD".index(letter)))
+    return F.col(f"option_{letter}")
+
+
+def with_options(bank: DataFrame) -> DataFrame:
+    """Adds option_A to option_D and option_lengths, computed once per question."""
+    texts = hold(bank, option_list=rules.option_texts(3))
+    each = {f"option_{k}": F.get("option_list", F.lit(i)) for i, k in enumerate("ABCD")}
+    return hold(texts, option_lengths=F.transform("option_list", tx.word_count), **each)
 
 
 def option_issues() -> Column:
-    lengths = rules.option_words(3)
+    """Reads the columns of with_options()."""
+    lengths = F.col("option_lengths")
     mean = rules.total(lengths) / F.size(lengths)
     missing = found(*[(option(k).isNull(), issue("missing_option", key=k)) for k in "ABCD"])
     texts = [
@@ -110,7 +119,7 @@ def field_issues() -> Column:
 
 def issue_rows(bank: DataFrame, issues: Column) -> DataFrame:
     """quality_issues: one row per issue, question numbers from one."""
-    return bank.select(KEY, (F.col("question_index") + 1).alias("question_id"), F.inline(issues))
+    return with_options(bank).select(KEY, (F.col("question_index") + 1).alias("question_id"), F.inline(issues))
 
 
 def all_issues(bank: DataFrame) -> DataFrame:
