@@ -126,23 +126,23 @@ def retry_rows(events: DataFrame) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumn("bucket", F.to_date(ts))
+    return df.withColumn("bucket", F.date_trunc("hour", ts))
 
 
 def next_in_order(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """Adds next_ts: the time of the key's following event.
 
-    Inside a day by window; the last event of a day takes the first event of the key's next
-    active day, found on a table with one row per key and day.
+    Inside an hour by window; the last event of an hour takes the first event of the key's next
+    active hour, found on a table with one row per key and hour.
     """
-    days = _bucketed(df, ts)
+    hours = _bucketed(df, ts)
     inner = W.partitionBy(key, "bucket").orderBy(ts, tie)
-    firsts = days.groupBy(key, "bucket").agg(F.min(ts).alias("first_ts"))
+    firsts = hours.groupBy(key, "bucket").agg(F.min(ts).alias("first_ts"))
     following = firsts.select(
         key, "bucket", F.lead("first_ts").over(W.partitionBy(key).orderBy("bucket")).alias("following_ts")
     )
     return (
-        days.withColumn("next_ts", F.lead(ts).over(inner))
+        hours.withColumn("next_ts", F.lead(ts).over(inner))
         .join(following, [key, "bucket"])
         .withColumn("next_ts", F.coalesce("next_ts", "following_ts"))
         .drop("bucket", "following_ts")
@@ -158,15 +158,15 @@ def step_durations(events: DataFrame) -> DataFrame:
 
 
 def running_totals(df: DataFrame, key: str, ts: str, tie: str, **sums: Column) -> DataFrame:
-    """Running sums per key in time order: totals of earlier days plus the sum inside the day."""
-    days = _bucketed(df, ts).withColumns({"_" + n: c for n, c in sums.items()})
-    per_day = days.groupBy(key, "bucket").agg(*[F.sum("_" + n).alias("_day_" + n) for n in sums])
+    """Running sums per key in time order: totals of earlier hours plus the sum inside the hour."""
+    hours = _bucketed(df, ts).withColumns({"_" + n: c for n, c in sums.items()})
+    per_hour = hours.groupBy(key, "bucket").agg(*[F.sum("_" + n).alias("_hour_" + n) for n in sums])
     earlier = W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = per_day.select(
-        key, "bucket", *[F.coalesce(F.sum("_day_" + n).over(earlier), F.lit(0)).alias("_before_" + n) for n in sums]
+    carried = per_hour.select(
+        key, "bucket", *[F.coalesce(F.sum("_hour_" + n).over(earlier), F.lit(0)).alias("_before_" + n) for n in sums]
     )
     inner = W.partitionBy(key, "bucket").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = days.withColumns({n: F.sum("_" + n).over(inner) for n in sums})
+    inside = hours.withColumns({n: F.sum("_" + n).over(inner) for n in sums})
     out = inside.join(carried, [key, "bucket"])
     return out.withColumns({n: F.col(n) + F.col("_before_" + n) for n in sums}).select(*df.columns, *sums)
 
@@ -197,21 +197,33 @@ def progress_message(stage: Column, percentage: Column) -> Column:
 def rate_window(calls: DataFrame) -> DataFrame:
     """Earlier calls of the same endpoint in the trailing minute and hour, and the wait when at the limit.
 
-    A frame of one hour reaches at most into the previous clock hour, so every call is sent to its
-    own hour as a probe and to the next hour as context. Window groups are (endpoint, hour).
+    Groups are (endpoint, minute), so a busy endpoint is many small groups. A call counts in its own
+    minute, and is also sent to the next one (the minute frame reaches there) and to the one an hour
+    later (where the hour frame begins in the middle of a minute). The 59 whole minutes in between
+    come from a table with one row per endpoint and minute.
     """
-    hour = 3600 * SECOND
-    t = calls.withColumn("t", micros("ts")).withColumn("own", F.expr(f"t div {hour}"))
-    rows = t.withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    minute_len = 60 * SECOND
+    t = calls.withColumn("t", micros("ts")).withColumn("own", F.expr(f"t div {minute_len}"))
+    per_minute = t.groupBy("endpoint", "own").agg(F.count("*").alias("n"))
+    hour_frame = W.partitionBy("endpoint").orderBy("own").rangeBetween(-59, -1)
+    between = per_minute.select("endpoint", "own", F.coalesce(F.sum("n").over(hour_frame), F.lit(0)).alias("between"))
+
+    rows = t.withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1, F.col("own") + 60)))
     w = W.partitionBy("endpoint", "bucket").orderBy("t")
-    minute = w.rangeBetween(-(60 * SECOND - 1), -1)
-    counted = rows.withColumns(
-        {
-            "calls_minute": F.count("*").over(minute),
-            "last_call": F.max("t").over(minute),
-            "calls_hour": F.count("*").over(w.rangeBetween(-(hour - 1), -1)),
-        }
-    ).filter(F.col("bucket") == F.col("own"))
+    minute = w.rangeBetween(-(minute_len - 1), -1)
+    edge = w.rangeBetween(-(60 * minute_len - 1), -(2 * minute_len + 1))
+    counted = (
+        rows.withColumns(
+            {
+                "calls_minute": F.count("*").over(minute),
+                "last_call": F.max("t").over(minute),
+                "own_before": F.coalesce(F.sum((F.col("own") == F.col("bucket")).cast("bigint")).over(minute), F.lit(0)),
+                "edge": F.count("*").over(edge),
+            }
+        )
+        .filter(F.col("bucket") == F.col("own"))
+        .join(between, ["endpoint", "own"])
+    )
     limit = tx.lookup(F.col("endpoint"), {k: str(v[0]) for k, v in lx.RATE_LIMITS.items()}).cast("bigint")
     at_limit = F.col("calls_minute") >= limit
     wait = 60 - (F.col("t") - F.col("last_call")) / SECOND
@@ -219,7 +231,7 @@ def rate_window(calls: DataFrame) -> DataFrame:
         "event_id",
         "endpoint",
         "calls_minute",
-        "calls_hour",
+        (F.col("own_before") + F.col("between") + F.col("edge")).alias("calls_hour"),
         at_limit.alias("at_limit"),
         F.when(at_limit, F.round(wait, 6)).otherwise(0.0).alias("wait_seconds"),
     )

@@ -240,13 +240,13 @@ def layout(bank: DataFrame, per_page: int = 5, seed: str = "0") -> DataFrame:
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Text files with the blocks of each assessment together and in order."""
-    ordered = blocks.repartition(KEY).sortWithinPartitions(KEY, "section", "seq")
+    """Text files in order: ranges of (assessment, section, position), so a large assessment spans files."""
+    ordered = blocks.repartitionByRange(KEY, "section", "seq").sortWithinPartitions(KEY, "section", "seq")
     ordered.select(F.col("block").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.repartition(KEY).sortWithinPartitions(KEY, IDX).drop(KEY, IDX).write.mode("overwrite").option(
+    rows.repartitionByRange(KEY, IDX).sortWithinPartitions(KEY, IDX).drop(KEY, IDX).write.mode("overwrite").option(
         "quoteAll", True
     ).option("escape", '"').option("header", True).csv(path)
 

@@ -149,3 +149,16 @@ def test_xml_exports_parse(spark):
     quiz = ET.fromstring(exports.export_moodle(b).first()["xml"])
     assert [a.get("fraction") for a in quiz.findall("answer")] == ["100", "0", "0", "0"]
     assert quiz.find("answer/text").text == "<p>yes & no</p>"
+
+
+def test_rate_window_matches_brute_force(spark):
+    rnd = random.Random(5)
+    times = sorted({rnd.randrange(3 * 3600 * 1_000_000) for _ in range(1500)})
+    df = spark.createDataFrame(list(enumerate(times)), "event_id bigint, us bigint").select(
+        "event_id", F.lit("embeddings").alias("endpoint"), F.timestamp_micros("us").alias("ts")
+    )
+    got = {r.event_id: (r.calls_minute, r.calls_hour) for r in oplog.rate_window(df).collect()}
+    for i, t in enumerate(times):
+        earlier = times[:i]
+        want = tuple(sum(1 for x in earlier if t - x < span * 1_000_000) for span in (60, 3600))
+        assert got[i] == want
