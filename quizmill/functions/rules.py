@@ -267,26 +267,49 @@ def retry_hints(reasons: Column) -> Column:
 
 
 def options_pivot() -> Column:
-    """Map letter -> option: the answer at A, up to three distractors after it."""
+    """Map letter -> option: the answer at A, up to three distractors after it.
+
+    The explanation fields of the other kind of option are null.
+    """
     d = lx.OPTION_DEFAULTS
-    right = F.struct(
-        answer().alias("text"),
-        F.lit(True).alias("is_correct"),
-        F.coalesce(F.nullif(F.col("explanation"), F.lit("")), F.lit(d["why_correct"])).alias("explanation"),
-        F.lit(None).cast("string").alias("misconception_name"),
-    )
-    wrong = F.transform(
-        F.slice(distractors(), 1, 3),
-        lambda x: F.struct(
-            x["text"].alias("text"),
-            F.lit(False).alias("is_correct"),
-            F.coalesce(F.nullif(x["explanation"], F.lit("")), F.lit(d["why_wrong"])).alias("explanation"),
-            F.coalesce(F.nullif(x["misconception_type"], F.lit("")), F.lit(d["misconception"])).alias(
-                "misconception_name"
-            ),
-        ),
+
+    def given(c: Column, key: str) -> Column:
+        return F.coalesce(F.nullif(c, F.lit("")), F.lit(d[key]))
+
+    def entry(text: Column, correct: bool, explanation: Column, **fields: Column) -> Column:
+        names = [
+            "key_points", "real_world_example", "connects_to", "misconception_name",
+            "why_students_think_this", "correct_understanding", "remember_this",
+        ]
+        return F.struct(
+            text.alias("text"),
+            F.lit(correct).alias("is_correct"),
+            explanation.alias("explanation"),
+            *[fields.get(n, F.lit(None).cast("string")).alias(n) for n in names],
+        )
+
+    def wrong(x: Column) -> Column:
+        before, after = d["why_chosen"].split("{type}")
+        kind = given(x["misconception_type"], "why_chosen_type")
+        return entry(
+            x["text"],
+            False,
+            given(x["explanation"], "why_wrong"),
+            misconception_name=given(x["misconception_type"], "misconception"),
+            why_students_think_this=F.concat(F.lit(before), kind, F.lit(after)),
+            correct_understanding=F.lit(d["understanding"]),
+            remember_this=F.lit(d["remember"]),
+        )
+
+    right = entry(
+        answer(),
+        True,
+        given(F.col("explanation"), "why_correct"),
+        key_points=F.lit(d["key_points"]),
+        real_world_example=F.lit(d["example"]),
+        connects_to=F.lit(d["connects"]),
     )
-    entries = F.concat(F.array(right), wrong)
+    entries = F.concat(F.array(right), F.transform(F.slice(distractors(), 1, 3), wrong))
     letters = F.slice(F.array(*[F.lit(x) for x in "ABCD"]), 1, F.size(entries))
     return F.map_from_arrays(letters, entries)
 

@@ -311,6 +311,12 @@ OPTION_DEFAULTS = {
     "key_points": "Correct understanding of the concept",
     "misconception": "Common Misconception",
     "why_wrong": "This represents a misunderstanding of the core concept.",
+    "example": "This principle applies in practical scenarios.",
+    "connects": "Related concepts and applications",
+    "why_chosen": "Students often select this due to {type}.",
+    "why_chosen_type": "surface-level understanding",
+    "understanding": "The accurate understanding requires deeper knowledge.",
+    "remember": "Remember the key principles of this concept.",
 }
 
 # --- Fixed values: misconception patterns -------------------------------------
@@ -495,7 +501,7 @@ RESPONSE_DEFAULTS = {
 
 # --- Fixed values: export formats -----------------------------------------------------
 
-EXPORT_FORMAT, EXPORT_VERSION = "stem_assessment_json", "1.0"
+EXPORT_FORMAT, EXPORT_VERSION = "assessment_json", "1.0"
 CANVAS_HEADER = [
     "Title", "Question Text", "Question Type", "Points Possible", "Correct Comments",
     "Incorrect Comments", "Neutral Comments",

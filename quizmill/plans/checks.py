@@ -239,7 +239,11 @@ add(
     B,
     f"""SELECT {KS}, chr(CAST(65 + i AS INTEGER)) AS letter, CASE WHEN i = 0 THEN correct_answer ELSE distractors[i].text END AS text, i = 0 AS is_correct,
   CASE WHEN i = 0 THEN coalesce(nullif(explanation, ''), {S.lit(lx.OPTION_DEFAULTS['why_correct'])}) ELSE coalesce(nullif(distractors[i].explanation, ''), {S.lit(lx.OPTION_DEFAULTS['why_wrong'])}) END AS explanation,
-  CASE WHEN i > 0 THEN coalesce(nullif(distractors[i].misconception_type, ''), {S.lit(lx.OPTION_DEFAULTS['misconception'])}) END AS misconception_name
+  CASE WHEN i > 0 THEN coalesce(nullif(distractors[i].misconception_type, ''), {S.lit(lx.OPTION_DEFAULTS['misconception'])}) END AS misconception_name,
+  CASE WHEN i = 0 THEN {S.lit(lx.OPTION_DEFAULTS['key_points'])} END AS key_points, CASE WHEN i = 0 THEN {S.lit(lx.OPTION_DEFAULTS['example'])} END AS real_world_example,
+  CASE WHEN i = 0 THEN {S.lit(lx.OPTION_DEFAULTS['connects'])} END AS connects_to,
+  CASE WHEN i > 0 THEN 'Students often select this due to ' || coalesce(nullif(distractors[i].misconception_type, ''), 'surface-level understanding') || '.' END AS why_students_think_this,
+  CASE WHEN i > 0 THEN {S.lit(lx.OPTION_DEFAULTS['understanding'])} END AS correct_understanding, CASE WHEN i > 0 THEN {S.lit(lx.OPTION_DEFAULTS['remember'])} END AS remember_this
   FROM (SELECT *, unnest(range(0, len(distractors) + 1)) i FROM bank)""",
 )
 REASONS = {"no_placeholder": "placeholder found", "option_length": "option length issue", "distractors_ok": "distractor too short"}
