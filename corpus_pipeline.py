@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import jaccard, lines, mixing
+from quizmill.llm import decontaminate, jaccard, languages, lines, mixing
 from quizmill.llm.common import staged, table
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are in no learnt language go: those too far from every centroid for their length, or without a
+    letter. lang becomes the language found."""
+    told = languages.identify(docs, languages.trained(docs)).filter("NOT rejected").withColumn("lang", F.col("lang_pred"))
+    return told.select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; n_chars follows the text."""
     cut = lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
@@ -20,12 +27,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, in words; documents that it takes nothing of stay with 0."""
     return mixing.mix(docs)
 
 
-STAGES = [("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixture)]
+STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixture),
+]
 
 #: SQL has no form of the sketches, centroids and signatures; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None

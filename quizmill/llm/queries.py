@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import jaccard, lines, mixing
-from quizmill.llm.common import table
+from quizmill.llm import decontaminate, jaccard, languages, lines, mixing, quality
+from quizmill.llm.common import fold, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,13 +14,31 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "text", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.fit(docs.filter(fold(5) != 0), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text", "n_chars", (fold(5) == 0).alias("held_out")), machine)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = languages.identify(docs.select("doc_id", "text", (fold(5) == 0).alias("held_out")), languages.trained(docs))
+    return told.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "overlap")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "keeps")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op7_mixing, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op6_language, op7_mixing, op9_decontamination, op10_ngram_jaccard)}
 ORACLES = {"op1_line_dedup": lines.ORACLE, "op7_mixing": mixing.oracle()}
