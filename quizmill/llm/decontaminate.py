@@ -40,7 +40,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def weights(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency by word hash, over all of docs; words in over COMMON of them weigh nothing."""
-    rows = docs.select(body().alias("text")).mapInArrow(_frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.lower(body()).alias("text")).mapInArrow(_frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(IDF_DIMS), 0
     for r in rows:
         if r.dim == IDF_DIMS:
@@ -215,14 +215,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Each text is cut into passages of PASSAGE words every STEP words and compared, in Spark tasks, with all passages of a
     block of the benchmark (a stated query set; a benchmark of any size goes block by block, so what a task holds is
-    bounded). Candidates are verified on the words themselves. Items that are null or shorter than LEAST words take no
+    bounded). Candidates are verified on the words themselves, in lower case. Items that are null or shorter than LEAST words take no
     part, nor do items all of whose words are common; null texts hold nothing. A repeated row is reported each time, equal
     items each by their id; an empty table gives no rows.
     """
     ident = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {ident[0]}, text_key long, item_id {ident[1]}, cosine double, overlap double"
-    source = docs.select("doc_id", F.xxhash64("text").alias("text_key"), body().alias("text"))
-    named = benchmark.filter("text IS NOT NULL").select("item_id", "text")
+    source = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lower(body()).alias("text"))
+    named = benchmark.filter("text IS NOT NULL").select("item_id", F.lower("text").alias("text"))
     parts = max(1, -(-named.count() // BLOCK))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     idf, out = None, None

@@ -26,7 +26,8 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     near the threshold, else the sketch's) and the one occurrence that stays: the least id, text and place.
 
     Sketches merge map-side, so a line of any frequency reaches its reducer as one small row per task. A sketch of LG_K
-    registers errs by about 1.04 / sqrt(2 ** LG_K); lines within NEAR such errors of the threshold are counted exactly.
+    registers errs by about 1.04 / sqrt(2 ** LG_K); lines within NEAR such errors of the threshold are counted exactly, on
+    rows that are one per line and site before they meet.
     """
     spread = lines.groupBy("line_key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"),
@@ -35,7 +36,7 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     margin = NEAR * 1.04 / 2 ** (LG_K / 2) * sites + 1
     wide = spread.filter(F.col("estimate") >= sites - margin)
     close = wide.filter(F.col("estimate") <= sites + margin).select("line_key")
-    exact = lines.join(close, "line_key", "left_semi").select("line_key", "site").distinct().groupBy("line_key").agg(F.count("site").alias("exact"))
+    exact = lines.select("line_key", "site").distinct().join(close, "line_key", "left_semi").groupBy("line_key").agg(F.count("site").alias("exact"))
     counted = wide.join(exact, "line_key", "left").withColumn("n_sites", F.coalesce("exact", "estimate"))
     return counted.filter(F.col("n_sites") >= sites).select("line_key", "n_sites", "keeper")
 

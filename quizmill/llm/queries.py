@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import decontaminate, jaccard, languages, lines, mixing, quality
+from quizmill.llm import decontaminate, html, jaccard, languages, lines, mixing, neighbours, quality, secrets
 from quizmill.llm.common import fold, table
 
 
@@ -21,6 +21,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     told = languages.identify(docs.select("doc_id", "text", (fold(5) == 0).alias("held_out")), languages.trained(docs))
@@ -31,6 +40,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "cosine", "overlap")
@@ -40,5 +54,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "keeps")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op6_language, op7_mixing, op9_decontamination, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op4_neighbours, op5_secrets, op6_language, op7_mixing, op8_html, op9_decontamination, op10_ngram_jaccard)}
 ORACLES = {"op1_line_dedup": lines.ORACLE, "op7_mixing": mixing.oracle()}
