@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import decontaminate, html, jaccard, languages, lines, mixing, neighbours, quality, secrets
+from quizmill.llm import decontaminate, html, jaccard, languages, lines, mixing, neighbours, prediction, quality, secrets
 from quizmill.llm.common import fold, table
 
 
@@ -21,6 +21,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op3_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prediction.score(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -54,5 +58,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "keeps")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op4_neighbours, op5_secrets, op6_language, op7_mixing, op8_html, op9_decontamination, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_prediction, op4_neighbours, op5_secrets, op6_language, op7_mixing, op8_html, op9_decontamination, op10_ngram_jaccard)}
 ORACLES = {"op1_line_dedup": lines.ORACLE, "op7_mixing": mixing.oracle()}
