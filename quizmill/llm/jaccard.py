@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classed = wide.join(heads, "root").select("set", (F.col("links") + F.col("copies") - 1).alias("n_links"), "head")
     found = marked.select("doc_id", "text_key", "set").join(classed, "set", "left")
     kept = F.expr("head.doc_id <=> doc_id AND head.text_key = text_key")
-    return found.select("doc_id", "text_key", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(kept, F.lit(True)).alias("keeps"))
+    return found.select("doc_id", "text_key", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("head").isNull() | kept).alias("keeps"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
