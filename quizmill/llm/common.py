@@ -81,13 +81,13 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about `step` bytes of text each; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most `rows` rows with about `step` bytes of text each; a longer text stands alone."""
     _, at = text_bytes(batch.column(column))
     i, n = 0, batch.num_rows
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + step, side="right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield batch.slice(i, j - i)
         i = j
 
@@ -154,6 +154,11 @@ def shingles(hashes: np.ndarray, n: int = 5) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def with_columns(batch: pa.RecordBatch, names: list[str], added: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The named columns of a batch, and further ones."""
+    return pa.record_batch({c: batch.column(c) for c in names} | added)
+
+
 def longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, pa.int64())
 

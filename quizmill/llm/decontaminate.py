@@ -11,6 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quizmill.llm.common import Words, body, slices
 
@@ -23,6 +25,7 @@ COMMON, NEAR = 0.1, 0.25
 #: Share of an item's words, in order, that proves a leak; a paraphrase of the lower share needs the item's answer as well.
 LEAK, PARAPHRASE = 0.8, 0.6
 IDF_DIMS = 1 << 16
+LOWERED = "__lowered"
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,8 @@ def leaked(item: Item, region: list[int]) -> float:
     return share if share >= PARAPHRASE and common_words(item.answer, region) >= LEAK * len(item.answer) else 0.0
 
 
-def _search(model: Latent, ids: np.ndarray, texts: pa.Array) -> list[tuple]:
+def _search(model: Latent, texts: pa.Array) -> list[tuple]:
+    """(row, item_id, cosine, overlap) of what the texts hold."""
     words = Words(texts)
     h = words.hash
     weight = _weigh(h, model.idf)
@@ -205,53 +209,63 @@ def _search(model: Latent, ids: np.ndarray, texts: pa.Array) -> list[tuple]:
             if best >= LEAK:
                 break
         if best:
-            out.append((ids[doc], item.item_id, max(c for c, _ in places), best))
+            out.append((doc, item.item_id, max(c for c, _ in places), best))
     return out
 
 
+def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[Latent]:
+    """The benchmark in blocks of about BLOCK items, with document frequencies over all of docs."""
+    named = benchmark.filter("text IS NOT NULL").select("item_id", F.lower("text").alias("text"))
+    parts = max(1, -(-named.count() // BLOCK))
+    idf = None
+    for k in range(parts):
+        block = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        items = [i for i in _items(sorted(block.collect(), key=lambda r: (str(r.item_id), r.text))) if len(i.words) >= LEAST]
+        if items:
+            idf = weights(docs) if idf is None else idf
+            model = latent(docs, items, idf)
+            if model is not None:
+                yield model
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id, cosine, overlap) for every row of docs and item of the benchmark that it holds: cosine
-    of the nearest passage, and the share of the item's words that stand there in order.
+    """(doc_id, item_id, cosine, overlap) for every row of docs and item of the benchmark that it holds: cosine of the
+    nearest passage, and the share of the item's words that stand there in order.
 
     Each text is cut into passages of PASSAGE words every STEP words and compared, in Spark tasks, with all passages of a
     block of the benchmark (a stated query set; a benchmark of any size goes block by block, so what a task holds is
-    bounded). Candidates are verified on the words themselves, in lower case. Items that are null or shorter than LEAST words take no
-    part, nor do items all of whose words are common; null texts hold nothing. A repeated row is reported each time, equal
-    items each by their id; an empty table gives no rows.
+    bounded). Candidates are verified on the words themselves, in lower case. Items that are null or shorter than LEAST
+    words take no part, nor do items all of whose words are common; null texts hold nothing. A repeated row is reported
+    each time, equal items each by their id; an empty table gives no rows.
     """
-    ident = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {ident[0]}, text_key long, item_id {ident[1]}, cosine double, overlap double"
-    source = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lower(body()).alias("text"))
-    named = benchmark.filter("text IS NOT NULL").select("item_id", F.lower("text").alias("text"))
-    parts = max(1, -(-named.count() // BLOCK))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    idf, out = None, None
-    for k in range(parts):
-        items = [i for i in _items(sorted(named.filter(block == k).collect(), key=lambda r: (str(r.item_id), r.text))) if len(i.words) >= LEAST]
-        if not items:
-            continue
-        idf = weights(docs) if idf is None else idf
-        model = latent(docs, items, idf)
-        if model is None:
-            continue
+    schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType())])
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    source = docs.select("doc_id", F.lower(body()).alias("text"))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for model in models(docs, benchmark):
 
         def search(batches: Iterator[pa.RecordBatch], model: Latent = model) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in slices(whole):
-                    rows = _search(model, np.arange(b.num_rows), b.column("text"))
-                    at = pa.array([r[0] for r in rows], pa.int64())
-                    yield pa.record_batch({"doc_id": b.column("doc_id").take(at), "text_key": b.column("text_key").take(at), "item_id": pa.array([r[1] for r in rows], _arrow[ident[1]]), "cosine": pa.array([r[2] for r in rows], pa.float64()), "overlap": pa.array([r[3] for r in rows], pa.float64())})
+                    rows = _search(model, b.column("text"))
+                    ids = b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
+                    yield pa.record_batch({"doc_id": ids, "item_id": pa.array([r[1] for r in rows], item_type), "cosine": pa.array([r[2] for r in rows], pa.float64()), "overlap": pa.array([r[3] for r in rows], pa.float64())})
 
-        found = source.mapInArrow(search, schema)
-        out = found if out is None else out.union(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        out = out.union(source.mapInArrow(search, schema))
+    return out
 
 
-_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows that hold a benchmark item, as leaks() finds them; every column of the others stays. Each row
+    is judged where it stands, so nothing is shuffled."""
+    out = docs.withColumn(LOWERED, F.lower(body()))
+    for model in models(docs, benchmark):
 
+        def clean(batches: Iterator[pa.RecordBatch], model: Latent = model) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in slices(whole, LOWERED):
+                    held = {r[0] for r in _search(model, b.column(LOWERED))}
+                    yield b.take(pa.array([i for i in range(b.num_rows) if i not in held], pa.int64())) if held else b
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark item; every column of the others stays."""
-    dirty = leaks(docs, benchmark).select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    return keyed.alias("d").join(dirty.alias("x"), F.expr("d.doc_id <=> x.doc_id AND d.__key = x.text_key"), "left_anti").drop("__key")
+        out = out.mapInArrow(clean, out.schema)
+    return out.drop(LOWERED)

@@ -10,10 +10,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quizmill.llm.common import body
+from quizmill.llm.common import slices, with_columns
 
 #: Most pages that the trees are grown on (each twice, once with side matter set into it), trees, depth, bins and step.
 SAMPLE, TREES, DEPTH, BINS, RATE = 300, 40, 3, 16, 0.3
@@ -310,14 +312,16 @@ def extract(pages: DataFrame, forest: Forest | None) -> DataFrame:
     """pages with `text`, the main text of each whole html: kept runs in page order, one to a line. Null and empty pages,
     and pages of which nothing is kept, have an empty text. A column named text is replaced; every row stays."""
 
-    def main_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            out = []
-            for i in range(0, len(part), 256):
-                parsed = [parse(p) for p in part.iloc[i : i + 256]]
+    names = [c for c in pages.columns if c != "text"]
+
+    def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "html"):
+                parsed = [parse(p or "") for p in b.column("html").to_pylist()]
                 logit = forest.logit(np.vstack([features(x) for x in parsed])) if forest else np.zeros(sum(map(len, parsed)))
                 ends = np.cumsum([len(x) for x in parsed])
-                out += ["\n".join(chosen(x, logit[e - len(x) : e])) for x, e in zip(parsed, ends, strict=True)]
-            yield pd.Series(out, dtype=object)
+                texts = ["\n".join(chosen(x, logit[e - len(x) : e])) for x, e in zip(parsed, ends, strict=True)]
+                yield with_columns(b, names, {"text": pa.array(texts, pa.string())})
 
-    return pages.withColumn("text", F.pandas_udf(main_text, "string")(body("html")))
+    out = T.StructType([*pages.select(*names).schema.fields, T.StructField("text", T.StringType())])
+    return pages.select(*names).mapInArrow(main_text, out)

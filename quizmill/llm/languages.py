@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quizmill.llm.common import body, fold, slices, text_bytes
+from quizmill.llm.common import body, fold, slices, text_bytes, with_columns
 
 #: Buckets of hashed letter trigrams, centroids per language, and the most labelled rows per language that they are
 #: clustered from. Document frequencies are counted over every training row.
@@ -21,6 +23,8 @@ SLACK, QUANTILE = 0.5, 0.01
 #: Texts of fewer trigrams are too short to be judged far.
 JUDGED = 64
 UNKNOWN = "und"
+#: Most texts whose vectors are held at a time, and the inner column that says whether a text has a letter.
+ROWS, LETTERS = 512, "__letters"
 
 #: Letters in lower case; every other ASCII byte is a blank; other bytes stand for themselves.
 _LETTER = np.full(256, 32, np.int64)
@@ -57,7 +61,7 @@ def _buckets(grams: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(DIMS + 1, np.int64)
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, rows=ROWS):
             total[:DIMS] += (counts(batch.column("text")) > 0).sum(axis=0)
             total[DIMS] += batch.num_rows
     seen = np.flatnonzero(total)
@@ -98,9 +102,10 @@ def fit(train: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> M
     found = {r.dim: r.n for r in rows.mapInArrow(_frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     df = np.array([found.get(i, 0) for i in range(DIMS)], float)
     idf = (np.log((1 + found.get(DIMS, 0)) / (1 + df)) + 0.1).astype(np.float32)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language, as the model itself has
     order = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30))
-    chosen = rows.join(sizes, "lang").withColumn("order", order).filter(F.col("order") * F.col("n") < F.lit(sample << 30)).select("lang", "text", "order")
+    wanted = reduce(lambda other, r: other | ((F.col("lang") == r.lang) & (F.col("order") * r.n < (sample << 30))), sizes, F.lit(False))
+    chosen = rows.withColumn("order", order).filter(wanted)
     few = chosen.dropDuplicates(["lang", "text"])
     made = sorted(few.groupBy("lang").applyInPandas(_cluster(idf, centroids), "lang string, centre binary, low array<double>").collect(), key=lambda r: (r.lang, bytes(r.centre)))
     if not made:
@@ -117,27 +122,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     for a text of its length). A text that is null or has no letter is `und`, score 0, rejected; so is every text when
     nothing was learnt. Columns of docs with those names are replaced; every row stays."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    named = docs.select(*names)
     langs, centres = np.array([*model.langs, UNKNOWN], object), model.centres
 
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for batch in slices(pa.record_batch({"text": pa.array(part, pa.large_string())})):
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, rows=ROWS):
                 grams = counts(batch.column("text"))
-                near = vectors(grams, model.idf) @ centres.T if len(centres) else np.full((len(grams), 1), -1.0)
-                best = near.argmax(axis=1) if len(centres) else np.full(len(grams), -1)
-                score = np.clip(near.max(axis=1), 0, 1).astype(float)
-                out.append(pd.DataFrame({"lang": langs[best], "score": score, "far": score < model.floor[_buckets(grams)]}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang": [], "score": [], "far": []})
-
-    told = F.pandas_udf(predict, "lang string, score double, far boolean")
-    letters = body().rlike(r"\p{L}")
-    rows = named.withColumn("__told", told(body()))
-    known = letters & (F.col("__told.lang") != UNKNOWN)
-    return rows.select(
-        *names, F.when(known, F.col("__told.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, F.col("__told.score")).otherwise(0.0).alias("score"), (~known | F.col("__told.far")).alias("rejected")
-    )
+                near = vectors(grams, model.idf) @ centres.T if len(centres) else np.zeros((len(grams), 1))
+                known = batch.column(LETTERS).to_numpy(zero_copy_only=False).astype(bool) & (len(centres) > 0)
+                best = np.where(known, near.argmax(axis=1), len(langs) - 1)
+                score = np.where(known, np.clip(near.max(axis=1), 0, 1), 0.0)
+                far = ~known | (score < model.floor[_buckets(grams)])
+                yield with_columns(batch, names, {"lang_pred": pa.array(langs[best], pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(far)})
+
+    out = T.StructType([*docs.select(*names).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return docs.select(*names, body().rlike(r"\p{L}").alias(LETTERS)).mapInArrow(predict, out)
 
 
 def trained(docs: DataFrame, folds: int = 5) -> Model:

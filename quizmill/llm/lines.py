@@ -55,17 +55,17 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, words: int = WORDS) -> Data
     hits = lines.join(found, "line_key")
     kept = F.expr("keeper.doc_id <=> doc_id AND keeper.text_key = text_key AND keeper.place = place")
     bits = hits.filter(~kept).groupBy("doc_id", "text_key", F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, place % 64)")).alias("bits"), F.count_distinct("place").alias("n"))
-    gone = bits.groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("gone"), F.sum("n").alias("n"))
+    gone = bits.groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__gone"), F.sum("n").alias("__n"))
     named = docs.drop("n_lines", "n_removed")
     keyed = named.withColumn("__key", F.xxhash64("text"))
     pieces = F.split("text", "\n")
-    left = F.filter(pieces, lambda x, i: F.coalesce(F.getbit(F.element_at("gone", F.shiftright(i.cast("bigint"), 6)), i % 64), F.lit(0)) == 0)
-    joined = keyed.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.__key = g.text_key"), "left").select("d.*", "g.gone", "g.n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    left = F.filter(pieces, lambda x, i: F.coalesce(F.getbit(F.element_at("__gone", F.shiftright(i.cast("bigint"), 6)), i % 64), F.lit(0)) == 0)
+    joined = keyed.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.__key = g.text_key"), "left").select("d.*", "g.__gone", "g.__n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in named.columns],
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(pieces)), F.lit(0)).alias("n_lines"),
-        F.coalesce("n", F.lit(0)).alias("n_removed"),
+        F.coalesce("__n", F.lit(0)).alias("n_removed"),
     )
 
 

@@ -10,12 +10,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quizmill.llm.common import Words, body, slices, text_bytes
+from quizmill.llm.common import Words, body, slices, text_bytes, with_columns
 
 #: Hashed words, factors, most sampled rows of each label, passes of the fit, and the score from which a text is good.
 DIMS, FACTORS, SAMPLE, PASSES, CUT = 4096, 8, 2000, 12, 0.3
 SEED = 3
+#: Most texts whose inputs are held at a time, and the inner column of the size that the table tells.
+ROWS, TOLD = 512, "__told"
 
 _CLASS = np.zeros((256, 6), np.float32)  # letters, capitals, digits, blanks, line ends, other ASCII
 for _k, _codes in enumerate(([*range(65, 91), *range(97, 123), *range(128, 256)], range(65, 91), range(48, 58), (32, 9), (10,), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])):
@@ -102,7 +105,7 @@ def _pack(m: Machine) -> pd.DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
     """Learn from docs (doc_id, text, n_chars) with labels (doc_id, quality): about `sample` hash-chosen documents of each
-    label, in one task. A document with several labels takes the greatest; null ids and labels are no use. None when a
+    label (so few that their ids are broadcast), in one task. A document with several labels takes the greatest; null ids and labels are no use. None when a
     label has no document."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = known.groupBy("quality").agg(F.count("*").alias("n"))
@@ -114,26 +117,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | N
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("doc_id").sort_values("order", ignore_index=True)
         whole = pa.record_batch({"text": pa.array(part["text"], pa.large_string()), "n_chars": pa.array(part["n_chars"], pa.float64(), from_pandas=True)})
-        made = [features(b.column("text"), b.column("n_chars")) for b in slices(whole)]
+        made = [features(b.column("text"), b.column("n_chars")) for b in slices(whole, rows=ROWS)]
         label = (part["quality"] == part["quality"].max()).to_numpy(float)
         if label.all():
             return pd.DataFrame({"name": [], "value": []})
         return _pack(learn(np.vstack([a for a, _ in made]), np.vstack([b for _, b in made]), label))
 
-    found = {r.name: np.frombuffer(r.value, np.float32) for r in rows.join(chosen, "doc_id").withColumn("task", F.lit(0)).groupBy("task").applyInPandas(train, "name string, value binary").collect()}
+    found = {r.name: np.frombuffer(r.value, np.float32) for r in rows.join(F.broadcast(chosen), "doc_id").withColumn("task", F.lit(0)).groupBy("task").applyInPandas(train, "name string, value binary").collect()}
     return Machine(float(found["bias"][0]), found["weight"], found["factor"].reshape(-1, FACTORS), found["mean"], found["scale"]) if found else None
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """docs with `score`, 0 to 1. Null and empty texts are scored by their (zero) inputs; without a machine all are 0.5."""
-    size = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.length("text").cast("double")
+    size = F.col("n_chars") if "n_chars" in docs.columns else F.length("text")
+    names = [c for c in docs.columns if c != "score"]
 
-    def predict(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, told in parts:
-            out = [np.zeros(0)]
-            for b in slices(pa.record_batch({"text": pa.array(text, pa.large_string()), "n_chars": pa.array(told, pa.float64(), from_pandas=True)})):
-                logit = machine.logit(machine.inputs(*features(b.column("text"), b.column("n_chars")))) if machine else np.zeros(b.num_rows)
-                out.append(1 / (1 + np.exp(-np.clip(logit.astype(float), -30, 30))))
-            yield pd.Series(np.concatenate(out))
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, rows=ROWS):
+                logit = machine.logit(machine.inputs(*features(b.column("text"), b.column(TOLD)))) if machine else np.zeros(b.num_rows)
+                yield with_columns(b, names, {"score": pa.array(1 / (1 + np.exp(-np.clip(logit.astype(float), -30, 30))))})
 
-    return docs.withColumn("score", F.pandas_udf(predict, "double")(body(), size))
+    out = T.StructType([*docs.select(*names).schema.fields, T.StructField("score", T.DoubleType())])
+    return docs.select(*names, size.cast("double").alias(TOLD)).mapInArrow(predict, out).select(*docs.columns, *(["score"] if "score" not in docs.columns else []))

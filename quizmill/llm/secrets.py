@@ -30,7 +30,7 @@ ENCODINGS = (
 )
 #: Shares of natural tokens that are capitals, digits and signs; lower bounds of the length classes; the false-discovery
 #: rate; the 0.999 quantile of the chi-square law with 3 degrees, beyond which a token is not random.
-CAPITAL, DIGIT, SIGN = 0.05, 0.01, 0.01
+CAPITAL, DIGIT, SIGN = 0.15, 0.05, 0.05
 LENGTHS, RATE, NOT_RANDOM = (20, 24, 28, 32, 40, 48, 64, 96, 128), 0.01, 16.27
 MOST_BITS = 400
 
