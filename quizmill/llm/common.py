@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than the blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes.
-STEP = 1 << 20
+STEP = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,7 +43,7 @@ def staged(df: DataFrame) -> DataFrame:
         root = tempfile.mkdtemp(prefix="llm-")
         context.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

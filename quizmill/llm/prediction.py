@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +52,42 @@ def _tallied(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return keys[first], total
 
 
+class Tally:
+    """Keys with counts that arrive in runs and are merged as they pile up."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.runs = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: bool) -> None:
+        keys, n = _tallied(keys)
+        self.runs.append((keys, n if counts else np.zeros_like(n)))
+        self.waiting += len(keys)
+        if self.waiting > max(1 << 19, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        keys, n = (np.concatenate([own, *(run[k] for run in self.runs)]) for k, own in enumerate((self.keys, self.n)))
+        (self.keys, self.n), self.runs, self.waiting = _tallied(keys, n), [], 0
+
+
 def _count(key: tuple, rows: pa.Table) -> pa.Table:
     """Grams and words of a block with their number in its training texts, which may be 0."""
-    parts: dict[int, list] = {GRAM: [], WORD_KEY: []}
-    rows = rows.combine_chunks()
+    tallies = {GRAM: Tally(), WORD_KEY: Tally()}
     trained = 0
-    for held in (False, True):
-        some = rows.filter(pa.compute.equal(rows["held_out"], held))
-        trained += 0 if held else some.num_rows
-        for whole in some.combine_chunks().to_batches():
-            for batch in slices(whole):
-                words = Words(batch.column("text"))
-                for kind, keys in ((GRAM, grams(words)[0]), (WORD_KEY, words.hash)):
-                    keys, n = _tallied(keys)
-                    parts[kind].append((keys, n * 0 if held else n))
-    out = []
-    for kind, found in parts.items():
-        keys, n = _tallied(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
-        out.append((kind, keys, n))
-    out.append((TEXTS, np.zeros(1, np.uint64), np.array([trained])))
+    for whole in rows.to_batches():
+        for batch in slices(whole):
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            for learnt in (True, False):
+                some = batch.column("text").take(pa.array(np.flatnonzero(held != learnt)))
+                if len(some):
+                    trained += len(some) * learnt
+                    words = Words(some)
+                    tallies[GRAM].add(grams(words)[0], learnt)
+                    tallies[WORD_KEY].add(words.hash, learnt)
+    for tally in tallies.values():
+        tally.merge()
+    out = [(kind, t.keys, t.n) for kind, t in tallies.items()] + [(TEXTS, np.zeros(1, np.uint64), np.array([trained]))]
     return pa.table(
         {
             "block": pa.array(np.full(sum(len(k) for _, k, _ in out), key[0].as_py()), pa.int32()),
@@ -90,7 +106,7 @@ def code_lengths(counts: DataFrame) -> DataFrame:
     the kinds it had are left out of n, T and q; at last all bytes not yet left out are equally likely. A context never had
     escapes for nothing. What an escape leaves out depends on the longer context alone, so each order is one join with the
     order below, on its suffix, and one window of at most 256 rows a context: no table is larger than counts, no group than
-    256 rows.
+    256 rows. Values are rounded to single precision, which halves what blocks get back.
     """
     orders = {ORDER: counts.select("key", "n")}
     for k in range(ORDER - 1, -1, -1):
@@ -122,7 +138,7 @@ def code_lengths(counts: DataFrame) -> DataFrame:
         low = rows.select("key", "n", "total", "kinds", "rest")
     own = F.log10((2 * F.col("n") - 1) / (2 * F.col("total")))
     miss = F.when(F.col("total") > 0, F.log10(F.col("kinds") / (2 * F.col("total")))).otherwise(0.0) + F.col("rest")
-    return low.select("key", F.when(F.col("n") > 0, own).otherwise(miss).alias("value"))
+    return low.select("key", F.when(F.col("n") > 0, own).otherwise(miss).cast("float").cast("double").alias("value"))
 
 
 class Lookup:
@@ -131,17 +147,16 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
-        at = np.full(1 << bits, -1, np.int64)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
+        at = np.full(1 << bits, -1, np.int32)
+        todo, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(todo):
             free = at[slot] < 0
             at[slot[free]] = todo[free]
             left = at[slot] != todo
             todo, slot = todo[left], (slot[left] + 1) & self.mask
-        used = at >= 0
+        self.used = at >= 0
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
-        self.keys[used], self.values[used] = keys[at[used]], values[at[used]]
-        self.used = used
+        self.keys[self.used], self.values[self.used] = keys[at[self.used]], values[at[self.used]]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -186,7 +201,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             kind, keys, values = (asked[c].to_numpy() for c in ("kind", "key", "value"))
             keys = keys.view(np.uint64)
             gram, word = (Lookup(keys[kind == k], values[kind == k]) for k in (GRAM, WORD_KEY))
-            for whole in some.combine_chunks().to_batches():
+            del asked, kind, keys, values
+            for whole in some.to_batches():
                 for batch in slices(whole):
                     w = Words(batch.column("text"))
                     g, owner = grams(w)
