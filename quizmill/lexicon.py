@@ -385,6 +385,9 @@ API_CLAUSE = " and can directly access any internet API"
 
 # --- Fixed values: fallback question templates ---------------------------------
 
+FALLBACK_MISCONCEPTION = "fallback_misconception"
+FALLBACK_REASON = "Common misconception addressed by fallback question"
+FALLBACK_EXPLANATION = "This tests understanding of "
 FALLBACK_TEMPLATES = [
     (
         "What is the primary purpose of blockchain consensus mechanisms?",

@@ -10,14 +10,14 @@ from quizmill import lexicon as lx
 from quizmill.functions import text as tx
 
 KEY, IDX = "assessment_id", "question_index"
-MAX_REQUEST = 50
 
 
 def exact_count(accepted: DataFrame, requests: DataFrame) -> DataFrame:
-    """Accepted questions in order, cut at the requested number (requests never exceed fifty)."""
+    """Accepted questions in order, cut at the requested number, however large; request_constraints() reports one that is
+    above the limit for requests."""
     order = W.partitionBy(KEY).orderBy(IDX)
-    first = accepted.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_REQUEST)
-    return first.join(requests.select(KEY, "requested"), KEY).filter(F.col("n") <= F.col("requested")).drop("n", "requested")
+    asked = accepted.join(requests.select(KEY, "requested"), KEY)
+    return asked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= F.col("requested")).drop("n", "requested")
 
 
 def _word_set(text: str) -> set[str]:
@@ -29,57 +29,76 @@ def _alike(a: str, b: str) -> bool:
     return len(x & y) / len(x | y) > 0.8
 
 
-def fallback_texts(subject: str, rounds: int = 3) -> list[list[str]]:
-    """Question text of each template per round: plain, then prefixed, then the second prefix.
+def fallback_forms(question: str, subject: str) -> tuple[str, str, str]:
+    """A template's text, its form from the second round on, and the form that replaces a text too like an earlier one."""
+    low = question.lower()
+    return question, f"In {subject} systems, {low}", f"Regarding {subject}, {low}"
 
-    The second prefix replaces a text that resembles one used before; from the third round on that
-    is always the case.
-    """
-    used: list[str] = []
-    out = []
-    for r in range(rounds):
-        row = []
-        for question, *_ in lx.FALLBACK_TEMPLATES:
-            text = question if r == 0 else f"In {subject} systems, {question.lower()}"
-            if any(_alike(text, u) for u in used):
-                text = f"Regarding {subject}, {question.lower()}"
-            used.append(text)
-            row.append(text)
-        out.append(row)
-    return out
 
+def _like(words: Column, text: str) -> Column:
+    own = F.array(*[F.lit(w) for w in sorted(_word_set(text))])
+    return F.size(F.array_intersect(words, own)) / F.size(F.array_union(words, own)) > 0.8
 
-def fallback_fill(accepted: DataFrame, requests: DataFrame, subject: str = "blockchain") -> DataFrame:
-    """Rows that bring every assessment to its requested count, cycling through the templates."""
-    templates = lx.FALLBACK_TEMPLATES
-    words = F.array_distinct(F.split(tx.normalize_text(F.col("question_text")), " "))
 
-    def like_template(question: str) -> Column:
-        own = F.array(*[F.lit(w) for w in sorted(_word_set(question))])
-        return F.size(F.array_intersect(words, own)) / F.size(F.array_union(words, own)) > 0.8
+def fallback_fill(accepted: DataFrame, requests: DataFrame, subject: str = "blockchain", difficulty: str = "medium") -> DataFrame:
+    """Rows that bring every assessment to its requested count, cycling through the templates.
 
+    The text about to be used is held against all texts used before, accepted ones and fallbacks: round one tries the
+    plain text, every later round the prefixed one, and either gives way to the replacing form if it is too like one. A
+    prefixed text that was used is too like itself, and what kept it from being used stays, so from the third round on
+    it is always the replacing form. Different templates are never alike.
+    """
+    templates = lx.FALLBACK_TEMPLATES
+    forms = [fallback_forms(t[0], subject) for t in templates]
+    words = F.array_distinct(F.split(tx.normalize_text(F.col("question_text")), " "))
     seen = accepted.groupBy(KEY).agg(
         F.count("*").alias("n"),
-        *[F.bool_or(like_template(t[0])).alias(f"seen_{i}") for i, t in enumerate(templates)],
+        *[F.bool_or(_like(words, forms[t][f])).alias(f"seen_{t}_{f}") for t in range(len(templates)) for f in (0, 1)],
     )
-    short = requests.join(seen, KEY, "left").withColumn("missing", F.col("requested") - F.coalesce("n", F.lit(0)))
+    short = requests.select(KEY, "requested").join(seen, KEY, "left").withColumn("missing", F.col("requested") - F.coalesce("n", F.lit(0)))
     rows = short.filter("missing > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("missing") - 1)))
-    t = (F.col("i") % len(templates)).cast("int")
-    texts = fallback_texts(subject)
-    by_round = F.array(*[F.array(*[F.lit(x) for x in row]) for row in texts])
-    planned = F.get(F.get(by_round, F.least(F.lit(len(texts) - 1), F.floor(F.col("i") / len(templates)).cast("int"))), t)
-    taken = F.get(F.array(*[F.coalesce(f"seen_{i}", F.lit(False)) for i in range(len(templates))]), t)
-    again = F.get(F.array(*[F.lit(f"Regarding {subject}, {q[0].lower()}") for q in templates]), t)
+    size = len(templates)
+    turn, round_no = (F.col("i") % size).cast("int"), F.floor(F.col("i") / size)
+
+    def text(t: int) -> Column:
+        plain, prefixed, other = forms[t]
+        met = [F.coalesce(f"seen_{t}_{f}", F.lit(False)) for f in (0, 1)]
+        like_first = F.when(met[0], F.lit(_alike(prefixed, other))).otherwise(F.lit(_alike(prefixed, plain)))
+        return (
+            F.when(round_no == 0, F.when(met[0], F.lit(other)).otherwise(F.lit(plain)))
+            .when((round_no == 1) & ~met[1] & ~like_first, F.lit(prefixed))
+            .otherwise(F.lit(other))
+        )
+
+    def of(column: int) -> Column:
+        return F.get(F.array(*[F.array(*map(F.lit, t[column])) if column == 2 else F.lit(t[column]) for t in templates]), turn)
+
     return rows.select(
         KEY,
         "i",
-        F.when(taken, again).otherwise(planned).alias("question_text"),
-        F.get(F.array(*[F.lit(q[1]) for q in templates]), t).alias("correct_answer"),
-        F.get(F.array(*[F.array(*[F.lit(d) for d in q[2]]) for q in templates]), t).alias("distractor_texts"),
-        F.get(F.array(*[F.lit(q[3]) for q in templates]), t).alias("concept"),
+        F.get(F.array(*[text(t) for t in range(size)]), turn).alias("question_text"),
+        of(1).alias("correct_answer"),
+        of(2).alias("distractor_texts"),
+        F.lit(lx.FALLBACK_MISCONCEPTION).alias("misconception_type"),
+        F.lit(lx.FALLBACK_REASON).alias("misconception_explanation"),
+        F.concat(F.lit(lx.FALLBACK_EXPLANATION), of(3)).alias("explanation"),
+        F.lit(difficulty).alias("difficulty"),
+        F.lit("understand").alias("bloom_level"),
+        of(3).alias("source_context"),
+        turn.cast("bigint").alias("template_used"),
     )
 
 
+def guaranteed_set(accepted: DataFrame, requests: DataFrame, subject: str = "blockchain") -> DataFrame:
+    """Exactly the requested number of rows per assessment: accepted questions in order, then fallbacks."""
+    order = W.partitionBy(KEY).orderBy(IDX)
+    first = exact_count(accepted.select(KEY, IDX, "question_text"), requests)
+    kept = first.withColumn("place", F.row_number().over(order).cast("bigint")).select(KEY, "place", "question_text", F.lit("generated").alias("origin"))
+    counts = accepted.groupBy(KEY).agg(F.count("*").alias("n"))
+    spare = fallback_fill(accepted, requests, subject).join(counts, KEY, "left")
+    return kept.unionByName(spare.select(KEY, (F.coalesce("n", F.lit(0)) + F.col("i") + 1).alias("place"), "question_text", F.lit("fallback").alias("origin")))
+
+
 def overlay(questions: DataFrame, listed: DataFrame, fresh: DataFrame) -> DataFrame:
     """Replace the questions at listed indices by new ones: the i-th listed index takes the i-th new one.
 

@@ -84,17 +84,19 @@ def span_content(kind: Column, full: Column, named: list[tuple[str, str]], flags
 
 
 def number_in_document(rows: DataFrame, counted: Column, name: str = "before") -> DataFrame:
-    """Adds the number of items on earlier pages of the same document."""
-    light = rows.select(DOC, PAGE, counted.alias("n"))
+    """Adds the number of items on earlier pages of the same document.
+
+    The pages travel to their document with their items still packed, one row a page, so the items are computed once and
+    a window holds the pages of one document (it spills).
+    """
     earlier = W.partitionBy(DOC).orderBy(PAGE).rowsBetween(W.unboundedPreceding, -1)
-    offsets = light.select(DOC, PAGE, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(name))
-    return rows.join(offsets, [DOC, PAGE])
+    return rows.withColumn(name, F.coalesce(F.sum(counted).over(earlier), F.lit(0)))
 
 
 def page_elements(pages: DataFrame, spans: Column, prefix: str) -> DataFrame:
     """One row per element with an id that counts through the whole document."""
-    found = pages.select(DOC, PAGE, spans.alias("spans")).filter(F.size("spans") > 0)
-    rows = number_in_document(found, F.size("spans").cast("bigint"))
+    found = hold(pages.select(DOC, PAGE, "text"), spans=spans).drop("text")
+    rows = number_in_document(found, F.size("spans").cast("bigint")).filter(F.size("spans") > 0)
     return (
         rows.select(DOC, PAGE, "before", F.posexplode("spans").alias("pos", "s"))
         .select(DOC, PAGE, (F.col("before") + F.col("pos")).alias("n"), "s.*")
@@ -400,8 +402,8 @@ def chunk_complexity(chunks: DataFrame) -> DataFrame:
     )
 
 
-def element_counts(pages: DataFrame) -> DataFrame:
-    """Per document: element counts, symbols and characters, in one pass over the pages."""
+def element_counts(pages: DataFrame, *more: Column) -> DataFrame:
+    """Per document: element counts, symbols and characters, in one pass over the pages; more adds columns to sum."""
     t = F.col("text")
 
     def n(patterns: list[str], flags: str) -> Column:
@@ -415,13 +417,13 @@ def element_counts(pages: DataFrame) -> DataFrame:
         n([p for _, p in lx.NAMED_CODE], "sm").alias("code_blocks"),
         F.regexp_count(t, F.lit(lx.SYMBOL_CLASS)).cast("bigint").alias("symbols"),
         F.length(t).cast("bigint").alias("chars"),
+        *more,
     )
-    names = ["equations", "tables", "figures", "code_blocks", "symbols", "chars"]
-    return per_page.groupBy(DOC).agg(F.count("*").alias("num_pages"), *[F.sum(c).alias(c) for c in names])
+    return per_page.groupBy(DOC).agg(F.count("*").alias("num_pages"), *[F.sum(c).alias(c) for c in per_page.columns[1:]])
 
 
-def doc_complexity(pages: DataFrame) -> DataFrame:
-    c = element_counts(pages)
+def doc_complexity(pages: DataFrame, *more: Column) -> DataFrame:
+    c = element_counts(pages, *more)
     score = (
         F.col("equations") * 0.3
         + F.col("tables") * 0.2
@@ -445,23 +447,26 @@ def doc_warnings(pages: DataFrame) -> DataFrame:
     return pages.select(DOC, PAGE, F.explode(found).alias("warning"))
 
 
-def doc_summary(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    sizes = chunks.groupBy(DOC).agg(
-        F.count("*").alias("num_chunks"), F.floor(F.sum(F.length("text")) / F.count("*")).alias("avg_chunk_size")
-    )
+def doc_summary(pages: DataFrame, clean: Column) -> DataFrame:
+    """Counts of a document's elements and chunks, in one pass: chunks are counted while packed. clean makes the text that
+    is chunked out of the page's text; elements are counted in the page's own."""
+    raw = hold(pages.select(DOC, PAGE, F.col("text").alias("page_text")), text=clean)
+    packed = pack_units(semantic_units(raw)).select(DOC, F.col("page_text").alias("text"), "chunks")
+    lengths = F.aggregate("chunks", F.lit(0).cast("bigint"), lambda acc, c: acc + F.length(c["text"]))
+    sums = doc_complexity(packed, F.size("chunks").cast("bigint").alias("num_chunks"), lengths.alias("chunk_chars"))
     flags = {"has_math": "equations", "has_tables": "tables", "has_figures": "figures", "has_code": "code_blocks"}
+    average = F.coalesce(F.floor(F.try_divide(F.col("chunk_chars"), F.col("num_chunks"))), F.lit(0))
     return (
-        doc_complexity(pages)
-        .join(sizes, DOC, "left")
-        .na.fill(0, ["num_chunks", "avg_chunk_size"])
+        sums.withColumn("avg_chunk_size", average)
         .withColumns({n: F.col(c) > 0 for n, c in flags.items()})
-        .drop("symbols", "chars")
+        .drop("symbols", "chars", "chunk_chars")
     )
 
 
 def importance_order(chunks: DataFrame) -> DataFrame:
-    """Scored chunks first, best first; unscored ones last."""
-    return chunks.orderBy(F.desc_nulls_last("importance_score"), DOC, "chunk_index")
+    """Adds place: the chunk's rank in its document, best first, unscored ones last."""
+    order = W.partitionBy(DOC).orderBy(F.desc_nulls_last("importance_score"), "chunk_index")
+    return chunks.withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
 def size_profile(chunks: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def near_duplicates(bank: DataFrame, threshold: float = 0.8) -> DataFrame:
     return copies.unionByName(similar_pairs(reps, threshold))
 
 
-def greedy_admit(bank: DataFrame, threshold: float = 0.8, max_rounds: int = 1000) -> DataFrame:
+def greedy_admit(bank: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Accept questions in order unless they resemble one already accepted.
 
     Rows without an edge are accepted at once and copies rejected at once. The rest is settled in
@@ -111,7 +111,7 @@ def greedy_admit(bank: DataFrame, threshold: float = 0.8, max_rounds: int = 1000
     open_rows = edges.select(KEY, IDX).unionByName(edges.select(KEY, F.col("near_index").alias(IDX))).distinct()
     accepted_parts = [reps.select(KEY, IDX).join(open_rows, [KEY, IDX], "left_anti")]
     undecided, remaining = open_rows.checkpoint(), edges
-    for _ in range(max_rounds):
+    while True:
         blocked = remaining.select(KEY, IDX).distinct()
         accepted = undecided.join(blocked, [KEY, IDX], "left_anti").checkpoint()
         if accepted.isEmpty():
@@ -125,8 +125,6 @@ def greedy_admit(bank: DataFrame, threshold: float = 0.8, max_rounds: int = 1000
         remaining = (
             remaining.join(rejected, [KEY, IDX], "left_anti").join(done, [KEY, "near_index"], "left_anti").checkpoint()
         )
-    else:
-        raise RuntimeError("admission did not settle; raise max_rounds")
     out = accepted_parts[0]
     for part in accepted_parts[1:]:
         out = out.unionByName(part)

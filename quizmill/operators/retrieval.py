@@ -80,8 +80,9 @@ def query_expand(query: Column) -> Column:
     return F.concat_ws(" ", query, *extra)
 
 
-def candidates_for(top_k: int) -> int:
-    return min(top_k * 3, lx.MAX_CANDIDATES)
+def candidates_for(top_k: int, most: int = lx.MAX_CANDIDATES) -> int:
+    """Candidates fetched for a top_k that is diversified: three times as many, up to `most`, and never fewer than top_k."""
+    return max(top_k, min(top_k * 3, most))
 
 
 def top_chunks(queries: DataFrame, chunks: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
@@ -89,13 +90,18 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, k: int, metric: str = "cos
 
     queries: query_id, collection, vector; chunks: collection, chunk_id, embedding, ...
     """
-    pairs = queries.select("query_id", "collection", "vector").join(chunks, "collection")
-    scored = hold(pairs, distance=F.round(vx.distance(F.col("embedding"), F.col("vector"), metric), 9))
+    asked, stored = queries.select("query_id", "collection", "vector"), chunks
+    if metric == "cosine":  # lengths once a row, not once a pair
+        asked, stored = hold(asked, asked_length=vx.norm(F.col("vector"))), hold(stored, stored_length=vx.norm(F.col("embedding")))
+        apart = 1.0 - vx.dot(F.col("embedding"), F.col("vector")) / (F.col("stored_length") * F.col("asked_length"))
+    else:
+        apart = vx.distance(F.col("embedding"), F.col("vector"), metric)
+    scored = hold(asked.join(stored, "collection"), distance=F.round(apart, 9))
     order = W.partitionBy("query_id").orderBy("distance", "chunk_id")
     return (
         scored.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .drop("vector", "embedding")
+        .drop("vector", "embedding", "asked_length", "stored_length")
     )
 
 
@@ -143,7 +149,7 @@ def _pick_diverse(rows: pd.DataFrame, top_k: int, diversity: float) -> pd.DataFr
 
 
 def diversify(boosted: DataFrame, top_k: int, diversity: float = 0.3) -> DataFrame:
-    """Diverse top_k per query. A group is one query's candidates, at most fifty rows by construction."""
+    """Diverse top_k per query. A group is one query's candidates: as many rows as candidates_for() names."""
     columns = ["query_id", "collection", "chunk_id", "text", "similarity_score", "final_score"]
     schema = boosted.select(*columns).schema.add("pick", T.LongType())
 
@@ -242,24 +248,24 @@ def probe_queries(collections: DataFrame, probe_vectors: DataFrame, n_questions:
     )
 
 
-def multi_query_union(collections: DataFrame, probe_vectors: DataFrame, chunks: DataFrame, n_questions: int, per_probe: int = 2) -> DataFrame:
-    """Top chunks of every probe in probe order, capped; a collection without any gets the fallback text."""
+def multi_query_union(collections: DataFrame, probe_vectors: DataFrame, chunks: DataFrame, n_questions: int, top_k: int = 5, per_probe: int = 2) -> DataFrame:
+    """The first chunks that the retriever gives each probe (candidates, boosted by importance, diversified to top_k), in
+    probe order, capped; a collection without any gets the fallback text."""
     queries = probe_queries(collections, probe_vectors, n_questions)
-    found = top_chunks(queries, chunks, per_probe).withColumn(
-        "probe", F.substring_index("query_id", "-", -1).cast("bigint")
-    )
-    order = W.partitionBy("collection").orderBy("probe", "rank")
+    picked = diversify(boost(top_chunks(queries, chunks, candidates_for(top_k))), top_k).filter(F.col("pick") <= per_probe)
+    found = picked.withColumn("probe", F.substring_index("query_id", "-", -1).cast("bigint"))
+    order = W.partitionBy("collection").orderBy("probe", "pick")
     kept = (
         found.withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= min(n_questions * 2, 12))
         .select("collection", "n", F.get(F.array(*[F.lit(p) for p in lx.PROBES]), F.col("probe").cast("int")).alias("query"), "chunk_id", "text")
     )
-    empty = collections.select("collection").distinct().join(kept.select("collection"), "collection", "left_anti")
-    spare = empty.select(
-        "collection", F.lit(1).alias("n"), F.lit("fallback").alias("query"), F.lit(None).cast("string").alias("chunk_id"),
-        F.lit(lx.PROBE_FALLBACK).alias("text"),
+    every = collections.select("collection").distinct().join(kept, "collection", "left")
+    none = F.col("n").isNull()
+    return every.select(
+        "collection", F.coalesce("n", F.lit(1)).alias("n"), F.when(none, "fallback").otherwise(F.col("query")).alias("query"), "chunk_id",
+        F.when(none, lx.PROBE_FALLBACK).otherwise(F.col("text")).alias("text"),
     )
-    return kept.unionByName(spare)
 
 
 def flatten_metadata(df: DataFrame, *columns: str) -> Column:
@@ -273,10 +279,14 @@ def flatten_metadata(df: DataFrame, *columns: str) -> Column:
 
 
 def store_rows(chunks: DataFrame) -> DataFrame:
-    """Rows as stored: text falls back to content, empty text gets a stand-in, duplicates by id dropped."""
+    """Rows as stored: text falls back to content, empty text gets a stand-in. Of rows with one id the one stored last
+    stays (stored_at), of those the greatest text, so the survivor doesn't depend on how rows are dealt."""
     text = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("content"), F.lit(""))
     filled = F.when(F.trim(text) == "", F.concat(F.lit("Empty chunk content "), F.col("chunk_index"))).otherwise(text)
-    return chunks.withColumn("text", filled).drop("content").dropDuplicates(["collection", "chunk_id"])
+    rows = chunks.withColumn("text", filled).drop("content")
+    rest = [c for c in rows.columns if c not in ("collection", "chunk_id")]
+    last = F.max_by(F.struct(*rest), F.struct("stored_at", "text")).alias("r")
+    return rows.groupBy("collection", "chunk_id").agg(last).select("collection", "chunk_id", "r.*")
 
 
 def collection_catalog(chunks: DataFrame) -> DataFrame:

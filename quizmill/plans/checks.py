@@ -203,8 +203,19 @@ add(
     B + [NEAR],
     "SELECT assessment_id, question_index, near_index, round(similarity, 6) AS similarity FROM near",
 )
-# order-dependent admission has no plain SQL form; tests compare it with brute force
-add("greedy_admit", lambda s, d: dedupe.greedy_admit(bank(s, d).filter(rules.six_check_pass())))
+# questions that resemble another are gone through in order, with the list of those accepted; copies never are
+add(
+    "greedy_admit",
+    lambda s, d: dedupe.greedy_admit(bank(s, d).filter(rules.six_check_pass())),
+    B + [S.GATE, NEAR.replace("FROM bank)", "FROM gate WHERE passed >= 5)"), """
+edge AS (SELECT assessment_id, question_index, list(near_index) AS nears FROM near WHERE similarity < 1 GROUP BY 1, 2),
+linked AS (SELECT assessment_id, question_index FROM near WHERE similarity < 1 UNION SELECT assessment_id, near_index FROM near WHERE similarity < 1),
+line AS (SELECT l.*, e.nears, row_number() OVER (PARTITION BY l.assessment_id ORDER BY l.question_index) AS k FROM linked l LEFT JOIN edge e ON e.assessment_id = l.assessment_id AND e.question_index = l.question_index),
+walk AS (SELECT assessment_id, 1 AS k, [question_index] AS taken FROM line WHERE k = 1 UNION ALL
+  SELECT w.assessment_id, w.k + 1, CASE WHEN list_has_any(w.taken, coalesce(l.nears, [])) THEN w.taken ELSE list_append(w.taken, l.question_index) END FROM walk w JOIN line l ON l.assessment_id = w.assessment_id AND l.k = w.k + 1)"""],
+    "SELECT r.assessment_id, r.question_index FROM reps r WHERE question_index = rep AND NOT EXISTS (SELECT 1 FROM linked l WHERE l.assessment_id = r.assessment_id AND l.question_index = r.question_index) "
+    "UNION ALL SELECT assessment_id, unnest(arg_max(taken, k)) AS question_index FROM walk GROUP BY 1",
+)
 
 
 def concept_use(s, d):

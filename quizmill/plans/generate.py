@@ -133,17 +133,63 @@ add(
     "JOIN requests r ON r.assessment_id = g.assessment_id WHERE passed >= 5) WHERE n <= requested",
 )
 T = lx.FALLBACK_TEMPLATES
-plain = S.arr([q for q, *_ in T])
-first = S.arr([f"In blockchain systems, {q.lower()}" for q, *_ in T])
-second = S.arr([f"Regarding blockchain, {q.lower()}" for q, *_ in T])
+LOOKALIKES = [q for q, *_ in T] + [f"In blockchain systems, {q.lower()}" for q, *_ in T]
+
+
+def accepted_lookalikes(s, d):
+    """Accepted questions; of every assessment but each seventh the first one reads like a fallback of some form."""
+    rows = accepted(s, d).select(*K, "question_text")
+    first = (F.col("question_index") == 0) & (F.col("assessment_id") % 7 < len(LOOKALIKES))
+    text = F.get(F.array(*map(F.lit, LOOKALIKES)), (F.col("assessment_id") % 7).cast("int"))
+    return rows.withColumn("question_text", F.when(first, text).otherwise(F.col("question_text")))
+
+
+def word_set(x: str) -> str:
+    return f"list_distinct([w FOR w IN regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}_]+') IF w <> ''])"
+
+
+def seen_sql(t: int, form: int) -> str:
+    text = S.lit([T[t][0], f"In blockchain systems, {T[t][0].lower()}"][form])
+    mine = word_set(text)
+    return f"bool_or(len(list_intersect(ws, {mine})) / len(list_distinct(list_concat(ws, {mine}))) > 0.8e0) AS s{t}{form}"
+
+
+LOOK = [
+    f"acc AS (SELECT assessment_id, question_index, CASE WHEN question_index = 0 AND assessment_id % 7 < {len(LOOKALIKES)} THEN ({S.arr(LOOKALIKES)})[assessment_id % 7 + 1] ELSE question_text END AS question_text FROM gate WHERE passed >= 5)",
+    f"aw AS (SELECT *, {word_set('question_text')} AS ws FROM acc)",
+    f"seen AS (SELECT assessment_id, count(*) AS n, {', '.join(seen_sql(t, f) for t in range(3) for f in (0, 1))} FROM aw GROUP BY 1)",
+    "fr AS (SELECT r.assessment_id, coalesce(n, 0) AS n, unnest(range(0, greatest(0, requested - coalesce(n, 0)))) AS i, "
+    + ", ".join(f"coalesce(s{t}{f}, false) AS s{t}{f}" for t in range(3) for f in (0, 1))
+    + " FROM requests r LEFT JOIN seen ON seen.assessment_id = r.assessment_id)",
+]
+
+
+def form_sql(t: int) -> str:
+    # the prefixed second template shares seven of nine words with its plain form and so may follow it; the longer first and
+    # third ones may not; every prefixed form may follow its replacing form only if the shared words are few enough
+    q = T[t][0]
+    plain, prefixed, other = S.lit(q), S.lit(f"In blockchain systems, {q.lower()}"), S.lit(f"Regarding blockchain, {q.lower()}")
+    far = lambda a, b: f"len(list_intersect({word_set(a)}, {word_set(b)})) <= 0.8e0 * len(list_distinct(list_concat({word_set(a)}, {word_set(b)})))"
+    return (
+        f"CASE WHEN i < 3 THEN CASE WHEN s{t}0 THEN {other} ELSE {plain} END WHEN i < 6 AND NOT s{t}1 AND CASE WHEN s{t}0 THEN {far(prefixed, other)} ELSE {far(prefixed, plain)} END THEN {prefixed} ELSE {other} END"
+    )
+
+
+FALLBACK_TEXT = f"CASE i % 3 WHEN 0 THEN {form_sql(0)} WHEN 1 THEN {form_sql(1)} ELSE {form_sql(2)} END"
 add(
     "fallback_fill",
-    lambda s, d: flat(assembly.fallback_fill(accepted(s, d), requests(s, d))),
-    GR,
-    # worked out by hand: only the second template is unlike its prefixed form, and only in the second round
-    f"SELECT assessment_id, i, CASE WHEN i < 3 THEN ({plain})[i % 3 + 1] WHEN i = 4 THEN ({first})[2] ELSE ({second})[i % 3 + 1] END AS question_text, ({S.arr([t[1] for t in T])})[i % 3 + 1] AS correct_answer, "
-    f"({S.arr([' | '.join(t[2]) for t in T])})[i % 3 + 1] AS distractor_texts, ({S.arr([t[3] for t in T])})[i % 3 + 1] AS concept "
-    "FROM (SELECT r.assessment_id, unnest(range(0, greatest(0, requested - coalesce(n, 0)))) i FROM requests r LEFT JOIN (SELECT assessment_id, count(*) n FROM gate WHERE passed >= 5 GROUP BY 1) g ON g.assessment_id = r.assessment_id)",
+    lambda s, d: flat(assembly.fallback_fill(accepted_lookalikes(s, d), requests(s, d))),
+    GR + LOOK,
+    f"SELECT assessment_id, i, {FALLBACK_TEXT} AS question_text, ({S.arr([t[1] for t in T])})[i % 3 + 1] AS correct_answer, ({S.arr([' | '.join(t[2]) for t in T])})[i % 3 + 1] AS distractor_texts, "
+    "'fallback_misconception' AS misconception_type, 'Common misconception addressed by fallback question' AS misconception_explanation, "
+    f"'This tests understanding of ' || ({S.arr([t[3] for t in T])})[i % 3 + 1] AS explanation, 'medium' AS difficulty, 'understand' AS bloom_level, ({S.arr([t[3] for t in T])})[i % 3 + 1] AS source_context, i % 3 AS template_used FROM fr",
+)
+add(
+    "guaranteed_set",
+    lambda s, d: assembly.guaranteed_set(accepted_lookalikes(s, d), requests(s, d)),
+    GR + LOOK,
+    "SELECT assessment_id, n AS place, question_text, 'generated' AS origin FROM (SELECT acc.assessment_id, question_text, requested, row_number() OVER (PARTITION BY acc.assessment_id ORDER BY question_index) n FROM acc "
+    f"JOIN requests r ON r.assessment_id = acc.assessment_id) WHERE n <= requested UNION ALL SELECT assessment_id, n + i + 1 AS place, {FALLBACK_TEXT} AS question_text, 'fallback' AS origin FROM fr",
 )
 
 

@@ -40,6 +40,12 @@ def sessions(s, d):
     return oplog.upsert_sessions(bridge.session_rows(s, d))
 
 
+def recent_sessions(s, d, days=30):
+    """The latest report of each task, of those inside the window: a task's latest report lies in the window if any does,
+    so the window is cut at the scan, where day partitions are pruned, and only its rows are sorted out by task."""
+    return oplog.upsert_sessions(oplog.since(bridge.session_rows(s, d), AS_OF, days))
+
+
 add("scan_session_log", lambda s, d: log_view(bridge.session_rows(s, d)), SES, f"SELECT {LOG_COLUMNS} FROM session_rows")
 add("session_upsert", lambda s, d: log_view(sessions(s, d)), SES + [UPSERT], f"SELECT {LOG_COLUMNS} FROM latest")
 
@@ -121,14 +127,14 @@ SINCE30 = f"\"timestamp\" > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY"
 SINCE7 = f"\"timestamp\" > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY"
 add(
     "performance_summary",
-    lambda s, d: oplog.performance_summary(sessions(s, d), AS_OF, 30),
+    lambda s, d: oplog.performance_summary(recent_sessions(s, d), AS_OF, 30),
     SES + [UPSERT],
     "SELECT count(*) AS total_sessions, round(avg(success_rate), 6) AS avg_success_rate, round(avg(generation_time), 6) AS avg_generation_time, "
     f"round(avg(average_quality_score), 6) AS avg_quality, CAST(sum(num_questions_generated) AS BIGINT) AS total_questions FROM latest WHERE {SINCE30}",
 )
 add(
     "quality_trend",
-    lambda s, d: oplog.daily(oplog.since(sessions(s, d), AS_OF, 30), quality="average_quality_score"),
+    lambda s, d: oplog.daily(recent_sessions(s, d), quality="average_quality_score"),
     SES + [UPSERT],
     f"SELECT strftime(\"timestamp\", '%Y-%m-%d') AS day, round(avg(average_quality_score), 6) AS quality FROM latest WHERE {SINCE30} GROUP BY 1 ORDER BY 1",
 )

@@ -166,8 +166,30 @@ add(
     V,
     "SELECT query_id, chunk_id, round(similarity_score, 6) AS similarity_score, round(final_score, 6) AS final_score FROM boosted",
 )
-# sequential selection has no plain SQL form; tests hold the worked example
-add("mmr_rerank", lambda s, d: rt.diversify(rt.boost(found(s, d)), TOP_K, 0.3).select("query_id", "pick", "chunk_id", "final_score"))
+
+
+def mmr_sql(candidates: str, top_k: int, diversity: float = 0.3) -> str:
+    """Picks one by one from (query_id, chunk_id, text, similarity_score, final_score): a list of places grows per query."""
+    return f"""
+mm AS (SELECT query_id, chunk_id, text, final_score, similarity_score AS sim, regexp_extract_all(text, '\\S+') AS ws, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS i,
+  count(*) OVER (PARTITION BY query_id) AS n FROM {candidates}),
+ov AS (SELECT a.query_id, a.i, b.i AS j, coalesce(len(list_intersect(list_distinct(a.ws), list_distinct(b.ws))) / nullif(greatest(len(a.ws), len(b.ws)), 0), 0) AS o FROM mm a JOIN mm b ON a.query_id = b.query_id AND a.i <> b.i),
+picks AS (SELECT query_id, 1 AS step, [i] AS chosen FROM mm WHERE i = 1 AND n > {top_k} UNION ALL
+  SELECT query_id, step + 1, list_append(chosen, (list(i ORDER BY score DESC, i))[1]) FROM (
+    SELECT p.query_id, p.step, p.chosen, m.i, {diversity}e0 * any_value(m.sim) - (1 - {diversity}e0) * sum(ov.o) / len(p.chosen) AS score
+    FROM picks p JOIN mm m ON m.query_id = p.query_id AND NOT list_contains(p.chosen, m.i) JOIN ov ON ov.query_id = m.query_id AND ov.i = m.i AND list_contains(p.chosen, ov.j)
+    WHERE p.step < {top_k} GROUP BY p.query_id, p.step, p.chosen, m.i) GROUP BY query_id, step, chosen),
+diverse AS (SELECT m.query_id, list_position(p.chosen, m.i)::BIGINT AS pick, m.chunk_id, m.final_score FROM picks p JOIN mm m ON m.query_id = p.query_id AND list_contains(p.chosen, m.i) WHERE p.step = {top_k}
+  UNION ALL SELECT query_id, i AS pick, chunk_id, final_score FROM mm WHERE n <= {top_k})
+"""
+
+
+add(
+    "mmr_rerank",
+    lambda s, d: rt.diversify(rt.boost(found(s, d)), TOP_K, 0.3).select("query_id", "pick", "chunk_id", F.round("final_score", 6).alias("final_score")),
+    V + [mmr_sql("boosted", TOP_K)],
+    "SELECT query_id, pick, chunk_id, round(final_score, 6) AS final_score FROM diverse",
+)
 
 
 def best(s, d):
@@ -217,31 +239,39 @@ add(
     probe_union,
     [
         S.VECTORS,
-        """pr AS (SELECT c.collection, q.label AS probe, c.chunk_id, round(1 - list_cosine_similarity([x::DOUBLE FOR x IN c.embedding], q.vector), 9) AS distance
+        """pr AS (SELECT c.collection, q.label AS probe, c.chunk_id, c.text, c.importance_score, round(1 - list_cosine_similarity([x::DOUBLE FOR x IN c.embedding], q.vector), 9) AS distance
   FROM centroids q JOIN chunk_vectors c ON q.label < 5),
-pk AS (SELECT *, row_number() OVER (PARTITION BY collection, probe ORDER BY distance, chunk_id) rk FROM pr QUALIFY rk <= 2)""",
+pk AS (SELECT *, collection || '-' || probe AS query_id, round(1 - distance, 9) AS similarity_score, round((1 - distance) * 0.7e0 + coalesce(importance_score, 0.5e0) * 0.3e0, 9) AS final_score FROM pr
+  QUALIFY row_number() OVER (PARTITION BY collection, probe ORDER BY distance, chunk_id) <= 15)""",
+        mmr_sql("pk", 5),
     ],
-    f"SELECT collection, row_number() OVER (PARTITION BY collection ORDER BY probe, rk) AS n, ({S.arr(lx.PROBES)})[probe + 1] AS query, chunk_id FROM pk QUALIFY n <= 10",
+    f"SELECT collection, row_number() OVER (PARTITION BY collection ORDER BY probe, pick) AS n, ({S.arr(lx.PROBES)})[probe + 1] AS query, chunk_id "
+    "FROM (SELECT split_part(query_id, '-', 1)::BIGINT AS collection, split_part(query_id, '-', 2)::BIGINT AS probe, pick, chunk_id FROM diverse WHERE pick <= 2) QUALIFY n <= 10",
 )
 
 # --- stored chunks -----------------------------------------------------------------------
 
 
 def incoming(s, d):
-    """Chunks arriving twice, some without text."""
+    """Chunks arriving twice, some without text; the second time every third one has changed."""
     c = bridge.chunk_vectors(s, d).select(
         "collection", "chunk_id", "chunk_index",
         F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("text"),
         F.when(F.col("doc_id") % 8 != 0, F.col("text")).alias("content"),
+        F.lit("2024-01-01 00:00:00").alias("stored_at"),
+        (F.col("doc_id") % 3 == 0).alias("changes"),
     )
-    return c.unionByName(c)
+    again = c.withColumn("text", F.when(F.col("changes"), F.concat(F.lit("revised: "), F.coalesce("text", "content", F.lit("")))).otherwise(F.col("text")))
+    later = again.withColumn("stored_at", F.when(F.col("changes"), "2024-01-02 00:00:00").otherwise(F.col("stored_at")))
+    return later.unionByName(c).drop("changes")
 
 
 add(
     "chunk_store_append",
     lambda s, d: rt.store_rows(incoming(s, d)),
     [S.VECTORS],
-    "SELECT collection, chunk_id, chunk_index, CASE WHEN doc_id % 8 <> 0 THEN text ELSE 'Empty chunk content ' || chunk_index END AS text FROM chunk_vectors",
+    "SELECT collection, chunk_id, chunk_index, CASE WHEN doc_id % 3 = 0 THEN 'revised: ' || CASE WHEN doc_id % 8 <> 0 THEN text ELSE '' END WHEN doc_id % 8 <> 0 THEN text ELSE 'Empty chunk content ' || chunk_index END AS text, "
+    "CASE WHEN doc_id % 3 = 0 THEN '2024-01-02 00:00:00' ELSE '2024-01-01 00:00:00' END AS stored_at FROM chunk_vectors",
 )
 add(
     "collection_catalog",

@@ -229,4 +229,4 @@ centroids AS (SELECT label, list(x ORDER BY dim) AS vector FROM (SELECT label, d
 
 
 def query(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes) + "\n" + body

@@ -9,7 +9,7 @@ from quizmill.functions import text as tx
 from quizmill.operators import chunking as ch
 from quizmill.plans import sql as S
 from quizmill.plans.common import flat
-from quizmill.session import load, spread
+from quizmill.session import load
 from quizmill.sources import bridge
 
 QUERIES: dict = {}
@@ -29,7 +29,7 @@ def pages(s, d):
 
 
 def docs(s, d):
-    return spread(load(s, d, "documents").select("doc_id", "text"))
+    return load(s, d, "documents").select("doc_id", "text")
 
 
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -64,7 +64,7 @@ def html_strip(x: str) -> str:
 
 add(
     "scan_html_pages",
-    lambda s, d: spread(load(s, d, "pages")).select("page_id", "url", tx.html_text(F.col("html")).alias("text")),
+    lambda s, d: load(s, d, "pages").select("page_id", "url", tx.html_text(F.col("html")).alias("text")),
     [
         "ht AS (SELECT page_id, url, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<title.*?</title>', ' ', 'g') p FROM pages)",
         f"hx AS (SELECT page_id, url, {html_strip(chr(114) + 'egexp_extract(p, ' + S.lit('(?is)<article[^>]*>(.*)</article>') + ', 1)')} a, {html_strip('p')} b FROM ht)",
@@ -294,7 +294,7 @@ add_rec(
         ch.chunk_records(chunks(s, d)).select("doc_id", "chunk_index", F.when(F.col("chunk_index") % 5 != 0, F.col("importance_score")).alias("importance_score"))
     ),
     C,
-    f"SELECT doc_id, chunk_index, CASE WHEN chunk_index % 5 <> 0 THEN {importance_sql('text')} END AS importance_score FROM chunks ORDER BY 3 DESC NULLS LAST, 1, 2",
+    f"SELECT doc_id, chunk_index, CASE WHEN chunk_index % 5 <> 0 THEN {importance_sql('text')} END AS importance_score, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN chunk_index % 5 <> 0 THEN {importance_sql('text')} END DESC NULLS LAST, chunk_index) AS place FROM chunks",
 )
 add_rec(
     "chunk_size_profile",
@@ -385,7 +385,7 @@ add(
 )
 add_rec(
     "doc_summary",
-    lambda s, d: ch.doc_summary(pages(s, d), chunks(s, d)),
+    lambda s, d: ch.doc_summary(pages(s, d), tx.clean_text(F.col("page_text"))),
     C + [COUNTS],
     """SELECT dcs.doc_id, num_pages, equations, tables, figures, code_blocks, complexity_score, coalesce(num_chunks, 0) AS num_chunks, coalesce(avg_chunk_size, 0) AS avg_chunk_size,
   equations > 0 AS has_math, tables > 0 AS has_tables, figures > 0 AS has_figures, code_blocks > 0 AS has_code FROM dcs LEFT JOIN

@@ -25,20 +25,10 @@ def local_session(app: str = "quizmill", cores: str = "*", partitions: int = 8)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given parquet tables; timestamps are read as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """One of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a small input arrives in fewer splits than there are cores.
-
-    Large inputs already have more splits than cores and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; fall back to a scratch folder in local mode only."""
     sc = spark.sparkContext
