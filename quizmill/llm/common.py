@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -81,6 +82,14 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[at[0] : at[-1]], at - at[0]
 
 
+def rest() -> None:
+    """Hand freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """The batch in runs of at most `rows` rows with about `step` bytes of text each; a longer text stands alone."""
     _, at = text_bytes(batch.column(column))
@@ -90,6 +99,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP, rows:
         j = min(j, n, i + rows)
         yield batch.slice(i, j - i)
         i = j
+    rest()
 
 
 @lru_cache(maxsize=4)

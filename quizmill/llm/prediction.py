@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import Words, body, longs, share, slices, staged
+from quizmill.llm.common import Words, body, longs, rest, share, slices, staged
 
 #: Bytes of the longest context; bytes of text in a block.
 ORDER, BLOCK = 5, 24 << 20
@@ -87,6 +87,7 @@ def _count(key: tuple, rows: pa.Table) -> pa.Table:
                     tallies[WORD_KEY].add(words.hash, learnt)
     for tally in tallies.values():
         tally.merge()
+    rest()
     out = [(kind, t.keys, t.n) for kind, t in tallies.items()] + [(TEXTS, np.zeros(1, np.uint64), np.array([trained]))]
     return pa.table(
         {
@@ -215,6 +216,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                         "n_known": pa.array(np.bincount(w.owner, weights=c > 0, minlength=n).astype(np.int64) + (texts > 0), pa.int64()), "train_tokens": pa.array(np.full(n, n_tokens), pa.int64()),
                         "base_score": pa.array(base, pa.float64()), "score": pa.array(np.bincount(owner, weights=gram(g), minlength=n), pa.float64()),
                     }))
+            del gram, word
+            rest()
         return pa.Table.from_batches(out) if out else pa.table({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
     schema = f"doc_id {ident}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
