@@ -132,11 +132,59 @@ def test_text_vectors_are_unit_length(spark):
         assert sum(x * x for x in r.embedding) == pytest.approx(1, abs=1e-3)
 
 
-def test_fallback_texts():
-    plain, second, third = assembly.fallback_texts("blockchain")
-    assert plain[0].startswith("What is the primary")
-    assert second[0].startswith("Regarding") and second[1].startswith("In blockchain systems,") and second[2].startswith("Regarding")
-    assert all(t.startswith("Regarding blockchain,") for t in third)
+def sets_of(spark, accepted, n):
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(accepted)] or [(2, 0, "unlike anything")], "assessment_id long, question_index long, question_text string")
+    requests = spark.createDataFrame([(1, n)], "assessment_id long, requested long")
+    return rows, requests
+
+
+def test_requests_of_any_size_are_met(spark):
+    rows, requests = sets_of(spark, [f"question number {i}" for i in range(60)], 60)
+    assert assembly.exact_count(rows, requests).count() == 60
+    assert assembly.fallback_fill(rows, requests).count() == 0
+    rows, requests = sets_of(spark, [f"question number {i}" for i in range(60)], 75)
+    assert sorted(r.place for r in assembly.guaranteed_set(rows, requests).filter("assessment_id = 1").collect()) == list(range(1, 76))
+
+
+def test_fallback_texts(spark):
+    """The text about to be used is compared with all used before, as one would go about it by hand."""
+    from quizmill import lexicon as lx
+
+    def plain(accepted, n):
+        used, out = list(accepted), []
+        for i in range(n):
+            text, prefixed, other = assembly.fallback_forms(lx.FALLBACK_TEMPLATES[i % 3][0], "blockchain")
+            text = text if i < 3 else prefixed
+            text = other if any(assembly._alike(text, u) for u in used) else text
+            used.append(text)
+            out.append(text)
+        return out
+
+    forms = [f for t in lx.FALLBACK_TEMPLATES for f in assembly.fallback_forms(t[0], "blockchain")[:2]]
+    for accepted in [[], *[[f] for f in forms], forms[::2], forms]:
+        rows, requests = sets_of(spark, accepted, len(accepted) + 10)
+        got = assembly.fallback_fill(rows, requests).orderBy("i").collect()
+        assert [r.question_text for r in got if r.assessment_id == 1] == plain(accepted, 10)
+
+
+def test_candidates_cover_any_top_k():
+    assert [retrieval.candidates_for(k) for k in (5, 10, 20, 60)] == [15, 30, 50, 60]
+
+
+def test_survivor_is_the_row_stored_last(spark):
+    rows = [(1, "c1", 0, "old", None, "2024-01-01"), (1, "c1", 0, "new", None, "2024-01-02"), (1, "c1", 0, "newer", None, "2024-01-02"), (1, "c2", 3, None, None, "2024-01-01")]
+    df = spark.createDataFrame(rows, "collection long, chunk_id string, chunk_index long, text string, content string, stored_at string")
+    for parts in (1, 4):
+        got = {r.chunk_id: r.text for r in retrieval.store_rows(df.repartition(parts)).collect()}
+        assert got == {"c1": "newer", "c2": "Empty chunk content 3"}
+
+
+def test_chunk_queries_scan_once(spark):
+    import __spark_entry__ as entry
+
+    for name in ("chunk_pack", "chunk_record", "importance_order", "chunk_size_profile", "doc_summary", "equations_by_page", "figure_refs", "code_blocks_by_page"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan parquet") == 1, name
 
 
 def test_xml_exports_parse(spark):
