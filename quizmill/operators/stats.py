@@ -27,84 +27,130 @@ def count_where(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def overview(scored: DataFrame) -> DataFrame:
-    """Size, mean score and its grade, share of high grades, one count column per grade."""
+def _overview() -> tuple[dict, list]:
+    """Sums and values of the overview; every part below comes as such a pair, so that parts can share one aggregate."""
     grades = [label for _, label in lx.GRADE_BANDS] + [lx.GRADE_LAST]
-    high = count_where(F.col("quality_grade").isin(*lx.HIGH_GRADES))
     names = {g: "grade_" + g.replace("+", "_plus").replace("-", "_minus").lower() for g in grades}
-    agg = scored.groupBy(KEY).agg(
-        F.count("*").alias("total_questions"),
-        F.avg("overall_score").alias("mean_score"),
-        high.alias("high_quality_questions"),
-        *[count_where(F.col("quality_grade") == g).alias(n) for g, n in names.items()],
-    )
-    return agg.select(
-        KEY,
-        "total_questions",
+    sums = {
+        "total_questions": F.count("*"),
+        "mean_score": F.avg("overall_score"),
+        "high_quality_questions": count_where(F.col("quality_grade").isin(*lx.HIGH_GRADES)),
+        **{n: count_where(F.col("quality_grade") == g) for g, n in names.items()},
+    }
+    share = F.round(F.round(F.col("high_quality_questions") * 100 / F.col("total_questions"), 9), 1)
+    return sums, [
+        F.col("total_questions"),
         round3(F.col("mean_score")).alias("average_quality_score"),
         rules.grade(F.round("mean_score", 9)).alias("overall_grade"),
-        "high_quality_questions",
-        F.round(F.round(F.col("high_quality_questions") * 100 / F.col("total_questions"), 9), 1).alias(
-            "high_quality_percentage"
-        ),
-        *names.values(),
+        F.col("high_quality_questions"),
+        share.alias("high_quality_percentage"),
+        *map(F.col, names.values()),
+    ]
+
+
+def _distribution() -> tuple[dict, list]:
+    sums = {
+        "mean_score": F.avg("overall_score"),
+        "deviation": F.stddev_samp("overall_score"),
+        "lowest": F.min("overall_score"),
+        "highest": F.max("overall_score"),
+        "quartiles": F.percentile("overall_score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))),
+    }
+    return sums, [
+        round3(F.col("mean_score")).alias("mean"),
+        round3(F.get("quartiles", F.lit(1))).alias("median"),
+        round3(F.coalesce("deviation", F.lit(0.0))).alias("std_dev"),
+        round3(F.col("lowest")).alias("min_score"),
+        round3(F.col("highest")).alias("max_score"),
+        round3(F.get("quartiles", F.lit(0))).alias("q1"),
+        round3(F.get("quartiles", F.lit(2))).alias("q3"),
+    ]
+
+
+def _balance() -> tuple[dict, list]:
+    kinds = {k: k.lower() for k in lx.IDEAL_DIFFICULTY}
+    sums = {"total_questions": F.count("*"), **{f"{n}_count": count_where(F.upper("difficulty") == k) for k, n in kinds.items()}}
+    share = {n: F.col(f"{n}_count") / F.col("total_questions") for n in kinds.values()}
+    gap = sum(F.abs(share[kinds[k]] - v) for k, v in lx.IDEAL_DIFFICULTY.items())
+    balance = F.round(1.0 - gap / 2, 9)
+    return sums, [
+        *[F.col(f"{n}_count") for n in share],
+        *[F.round(F.round(F.col(f"{n}_count") * 100 / F.col("total_questions"), 9), 1).alias(f"{n}_percent") for n in share],
+        F.round(balance, 3).alias("balance_score"),
+        (balance > 0.8).alias("well_balanced"),
+    ]
+
+
+def _score() -> tuple[dict, list]:
+    sums = {
+        "total_questions": F.count("*"),
+        "mean_score": F.avg("overall_score"),
+        "deviation": F.stddev_samp("overall_score"),
+        "levels": F.count_distinct("bloom_level"),
+    }
+    steady = F.when(F.col("total_questions") > 1, F.greatest(F.lit(0.0), (0.2 - F.col("deviation")) * 0.5)).otherwise(0.0)
+    varied = F.when(F.col("levels") >= 3, 0.05).otherwise(0.0)
+    return sums, [round3(F.least(F.lit(1.0), F.col("mean_score") + steady + varied)).alias("quality_score")]
+
+
+def _advice() -> tuple[dict, list]:
+    m = lx.ASSESSMENT_ADVICE
+    lead, tail = m["low"]
+    sums = {
+        "total_questions": F.count("*"),
+        "low": count_where(F.col("overall_score") < 0.6),
+        "predicted_easy": count_where(F.col("predicted_level") == "EASY"),
+        "predicted_hard": count_where(F.col("predicted_level") == "HARD"),
+        "levels": F.count_distinct("bloom_level"),
+    }
+    easy, hard = (F.col(f"predicted_{k}") / F.col("total_questions") for k in ("easy", "hard"))
+    own = tx.issues(
+        (F.col("low") > 0, F.concat(F.lit(lead), F.col("low"), F.lit(tail))),
+        (easy > 0.5, m["easy"]),
+        ((easy <= 0.5) & (hard > 0.4), m["hard"]),
+        (F.col("levels") < 3, m["levels"]),
     )
+    return sums, [own.alias("own_advice")]
+
+
+def gathered(rows: DataFrame, *parts: tuple[dict, list]) -> DataFrame:
+    """One aggregate per assessment for all parts; a sum that several parts name is the same one."""
+    sums = {name: c for part, _ in parts for name, c in part.items()}
+    values = [c for _, part in parts for c in part]
+    return rows.groupBy(KEY).agg(*[c.alias(n) for n, c in sums.items()]).select(KEY, *values)
+
+
+def overview(scored: DataFrame) -> DataFrame:
+    """Size, mean score and its grade, share of high grades, one count column per grade."""
+    return gathered(scored, _overview())
 
 
 def score_distribution(scored: DataFrame) -> DataFrame:
-    quartiles = F.percentile("overall_score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = scored.groupBy(KEY).agg(
-        F.avg("overall_score").alias("m"),
-        F.coalesce(F.stddev_samp("overall_score"), F.lit(0.0)).alias("s"),
-        F.min("overall_score").alias("lo"),
-        F.max("overall_score").alias("hi"),
-        quartiles.alias("p"),
-    )
-    return agg.select(
-        KEY,
-        round3(F.col("m")).alias("mean"),
-        round3(F.get("p", F.lit(1))).alias("median"),
-        round3(F.col("s")).alias("std_dev"),
-        round3(F.col("lo")).alias("min_score"),
-        round3(F.col("hi")).alias("max_score"),
-        round3(F.get("p", F.lit(0))).alias("q1"),
-        round3(F.get("p", F.lit(2))).alias("q3"),
-    )
+    return gathered(scored, _distribution())
 
 
 def difficulty_balance(bank: DataFrame) -> DataFrame:
-    d = F.upper("difficulty")
-    agg = bank.groupBy(KEY).agg(
-        F.count("*").alias("n"),
-        *[count_where(d == k).alias(k.lower() + "_count") for k in lx.IDEAL_DIFFICULTY],
-    )
-    gap = sum(F.abs(F.col(k.lower() + "_count") / F.col("n") - v) for k, v in lx.IDEAL_DIFFICULTY.items())
-    balance = F.round(1.0 - gap / 2, 9)
-    return agg.select(
-        KEY,
-        *[F.col(k.lower() + "_count") for k in lx.IDEAL_DIFFICULTY],
-        *[
-            F.round(F.round(F.col(k.lower() + "_count") * 100 / F.col("n"), 9), 1).alias(k.lower() + "_percent")
-            for k in lx.IDEAL_DIFFICULTY
-        ],
-        F.round(balance, 3).alias("balance_score"),
-        (balance > 0.8).alias("well_balanced"),
-    )
+    return gathered(bank, _balance())
 
 
-def term_counts(bank: DataFrame, bigrams: bool, text: str = "question_text") -> DataFrame:
-    """(assessment, question, term, tf): words of two letters or more, stop words removed."""
+def question_terms(bigrams: bool, text: str = "question_text") -> tuple[Column, Column]:
+    """Words of two letters or more without stop words, and pairs of neighbours among them (none unless asked for)."""
     words = F.filter(
         F.regexp_extract_all(F.lower(text), F.lit("(" + tx.WORD + "{2,})"), F.lit(1)),
         lambda w: ~w.isin(*lx.STOP_WORDS),
     )
-    terms = words
-    if bigrams:
-        pairs = F.filter(
-            F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)),
-            lambda p: p.isNotNull(),
-        )
-        terms = F.concat(words, pairs)
+    if not bigrams:
+        return words, F.array().cast("array<string>")
+    pairs = F.filter(
+        F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)),
+        lambda p: p.isNotNull(),
+    )
+    return words, pairs
+
+
+def term_counts(bank: DataFrame, bigrams: bool, text: str = "question_text") -> DataFrame:
+    """(assessment, question, term, tf): words of two letters or more, stop words removed."""
+    terms = F.concat(*question_terms(bigrams, text))
     return (
         bank.select(KEY, "question_index", F.explode(terms).alias("term"))
         .groupBy(KEY, "question_index", "term")
@@ -151,6 +197,11 @@ def concept_coverage(bank: DataFrame, vocabulary: int = 50, top: int = 10) -> Da
     )
 
 
+def diversity(square: Column, n: Column) -> Column:
+    """One minus the mean pairwise cosine of n unit vectors, from the squared length of their sum."""
+    return F.round(F.when(square.isNull() | (n < 2), 0.5).otherwise(1 - (square - n) / F.greatest(n * (n - 1), F.lit(1))), 9)
+
+
 def content_diversity(bank: DataFrame) -> DataFrame:
     """One minus the mean pairwise cosine. The sum over all pairs of unit vectors is the squared
     length of their sum, so no pair is ever formed."""
@@ -161,12 +212,7 @@ def content_diversity(bank: DataFrame) -> DataFrame:
     per_term = weights.groupBy(KEY, "term").agg(F.sum("weight").alias("s"))
     square = per_term.groupBy(KEY).agg(F.sum(F.col("s") * F.col("s")).alias("square"))
     n = F.col("n")
-    content = F.round(
-        F.when(F.col("square").isNull() | (n < 2), 0.5).otherwise(
-            1 - (F.col("square") - n) / F.greatest(n * (n - 1), F.lit(1))
-        ),
-        9,
-    )
+    content = diversity(F.col("square"), n)
     types = F.round(F.col("types") / n, 9)
     return sizes.join(square, KEY, "left").select(
         KEY,
@@ -224,43 +270,19 @@ def common_issues(scored: DataFrame, top: int = 3, share: float = 0.3) -> DataFr
 
 def assessment_advice(scored: DataFrame) -> DataFrame:
     """recommendations: array of texts per assessment."""
-    m = lx.ASSESSMENT_ADVICE
-    lead, tail = m["low"]
-    agg = scored.groupBy(KEY).agg(
-        F.count("*").alias("n"),
-        count_where(F.col("overall_score") < 0.6).alias("low"),
-        count_where(F.col("predicted_level") == "EASY").alias("easy"),
-        count_where(F.col("predicted_level") == "HARD").alias("hard"),
-        F.count_distinct("bloom_level").alias("levels"),
-    )
+    own = gathered(scored, _advice())
     texts = F.transform(
         F.array_sort(F.collect_list(F.struct("issue_rank", "issue"))),
-        lambda s: F.concat(F.lit(m["issue"]), s["issue"]),
+        lambda s: F.concat(F.lit(lx.ASSESSMENT_ADVICE["issue"]), s["issue"]),
     )
     common = common_issues(scored).groupBy(KEY).agg(texts.alias("common"))
-    own = tx.issues(
-        (F.col("low") > 0, F.concat(F.lit(lead), F.col("low"), F.lit(tail))),
-        (F.col("easy") / F.col("n") > 0.5, m["easy"]),
-        ((F.col("easy") / F.col("n") <= 0.5) & (F.col("hard") / F.col("n") > 0.4), m["hard"]),
-        (F.col("levels") < 3, m["levels"]),
-    )
-    return agg.join(common, KEY, "left").select(
-        KEY, F.concat(own, F.coalesce("common", F.array().cast("array<string>"))).alias("recommendations")
+    return own.join(common, KEY, "left").select(
+        KEY, F.concat("own_advice", F.coalesce("common", F.array().cast("array<string>"))).alias("recommendations")
     )
 
 
 def assessment_score(scored: DataFrame) -> DataFrame:
-    agg = scored.groupBy(KEY).agg(
-        F.avg("overall_score").alias("m"),
-        F.stddev_samp("overall_score").alias("s"),
-        F.count("*").alias("n"),
-        F.count_distinct("bloom_level").alias("levels"),
-    )
-    steady = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), (0.2 - F.col("s")) * 0.5)).otherwise(0.0)
-    varied = F.when(F.col("levels") >= 3, 0.05).otherwise(0.0)
-    return agg.select(
-        KEY, round3(F.least(F.lit(1.0), F.col("m") + steady + varied)).alias("quality_score")
-    )
+    return gathered(scored, _score())
 
 
 def share_bias(bank: DataFrame) -> DataFrame:
@@ -294,26 +316,60 @@ def difficulty_variety(bank: DataFrame) -> DataFrame:
     )
 
 
-def full_analysis(bank: DataFrame, scored: DataFrame) -> DataFrame:
-    """Every assessment-level figure on one row; all inputs are one row per assessment."""
-    terms = concept_coverage(bank)
-    top_terms = terms.groupBy(KEY).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("term_rank", "concept"))), lambda s: s["concept"]), ", "
-        ).alias("top_concepts")
-    )
-    uses = misconception_counts(bank).groupBy(KEY).agg(F.count("*").alias("unique_misconceptions"))
-    return (
-        overview(scored).select(KEY, "total_questions", "average_quality_score", "overall_grade", "high_quality_percentage")
-        .join(score_distribution(scored).select(KEY, "median", "std_dev"), KEY)
-        .join(difficulty_balance(bank).select(KEY, "balance_score", "well_balanced"), KEY)
-        .join(content_diversity(bank).select(KEY, "content_diversity"), KEY)
-        .join(assessment_score(scored), KEY)
-        .join(assessment_advice(scored).select(KEY, F.array_join("recommendations", " | ").alias("recommendations")), KEY)
-        .join(top_terms, KEY, "left")
-        .join(uses, KEY, "left")
-        .na.fill({"unique_misconceptions": 0, "top_concepts": ""})
+def full_analysis(scored: DataFrame, vocabulary: int = 50, top: int = 10) -> DataFrame:
+    """Every assessment-level figure on one row, from one aggregate over questions and one chain over counted terms.
+
+    Words, word pairs, issues, misconceptions and the questions themselves are counted together as terms of five kinds;
+    their totals give ranks and inverse frequencies, and meet the counts once. What is ranked inside an assessment are
+    its distinct terms; arrays hold at most `vocabulary` of them.
+    """
+    words, pairs = question_terms(True)
+    kinds = {
+        "word": words, "pair": pairs, "issue": F.concat("clarity_issues", "distractor_issues", "language_issues"),
+        "misconception": F.transform("distractors", lambda x: x["misconception_type"]), "question": F.array(F.lit("")),
+    }
+
+    def tagged(kind: str, terms: Column) -> Column:
+        return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    counts = (
+        scored.select(KEY, "question_index", F.inline(F.concat(*[tagged(k, a) for k, a in kinds.items()])))
+        .groupBy(KEY, "question_index", "kind", "term")
+        .agg(F.count("*").alias("tf"))
     )
+    totals = counts.groupBy(KEY, "kind", "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    textual = F.col("kind").isin("word", "pair")
+    order = W.partitionBy(KEY, F.when(textual, "text").otherwise(F.col("kind"))).orderBy(F.desc("cf"), "term")
+    n = F.max(F.when(F.col("kind") == "question", F.col("cf"))).over(W.partitionBy(KEY))
+    terms = totals.withColumns({"rk": F.row_number().over(order), "n": n})
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    wide = counts.join(terms, [KEY, "kind", "term"]).withColumns(
+        {"w": F.col("tf") * idf, "counted": textual & (F.col("rk") <= vocabulary), "word": F.col("kind") == "word"}
+    )
+    question = W.partitionBy(KEY, "question_index")
+    unit = {c: F.when(F.col(c), F.col("w") / F.sqrt(F.sum(F.when(F.col(c), F.col("w") * F.col("w"))).over(question))) for c in ("counted", "word")}
+    weighed = wide.withColumns({"counted_w": unit["counted"], "word_w": unit["word"]})
+    per_term = weighed.groupBy(KEY, "kind", "term", "rk", "cf", "n").agg(F.round(F.sum("counted_w"), 9).alias("covers"), F.sum("word_w").alias("s"))
+    listed = F.collect_list(F.when(F.col("covers").isNotNull(), F.struct((-F.col("covers")).alias("by"), "term")))
+    common = (F.col("kind") == "issue") & (F.col("rk") <= 3) & (F.col("cf") > F.col("n") * 0.3)
+    about = per_term.groupBy(KEY).agg(
+        F.max("n").alias("n"),
+        F.sum(F.col("s") * F.col("s")).alias("square"),
+        F.array_sort(listed).alias("listed"),
+        F.array_sort(F.collect_list(F.when(common, F.struct("rk", "term")))).alias("common"),
+        F.count_if(F.col("kind") == "misconception").alias("unique_misconceptions"),
+    )
+    advice = F.transform("common", lambda s: F.concat(F.lit(lx.ASSESSMENT_ADVICE["issue"]), s["term"]))
+    base = gathered(scored, _overview(), _distribution(), _balance(), _score(), _advice())
+    return base.join(about, KEY).select(
+        KEY, "total_questions", "average_quality_score", "overall_grade", "high_quality_percentage", "median", "std_dev",
+        "balance_score", "well_balanced",
+        F.round(diversity(F.col("square"), F.col("n")), 3).alias("content_diversity"),
+        "quality_score",
+        F.array_join(F.concat("own_advice", advice), " | ").alias("recommendations"),
+        F.array_join(F.transform(F.slice("listed", 1, top), lambda s: s["term"]), ", ").alias("top_concepts"),
+        "unique_misconceptions",
+    )
 
 
 def system_advice() -> Column:

@@ -210,3 +210,10 @@ def test_rate_window_matches_brute_force(spark):
         earlier = times[:i]
         want = tuple(sum(1 for x in earlier if t - x < span * 1_000_000) for span in (60, 3600))
         assert got[i] == want
+
+
+def test_full_analysis_scans_three_times(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["full_assessment_analysis"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") <= 3
