@@ -11,19 +11,23 @@ from quizmill.llm.common import staged
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node it is linked with, near or far.
 
-    Each round every node takes the least root among its neighbours and its root's root; both are joins and map-side
-    minima. A round is staged, and the loop ends when none changes: about log of the longest chain rounds.
+    Each round every node joins its least neighbour, if that is less than itself, and the graph is drawn again between
+    what has been joined, without loops and repeated edges. A star of any size is gone after one round and a chain loses
+    more than half of its nodes, so rounds are few and the work shrinks from one to the next. Each round is staged.
     """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct())
-    roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
-    while True:
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("top")).filter("root != top")
-        jumped = step.join(up, "root", "left").select("node", "old", F.coalesce("top", "root").alias("root"))
-        told = jumped.filter("old != root").select(F.col("old").alias("node"), F.col("root").alias("told")).groupBy("node").agg(F.min("told").alias("told"))
-        merged = jumped.join(told, "node", "left").select("node", F.least("root", F.coalesce("told", "root")).alias("root"), (F.col("old") != F.least("root", F.coalesce("told", "root"))).alias("moved"))
-        now = staged(merged)
-        if not now.agg(F.bool_or("moved")).first()[0]:
-            return now.select("node", "root")
-        roots = now.select("node", "root")
+
+    def drawn(pairs: DataFrame) -> DataFrame:
+        return staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+
+    rest, labels = drawn(edges), None
+    while not rest.isEmpty():
+        both = rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        joined = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")))
+        if labels is None:
+            labels = joined.withColumnRenamed("up", "root")
+        else:
+            next_up = joined.withColumnRenamed("node", "root")
+            labels = staged(labels.join(next_up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        left, right = (joined.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in "ab")
+        rest = drawn(rest.join(left, "a").join(right, "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b")))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0) if labels is None else labels
