@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -123,10 +124,7 @@ def issue_rows(bank: DataFrame, issues: Column) -> DataFrame:
 
 
 def all_issues(bank: DataFrame) -> DataFrame:
-    own = issue_rows(
-        bank, F.concat(field_issues(), text_issues(F.col("question_text"), "question_text"), option_issues())
-    )
-    return own.unionByName(duplicate_issues(bank))
+    return issue_rows(bank, own_issues()).unionByName(duplicate_issues(bank))
 
 
 def duplicate_issues(bank: DataFrame) -> DataFrame:
@@ -138,17 +136,36 @@ def duplicate_issues(bank: DataFrame) -> DataFrame:
     )
 
 
+def own_issues() -> Column:
+    """Everything wrong with a question by itself; reads the columns of with_options()."""
+    return F.concat(field_issues(), text_issues(F.col("question_text"), "question_text"), option_issues())
+
+
+def copy_counts(bank: DataFrame) -> DataFrame:
+    """Questions per assessment whose text an earlier one has: two map-side counts, no question meets another."""
+    texts = bank.filter("question_text IS NOT NULL").groupBy(KEY, F.sha2(F.trim(F.lower("question_text")), 256).alias("text_key")).agg(F.count("*").alias("n"))
+    return texts.groupBy(KEY).agg(F.sum(F.col("n") - 1).alias("copies"))
+
+
 def validation_scores(bank: DataFrame) -> DataFrame:
     """Severity counts and the 0-100 score of each assessment."""
-    counts = all_issues(bank).groupBy(KEY).agg(
-        *[F.count_if(F.col("severity") == s).alias(f"{s}_issues") for s in ("critical", "major", "minor")],
-        F.count_if(F.col("issue_type") == "duplicate").alias("duplicate_questions"),
-    )
-    base = stats.share_bias(bank).select(KEY, "bias_detected", "max_share").join(
-        stats.difficulty_variety(bank).select(KEY, "total_questions", "variety_score"), KEY
-    )
-    cols = ["critical_issues", "major_issues", "minor_issues", "duplicate_questions"]
-    joined = base.join(counts, KEY, "left").na.fill(0, cols)
+    severities = ("critical", "major", "minor")
+
+    def equals(severity: str) -> Callable[[Column], Column]:
+        return lambda x: x == severity
+
+    copy_severity = lx.VALIDATION["duplicate"][0]
+    held = hold(with_options(bank), severity=F.transform(own_issues(), lambda x: x["severity"]))
+    own = {f"own_{s}": F.sum(F.size(F.filter("severity", equals(s)))) for s in severities}
+    letters = {f"at_{p}": F.count_if(F.col("correct_position") == p) for p in "ABCD"}
+    shape = held.groupBy(KEY).agg(F.count("*").alias("total_questions"), F.count_distinct("difficulty").alias("variety_score"), *[c.alias(n) for n, c in (own | letters).items()])
+    top = F.greatest(*[F.col(n) / F.col("total_questions") for n in letters])
+    copies = F.coalesce("copies", F.lit(0))
+    joined = shape.join(copy_counts(bank), KEY, "left").select(
+        KEY, (top > 0.4).alias("bias_detected"), F.round(top, 6).alias("max_share"), "total_questions", "variety_score",
+        *[(F.col(f"own_{s}") + (copies if s == copy_severity else 0)).alias(f"{s}_issues") for s in severities],
+        copies.alias("duplicate_questions"),
+    )
     score = (
         100
         - F.col("critical_issues") * 20

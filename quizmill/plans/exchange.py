@@ -214,6 +214,53 @@ add(
         "'| ' || (question_index + 1) || ' | A. ' || replace(correct_answer, '|', '\\|') || ' | ' || replace(explanation, '|', '\\|') || ' |'",
     ),
 )
+# the student's versions: no marks, no explanations, no key
+add(
+    "export_json_student",
+    lambda s, d: exports.export_json(bank(s, d), teacher=False, explanations=False, difficulty=False, metadata=True),
+    O,
+    f"""SELECT {KS}, CAST(to_json({{'id': question_index + 1, 'question_text': question_text, 'question_type': question_type,
+  'options': MAP((['A', 'B', 'C', 'D'])[1:len(texts)], list_transform(texts, lambda t, i: {{'text': t, 'is_correct': i = 1}})), 'metadata': {{'concept': concept, 'perspective': perspective, 'source_file': source_file}}}}) AS VARCHAR) AS document FROM opt""",
+)
+add(
+    "export_header",
+    lambda s, d: exports.export_header(bank(s, d)),
+    B,
+    """SELECT assessment_id, CAST(to_json({'version': '1.0', 'format': 'assessment_json', 'source_file': min(source_file),
+  'statistics': {'questions': count(*), 'easy': count(*) FILTER (difficulty = 'easy'), 'medium': count(*) FILTER (difficulty = 'medium'), 'hard': count(*) FILTER (difficulty = 'hard')},
+  'configuration': {'include_explanations': true, 'include_difficulty': true, 'teacher_version': true}}) AS VARCHAR) AS header FROM bank GROUP BY 1""",
+)
+
+
+def student_sql(header: str, question: str) -> str:
+    return (
+        f"SELECT assessment_id, 1::BIGINT AS section, 0::BIGINT AS seq, {header} AS block FROM (SELECT assessment_id, count(*) n FROM bank GROUP BY 1) UNION ALL "
+        f"SELECT assessment_id, 2, question_index + 1, {question} FROM opt"
+    )
+
+
+def plain_options(lead: str) -> str:
+    return f"array_to_string(list_transform(texts, lambda t, i: '{lead}' || (['A', 'B', 'C', 'D'])[i] || '. ' || t), chr(10))"
+
+
+add(
+    "export_text_student",
+    lambda s, d: flat(exports.export_text(bank(s, d), teacher=False)),
+    O,
+    student_sql(
+        S.lit(f"{RULE}\nASSESSMENT\n{RULE}\n\nTotal Questions: ") + " || n || " + S.lit("\nVersion: Student\n"),
+        "'QUESTION ' || (question_index + 1) || ' [' || difficulty || " + S.lit("]\n" + "-" * 20 + "\n") + " || question_text || chr(10) || chr(10) || " + plain_options("    ") + " || chr(10)",
+    ),
+)
+add(
+    "export_markdown_student",
+    lambda s, d: flat(exports.export_markdown(bank(s, d), teacher=False, difficulty=False)),
+    O,
+    student_sql(
+        S.lit("# Assessment\n\n## Assessment Information\n\n- **Total Questions:** ") + " || n || " + S.lit("\n- **Version:** Student\n"),
+        "'### Question ' || (question_index + 1) || chr(10) || chr(10) || question_text || chr(10) || chr(10) || " + plain_options("- ") + " || chr(10)",
+    ),
+)
 add(
     "export_layout",
     lambda s, d: exports.layout(bank(s, d)),

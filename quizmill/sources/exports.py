@@ -32,8 +32,8 @@ def correct_letter() -> Column:
     return F.get(F.array(*[F.lit(x) for x in LETTERS]), (at - 1).cast("int"))
 
 
-def export_json(bank: DataFrame, teacher: bool = True, explanations: bool = True, difficulty: bool = True) -> DataFrame:
-    """One JSON document per question; switches drop answers, explanations or difficulty."""
+def export_json(bank: DataFrame, teacher: bool = True, explanations: bool = True, difficulty: bool = True, metadata: bool = False) -> DataFrame:
+    """One JSON document per question; switches drop answers, explanations or difficulty, or add metadata."""
     option = lambda t, i: F.struct(t.alias("text"), (i == 0).alias("is_correct"))
     letters = F.slice(F.array(*[F.lit(x) for x in LETTERS]), 1, F.size("texts"))
     fields = [
@@ -45,14 +45,27 @@ def export_json(bank: DataFrame, teacher: bool = True, explanations: bool = True
         *(["correct_answer"] if teacher else []),
         *(["explanation"] if explanations else []),
         *(["distractors"] if teacher else []),
+        *([F.struct("concept", "perspective", "source_file").alias("metadata")] if metadata else []),
     ]
     return with_options(bank).select(KEY, IDX, F.to_json(F.struct(*fields)).alias("document"))
 
 
-def export_header(bank: DataFrame) -> DataFrame:
-    """Format, version and size of each exported assessment."""
-    return bank.groupBy(KEY).agg(
-        F.lit(lx.EXPORT_VERSION).alias("version"), F.lit(lx.EXPORT_FORMAT).alias("format"), F.count("*").alias("questions")
+def export_header(bank: DataFrame, teacher: bool = True, explanations: bool = True, difficulty: bool = True) -> DataFrame:
+    """The document around the questions: version, format, source, statistics and the switches it was written with."""
+    switches = {"include_explanations": explanations, "include_difficulty": difficulty, "teacher_version": teacher}
+    counts = [F.count_if(F.col("difficulty") == k).alias(k) for k in ("easy", "medium", "hard")]
+    rows = bank.groupBy(KEY).agg(F.min("source_file").alias("source_file"), F.count("*").alias("questions"), *counts)
+    return rows.select(
+        KEY,
+        F.to_json(
+            F.struct(
+                F.lit(lx.EXPORT_VERSION).alias("version"),
+                F.lit(lx.EXPORT_FORMAT).alias("format"),
+                "source_file",
+                F.struct("questions", "easy", "medium", "hard").alias("statistics"),
+                F.struct(*[F.lit(v).alias(k) for k, v in switches.items()]).alias("configuration"),
+            )
+        ).alias("header"),
     )
 
 
@@ -156,8 +169,8 @@ def answer_key(bank: DataFrame) -> DataFrame:
     return with_options(bank).select(KEY, IDX, letter.alias("letter"), shown.alias("answer"), why.alias("explanation"))
 
 
-def _sections(bank: DataFrame, header: Column, question: Column, key_head: str, key: Column) -> DataFrame:
-    """section 1 header, 2 questions, 3 key header, 4 key lines."""
+def _sections(bank: DataFrame, header: Column, question: Column, key_head: str, key: Column, teacher: bool) -> DataFrame:
+    """section 1 header, 2 questions; in the teacher version 3 key header, 4 key lines."""
     heads = bank.groupBy(KEY).agg(F.count("*").alias("n")).select(
         KEY,
         F.inline(
@@ -176,7 +189,8 @@ def _sections(bank: DataFrame, header: Column, question: Column, key_head: str,
             )
         ),
     )
-    return heads.unionByName(body)
+    every = heads.unionByName(body)
+    return every if teacher else every.filter(F.col("section") <= 2)
 
 
 def _option_lines(line: Column) -> Column:
@@ -188,38 +202,44 @@ def _letter(i: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in LETTERS]), i)
 
 
-def export_text(bank: DataFrame) -> DataFrame:
-    """Plain text blocks: header, questions with the answer marked, answer key."""
+def _badge(left: str, right: str, shown: bool) -> list[Column]:
+    return [F.lit(left), F.col("difficulty"), F.lit(right)] if shown else []
+
+
+def export_text(bank: DataFrame, teacher: bool = True, explanations: bool = True, difficulty: bool = True) -> DataFrame:
+    """Plain text blocks: header and questions; the teacher version marks and explains answers and ends with a key."""
     rule = "=" * 60
-    header = F.concat(F.lit(f"{rule}\nASSESSMENT\n{rule}\n\nTotal Questions: "), F.col("n"), F.lit("\nVersion: Teacher\n"))
-    options = _option_lines(
-        lambda t, i: F.concat(F.when(t == F.col("correct_answer"), ">>> ").otherwise("    "), _letter(i), F.lit(". "), t)
-    )
+    header = F.concat(F.lit(f"{rule}\nASSESSMENT\n{rule}\n\nTotal Questions: "), F.col("n"), F.lit(f"\nVersion: {'Teacher' if teacher else 'Student'}\n"))
+    marked = F.col("correct_answer") if teacher else F.lit(None)
+    options = _option_lines(lambda t, i: F.concat(F.when(t == marked, ">>> ").otherwise("    "), _letter(i), F.lit(". "), t))
+    reason = [F.lit("\n\nExplanation: "), F.col("explanation")] if teacher and explanations else []
     question = F.concat(
-        F.lit("QUESTION "), number(), F.lit(" ["), "difficulty", F.lit("]\n" + "-" * 20 + "\n"), "question_text", F.lit("\n\n"),
-        options, F.lit("\n\nExplanation: "), "explanation", F.lit("\n"),
+        F.lit("QUESTION "), number(), *_badge(" [", "]", difficulty), F.lit("\n" + "-" * 20 + "\n"), "question_text", F.lit("\n\n"),
+        options, *reason, F.lit("\n"),
     )
     key = F.concat(number(), F.lit(". "), correct_letter(), F.lit(" - "), "correct_answer", F.lit("\n   Explanation: "), "explanation")
-    return _sections(bank, header, question, f"{rule}\nANSWER KEY\n{rule}", key)
+    return _sections(bank, header, question, f"{rule}\nANSWER KEY\n{rule}", key, teacher)
 
 
-def export_markdown(bank: DataFrame) -> DataFrame:
-    """Markdown blocks; pipes in the answer table are escaped."""
-    header = F.concat(F.lit("# Assessment\n\n## Assessment Information\n\n- **Total Questions:** "), F.col("n"), F.lit("\n- **Version:** Teacher\n"))
+def export_markdown(bank: DataFrame, teacher: bool = True, explanations: bool = True, difficulty: bool = True) -> DataFrame:
+    """Markdown blocks, as in export_text(); pipes in the answer table are escaped."""
+    header = F.concat(F.lit("# Assessment\n\n## Assessment Information\n\n- **Total Questions:** "), F.col("n"), F.lit(f"\n- **Version:** {'Teacher' if teacher else 'Student'}\n"))
+    marked = F.col("correct_answer") if teacher else F.lit(None)
+    reason = [F.lit("\n\n> **Explanation:** "), F.col("explanation")] if teacher and explanations else []
     options = _option_lines(
         lambda t, i: F.when(
-            t == F.col("correct_answer"), F.concat(F.lit("- **"), _letter(i), F.lit(".** **"), t, F.lit("** ✅"))
+            t == marked, F.concat(F.lit("- **"), _letter(i), F.lit(".** **"), t, F.lit("** ✅"))
         ).otherwise(F.concat(F.lit("- "), _letter(i), F.lit(". "), t))
     )
     question = F.concat(
-        F.lit("### Question "), number(), F.lit(" `["), "difficulty", F.lit("]`\n\n"), "question_text", F.lit("\n\n"),
-        options, F.lit("\n\n> **Explanation:** "), "explanation", F.lit("\n"),
+        F.lit("### Question "), number(), *_badge(" `[", "]`", difficulty), F.lit("\n\n"), "question_text", F.lit("\n\n"),
+        options, *reason, F.lit("\n"),
     )
     pipe = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
     key = F.concat(
         F.lit("| "), number(), F.lit(" | "), correct_letter(), F.lit(". "), pipe(F.col("correct_answer")), F.lit(" | "), pipe(F.col("explanation")), F.lit(" |")
     )
-    return _sections(bank, header, question, "## Answer Key\n\n| Question | Answer | Explanation |\n|----------|--------|-------------|", key)
+    return _sections(bank, header, question, "## Answer Key\n\n| Question | Answer | Explanation |\n|----------|--------|-------------|", key, teacher)
 
 
 def layout(bank: DataFrame, per_page: int = 5, seed: str = "0") -> DataFrame:
