@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import WORD, body
+from quizmill.llm.common import WORD, body, staged
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -42,10 +42,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPO
     The key is uniform, so its first digits deal every source, however large, over 16 ** DIGITS ranges; words before a
     row are the words of earlier ranges plus a running sum inside one range.
     """
-    sized = docs.select(
+    named = docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), body()).cast("binary")).alias("key"),
     ).withColumn("range", F.substring("key", 1, DIGITS))
+    sized = staged(named)  # texts are read and counted once
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
