@@ -243,6 +243,7 @@ def question_constraints() -> dict[str, Column]:
         "difficulty_domain": F.col("difficulty").isin("easy", "medium", "hard"),
         "question_type_domain": F.col("question_type").isin("multiple_choice", "true_false", "short_answer"),
         "option_keys": n >= 3,
+        "options_beyond_d": n <= 3,  # formats and views show A to D
         "correct_position_domain": F.col("correct_position").isin("A", "B", "C", "D"),
     }
 
