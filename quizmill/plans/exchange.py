@@ -171,9 +171,86 @@ add(
     O,
     f"SELECT {KS}, " + ", ".join(f'{c} AS "{n}"' for c, n in zip(fv, lx.FORMS_HEADER)) + " FROM opt",
 )
-# XML text has no SQL twin; tests parse it
-add("export_qti_xml", lambda s, d: exports.export_qti(bank(s, d)))
-add("export_moodle_xml", lambda s, d: exports.export_moodle(bank(s, d)))
+
+
+def esc(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), ']]>', ']]&gt;')"
+
+
+def xml(*lines: tuple[int, str, str]) -> str:
+    """Indented lines: depth, opening, and what stands behind it, both SQL."""
+    return " || chr(10) || ".join(S.lit(" " * 4 * depth + head) + (f" || {tail}" if tail else "") for depth, head, tail in lines)
+
+
+NUMBER = "(question_index + 1)"
+label = xml(
+    (4, '<response_label ident="', """(['A', 'B', 'C', 'D'])[i] || '">'"""),
+    (5, "<material>", ""),
+    (6, '<mattext texttype="text/plain">', f"{esc('t')} || '</mattext>'"),
+    (5, "</material>", ""),
+    (4, "</response_label>", ""),
+)
+add(
+    "export_qti_xml",
+    lambda s, d: exports.export_qti(bank(s, d)),
+    O,
+    f"SELECT {KS}, "
+    + xml(
+        (0, '<item ident="question_', f"""{NUMBER} || '" title="Question ' || {NUMBER} || '">'"""),
+        (1, "<presentation>", ""),
+        (2, "<material>", ""),
+        (3, '<mattext texttype="text/html">', f"{esc(S.lit('<p>') + ' || question_text || ' + S.lit('</p>'))} || '</mattext>'"),
+        (2, "</material>", ""),
+        (2, '<response_lid ident="response_', f"""{NUMBER} || '" rcardinality="Single">'"""),
+        (3, "<render_choice>", ""),
+        (0, "", f"array_to_string(list_transform(texts, lambda t, i: {label}), chr(10))"),
+        (3, "</render_choice>", ""),
+        (2, "</response_lid>", ""),
+        (1, "</presentation>", ""),
+        (1, "<resprocessing>", ""),
+        (2, "<outcomes>", ""),
+        (3, '<decvar maxvalue="100" minvalue="0" varname="SCORE" vartype="Decimal"/>', ""),
+        (2, "</outcomes>", ""),
+        (2, '<respcondition continue="No">', ""),
+        (3, "<conditionvar>", ""),
+        (4, '<varequal respident="response_', f"""{NUMBER} || '">A</varequal>'"""),
+        (3, "</conditionvar>", ""),
+        (3, '<setvar action="Set" varname="SCORE">100</setvar>', ""),
+        (2, "</respcondition>", ""),
+        (1, "</resprocessing>", ""),
+        (0, "</item>", ""),
+    )
+    + " AS xml FROM opt",
+)
+RIGHT = "t = correct_answer"
+feedback = f"CASE WHEN {RIGHT} THEN '<p>Correct! ' || explanation ELSE '<p>Incorrect. ' || coalesce(list_filter(distractors, lambda x: x.text = t)[1].explanation, '') END || '</p>'"
+choice = xml(
+    (1, '<answer fraction="', f"""CASE WHEN {RIGHT} THEN '100' ELSE '0' END || '" format="html">'"""),
+    (2, "<text>", f"{esc(S.lit('<p>') + ' || t || ' + S.lit('</p>'))} || '</text>'"),
+    (2, '<feedback format="html">', ""),
+    (3, "<text>", f"{esc(feedback)} || '</text>'"),
+    (2, "</feedback>", ""),
+    (1, "</answer>", ""),
+)
+add(
+    "export_moodle_xml",
+    lambda s, d: exports.export_moodle(bank(s, d)),
+    O,
+    f"SELECT {KS}, "
+    + xml(
+        (0, '<question type="multichoice">', ""),
+        (1, "<name>", ""),
+        (2, "<text>Question ", f"{NUMBER} || '</text>'"),
+        (1, "</name>", ""),
+        (1, '<questiontext format="html">', ""),
+        (2, "<text>", f"{esc(S.lit('<p>') + ' || question_text || ' + S.lit('</p>'))} || '</text>'"),
+        (1, "</questiontext>", ""),
+        *[(1, f"<{k}>{v}</{k}>", "") for k, v in (("defaultgrade", "1"), ("penalty", "0.1"), ("hidden", "0"), ("single", "true"), ("shuffleanswers", "true"))],
+        (0, "", f"array_to_string(list_transform(texts, lambda t, i: {choice}), chr(10))"),
+        (0, "</question>", ""),
+    )
+    + " AS xml FROM opt",
+)
 add(
     "answer_key",
     lambda s, d: exports.answer_key(bank(s, d)),

@@ -92,6 +92,12 @@ def export_forms(bank: DataFrame) -> DataFrame:
     return with_options(bank).select(KEY, IDX, *[c.alias(n) for c, n in zip(cols, lx.FORMS_HEADER)])
 
 
+def to_xml(item: list[Column], tag: str) -> Column:
+    """The item as XML. Whether the writer escapes a right angle bracket depends on where its buffer ends; here it is only
+    escaped where XML asks for it."""
+    return F.replace(F.replace(F.to_xml(F.struct(*item), {"rowTag": tag}), F.lit("&gt;"), F.lit(">")), F.lit("]]>"), F.lit("]]&gt;"))
+
+
 def export_qti(bank: DataFrame, teacher: bool = True) -> DataFrame:
     """One QTI item per question."""
     name = F.concat(F.lit("response_"), number())
@@ -131,7 +137,7 @@ def export_qti(bank: DataFrame, teacher: bool = True) -> DataFrame:
         presentation.alias("presentation"),
         *([scoring.alias("resprocessing")] if teacher else []),
     ]
-    return with_options(bank).select(KEY, IDX, F.to_xml(F.struct(*item), {"rowTag": "item"}).alias("xml"))
+    return with_options(bank).select(KEY, IDX, to_xml(item, "item").alias("xml"))
 
 
 def export_moodle(bank: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def export_moodle(bank: DataFrame) -> DataFrame:
         F.lit("true").alias("single"), F.lit("true").alias("shuffleanswers"),
         F.transform("texts", answer).alias("answer"),
     ]
-    return with_options(bank).select(KEY, IDX, F.to_xml(F.struct(*item), {"rowTag": "question"}).alias("xml"))
+    return with_options(bank).select(KEY, IDX, to_xml(item, "question").alias("xml"))
 
 
 def answer_key(bank: DataFrame) -> DataFrame:
