@@ -424,8 +424,7 @@ FALLBACK_TEMPLATES = [
 # --- Fixed values: limits, time-to-live, estimates ------------------------------
 
 RATE_LIMITS = {"embeddings": (60, 3000), "completions": (20, 500)}
-TTL_DAYS = {"questions": 7, "embeddings": 30, "documents": 14}
-QUERY_TTL_MINUTES = 30
+TTL_MINUTES = {"questions": 7 * 1440, "embeddings": 30 * 1440, "documents": 14 * 1440, "queries": 30}
 MAX_FILE_BYTES = 10 * 1024 * 1024
 STAGE_WEIGHTS = {
     "upload": 0.05, "text_extraction": 0.20, "chunking": 0.15,

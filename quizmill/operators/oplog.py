@@ -97,9 +97,9 @@ def cache_advice(ops: DataFrame) -> DataFrame:
 
 def ttl_split(entries: DataFrame, as_of: str) -> DataFrame:
     """Adds expired: older than its tier's time to live at as_of."""
-    limit = tx.lookup(F.col("cache_type"), {k: str(v) for k, v in lx.TTL_DAYS.items()}).cast("bigint")
+    limit = tx.lookup(F.col("cache_type"), {k: str(v) for k, v in lx.TTL_MINUTES.items()}).cast("bigint")
     age = micros(F.lit(as_of).cast("timestamp")) - micros("stored_at")
-    return entries.withColumn("expired", age > limit * (86400 * SECOND))
+    return entries.withColumn("expired", age > limit * (60 * SECOND))
 
 
 # --- tasks ---------------------------------------------------------------------
@@ -242,19 +242,34 @@ def completion_eta(endpoint: Column, remaining: Column) -> Column:
     return F.when(limit > 0, F.round(remaining / limit * 60, 6)).otherwise(0.0)
 
 
-def activity_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Bursts of activity per task: a run ends when the task is idle for the gap."""
-    return (
-        events.groupBy("task_id", F.session_window("ts", gap).alias("s"))
-        .agg(F.count("*").alias("events"), F.count_if(F.col("status") == "error").alias("errors"))
-        .select(
-            "task_id",
-            F.date_format("s.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started"),
-            F.date_format("s.end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ended"),
-            "events",
-            "errors",
-        )
+def activity_sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Bursts of activity per task: a run ends when the task is idle for the gap.
+
+    Events sort within (task, hour); the last event of a task's earlier hours comes from a table with one row per task and
+    hour. What an hour holds of runs is aggregated before the task's hours meet, so a task with most of all events meets
+    as a few rows an hour.
+    """
+    gap, hour_len = gap_minutes * 60 * SECOND, 3600 * SECOND
+    e = events.withColumn("t", micros("ts")).withColumn("hour", F.expr(f"t div {hour_len}"))
+    before = F.lag("last").over(W.partitionBy("task_id").orderBy("hour"))
+    carry = e.groupBy("task_id", "hour").agg(F.max("t").alias("last")).select("task_id", "hour", before.alias("before"))
+    local = W.partitionBy("task_id", "hour").orderBy("t", "event_id")
+    idle = F.col("t") - F.coalesce(F.lag("t").over(local), F.col("before"))
+    rows = e.join(carry, ["task_id", "hour"]).withColumn("fresh", F.coalesce(idle >= gap, F.lit(True)).cast("int"))
+    runs = rows.withColumn("run", F.sum("fresh").over(local.rowsBetween(W.unboundedPreceding, 0)))
+    parts = runs.groupBy("task_id", "hour", "run").agg(
+        F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("events"), F.count_if(F.col("status") == "error").alias("errors")
     )
+    along = W.partitionBy("task_id").orderBy("hour", "run").rowsBetween(W.unboundedPreceding, 0)
+    numbered = parts.withColumn("session", F.sum((F.col("run") > 0).cast("int")).over(along))
+    whole = numbered.groupBy("task_id", "session").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"), F.sum("errors").alias("errors")
+    )
+
+    def stamp(c: Column) -> Column:
+        return F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+    return whole.select("task_id", stamp(F.col("first")).alias("started"), stamp(F.col("last") + gap).alias("ended"), "events", "errors")
 
 
 # --- estimates ----------------------------------------------------------------------

@@ -168,14 +168,14 @@ add(
     CA,
     f"SELECT cache_type, {S.join(S.issues(('hit_rate_percent < 20', S.lit(lx.CACHE_ADVICE['hits'])), ('size_mb > 100', S.lit(lx.CACHE_ADVICE['size']))))} AS recommendations FROM cstats JOIN csize USING (cache_type)",
 )
-ttl_case = "CASE cache_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lx.TTL_DAYS.items()) + " END"
+ttl_case = "CASE cache_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lx.TTL_MINUTES.items()) + " END"
 add(
     "ttl_expire",
     lambda s, d: oplog.ttl_split(bridge.cache_events(s, d), AS_OF).groupBy("cache_type").agg(
         F.count_if(F.col("expired")).alias("evicted"), F.count_if(~F.col("expired")).alias("kept")
     ),
     [S.CACHE],
-    f"SELECT cache_type, count(*) FILTER (old) AS evicted, count(*) FILTER (NOT old) AS kept FROM (SELECT *, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(stored_at) > {ttl_case} * 86400000000 AS old FROM cache_events) GROUP BY 1",
+    f"SELECT cache_type, count(*) FILTER (old) AS evicted, count(*) FILTER (NOT old) AS kept FROM (SELECT *, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(stored_at) > {ttl_case}::BIGINT * 60000000 AS old FROM cache_events) GROUP BY 1",
 )
 
 # --- tasks ---------------------------------------------------------------------------

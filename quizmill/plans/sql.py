@@ -211,7 +211,7 @@ api_calls AS (SELECT event_id, CASE WHEN event_type IN ('purchase', 'error') THE
 """
 
 CACHE = EVENTS + f""",
-cache_events AS (SELECT event_id, {pick(list(lx.TTL_DAYS), f"user_id % {len(lx.TTL_DAYS)}")} AS cache_type,
+cache_events AS (SELECT event_id, {pick(list(lx.TTL_MINUTES), f"user_id % {len(lx.TTL_MINUTES)}")} AS cache_type,
   CASE event_type WHEN 'view' THEN 'hit' WHEN 'click' THEN 'miss' WHEN 'purchase' THEN 'save' WHEN 'error' THEN 'expired' ELSE 'hit' END AS operation,
   ts AS stored_at, CAST(floor(value * 1000) AS BIGINT) AS bytes FROM ev)
 """

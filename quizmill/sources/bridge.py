@@ -204,7 +204,7 @@ def api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cache_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache operations per tier with the size of the entry."""
-    tiers = list(lx.TTL_DAYS)
+    tiers = list(lx.TTL_MINUTES)
     t = F.col("event_type")
     return _events(spark, sf_dir).select(
         "event_id",

@@ -217,3 +217,23 @@ def test_full_analysis_scans_three_times(spark):
 
     plan = entry.queries()["full_assessment_analysis"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan parquet") <= 3
+
+
+def test_sessions_of_a_busy_task(spark):
+    """One task with most events: runs within, across and at the edge of hours."""
+    rnd = random.Random(9)
+    t, rows = 0, []
+    for i in range(4000):
+        t += rnd.choice([0, 1, 60, 900, 1799, 1800, 1801, 7300]) if i % 40 == 0 else rnd.choice([0, 1, 7, 30])
+        rows.append((1 if rnd.random() < 0.9 else 2, i, t, rnd.choice(["error", "ready"])))
+    df = spark.createDataFrame(rows, "task_id long, event_id long, s long, status string").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted((r.task_id, r.events, r.errors) for r in oplog.activity_sessions(df).collect())
+    want, last = [], {}
+    for task, _, s, status in rows:
+        if task not in last or s - last[task][0] >= 1800:
+            last[task] = [s, [task, 0, 0]]
+            want.append(last[task][1])
+        last[task][0] = s
+        last[task][1][1] += 1
+        last[task][1][2] += status == "error"
+    assert got == sorted(map(tuple, want))
