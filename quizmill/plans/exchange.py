@@ -376,3 +376,9 @@ add(
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) run FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END fresh FROM events))
   GROUP BY user_id, run HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}""",
 )
+add(
+    "latest_status_stream",
+    lambda s, d: progress.run_latest(progress.latest_status(progress.read_events(s, d)), progress.scratch(s)),
+    None,
+    "SELECT user_id AS task_id, arg_max(event_type, (ts, event_id)) AS step FROM events GROUP BY 1",
+)

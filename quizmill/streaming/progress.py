@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 DELAY = "10 minutes"
@@ -14,7 +15,6 @@ DELAY = "10 minutes"
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
     """Event files of a folder as a stream, each event once, late ones dropped by the watermark."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
     return (
         raw.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -51,8 +51,9 @@ def activity(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """Newest event per user; run it in update mode."""
-    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("step"))
+    """Newest event per user; run_latest() keeps it up to date."""
+    newest = F.max_by("event_type", F.struct("ts", "event_id")).alias("step")
+    return events.groupBy("user_id").agg(newest).withColumnRenamed("user_id", "task_id")
 
 
 def scratch(spark: SparkSession) -> str:
@@ -79,3 +80,24 @@ def run_available(stream: DataFrame, out: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/rows")
+
+
+def run_latest(stream: DataFrame, out: str, key: str = "task_id") -> DataFrame:
+    """Process everything available in update mode: every batch appends the keys that it changed, under its number, and
+    the last row of a key counts. A batch that is run again repeats its rows, which changes nothing."""
+    spark = stream.sparkSession
+    rest = [c for c in stream.columns if c != key]
+
+    def append(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{out}/rows")
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{out}/state")
+        .trigger(availableNow=True)
+        .foreachBatch(append)
+        .start()
+    )
+    query.awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/rows")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
