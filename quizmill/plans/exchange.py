@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
+from quizmill.operators import oplog
 from quizmill.plans import sql as S
 from quizmill.plans.common import bank, flat
+from quizmill.plans.ops import AS_OF, LOG_COLUMNS, SINCE7, log_view
 from quizmill.session import load
 from quizmill.sources import bridge, exports, files, responses
 from quizmill.streaming import progress
@@ -382,3 +384,31 @@ add(
     None,
     "SELECT user_id AS task_id, arg_max(event_type, (ts, event_id)) AS step FROM events GROUP BY 1",
 )
+
+
+# --- stores that grow: written twice, read back --------------------------------------------------------
+
+
+def log_by_day(s, d):
+    """The session log appended in two parts to a folder per day; only folders inside the window are read."""
+    out, rows = progress.scratch(s), bridge.session_rows(s, d)
+    for part in (0, 1):
+        files.append_log(rows.filter(F.col("event_id") % 2 == part), out, "timestamp")
+    start = F.to_date(F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(days=F.lit(7)))
+    return log_view(oplog.since(files.read_log(s, out, start), AS_OF, 7))
+
+
+add("session_log_window", log_by_day, [S.SESSIONS], f"SELECT {LOG_COLUMNS} FROM session_rows WHERE {SINCE7}")
+
+
+def without_collection(s, d):
+    """A chunk store appended in two parts, then rewritten without collection 1."""
+    store, target, rows = progress.scratch(s), progress.scratch(s), bridge.chunk_vectors(s, d).select("collection", "chunk_id", "text")
+    for part in (0, 1):
+        files.append_chunks(rows.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == part), store)
+    files.drop_collection(s, store, target, 1)
+    kept = s.read.parquet(target)
+    return kept.groupBy(F.col("collection").cast("bigint").alias("collection")).agg(F.count_distinct("chunk_id").alias("chunks"))
+
+
+add("collection_delete", without_collection, [S.VECTORS], "SELECT collection, count(DISTINCT chunk_id) AS chunks FROM chunk_vectors WHERE collection <> 1 GROUP BY 1")

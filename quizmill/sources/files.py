@@ -76,5 +76,7 @@ def append_log(rows: DataFrame, path: str, ts: str) -> None:
     rows.withColumn("dt", F.to_date(ts)).write.mode("append").partitionBy("dt").parquet(path)
 
 
-def read_log(spark: SparkSession, path: str, first_day: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("dt") >= F.lit(first_day).cast("date"))
+def read_log(spark: SparkSession, path: str, first_day: str | Column) -> DataFrame:
+    """Log rows from a day on; earlier folders are not read."""
+    start = F.lit(first_day).cast("date") if isinstance(first_day, str) else first_day
+    return spark.read.parquet(path).filter(F.col("dt") >= start)
