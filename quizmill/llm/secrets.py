@@ -76,12 +76,9 @@ def _natural_bits(tokens: DataFrame) -> Column:
 
 
 def tested(tokens: DataFrame) -> DataFrame:
-    """tokens (token) with encoding, length class, `bits` and `odd`.
-
-    `bits` is the log2 likelihood ratio of a uniform draw from the inferred alphabet to natural text: by Markov's
-    inequality 2 ** -bits is a valid p-value against natural text. `odd` adds the squared normal scores of three tests of
-    uniform randomness: chi-squared of the alphabet (its cube root is about normal; only excess counts), runs above and
-    below the middle of the alphabet, and lag-one serial correlation."""
+    """tokens (token) with encoding, length class and `odd`: the squared normal scores of three tests of uniform randomness,
+    added up. They are chi-squared of the alphabet (its cube root is about normal; only excess counts), runs above and below
+    the middle of the alphabet, and lag-one serial correlation."""
     core = tokens.withColumn("core", F.regexp_replace("token", "=+$", ""))
     choose = lambda pick: reduce(lambda other, e: F.when(F.col("core").rlike(e[1]), F.lit(e[pick])).otherwise(other), reversed(ENCODINGS), F.lit(None))
     rows = core.withColumn("encoding", choose(0)).withColumn("k", choose(2).cast("double")).withColumn("n", F.length("core").cast("double"))
@@ -109,7 +106,9 @@ def tested(tokens: DataFrame) -> DataFrame:
 def random_tokens(spans: DataFrame) -> DataFrame:
     """The spans whose tokens the battery takes for random: not odd among random tokens, and unlike natural text so far
     that, within their length class, at most RATE of such finds are expected to be natural (Benjamini and Hochberg's rule,
-    on whole bits: the least b whose 2 ** -b is within RATE times the share of the class with b bits or more)."""
+    on whole bits: the least b whose 2 ** -b is within RATE times the share of the class with b bits or more). Bits are
+    the log2 likelihood ratio of a uniform draw from the inferred alphabet to natural text, so by Markov's inequality
+    2 ** -bits is a valid p-value against natural text."""
     bits = _natural_bits(spans)
     rows = tested(spans).filter("encoding IS NOT NULL AND NOT core RLIKE '^[0-9]+$'")
     ratio = F.aggregate("chars", F.lit(0.0), lambda a, c: a + F.element_at(bits, F.ascii(c) + 1)) - F.col("n") * F.log2("k")
