@@ -49,51 +49,44 @@ def distinct_sets(bank: DataFrame, text: str = "question_text") -> DataFrame:
 def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """All pairs of different word sets with Jaccard above the threshold, inside an assessment.
 
-    Prefix filter: two sets that similar share a word among their first size - ceil(t*size) + 1
-    words. Pairs meet on those words only, sizes must be within the threshold, and a pair is
-    verified once, at its first common prefix word, so no distinct is needed.
+    Prefix filter: two sets that similar share a word among their first size - ceil(t*size) + 1 words. Rows of word, index,
+    size and place meet on those words; sizes must be within the threshold, and what can still be shared from the place on
+    must be enough. Word sets are fetched for the pairs that are left.
     """
     n = F.size("tokens")
     length = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
-    index = (
-        reps.filter(n > 0)
-        .withColumn("n", n)
-        .withColumn("prefix", F.slice("tokens", 1, length))
-        .withColumn("token", F.explode("prefix"))
-    )
-    a = index.select(KEY, "token", *[F.col(c).alias(c + "_a") for c in (IDX, "n", "prefix", "tokens")])
-    b = index.select(KEY, "token", *[F.col(c).alias(c + "_b") for c in (IDX, "n", "prefix", "tokens")])
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    similarity = shared / (F.col("n_a") + F.col("n_b") - shared)
-    return (
+    index = reps.filter(n > 0).select(KEY, IDX, n.alias("n"), F.posexplode(F.slice("tokens", 1, length)).alias("place", "token"))
+    a, b = (index.select(KEY, "token", *[F.col(c).alias(f"{c}_{side}") for c in (IDX, "n", "place")]) for side in "ab")
+    enough = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    met = (
         a.join(b, [KEY, "token"])
-        .filter(F.col(IDX + "_a") < F.col(IDX + "_b"))
-        .filter(
-            (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
-        )
-        .filter(F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("token"))
-        .select(
-            KEY,
-            F.col(IDX + "_b").alias(IDX),
-            F.col(IDX + "_a").alias("near_index"),
-            similarity.alias("similarity"),
-        )
-        .filter(F.col("similarity") > threshold)
+        .filter(F.col(f"{IDX}_a") < F.col(f"{IDX}_b"))
+        .filter((F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9))
+        .filter(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= enough)
+        .select(KEY, F.col(f"{IDX}_b").alias(IDX), F.col(f"{IDX}_a").alias("near_index"))
+        .distinct()
     )
+    near = reps.select(KEY, F.col(IDX).alias("near_index"), F.col("tokens").alias("near_tokens"))
+    shared = F.size(F.array_intersect("tokens", "near_tokens"))
+    similarity = shared / (F.size("tokens") + F.size("near_tokens") - shared)
+    both = met.join(near, [KEY, "near_index"]).join(reps.select(KEY, IDX, "tokens"), [KEY, IDX])
+    return both.select(KEY, IDX, "near_index", similarity.alias("similarity")).filter(F.col("similarity") > threshold)
 
 
 def near_duplicates(bank: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Each question with the earlier ones it resembles.
+    """Every question's representative (rep_index: the first with the same words) and the representatives' earlier
+    resemblances.
 
-    Questions with the same words are one star: every copy points at the first, and only the first
-    is compared with other word sets. A group of copies therefore adds one row per copy, not per pair.
+    Questions with the same words are one star: every copy points at the first, and only the first is compared with other
+    word sets, so a group of copies adds one row per copy, not per pair. Nothing is lost: a question resembles every other
+    one with its rep_index, and all copies of whatever its representative resembles.
     """
     sets = distinct_sets(bank)
     copies = sets.filter(F.col(IDX) > F.col("rep_index")).select(
-        KEY, IDX, F.col("rep_index").alias("near_index"), F.lit(1.0).alias("similarity")
+        KEY, IDX, F.col("rep_index").alias("near_index"), F.lit(1.0).alias("similarity"), "rep_index"
     )
     reps = sets.filter(F.col(IDX) == F.col("rep_index")).select(KEY, IDX, "tokens")
-    return copies.unionByName(similar_pairs(reps, threshold))
+    return copies.unionByName(similar_pairs(reps, threshold).withColumn("rep_index", F.col(IDX)))
 
 
 def greedy_admit(bank: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -40,8 +40,8 @@ NEAR = """
 tok AS (SELECT assessment_id, question_index, list_sort(list_distinct([w FOR w IN string_split(trim(regexp_replace(lower(question_text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ') IF w <> ''])) t FROM bank),
 reps AS (SELECT *, min(question_index) OVER (PARTITION BY assessment_id, t) rep FROM tok),
 words AS (SELECT assessment_id, question_index, len(t) n, unnest(t) w FROM reps WHERE question_index = rep),
-near AS (SELECT assessment_id, question_index, rep AS near_index, 1e0 AS similarity FROM reps WHERE question_index > rep
-  UNION ALL SELECT * FROM (SELECT b.assessment_id, b.question_index, a.question_index, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity
+near AS (SELECT assessment_id, question_index, rep AS near_index, 1e0 AS similarity, rep AS rep_index FROM reps WHERE question_index > rep
+  UNION ALL SELECT *, question_index AS rep_index FROM (SELECT b.assessment_id, b.question_index, a.question_index AS near_index, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity
   FROM words a JOIN words b ON a.assessment_id = b.assessment_id AND a.w = b.w AND a.question_index < b.question_index GROUP BY 1, 2, 3) WHERE similarity > 0.8e0)
 """
 STRICT = (
@@ -201,7 +201,7 @@ add(
     "near_duplicates",
     lambda s, d: dedupe.near_duplicates(bank(s, d)).withColumn("similarity", F.round("similarity", 6)),
     B + [NEAR],
-    "SELECT assessment_id, question_index, near_index, round(similarity, 6) AS similarity FROM near",
+    "SELECT assessment_id, question_index, near_index, round(similarity, 6) AS similarity, rep_index FROM near",
 )
 # questions that resemble another are gone through in order, with the list of those accepted; copies never are
 add(
