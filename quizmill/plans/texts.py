@@ -223,7 +223,7 @@ chunk_ids AS (SELECT *, 'page_' || page_num || '_chunk_' || chunk_index AS chunk
 
 
 def rec(ctes, body):
-    return S.query(ctes, body).replace("WITH ", "WITH RECURSIVE ", 1)
+    return S.query(ctes, body)
 
 
 def add_rec(name, fn, ctes, body):
