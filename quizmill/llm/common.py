@@ -82,9 +82,18 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[at[0] : at[-1]], at - at[0]
 
 
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """Once a process: blocks of a megabyte or more go back to the system as soon as they are freed (mallopt's
+    M_MMAP_THRESHOLD, where the C library has it), those of Arrow too."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 1 << 20)
+
+
 def rest() -> None:
-    """Hand freed memory back to the system, so that a worker that waits for its next task holds little."""
-    pa.default_memory_pool().release_unused()
+    """Hand small freed blocks back as well, so that a worker that waits for its next task holds little."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
@@ -92,6 +101,7 @@ def rest() -> None:
 
 def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """The batch in runs of at most `rows` rows with about `step` bytes of text each; a longer text stands alone."""
+    lean()
     _, at = text_bytes(batch.column(column))
     i, n = 0, batch.num_rows
     while i < n:

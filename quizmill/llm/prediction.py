@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import Words, body, longs, rest, share, slices, staged
+from quizmill.llm.common import Words, body, lean, longs, rest, share, slices, staged
 
 #: Bytes of the longest context; bytes of text in a block.
 ORDER, BLOCK = 5, 24 << 20
@@ -73,6 +73,7 @@ class Tally:
 
 def _count(key: tuple, rows: pa.Table) -> pa.Table:
     """Grams and words of a block with their number in its training texts, which may be 0."""
+    lean()
     tallies = {GRAM: Tally(), WORD_KEY: Tally()}
     trained = 0
     for whole in rows.to_batches():
@@ -146,7 +147,7 @@ class Lookup:
     """Values by 64-bit key in an open table; every key asked for is in it."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, (3 * len(keys) // 2).bit_length())
         self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
         at = np.full(1 << bits, -1, np.int32)
         todo, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
@@ -197,6 +198,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     ident = dict(docs.dtypes)["doc_id"]
 
     def told(some: pa.Table, asked: pa.Table) -> pa.Table:
+        lean()
         out = []
         if some.num_rows:
             kind, keys, values = (asked[c].to_numpy() for c in ("kind", "key", "value"))
