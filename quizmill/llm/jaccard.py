@@ -226,8 +226,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class of near duplicates; every column stays. Rows that repeat in full leave one."""
-    found = near_duplicates(docs).filter("keeps").select("doc_id", "text_key").distinct()
+    """docs with one row of each class of near duplicates; every column stays. Rows that repeat in full leave one: only
+    those are sorted out by row, so other texts are dealt once."""
+    kept = near_duplicates(docs).filter("keeps")
+    found = staged(kept.groupBy("doc_id", "text_key").agg(F.count("*").alias("__times")))
     keyed = docs.withColumn("__key", F.xxhash64("text"))
-    kept = keyed.alias("d").join(found.alias("k"), F.expr("d.doc_id <=> k.doc_id AND d.__key = k.text_key"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    rows = keyed.alias("d").join(found.alias("k"), F.expr("d.doc_id <=> k.doc_id AND d.__key = k.text_key")).select("d.*", "k.__times")
+    repeated = rows.filter("__times > 1").dropDuplicates(["doc_id", "__key"])
+    return rows.filter("__times = 1").union(repeated).drop("__key", "__times")
