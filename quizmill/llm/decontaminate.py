@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,8 +18,9 @@ from quizmill.llm.common import Words, body, slices
 
 #: Words of a passage and of the step between two; items of fewer words than LEAST are no evidence.
 PASSAGE, STEP, LEAST = 64, 32, 8
-#: Passages of the benchmark that one model covers, latent dimensions, extra ones of the sketch, and its power passes.
-BLOCK, RANK, EXTRA, POWERS = 1024, 256, 16, 2
+#: Items that the driver takes at a time, passages that one model covers (and so its latent dimensions, at most), models
+#: that a task holds, and power passes.
+BLOCK, RANK, GROUP, POWERS = 1024, 256, 4, 2
 #: Words in over this share of documents weigh nothing in the search; cosine from which a passage is verified.
 COMMON, NEAR = 0.1, 0.25
 #: Share of an item's words, in order, that proves a leak; a paraphrase of the lower share needs the item's answer as well.
@@ -79,14 +80,22 @@ def _weigh(h: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Latent:
-    """A block of benchmark passages in the space of its leading singular vectors."""
+    """At most RANK benchmark passages in the space of all their singular vectors."""
 
     idf: np.ndarray
     words: np.ndarray  # sorted hashes with a weight
     basis: np.ndarray  # words x rank, weights applied
     passages: np.ndarray  # passages x rank, unit length before the projection
-    items: np.ndarray  # of each passage
-    texts: list[Item]
+    items: np.ndarray  # of each passage, its place in the block
+
+
+@dataclass
+class Block:
+    """What a task holds: items, and the models of their passages."""
+
+    idf: np.ndarray
+    items: list[Item]
+    models: list[Latent]
 
 
 def _passages(items: list[Item]) -> list[tuple[int, list[int]]]:
@@ -109,19 +118,17 @@ def _sparse(passages: list[list[int]], idf: np.ndarray, words: np.ndarray) -> li
     return out
 
 
-def latent(docs: DataFrame, items: list[Item], idf: np.ndarray) -> Latent | None:
+def latent(spark: SparkSession, passages: list[tuple[int, list[int]]], idf: np.ndarray) -> Latent | None:
     """A randomised singular value decomposition of the passages' TF-IDF matrix A: a random Omega is multiplied by A'A
-    POWERS times, passage by passage in Spark tasks, and an orthonormal basis of the outcome is kept. The block bounds
-    every array: BLOCK passages of PASSAGE words by RANK. With no more passages than RANK the projection is exact."""
-    passages = _passages(items)
+    POWERS times, passage by passage in Spark tasks, and an orthonormal basis of the outcome is kept. It has a direction
+    per passage, so the projection is exact and the cosine is that of TF-IDF."""
     every = np.array(sorted({w for _, p in passages for w in p}), np.uint64)
     words = every[_weigh(every, idf) > 0]
     if not len(words):
         return None
     rows = _sparse([p for _, p in passages], idf, words)
-    rank = min(RANK + EXTRA, len(words), max(1, len(rows)))
+    rank = min(len(words), len(rows))
     q = np.random.default_rng(1).normal(size=(len(words), rank))
-    spark = docs.sparkSession
     frame = spark.createDataFrame([(c.tolist(), v.tolist()) for c, v in rows], "cols array<int>, value array<double>").repartition(8)
     for _ in range(POWERS):
         q = np.linalg.qr(q)[0]
@@ -139,9 +146,9 @@ def latent(docs: DataFrame, items: list[Item], idf: np.ndarray) -> Latent | None
         q = np.zeros_like(q)
         for r in made:
             q[r.word] += np.frombuffer(r.row)
-    basis = np.linalg.qr(q)[0][:, :RANK]
+    basis = np.linalg.qr(q)[0]
     inside = np.stack([v @ basis[c] for c, v in rows])
-    return Latent(idf, words, (basis * _weigh(words, idf)[:, None]).astype(np.float32), inside.astype(np.float32), np.array([k for k, _ in passages]), items)
+    return Latent(idf, words, (basis * _weigh(words, idf)[:, None]).astype(np.float32), inside.astype(np.float32), np.array([k for k, _ in passages]))
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -166,10 +173,18 @@ def leaked(item: Item, region: list[int]) -> float:
     return share if share >= PARAPHRASE and common_words(item.answer, region) >= LEAK * len(item.answer) else 0.0
 
 
-def _search(model: Latent, texts: pa.Array) -> list[tuple]:
-    """(row, item_id, cosine, overlap) of what the texts hold."""
-    words = Words(texts)
-    h = words.hash
+@dataclass
+class Windows:
+    """Passages of a run of texts in a model's space: PASSAGE words, a step and the one behind it, of the same text."""
+
+    owner: np.ndarray
+    start: np.ndarray
+    vector: np.ndarray
+    norm: np.ndarray
+
+
+def _windows(model: Latent, words: Words, h: np.ndarray) -> Windows | None:
+    """The passages that have a word of the model."""
     weight = _weigh(h, model.idf)
     n = words.count
     begins = words.first[:-1]
@@ -182,11 +197,10 @@ def _search(model: Latent, texts: pa.Array) -> list[tuple]:
     at = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1) if len(h) else np.zeros(0, int)
     hit = np.flatnonzero((model.words[at] == h) & (weight > 0)) if len(h) else np.zeros(0, int)
     if not len(hit):
-        return []
+        return None
     cell = of_word[hit]  # ascending
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     cells, sums = cell[starts], np.add.reduceat(model.basis[at[hit]], starts, axis=0)
-    # a passage is a step and the one behind it, of the same text
     spots = np.unique(np.concatenate([cells, cells[(cells > 0) & (owner[cells] == owner[cells - 1])] - 1]))
     look = np.full(first[-1] + 1, -1)
     look[cells] = np.arange(len(cells))
@@ -194,14 +208,23 @@ def _search(model: Latent, texts: pa.Array) -> list[tuple]:
     follows = (spots + 1 < first[-1]) & (owner[np.minimum(spots + 1, first[-1] - 1)] == owner[spots])
     vector = padded[look[spots]] + padded[np.where(follows, look[np.minimum(spots + 1, first[-1])], -1)]
     norm = np.sqrt(square[spots] + np.where(follows, square[np.minimum(spots + 1, first[-1] - 1)], 0))
+    return Windows(owner[spots], step[spots], vector, np.maximum(norm, 1e-9))
+
+
+def _search(block: Block, texts: pa.Array) -> list[tuple]:
+    """(row, item_id, cosine, overlap) of what the texts hold."""
+    words = Words(texts)
+    h = words.hash
     found: dict[tuple[int, int], list[tuple[float, int]]] = {}
-    for i in range(0, len(spots), 4096):
-        cosine = vector[i : i + 4096] @ model.passages.T / np.maximum(norm[i : i + 4096, None], 1e-9)
-        for s, p in zip(*np.nonzero(cosine >= NEAR), strict=True):
-            found.setdefault((int(owner[spots[i + s]]), int(model.items[p])), []).append((float(cosine[s, p]), int(step[spots[i + s]])))
+    for model in block.models:
+        w = _windows(model, words, h)
+        for i in range(0, len(w.owner) if w else 0, 4096):
+            cosine = w.vector[i : i + 4096] @ model.passages.T / w.norm[i : i + 4096, None]
+            for s, p in zip(*np.nonzero(cosine >= NEAR), strict=True):
+                found.setdefault((int(w.owner[i + s]), int(model.items[p])), []).append((float(cosine[s, p]), int(w.start[i + s])))
     out = []
     for (doc, k), places in found.items():
-        item, best = model.texts[k], 0.0
+        item, best = block.items[k], 0.0
         lo, hi = words.first[doc], words.first[doc + 1]
         reach = max(PASSAGE, len(item.words))
         for _, s in sorted(places, reverse=True):
@@ -213,19 +236,26 @@ def _search(model: Latent, texts: pa.Array) -> list[tuple]:
     return out
 
 
-def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[Latent]:
-    """The benchmark in blocks of about BLOCK items, with document frequencies over all of docs."""
+def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
+    """The benchmark in blocks of whole items with at most GROUP * RANK passages (or one longer item), with document
+    frequencies over all of docs. Each model of a block has at most RANK passages. The driver holds about BLOCK items."""
     named = benchmark.filter("text IS NOT NULL").select("item_id", F.lower("text").alias("text"))
     parts = max(1, -(-named.count() // BLOCK))
     idf = None
     for k in range(parts):
-        block = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        items = [i for i in _items(sorted(block.collect(), key=lambda r: (str(r.item_id), r.text))) if len(i.words) >= LEAST]
-        if items:
-            idf = weights(docs) if idf is None else idf
-            model = latent(docs, items, idf)
-            if model is not None:
-                yield model
+        part = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        items = [i for i in _items(sorted(part.collect(), key=lambda r: (str(r.item_id), r.text))) if len(i.words) >= LEAST]
+        some, size = [], 0
+        for item in [*items, None]:
+            more = len(_passages([item])) if item else 0
+            if some and (item is None or size + more > GROUP * RANK):
+                idf = weights(docs) if idf is None else idf
+                passages = _passages(some)
+                models = [latent(docs.sparkSession, passages[i : i + RANK], idf) for i in range(0, len(passages), RANK)]
+                yield Block(idf, some, [m for m in models if m])
+                some, size = [], 0
+            if item:
+                some, size = [*some, item], size + more
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -233,8 +263,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nearest passage, and the share of the item's words that stand there in order.
 
     Each text is cut into passages of PASSAGE words every STEP words and compared, in Spark tasks, with all passages of a
-    block of the benchmark (a stated query set; a benchmark of any size goes block by block, so what a task holds is
-    bounded). Candidates are verified on the words themselves, in lower case. Items that are null or shorter than LEAST
+    block of the benchmark (a stated query set; a benchmark of any size goes block by block, one scan of docs each, so what
+    a task holds is bounded). Candidates are verified on the words themselves, in lower case. Items that are null or shorter than LEAST
     words take no part, nor do items all of whose words are common; null texts hold nothing. A repeated row is reported
     each time, equal items each by their id; an empty table gives no rows.
     """
@@ -242,12 +272,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     source = docs.select("doc_id", F.lower(body()).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for model in models(docs, benchmark):
+    for block in blocks(docs, benchmark):
 
-        def search(batches: Iterator[pa.RecordBatch], model: Latent = model) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in slices(whole):
-                    rows = _search(model, b.column("text"))
+                    rows = _search(block, b.column("text"))
                     ids = b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
                     yield pa.record_batch({"doc_id": ids, "item_id": pa.array([r[1] for r in rows], item_type), "cosine": pa.array([r[2] for r in rows], pa.float64()), "overlap": pa.array([r[3] for r in rows], pa.float64())})
 
@@ -259,12 +289,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item, as leaks() finds them; every column of the others stays. Each row
     is judged where it stands, so nothing is shuffled."""
     out = docs.withColumn(LOWERED, F.lower(body()))
-    for model in models(docs, benchmark):
+    for block in blocks(docs, benchmark):
 
-        def clean(batches: Iterator[pa.RecordBatch], model: Latent = model) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in slices(whole, LOWERED):
-                    held = {r[0] for r in _search(model, b.column(LOWERED))}
+                    held = {r[0] for r in _search(block, b.column(LOWERED))}
                     yield b.take(pa.array([i for i in range(b.num_rows) if i not in held], pa.int64())) if held else b
 
         out = out.mapInArrow(clean, out.schema)

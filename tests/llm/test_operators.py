@@ -175,6 +175,26 @@ def test_paraphrases_need_the_answer(spark):
     assert decontaminate.leaks(docs.filter("false"), bench).count() == decontaminate.leaks(docs, bench.filter("false")).count() == 0
 
 
+def verbatim(spark, texts, seed, long=220):
+    """Each text inside a document of other words, and as many documents without one."""
+    rng = np.random.default_rng(seed)
+    filler = [f"filler{i}" for i in range(5000)]
+    rows = []
+    for i, t in enumerate(texts):
+        w = rng.choice(filler, long).tolist()
+        at = int(rng.integers(0, long))
+        rows += [(i, " ".join(w[:at] + [t] + w[at:])), (len(texts) + i, " ".join(rng.choice(filler, long)))]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+
+
+def test_verbatim_copies_of_a_large_benchmark_are_found(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"rare{x}" for x in rng.integers(0, 20000, rng.integers(15, 60))) for _ in range(1100)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = decontaminate.leaks(verbatim(spark, texts, 4), bench).select("doc_id", "item_id").collect()
+    assert sorted(tuple(r) for r in got) == [(i, i) for i in range(1100)]
+
+
 # -- prediction by partial matching
 
 
