@@ -21,38 +21,39 @@ PASSAGE, STEP, LEAST = 64, 32, 8
 #: Items that the driver takes at a time, passages that one model covers (and so its latent dimensions, at most), models
 #: that a task holds, and power passes.
 BLOCK, RANK, GROUP, POWERS = 1024, 256, 4, 2
-#: Words in over this share of documents weigh nothing in the search; cosine from which a passage is verified.
-COMMON, NEAR = 0.1, 0.25
+#: What a word of every document still weighs in the search; cosine from which a passage is verified.
+FLOOR, NEAR = 0.1, 0.25
 #: Share of an item's words, in order, that proves a leak; a paraphrase of the lower share needs the item's answer as well.
 LEAK, PARAPHRASE = 0.8, 0.6
+#: What verifying a place costs, in looks at a word; it decides only how many words of an item are looked up.
+VERIFY = 300
 IDF_DIMS = 1 << 16
 LOWERED = "__lowered"
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(IDF_DIMS + 1, np.int64)
+    total, tokens = np.zeros(IDF_DIMS + 1, np.int64), np.zeros(IDF_DIMS + 1, np.int64)
     for whole in batches:
         for batch in slices(whole):
             words = Words(batch.column("text"))
-            keys = np.sort(words.owner * IDF_DIMS + (words.hash >> np.uint64(48)).astype(np.int64))
+            dims = (words.hash >> np.uint64(48)).astype(np.int64)
+            tokens[:IDF_DIMS] += np.bincount(dims, minlength=IDF_DIMS)
+            keys = np.sort(words.owner * IDF_DIMS + dims)
             keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
             total[:IDF_DIMS] += np.bincount(keys % IDF_DIMS, minlength=IDF_DIMS)
             total[IDF_DIMS] += batch.num_rows
     seen = np.flatnonzero(total)
-    yield pa.record_batch({"dim": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+    yield pa.record_batch({"dim": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64()), "tokens": pa.array(tokens[seen], pa.int64())})
 
 
-def weights(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency by word hash, over all of docs; words in over COMMON of them weigh nothing."""
-    rows = docs.select(F.lower(body()).alias("text")).mapInArrow(_frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(IDF_DIMS), 0
-    for r in rows:
-        if r.dim == IDF_DIMS:
-            n = r.n
-        else:
-            df[r.dim] = r.n
-    idf = np.log((1 + n) / (1 + df))
-    return np.where(df > max(COMMON * n, 3), 0, idf).astype(np.float32)
+def weights(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """By word hash, over all of docs: inverse document frequency (never under FLOOR), and share of all words."""
+    counted = docs.select(F.lower(body()).alias("text")).mapInArrow(_frequencies, "dim long, n long, tokens long")
+    df, tokens = np.zeros(IDF_DIMS + 1), np.zeros(IDF_DIMS + 1)
+    for r in counted.groupBy("dim").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect():
+        df[r.dim], tokens[r.dim] = r.n, r.tokens
+    idf = np.log((1 + df[IDF_DIMS]) / (1 + df[:IDF_DIMS])) + FLOOR
+    return idf.astype(np.float32), (tokens[:IDF_DIMS] + 1) / (tokens.sum() + IDF_DIMS)
 
 
 @dataclass
@@ -83,19 +84,33 @@ class Latent:
     """At most RANK benchmark passages in the space of all their singular vectors."""
 
     idf: np.ndarray
-    words: np.ndarray  # sorted hashes with a weight
+    words: np.ndarray  # sorted hashes
     basis: np.ndarray  # words x rank, weights applied
     passages: np.ndarray  # passages x rank, unit length before the projection
     items: np.ndarray  # of each passage, its place in the block
 
 
+@dataclass
+class Units:
+    """Parts of items and the rarest words of each, by which they are looked up in texts. A part that stands in `span`
+    words to the share PARAPHRASE has at least `need` of those words there."""
+
+    words: np.ndarray  # sorted hashes of the rarest words
+    first: np.ndarray  # where each word's parts begin, one more than words
+    parts: np.ndarray
+    need: np.ndarray
+    span: np.ndarray
+    items: list[int]  # of each part, its place in the block
+    judged: list[Item]  # what is verified where the part may stand
+
+
 @dataclass
 class Block:
-    """What a task holds: items, and the models of their passages."""
+    """What a task holds: items, the models of their passages, and their parts."""
 
-    idf: np.ndarray
     items: list[Item]
     models: list[Latent]
+    units: Units
 
 
 def _passages(items: list[Item]) -> list[tuple[int, list[int]]]:
@@ -110,7 +125,6 @@ def _sparse(passages: list[list[int]], idf: np.ndarray, words: np.ndarray) -> li
     out = []
     for p in passages:
         h = np.array(p, np.uint64)
-        h = h[_weigh(h, idf) > 0]
         at = np.searchsorted(words, h)
         cols, n = np.unique(at, return_counts=True)
         value = n * _weigh(words[cols], idf)
@@ -118,14 +132,11 @@ def _sparse(passages: list[list[int]], idf: np.ndarray, words: np.ndarray) -> li
     return out
 
 
-def latent(spark: SparkSession, passages: list[tuple[int, list[int]]], idf: np.ndarray) -> Latent | None:
+def latent(spark: SparkSession, passages: list[tuple[int, list[int]]], idf: np.ndarray) -> Latent:
     """A randomised singular value decomposition of the passages' TF-IDF matrix A: a random Omega is multiplied by A'A
     POWERS times, passage by passage in Spark tasks, and an orthonormal basis of the outcome is kept. It has a direction
     per passage, so the projection is exact and the cosine is that of TF-IDF."""
-    every = np.array(sorted({w for _, p in passages for w in p}), np.uint64)
-    words = every[_weigh(every, idf) > 0]
-    if not len(words):
-        return None
+    words = np.array(sorted({w for _, p in passages for w in p}), np.uint64)
     rows = _sparse([p for _, p in passages], idf, words)
     rank = min(len(words), len(rows))
     q = np.random.default_rng(1).normal(size=(len(words), rank))
@@ -151,6 +162,69 @@ def latent(spark: SparkSession, passages: list[tuple[int, list[int]]], idf: np.n
     return Latent(idf, words, (basis * _weigh(words, idf)[:, None]).astype(np.float32), inside.astype(np.float32), np.array([k for k, _ in passages]))
 
 
+def _parts(item: Item) -> list[tuple[list[int], Item]]:
+    """Words to look up, and what is verified where they stand: the item, in equal parts of at most PASSAGE words. What
+    holds a share of the whole holds it of one of them."""
+    n = len(item.words)
+    m = -(-n // PASSAGE)
+    return [(item.words[i * n // m : (i + 1) * n // m], item) for i in range(m)]
+
+
+def _least(n: int) -> int:
+    return next(m for m in range(n + 1) if m / n >= PARAPHRASE)
+
+
+def _span(n: int) -> int:
+    return n + n // 2
+
+
+def units(items: list[Item], rate: np.ndarray) -> Units:
+    """Of n words, of which a text must have m, any k have at least k - (n - m) there. Of the k rarest, k is taken where
+    the looks (by the words' rates) and the places expected to have so many by chance (Chernoff's bound) cost least; any
+    k finds everything."""
+    owners, judged, need, span, rarest = [], [], [], [], []
+    for at, item in enumerate(items):
+        for words, whole in _parts(item):
+            h = np.array(words, np.uint64)
+            p = _weigh(h, rate)
+            order = np.lexsort((h, p))
+            h, p = h[order], p[order]
+            new = np.concatenate(([True], h[1:] != h[:-1]))
+            k = np.arange(len(h) - _least(len(h)) + 1, len(h) + 1)
+            wanted = k - k[0] + 1
+            looks = np.cumsum(p * new)[k - 1]
+            chance = looks * _span(len(h))
+            bound = np.where(chance < wanted, np.exp(wanted * np.log(chance / wanted) + wanted - chance), 1.0)
+            best = int((looks + VERIFY * bound).argmin())
+            rarest.append(np.unique(h[: k[best]]))
+            need.append(int(wanted[best]))
+            span.append(_span(len(h)))
+            owners.append(at)
+            judged.append(whole)
+    flat, part = np.concatenate(rarest), np.repeat(np.arange(len(rarest)), [len(r) for r in rarest])
+    order = np.lexsort((part, flat))
+    known, first = np.unique(flat[order], return_index=True)
+    return Units(known, np.append(first, len(flat)), part[order], np.array(need), np.array(span), owners, judged)
+
+
+def _places(u: Units, words: Words, h: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(part, row, first, last) of all runs of words that may belong to a part, in this order."""
+    if not len(h):
+        return
+    at = np.minimum(np.searchsorted(u.words, h), len(u.words) - 1)
+    hit = np.flatnonzero(u.words[at] == h)
+    n = np.diff(u.first)[at[hit]]
+    begin = np.repeat(u.first[at[hit]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(hit) else np.zeros(0, np.int64)
+    key = np.sort(u.parts[begin + np.arange(len(begin))].astype(np.int64) * len(h) + np.repeat(hit, n))
+    part, place = np.divmod(key, len(h))
+    end = np.arange(len(key)) + u.need[part] - 1
+    inside = np.flatnonzero(end < len(key))
+    end = end[inside]
+    owner = words.owner
+    inside, end = (x[(part[end] == part[inside]) & (place[end] - place[inside] < u.span[part[inside]]) & (owner[place[end]] == owner[place[inside]])] for x in (inside, end))
+    yield from zip(part[inside].tolist(), owner[place[inside]].tolist(), place[inside].tolist(), place[end].tolist(), strict=True)
+
+
 def common_words(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, a row of bits per word of b."""
     where: dict[int, int] = {}
@@ -195,7 +269,7 @@ def _windows(model: Latent, words: Words, h: np.ndarray) -> Windows | None:
     of_word = first[words.owner] + (np.arange(len(h)) - begins[words.owner]) // STEP
     square = np.bincount(of_word, weights=weight.astype(float) ** 2, minlength=first[-1])
     at = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1) if len(h) else np.zeros(0, int)
-    hit = np.flatnonzero((model.words[at] == h) & (weight > 0)) if len(h) else np.zeros(0, int)
+    hit = np.flatnonzero(model.words[at] == h) if len(h) else np.zeros(0, int)
     if not len(hit):
         return None
     cell = of_word[hit]  # ascending
@@ -215,15 +289,15 @@ def _search(block: Block, texts: pa.Array) -> list[tuple]:
     """(row, item_id, cosine, overlap) of what the texts hold."""
     words = Words(texts)
     h = words.hash
-    found: dict[tuple[int, int], list[tuple[float, int]]] = {}
-    for model in block.models:
-        w = _windows(model, words, h)
-        for i in range(0, len(w.owner) if w else 0, 4096):
+    near: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    seen = [(model, w) for model in block.models if (w := _windows(model, words, h))]
+    for model, w in seen:
+        for i in range(0, len(w.owner), 4096):
             cosine = w.vector[i : i + 4096] @ model.passages.T / w.norm[i : i + 4096, None]
             for s, p in zip(*np.nonzero(cosine >= NEAR), strict=True):
-                found.setdefault((int(w.owner[i + s]), int(model.items[p])), []).append((float(cosine[s, p]), int(w.start[i + s])))
-    out = []
-    for (doc, k), places in found.items():
+                near.setdefault((int(w.owner[i + s]), int(model.items[p])), []).append((float(cosine[s, p]), int(w.start[i + s])))
+    found: dict[tuple[int, int], float] = {}
+    for (doc, k), places in near.items():
         item, best = block.items[k], 0.0
         lo, hi = words.first[doc], words.first[doc + 1]
         reach = max(PASSAGE, len(item.words))
@@ -232,16 +306,52 @@ def _search(block: Block, texts: pa.Array) -> list[tuple]:
             if best >= LEAK:
                 break
         if best:
-            out.append((doc, item.item_id, max(c for c, _ in places), best))
+            found[doc, k] = best
+    _look_up(block.units, words, h, found)
+    out = []
+    for (doc, k), best in found.items():
+        cosine = max((c for c, _ in near.get((doc, k), [])), default=0.0) or _cosine(seen, doc, k)
+        out.append((doc, block.items[k].item_id, cosine, best))
     return out
 
 
+def _look_up(u: Units, words: Words, h: np.ndarray, found: dict[tuple[int, int], float]) -> None:
+    """Add to found (by row and item) what stands in the texts. Runs that begin within a span of each other are first
+    judged as one; only if that may be a leak is each judged in the words about it."""
+    last, clean = None, 0
+    for part, doc, first, end in _places(u, words, h):
+        if (part, doc) != last:
+            last, clean = (part, doc), 0
+        which, item = (doc, u.items[part]), u.judged[part]
+        if first < clean or found.get(which, 0.0) >= LEAK:
+            continue
+        lo, hi, reach, span = words.first[doc], words.first[doc + 1], _span(len(item.words)), int(u.span[part])
+        low = max(lo, end - reach + 1)
+        if not leaked(item, h[low : min(hi, first + span + reach)].tolist()):
+            clean = first + span
+            continue
+        share = leaked(item, h[low : min(hi, first + reach)].tolist())
+        if share:
+            found[which] = max(share, found.get(which, 0.0))
+
+
+def _cosine(seen: list[tuple[Latent, Windows]], doc: int, k: int) -> float:
+    """Of the row's passages, the cosine of the one that is nearest to the item."""
+    best = 0.0
+    for model, w in seen:
+        a, b = np.searchsorted(w.owner, [doc, doc + 1])
+        mine = model.passages[model.items == k]
+        if b > a and len(mine):
+            best = max(best, float((w.vector[a:b] @ mine.T / w.norm[a:b, None]).max()))
+    return best
+
+
 def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
     """The benchmark in blocks of whole items with at most GROUP * RANK passages (or one longer item), with document
     frequencies over all of docs. Each model of a block has at most RANK passages. The driver holds about BLOCK items."""
     named = benchmark.filter("text IS NOT NULL").select("item_id", F.lower("text").alias("text"))
     parts = max(1, -(-named.count() // BLOCK))
-    idf = None
+    known = None
     for k in range(parts):
         part = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         items = [i for i in _items(sorted(part.collect(), key=lambda r: (str(r.item_id), r.text))) if len(i.words) >= LEAST]
@@ -249,10 +359,10 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
         for item in [*items, None]:
             more = len(_passages([item])) if item else 0
             if some and (item is None or size + more > GROUP * RANK):
-                idf = weights(docs) if idf is None else idf
+                known = weights(docs) if known is None else known
                 passages = _passages(some)
-                models = [latent(docs.sparkSession, passages[i : i + RANK], idf) for i in range(0, len(passages), RANK)]
-                yield Block(idf, some, [m for m in models if m])
+                models = [latent(docs.sparkSession, passages[i : i + RANK], known[0]) for i in range(0, len(passages), RANK)]
+                yield Block(some, models, units(some, known[1]))
                 some, size = [], 0
             if item:
                 some, size = [*some, item], size + more
@@ -264,8 +374,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Each text is cut into passages of PASSAGE words every STEP words and compared, in Spark tasks, with all passages of a
     block of the benchmark (a stated query set; a benchmark of any size goes block by block, one scan of docs each, so what
-    a task holds is bounded). Candidates are verified on the words themselves, in lower case. Items that are null or shorter than LEAST
-    words take no part, nor do items all of whose words are common; null texts hold nothing. A repeated row is reported
+    a task holds is bounded). Rare or short passages that this misses are looked up by their own words: every place where an item may
+    stand within one and a half times its length is verified, however common its words are. Candidates are verified on the
+    words themselves, in lower case. Items that are null or shorter than LEAST words take no part; null texts hold nothing. A repeated row is reported
     each time, equal items each by their id; an empty table gives no rows.
     """
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType())])

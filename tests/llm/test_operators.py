@@ -7,7 +7,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quizmill.llm import decontaminate, html, jaccard, languages, lines, neighbours, prediction, quality, queries, secrets
@@ -195,6 +197,44 @@ def test_verbatim_copies_of_a_large_benchmark_are_found(spark):
     assert sorted(tuple(r) for r in got) == [(i, i) for i in range(1100)]
 
 
+def test_items_in_many_documents_are_found(spark):
+    rng = np.random.default_rng(5)
+    item = " ".join(f"leak{i}" for i in range(20))
+    common = [f"usual{i}" for i in range(60)]
+    plain_item = " ".join(rng.choice(common, 24))
+    rows = []
+    for i in range(240):
+        own = [f"own{x}" for x in rng.integers(0, 10**6, 150)] + rng.choice(common, 60).tolist()
+        rows.append((i, " ".join(own[:70] + ([item] if i % 3 == 0 else [plain_item] if i % 3 == 1 else []) + own[70:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(0, item), (1, plain_item)], "item_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i % 3) for i in range(240) if i % 3 < 2]
+    assert all(r.overlap == 1 and 0 < r.cosine <= 1.0001 for r in got)
+    assert decontaminate.decontaminated(docs, bench).count() == 80
+
+
+def test_look_up_finds_every_item():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    p = 1 / np.arange(1, 41)
+    draw = lambda n: rng.choice(words, n, p=p / p.sum()).tolist()
+    items = decontaminate._items([Row(item_id=i, text=" ".join(draw(int(n)))) for i, n in enumerate(rng.integers(8, 150, 60))])
+    rate = np.full(decontaminate.IDF_DIMS, 1e-6)
+    for w, x in zip(words, p / p.sum(), strict=True):
+        rate[int(decontaminate.Words(pa.array([w])).hash[0]) >> 48] = x
+    u = decontaminate.units(items, rate)
+    for k, item in enumerate(items):
+        some = np.sort(rng.permutation(len(item.words))[: math.ceil(0.8 * len(item.words))])
+        texts = pa.array([" ".join(draw(100)), "", " ".join(draw(50))])
+        noise = decontaminate.Words(texts)
+        h = np.concatenate([noise.hash[:30], np.array(item.words, np.uint64)[some], noise.hash[30:]])
+        noise.first = noise.first + np.array([0, len(some), len(some), len(some)])
+        found = {}
+        decontaminate._look_up(u, noise, h, found)
+        assert found[0, k] >= 0.8
+
+
 # -- prediction by partial matching
 
 
