@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quizmill.llm.common import Words, body, slices
 
-#: Words of a passage and of the step between two; items of fewer words than LEAST are no evidence.
+#: Words of a passage and of the step between two; items of fewer words than LEAST must stand word for word.
 PASSAGE, STEP, LEAST = 64, 32, 8
 #: Items that the driver takes at a time, passages that one model covers (and so its latent dimensions, at most), models
 #: that a task holds, and power passes.
@@ -93,7 +93,7 @@ class Latent:
 @dataclass
 class Units:
     """Parts of items and the rarest words of each, by which they are looked up in texts. A part that stands in `span`
-    words to the share PARAPHRASE has at least `need` of those words there."""
+    words to the share PARAPHRASE (whole, if under LEAST words) has at least `need` of those words there."""
 
     words: np.ndarray  # sorted hashes of the rarest words
     first: np.ndarray  # where each word's parts begin, one more than words
@@ -171,11 +171,13 @@ def _parts(item: Item) -> list[tuple[list[int], Item]]:
 
 
 def _least(n: int) -> int:
-    return next(m for m in range(n + 1) if m / n >= PARAPHRASE)
+    """Fewest words, in order, that can prove an item of n words."""
+    return n if n < LEAST else next(m for m in range(n + 1) if m / n >= PARAPHRASE)
 
 
 def _span(n: int) -> int:
-    return n + n // 2
+    """Words of text that an item of n words may spread over."""
+    return n if n < LEAST else n + n // 2
 
 
 def units(items: list[Item], rate: np.ndarray) -> Units:
@@ -240,7 +242,10 @@ def common_words(a: list[int], b: list[int]) -> int:
 
 def leaked(item: Item, region: list[int]) -> float:
     """The share of the item's words that the region has in order, 0 if that proves nothing: LEAK is proof, PARAPHRASE
-    only with as much of the answer."""
+    only with as much of the answer. An item under LEAST words must stand there without a gap."""
+    n = len(item.words)
+    if n < LEAST:
+        return float(any(region[i : i + n] == item.words for i in range(len(region) - n + 1)))
     share = common_words(item.words, region) / len(item.words)
     if share >= LEAK:
         return share
@@ -354,7 +359,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
     known = None
     for k in range(parts):
         part = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        items = [i for i in _items(sorted(part.collect(), key=lambda r: (str(r.item_id), r.text))) if len(i.words) >= LEAST]
+        items = [i for i in _items(sorted(part.collect(), key=lambda r: (str(r.item_id), r.text))) if i.words]
         some, size = [], 0
         for item in [*items, None]:
             more = len(_passages([item])) if item else 0
@@ -376,7 +381,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     block of the benchmark (a stated query set; a benchmark of any size goes block by block, one scan of docs each, so what
     a task holds is bounded). Rare or short passages that this misses are looked up by their own words: every place where an item may
     stand within one and a half times its length is verified, however common its words are. Candidates are verified on the
-    words themselves, in lower case. Items that are null or shorter than LEAST words take no part; null texts hold nothing. A repeated row is reported
+    words themselves, in lower case; items of fewer than LEAST words, down to one, must stand word for word. Items that are
+    null or have no word take no part; null texts hold nothing. A repeated row is reported
     each time, equal items each by their id; an empty table gives no rows.
     """
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType())])

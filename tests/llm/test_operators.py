@@ -214,6 +214,22 @@ def test_items_in_many_documents_are_found(spark):
     assert decontaminate.decontaminated(docs, bench).count() == 80
 
 
+def test_short_items_are_found(spark):
+    rng = np.random.default_rng(7)
+    usual = [f"usual{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(usual, n, replace=False)) for n in [10] * 60 + [8, 7, 5, 3, 2]] + ["sole"]
+    rows = []
+    for i, t in enumerate(texts):
+        own = [f"own{x}" for x in rng.integers(0, 10**9, 200)]
+        rows += [(i, " ".join(own[:90] + [t] + own[90:])), (1000 + i, " ".join(own + rng.choice(usual, 4).tolist()))]
+    gap = texts[62].split()
+    rows += [(2000, " ".join([*gap[:2], "but", *gap[2:]])), (2001, "soles"), (2002, None), (2003, " ".join(gap[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([*enumerate(texts), (99, " "), (100, "")], "item_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(len(texts))]
+
+
 def test_look_up_finds_every_item():
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(40)]
