@@ -163,11 +163,17 @@ def latent(spark: SparkSession, passages: list[tuple[int, list[int]]], idf: np.n
 
 
 def _parts(item: Item) -> list[tuple[list[int], Item]]:
-    """Words to look up, and what is verified where they stand: the item, in equal parts of at most PASSAGE words. What
-    holds a share of the whole holds it of one of them."""
+    """Words to look up, and what is verified where they stand: the item, in equal parts of at most PASSAGE words (what
+    holds a share of the whole holds it of one of them), and of a longer item each passage, every quarter of one: of any
+    PASSAGE words in a row, one has seven eighths."""
     n = len(item.words)
     m = -(-n // PASSAGE)
-    return [(item.words[i * n // m : (i + 1) * n // m], item) for i in range(m)]
+    out = [(item.words[i * n // m : (i + 1) * n // m], item) for i in range(m)]
+    if n > PASSAGE:
+        for i in sorted({*range(0, n - PASSAGE, PASSAGE // 4), n - PASSAGE}):
+            words = item.words[i : i + PASSAGE]
+            out.append((words, Item(item.item_id, words, item.answer)))
+    return out
 
 
 def _least(n: int) -> int:
@@ -375,7 +381,8 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, overlap) for every row of docs and item of the benchmark that it holds: cosine of the
-    nearest passage, and the share of the item's words that stand there in order.
+    nearest passage, and the share of the item's words that stand there in order. Of an item of more than PASSAGE words, a
+    passage is enough, and the share is the passage's if that is what was found.
 
     Each text is cut into passages of PASSAGE words every STEP words and compared, in Spark tasks, with all passages of a
     block of the benchmark (a stated query set; a benchmark of any size goes block by block, one scan of docs each, so what

@@ -230,6 +230,20 @@ def test_short_items_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(len(texts))]
 
 
+def test_passages_of_long_items_are_found(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"long{x}" for x in rng.integers(0, 20000, n)) for n in (65, 100, 200, 200, 200, 701)]
+    bits = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        bits += [(i, " ".join(w[at : at + 64])) for at in {0, len(w) - 64, *rng.integers(0, len(w) - 63, 5).tolist()}]
+    docs = verbatim(spark, [b for _, b in bits], 9)
+    got = decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, i) for k, (i, _) in enumerate(bits)]
+    half = [" ".join(t.split()[:32]) for t in texts]
+    assert decontaminate.leaks(verbatim(spark, half, 10), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).count() == 0
+
+
 def test_look_up_finds_every_item():
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(40)]
