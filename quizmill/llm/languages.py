@@ -20,8 +20,9 @@ from quizmill.llm.common import body, fold, slices, text_bytes, with_columns
 DIMS, CENTROIDS, SAMPLE = 4096, 3, 400
 #: A text is rejected below this share of the cosine that QUANTILE of the sampled texts of its length stay under.
 SLACK, QUANTILE = 0.5, 0.01
-#: Texts of fewer trigrams are too short to be judged far.
-JUDGED = 64
+#: Texts of fewer trigrams are judged by short pieces of the sampled texts, and by this quantile of theirs: pieces of junk
+#: among the texts, at a cosine near 0, are more than QUANTILE of them.
+PIECES, SHORT = 64, 0.05
 UNKNOWN = "und"
 #: Most texts whose vectors are held at a time, and the inner column that says whether a text has a letter.
 ROWS, LETTERS = 512, "__letters"
@@ -68,6 +69,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"dim": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
 
+def _piece(text: str, size: int) -> str:
+    """Whole words from a third of the text on, of about `size` bytes."""
+    words = text.split()
+    start = end = len(words) // 3
+    while end < len(words) and sum(len(w.encode()) + 1 for w in words[start:end]) < size:
+        end += 1
+    return " ".join(words[start:end])
+
+
 def _cluster(idf: np.ndarray, centroids: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("order")
@@ -81,7 +91,12 @@ def _cluster(idf: np.ndarray, centroids: int) -> Callable[[pd.DataFrame], pd.Dat
             sums = np.stack([v[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
         best = (v @ centres.T).max(axis=1)
-        low = [float(np.quantile(best[length == k], QUANTILE)) if (length == k).any() else np.nan for k in range(21)]
+        for k in range(1, int(np.log2(PIECES))):
+            grams = counts(pa.array([_piece(t or "", 5 * 2**k // 4) for t in rows["text"]], pa.large_string()))
+            some = grams.any(axis=1)
+            best = np.append(best, (vectors(grams[some], idf) @ centres.T).max(axis=1))
+            length = np.append(length, _buckets(grams[some]))
+        low = [float(np.quantile(best[length == k], SHORT if 2**k < PIECES else QUANTILE)) if (length == k).any() else np.nan for k in range(21)]
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centre": [c.astype(np.float32).tobytes() for c in centres], "low": [low] * len(centres)})
 
     return fit
@@ -113,7 +128,7 @@ def fit(train: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> M
     lows = np.array([r.low for r in made], float)
     floor = np.array([np.nanmin(x) if (~np.isnan(x)).any() else np.nan for x in lows.T])
     known = np.flatnonzero(~np.isnan(floor))
-    floor = np.interp(np.arange(21), known, floor[known]) * SLACK * (2.0 ** np.arange(21) >= JUDGED)
+    floor = np.interp(np.arange(21), known, floor[known]) * SLACK
     return Model(idf, [r.lang for r in made], np.stack([np.frombuffer(r.centre, np.float32) for r in made]), floor)
 
 

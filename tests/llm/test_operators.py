@@ -418,6 +418,17 @@ def test_far_texts_are_rejected(spark):
     assert all(r.rejected for r in languages.identify(far, languages.trained(docs)).collect())
 
 
+def test_short_far_texts_are_rejected(spark):
+    docs = docs_of(spark, "/root/testdata/sf0.01")
+    model = languages.trained(docs)
+    texts = ["这是一个关于天气和历史的中文句子吧", "Это предложение написано по русски", "Ελληνικά γράμματα", "これは日本語"]
+    far = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.rejected for r in languages.identify(far, model).collect())
+    short = docs.select("doc_id", F.array_join(F.slice(F.split("text", r"\s+"), 5, 6), " ").alias("text")).filter("length(text) > 8")
+    n, gone = languages.identify(short, model).agg(F.count("*"), F.count_if("rejected")).first()
+    assert n > 500 and gone <= 0.05 * n
+
+
 def test_quality_held_out_and_odd(spark, odd):
     docs, labels = docs_of(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     machine = quality.fit(docs.filter(fold(5) != 0), labels)
