@@ -118,7 +118,8 @@ def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored chunks: documents with a vector, grouped into collections by label."""
+    """Stored chunks: documents with a vector, grouped into collections by label. A vector without a document has no text
+    to return and takes no part, as in the SQL."""
     vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return vectors.join(docs, "doc_id").select(
