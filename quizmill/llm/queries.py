@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import bpe, decontaminate, html, jaccard, languages, lines, mixing, neighbours, prediction, quality, secrets
+from quizmill.llm import bpe, decontaminate, html, jaccard, languages, lines, mixing, neighbours, prediction, quality, secrets, spelling
 from quizmill.llm.common import fold, table
 
 
@@ -58,11 +58,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "keeps")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_prediction, op4_neighbours, op5_secrets, op6_language, op7_mixing, op8_html, op9_decontamination, op10_ngram_jaccard, op12_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_prediction, op4_neighbours, op5_secrets, op6_language, op7_mixing, op8_html, op9_decontamination, op10_ngram_jaccard, op11_spelling, op12_bpe)}
 ORACLES = {"op1_line_dedup": lines.ORACLE, "op7_mixing": mixing.oracle()}
