@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm import bpe, decontaminate, html, jaccard, languages, lines, mixing, neighbours, prediction, quality, secrets, spelling
+from quizmill.llm import alignment, bpe, decontaminate, html, jaccard, languages, lines, mixing, neighbours, prediction, quality, secrets, spelling
 from quizmill.llm.common import fold, table
 
 
@@ -68,5 +68,16 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_prediction, op4_neighbours, op5_secrets, op6_language, op7_mixing, op8_html, op9_decontamination, op10_ngram_jaccard, op11_spelling, op12_bpe)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = alignment.align(table(spark, sf_dir, "documents"))
+
+    def ids(column: Column) -> Column:
+        return F.array_join(column.cast("array<string>"), ",")
+
+    groups = F.array_join(F.transform("groups", lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2(groups.cast("binary"), 256))
+    return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_prediction, op4_neighbours, op5_secrets, op6_language, op7_mixing, op8_html, op9_decontamination, op10_ngram_jaccard, op11_spelling, op12_bpe, op13_alignment)}
 ORACLES = {"op1_line_dedup": lines.ORACLE, "op7_mixing": mixing.oracle()}
