@@ -52,13 +52,12 @@ def sizes(tokens: list[bytes]) -> pa.Array:
 def both(texts: list[str], left: bpe.Tokenizer, right: Pieces) -> tuple[pa.ListArray, pa.ListArray]:
     """Ids of blank and text by the left tokenizer, and of the text, to which it adds the blank, by the right one. A text that is empty, or
     whose pieces do not spell it, has none of either."""
-    a, b = [], []
+    whole, b = [], []
     for text, ids in zip(texts, right.ids(texts), strict=True):
-        whole = f" {text}"
-        good = bool(text) and b"".join(map(right.bytes.__getitem__, ids)) == whole.encode()
-        a.append(left.ids(whole) if good else [])
+        good = bool(text) and b"".join(map(right.bytes.__getitem__, ids)) == f" {text}".encode()
+        whole.append(f" {text}" if good else "")
         b.append(ids if good else [])
-    return pa.array(a, _LIST), pa.array(b, _LIST)
+    return bpe.id_lists(pa.array(whole, pa.string()), left), pa.array(b, _LIST)
 
 
 def ends(lists: pa.ListArray, size: pa.Array) -> tuple[pa.Array, pa.Array]:

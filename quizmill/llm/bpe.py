@@ -7,6 +7,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import chain
@@ -29,6 +30,10 @@ REMEMBERED, LONGEST = 1 << 18, 64
 _NONE = 1 << 30
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes stand for themselves, the
     others for the code points from 256 on, in order."""
@@ -106,6 +111,10 @@ class Tokenizer:
             self.bytes[i] = token
         for token, i in added.items():
             self.bytes[i] = token.encode()
+        #: all tokens' bytes one after the other, with where each begins; an empty one stands for unknown ids
+        self.size = np.array([*map(len, self.bytes), 0])
+        self.first = np.cumsum(self.size) - self.size
+        self.all = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.added = added if special else {}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = _Splitter(letters)
@@ -156,32 +165,48 @@ class Tokenizer:
                 look(before[i])
         return [p for p in parts if p >= 0]
 
-    def ids(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers one after the other."""
+        known = self.known.__getitem__
         if not self.cut or not self.cut.search(text):
-            return list(chain.from_iterable(map(self.known.__getitem__, self.words(text))))
+            return b"".join(map(known, self.words(text)))
         out, at = [], 0
         for found in self.cut.finditer(text):
-            out += chain.from_iterable(map(self.known.__getitem__, self.words(text[at : found.start()])))
-            out.append(self.added[found.group()])
+            out += map(known, self.words(text[at : found.start()]))
+            out.append(_packed([self.added[found.group()]]))
             at = found.end()
-        return out + list(chain.from_iterable(map(self.known.__getitem__, self.words(text[at:]))))
+        return b"".join(chain(out, map(known, self.words(text[at:]))))
+
+    def ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def texts(self, lists: pa.ListArray) -> list[str]:
+        """The bytes of each list's ids read as UTF-8; a null list is empty, ids outside the vocabulary are passed over, broken
+        bytes become U+FFFD."""
+        sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+        ids = np.asarray(lists.flatten().cast(pa.int64()).fill_null(-1))
+        ids = np.where((ids >= 0) & (ids < len(self.bytes)), ids, len(self.bytes))
+        size = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        data = self.all[np.repeat(self.first[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        at = ends[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
 
     def text(self, ids: list[int]) -> str:
-        """The bytes of the ids read as UTF-8; ids outside the vocabulary are passed over, broken bytes become U+FFFD."""
-        return b"".join(self.bytes[i] for i in ids if 0 <= i < len(self.bytes)).decode("utf-8", "replace")
+        return self.texts(pa.array([ids], pa.list_(pa.int64())))[0]
 
 
 class _Known(dict):
-    """Words met so far with their ids, in two generations: when the young one is full it becomes the old one, from which
+    """Words met so far with their packed ids, in two generations: when the young one is full it becomes the old one, from which
     words that come again are taken back, so frequent words stay."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.tokenizer, self.old = tokenizer, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = tuple(self.tokenizer.word(word.encode()))
+            ids = _packed(self.tokenizer.word(word.encode()))
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.old = dict(self)
@@ -198,9 +223,9 @@ def loaded(spec: bytes, special: bool) -> Tokenizer:
 
 def id_lists(texts: pa.Array, tokenizer: Tokenizer) -> pa.ListArray:
     """The ids of each text, null as empty."""
-    ids = [tokenizer.ids(t) for t in texts.fill_null("").to_pylist()]
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
+    ids = [tokenizer.packed(t) for t in texts.fill_null("").to_pylist()]
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], spec: Broadcast, special: bool, column: str, out: str) -> Iterator[pa.RecordBatch]:
@@ -221,8 +246,8 @@ def _decode(batches: Iterator[pa.RecordBatch], spec: Broadcast, column: str, out
             held += int(sizes[end - 1])
             if held >= STEP // 4 or end == batch.num_rows:
                 part = batch.slice(at, end - at)
-                texts = [tokenizer.text(ids or ()) for ids in part.column(column).to_pylist()]
-                yield pa.record_batch({c: part.column(c) for c in part.schema.names if c != out} | {out: pa.array(texts, pa.string())})
+                texts = pa.array(tokenizer.texts(part.column(column)), pa.string())
+                yield pa.record_batch({c: part.column(c) for c in part.schema.names if c != out} | {out: texts})
                 at, held = end, 0
 
 
