@@ -29,6 +29,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df as it is where its scan has a split for every core. A scan of fewer (one file, one row group) would leave all
+    work of a row to few tasks; its rows are dealt once by `key`, so that whatever is grouped by `key` later stays put."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; fall back to a scratch folder in local mode only."""
     sc = spark.sparkContext

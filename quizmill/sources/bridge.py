@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.functions import text as tx
-from quizmill.session import load
+from quizmill.session import dealt, load
 
 STEMS = [
     "What is", "How does", "Compare and contrast", "Which design would you use for",
@@ -55,10 +55,15 @@ def page_texts(lines: Column, doc_id: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), page)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, with work for every core."""
+    return dealt(load(spark, sf_dir, "documents"), "doc_id")
+
+
 def doc_pages(spark: SparkSession, sf_dir: str, keep_blank: bool = False) -> DataFrame:
     """doc_id, page_num, text: every page of every document; blank pages are dropped unless kept."""
     # the line array is a column of its own: inside the lambda it would be split again per page
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines"))
     pages = page_texts(F.col("lines"), F.col("doc_id"))
     rows = docs.select("doc_id", F.posexplode(pages).alias("pos", "text")).select(
         "doc_id", (F.col("pos") + 1).cast("bigint").alias("page_num"), "text"
@@ -68,7 +73,7 @@ def doc_pages(spark: SparkSession, sf_dir: str, keep_blank: bool = False) -> Dat
 
 def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One assessment per document; every five sentences are a question, its answer and distractors."""
-    docs = load(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         "doc_id", "source", tx.sentences(F.trim("text")).alias("s")
     )
     s = F.col("s")
