@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -10,33 +12,57 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.llm import bpe
-from quizmill.llm.common import slices, staged
+from quizmill.llm.common import row_key, scratch, share, slices, staged
 
 #: The vocabularies: a byte-level BPE file and a sentencepiece model.
 LEFT, RIGHT = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-#: Tokens of a block, whose links are counted together, of a step inside it, and pairs in a row of counts.
-BLOCK, STEP, ROW = 1 << 22, 1 << 20, 1 << 14
+#: Bytes of text of a block, whose links are counted together, and the most blocks that are laid out as buckets.
+BLOCK, MOST = 8 << 20, 1 << 16
+#: Bytes and tokens of a run that is aligned at a time, and pairs in a row of counts.
+STEP, TOKENS, ROW = 1 << 17, 1 << 17, 1 << 14
 
-_COUNTS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
+_COUNTS = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
 _LIST = pa.list_(pa.int32())
 
 
 class Pieces:
-    """A sentencepiece model and the bytes of its pieces: U+2581 is a blank, <0xHH> is byte HH."""
+    """A sentencepiece model and the bytes of its pieces: U+2581 is a blank, <0xHH> is byte HH.
+
+    Where no piece has a blank behind another character, no merge crosses the place before a blank, so stretches of blanks
+    and the word behind them are encoded by themselves and remembered. Models that do not encode so take whole texts.
+    """
 
     def __init__(self, model: bytes) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        ids = range(self.model.get_piece_size())
-        self.bytes = [bytes((int(self.model.id_to_piece(i)[3:5], 16),)) if self.model.is_byte(i) else self.model.id_to_piece(i).replace("▁", " ").encode() for i in ids]
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.bytes = [bytes((int(p[3:5], 16),)) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.known = bpe.Known(lambda stretch: bpe.packed(self._stretch(stretch)))
+        self.stretches = re.compile(r" *[^ ]+| +").findall
+        probes = ("a b", "a  b ", "  two", " ", "x\ny z\t", "é 漢  .")
+        self.apart = not any("▁" in p.lstrip("▁") for p in names) and all(self.model.encode(p) == np.frombuffer(self.packed(p), np.int32).tolist() for p in probes)
+
+    def _stretch(self, stretch: str) -> list[int]:
+        """Ids of blanks and a word, of which the model adds the first blank; none if they do not spell it."""
+        ids = self.model.encode(stretch[1:]) if len(stretch) > 1 else [self.model.piece_to_id("▁")]
+        return ids if self._spell(ids) == stretch.encode() else []
+
+    def _spell(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.stretches(f" {text}")))
+
+    def id_lists(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text; fewer bytes than the text where they do not spell it."""
+        if self.apart:
+            return bpe.lists_of([self.packed(t) if t else b"" for t in texts])
+        whole = self.model.encode(texts, num_threads=1)
+        return bpe.lists_of([bpe.packed(ids if t and self._spell(ids) == f" {t}".encode() else []) for t, ids in zip(texts, whole, strict=True)])
 
 
 @lru_cache(maxsize=2)
@@ -46,129 +72,145 @@ def pieces(model: bytes) -> Pieces:
 
 def sizes(tokens: list[bytes]) -> pa.Array:
     """Bytes of each token of a vocabulary."""
-    return pa.array([len(t) for t in tokens], pa.int64())
+    return pa.array([len(t) for t in tokens], pa.int32())
+
 
+def spelt(lists: pa.ListArray, size: pa.Array) -> np.ndarray:
+    """Bytes of the tokens of each list."""
+    sums = np.concatenate(([0], np.cumsum(np.asarray(size.take(lists.flatten())), dtype=np.int64)))
+    return np.diff(sums[np.asarray(lists.offsets) - lists.offsets[0].as_py()])
 
-def both(texts: list[str], left: bpe.Tokenizer, right: Pieces) -> tuple[pa.ListArray, pa.ListArray]:
-    """Ids of blank and text by the left tokenizer, and of the text, to which it adds the blank, by the right one. A text that is empty, or
-    whose pieces do not spell it, has none of either."""
-    whole, b = [], []
-    for text, ids in zip(texts, right.ids(texts), strict=True):
-        good = bool(text) and b"".join(map(right.bytes.__getitem__, ids)) == f" {text}".encode()
-        whole.append(f" {text}" if good else "")
-        b.append(ids if good else [])
-    return bpe.id_lists(pa.array(whole, pa.string()), left), pa.array(b, _LIST)
 
+def both(texts: pa.Array, left: bpe.Tokenizer, right: Pieces, size: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+    """Ids of blank and text by the left tokenizer, and of the text, to which it adds the blank, by the right one. A text
+    that is empty, or that the pieces do not spell, has none of either."""
+    texts = texts.fill_null("")
+    b = right.id_lists(texts.to_pylist())
+    good = spelt(b, size) == np.asarray(pc.binary_length(texts)) + 1
+    whole = pc.if_else(pa.array(good), pc.binary_join_element_wise("", texts, " "), "")
+    if not good.all():
+        b = pc.if_else(pa.array(good), b, pa.scalar([], _LIST))
+    return bpe.id_lists(whole, left), b
 
-def ends(lists: pa.ListArray, size: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """The flat ids of the lists, and the key of each: its list's place above 32 bits, the byte where it ends in that list
-    below. Sums are cumulative over all lists less what stood before each list."""
+
+def ends(lists: pa.ListArray, size: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The flat ids of the lists, their parents, and the key of each: the byte where its list begins in the run and the
+    byte where it ends in the list, added up. Sums are cumulative in each list: those of the run less what was before."""
     flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
     total = pc.cumulative_sum(size.take(flat))
-    first = pc.subtract(lists.offsets.slice(0, len(lists)), lists.offsets[0])
-    sums = pa.concat_arrays([pa.array([0], pa.int64()), total])
-    within = pc.subtract(total, sums.take(first).take(parent))
-    return flat, pc.bit_wise_or(pc.shift_left(pc.cast(parent, pa.int64()), 32), within)
+    before = pa.concat_arrays([pa.array([0], total.type), total])
+    begin = before.take(pc.subtract(lists.offsets.slice(0, len(lists)), lists.offsets[0]))
+    within = pc.subtract(total, begin.take(parent))
+    return flat, parent, pc.add(begin.take(parent), within)
 
 
 class Aligned:
-    """The alignment of two lists of id lists that spell the same bytes.
+    """The alignment of two runs of id lists that spell the same bytes.
 
-    Ends of both sides meet in one hash join on their keys; in key order each row is a stretch of bytes that lies in one
-    token of either side, which is a link: `doc`, `a`, `b`. Rows that both sides end are the ends of groups.
+    The keys of both sides meet in a hash join: what it keeps are the bytes where tokens of both sides end, the ends of
+    groups. Between two ends of any kind lies a stretch inside one token of either side, which is a link: `doc`, its list;
+    `pair`, the left id above 32 bits and the right one below.
     """
 
     def __init__(self, a: pa.ListArray, b: pa.ListArray, a_size: pa.Array, b_size: pa.Array) -> None:
-        self.a, self.b = a, b
-        self.flat_a, key_a = ends(a, a_size)
-        self.flat_b, key_b = ends(b, b_size)
-        left, right = pa.table({"key": key_a, "a": self.flat_a}), pa.table({"key": key_b, "b": self.flat_b})
-        met = left.join(right, "key", join_type="full outer", use_threads=False).combine_chunks()
-        met = met.take(pc.sort_indices(met["key"]))
-        self.a_ends, self.b_ends = (np.asarray(pc.is_valid(met[c])) for c in ("a", "b"))
-        self.doc = pc.cast(pc.shift_right(met["key"], 32), pa.int32())
-        self.links = pa.table({"doc": self.doc, "a": pc.fill_null_backward(met["a"]), "b": pc.fill_null_backward(met["b"])})
+        self.lists = len(a)
+        self.flat_a, parent, key_a = ends(a, a_size)
+        self.flat_b, _, key_b = ends(b, b_size)
+        met = pa.table({"key": key_a}).join(pa.table({"key": key_b}), "key", join_type="left semi", use_threads=False)
+        self.shared = np.sort(np.asarray(met["key"].combine_chunks()))
+        self.a, self.b, self.parent = np.asarray(key_a), np.asarray(key_b), np.asarray(parent)
+        every = np.concatenate((self.a, self.b))
+        every.sort(kind="stable")  # two sorted runs
+        stretch = every[np.concatenate((every[1:] != every[:-1], [True]))] if len(every) else every
+        at = np.searchsorted(self.a, stretch)
+        self.doc = self.parent[at]
+        self.pair = np.asarray(self.flat_a)[at].astype(np.int64) << 32 | np.asarray(self.flat_b)[np.searchsorted(self.b, stretch)]
 
     def counts(self) -> pa.Table:
-        """How often each pair of ids is linked: a, b, n."""
-        told = self.links.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
+        """How often each pair of ids is linked: pair, n."""
+        told = pa.table({"pair": self.pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
         return told.rename_columns(["n" if c == "count_all" else c for c in told.column_names])
 
     def groups(self) -> pa.ListArray:
         """For each list, its groups as structs of the ids of either side."""
-        shared = self.a_ends & self.b_ends
-        at_a = np.concatenate(([0], np.flatnonzero(shared[self.a_ends]) + 1)).astype(np.int32)
-        at_b = np.concatenate(([0], np.flatnonzero(shared[self.b_ends]) + 1)).astype(np.int32)
+        at_a, at_b = (np.concatenate(([0], np.searchsorted(keys, self.shared) + 1)).astype(np.int32) for keys in (self.a, self.b))
         pairs = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at_a), self.flat_a), pa.ListArray.from_arrays(pa.array(at_b), self.flat_b)], ["a", "b"])
-        per = np.bincount(np.asarray(self.doc)[shared], minlength=len(self.a))
+        per = np.bincount(self.parent[at_a[1:] - 1], minlength=self.lists)
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)), pairs)
 
 
 def _added(parts: list[pa.Table]) -> pa.Table:
-    told = pa.concat_tables(parts).group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")])
+    told = pa.concat_tables(parts).group_by("pair", use_threads=False).aggregate([("n", "sum")])
     return told.rename_columns(["n" if c == "n_sum" else c for c in told.column_names])
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Rows of block, doc_id, a, b; and after the rows of each block its link counts, without ids."""
+    """Rows of block, doc_id, a, b; and at the end of the task its link counts by block, without ids."""
     one, two = bpe.loaded(left.value, False), pieces(right.value)
     size_a, size_b = sizes(one.bytes), sizes(two.bytes)
-    block, held, parts, kind = TaskContext.get().partitionId() << 32, 0, [], None
-
-    def closed() -> Iterator[pa.RecordBatch]:
-        if parts:
-            told = _added(parts).combine_chunks()
-            for i in range(0, told.num_rows, ROW):
-                part = told.slice(i, ROW)
-                rows = pa.StructArray.from_arrays([part[c].combine_chunks() for c in ("a", "b", "n")], ["a", "b", "n"])
-                counts = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-                none = pa.nulls(1, _LIST)
-                yield pa.record_batch({"block": pa.array([block], pa.int64()), "doc_id": pa.nulls(1, kind), "a": none, "b": none, "counts": counts.cast(_COUNTS)})
-
+    counts: dict[int, list[pa.Table]] = {}
+    kind = None
     for whole in batches:
         kind = whole.schema.field("doc_id").type
-        for batch in slices(whole):
-            a, b = both(batch.column("text").fill_null("").to_pylist(), one, two)
-            n = batch.num_rows
-            yield pa.record_batch({"block": pa.array(np.full(n, block)), "doc_id": batch.column("doc_id"), "a": a, "b": b, "counts": pa.nulls(n, _COUNTS)})
-            tokens = len(a.values) + len(b.values)
-            if tokens:
-                parts.append(Aligned(a, b, size_a, size_b).counts())
-                if len(parts) == 8:
-                    parts[:] = [_added(parts)]
-            held += tokens
-            if held >= BLOCK:
-                yield from closed()
-                block, held = block + 1, 0
-                parts.clear()
-    yield from closed()
+        for batch in slices(whole, step=STEP):
+            a, b = both(batch.column("text"), one, two, size_b)
+            yield pa.record_batch({"block": batch.column("block"), "doc_id": batch.column("doc_id"), "a": a, "b": b, "counts": pa.nulls(batch.num_rows, _COUNTS)})
+            blocks = np.asarray(batch.column("block"))
+            for block in np.unique(blocks):
+                here = pa.array(blocks == block)
+                x, y = (a, b) if pc.all(here).as_py() else (a.filter(here), b.filter(here))
+                if len(x.flatten()):
+                    parts = counts.setdefault(int(block), [])
+                    parts.append(Aligned(x, y, size_a, size_b).counts())
+                    if len(parts) == 16:
+                        parts[:] = [_added(parts)]
+    for block, parts in counts.items():
+        told = _added(parts).combine_chunks()
+        for i in range(0, told.num_rows, ROW):
+            part = told.slice(i, ROW)
+            rows = pa.StructArray.from_arrays([part[c].combine_chunks() for c in ("pair", "n")], ["pair", "n"])
+            none = pa.nulls(1, _LIST)
+            one_row = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows).cast(_COUNTS)
+            yield pa.record_batch({"block": pa.array([block], pa.int32()), "doc_id": pa.nulls(1, kind), "a": none, "b": none, "counts": one_row})
 
 
 def _scored(docs: pa.Table, counts: pa.Table, left: Broadcast, right: Broadcast) -> pa.Table:
     """The rows of a block and the corpus-wide counts of its pairs: its result rows."""
     size_a, size_b = sizes(bpe.loaded(left.value, False).bytes), sizes(pieces(right.value).bytes)
+    if not docs.num_rows:
+        return pa.table({})
     docs = docs.combine_chunks()
-    counts = counts.select(["a", "b", "count", "best"]).combine_chunks()
-    tokens = np.cumsum(np.asarray(pc.list_value_length(docs["a"])) + np.asarray(pc.list_value_length(docs["b"])))
-    out, at = [], 0
-    while at < docs.num_rows:
+    a, b = (docs[c].combine_chunks() for c in ("a", "b"))
+    tokens = np.cumsum(np.asarray(pc.list_value_length(a)) + np.asarray(pc.list_value_length(b)))
+    groups, links, at = [], [], 0
+    while at < len(a):
         gone = tokens[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(tokens, gone + STEP, side="right")))
-        part = docs.slice(at, end - at)
-        a, b = (part[c].combine_chunks() for c in ("a", "b"))
-        aligned = Aligned(a, b, size_a, size_b)
-        links = aligned.links.join(counts, ["a", "b"], join_type="left outer", use_threads=False)
-        links = links.set_column(links.column_names.index("best"), "best", pc.cast(links["best"], pa.int64()))
-        told = links.group_by("doc", use_threads=False).aggregate([([], "count_all"), ("best", "sum"), ("count", "sum")])
-        sums = np.zeros((3, len(part)), np.int64)
-        for row, name in zip(sums, ("count_all", "best_sum", "count_sum"), strict=True):
-            row[np.asarray(told["doc"])] = np.asarray(told[name])
-        groups = aligned.groups()
-        numbers = {"n_a": pc.list_value_length(a), "n_b": pc.list_value_length(b), "n_groups": pc.list_value_length(groups)}
-        columns = {"doc_id": part["doc_id"].combine_chunks()} | {c: pc.cast(x, pa.int64()) for c, x in numbers.items()}
-        out.append(pa.table(columns | {c: pa.array(x) for c, x in zip(("n_links", "n_best", "count_sum"), sums, strict=True)} | {"groups": groups}))
+        end = max(at + 1, int(np.searchsorted(tokens, gone + TOKENS, side="right")))
+        aligned = Aligned(a.slice(at, end - at), b.slice(at, end - at), size_a, size_b)
+        groups.append(aligned.groups())
+        links.append(pa.table({"doc": aligned.doc.astype(np.int32) + np.int32(at), "pair": aligned.pair}))
         at = end
-    return pa.concat_tables(out) if out else pa.table({})
+    known = counts.select(["pair", "count", "best"]).combine_chunks()
+    met = pa.concat_tables(links).join(known, "pair", join_type="left outer", use_threads=False)
+    met = met.set_column(met.column_names.index("best"), "best", pc.cast(met["best"], pa.int64()))
+    told = met.group_by("doc", use_threads=False).aggregate([([], "count_all"), ("best", "sum"), ("count", "sum")])
+    sums = np.zeros((3, len(a)), np.int64)
+    for row, name in zip(sums, ("count_all", "best_sum", "count_sum"), strict=True):
+        row[np.asarray(told["doc"])] = np.asarray(told[name])
+    every = pa.chunked_array(groups)
+    numbers = {"n_a": pc.list_value_length(a), "n_b": pc.list_value_length(b), "n_groups": pc.list_value_length(every)}
+    columns = {"doc_id": docs["doc_id"]} | {c: pc.cast(x, pa.int64()) for c, x in numbers.items()}
+    return pa.table(columns | {c: pa.array(x) for c, x in zip(("n_links", "n_best", "count_sum"), sums, strict=True)} | {"groups": every})
+
+
+def _laid_out(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows written once, in buckets by block where a table can have so many, so that reading them by block moves nothing."""
+    if blocks > MOST:
+        return staged(rows)
+    spark = rows.sparkSession
+    name = f"aligned_{uuid.uuid4().hex}"
+    rows.write.option("path", scratch(spark)).bucketBy(blocks, "block").saveAsTable(name)
+    return spark.table(name)
 
 
 def align(docs: DataFrame, left: str = LEFT, right: str = RIGHT) -> DataFrame:
@@ -181,20 +223,24 @@ def align(docs: DataFrame, left: str = LEFT, right: str = RIGHT) -> DataFrame:
     A null or empty text, or one that the tokens of a side do not spell, has no tokens: zeros and no groups. Rows that
     repeat each count. Other columns are not carried.
 
-    Each task counts the links of its blocks of about BLOCK tokens; Spark adds the counts of all blocks, finds the highest
-    of each b id, and hands every block the counts of its own pairs, so no link and no corpus-wide table travels to a
-    single place, and a pair in every document costs one row a block.
+    Texts are dealt to blocks of about BLOCK bytes by a hash of id and text. Each block's links are counted where it is
+    tokenised; Spark adds the counts of all blocks, finds the highest of each right id, and hands every block the counts of
+    its own pairs. No link leaves its block, and a pair that every document has is one row a block. Tokens are laid out by
+    block (up to MOST blocks, about half a terabyte of text; beyond, they are shuffled once more), so only texts and counts are shuffled.
     """
     context = docs.sparkSession.sparkContext
     specs = {"left": context.broadcast(bpe.read(left)), "right": context.broadcast(bpe.read(right))}
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, doc_id {kind}, a array<int>, b array<int>, counts array<struct<a: int, b: int, n: bigint>>"
-    told = staged(docs.select("doc_id", "text").mapInArrow(partial(_tokenised, **specs), schema))
+    blocks = share(docs, of=BLOCK)
+    schema = f"block int, doc_id {kind}, a array<int>, b array<int>, counts array<struct<pair: bigint, n: bigint>>"
+    texts = docs.select(F.pmod(row_key(), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text").repartition(blocks, "block")
+    told = _laid_out(texts.mapInArrow(partial(_tokenised, **specs), schema), blocks)
     pairs = told.filter("counts IS NOT NULL").select(F.col("block").alias("home"), F.inline("counts"))
-    counts = staged(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")))
-    highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
-    known = counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
-    shares = pairs.join(known, ["a", "b"]).select("home", "a", "b", "count", "best")
+    counts = staged(pairs.groupBy("pair").agg(F.sum("n").alias("count")))
+    named = counts.withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
+    highest = named.groupBy("b").agg(F.max("count").alias("highest"))
+    known = named.join(highest, "b").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
+    shares = pairs.select("home", "pair").join(known, "pair").select("home", "pair", "count", "best")
     rows = told.filter("counts IS NULL").select("block", "doc_id", "a", "b")
     numbers = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
     out = f"doc_id {kind}, {numbers}, groups array<struct<a: array<int>, b: array<int>>>"

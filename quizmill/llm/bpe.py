@@ -8,7 +8,7 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -30,7 +30,8 @@ REMEMBERED, LONGEST = 1 << 18, 64
 _NONE = 1 << 30
 
 
-def _packed(ids: list[int]) -> bytes:
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit numbers one after the other."""
     return array("i", ids).tobytes()
 
 
@@ -118,7 +119,7 @@ class Tokenizer:
         self.added = added if special else {}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = _Splitter(letters)
-        self.known = _Known(self)
+        self.known = Known(lambda word: packed(self.word(word.encode())))
 
     def word(self, word: bytes) -> list[int]:
         """The ids of one word. `parts` holds the id of each stretch between two boundaries and `ranks` the merge rank of
@@ -173,7 +174,7 @@ class Tokenizer:
         out, at = [], 0
         for found in self.cut.finditer(text):
             out += map(known, self.words(text[at : found.start()]))
-            out.append(_packed([self.added[found.group()]]))
+            out.append(packed([self.added[found.group()]]))
             at = found.end()
         return b"".join(chain(out, map(known, self.words(text[at:]))))
 
@@ -196,17 +197,17 @@ class Tokenizer:
         return self.texts(pa.array([ids], pa.list_(pa.int64())))[0]
 
 
-class _Known(dict):
-    """Words met so far with their packed ids, in two generations: when the young one is full it becomes the old one, from which
-    words that come again are taken back, so frequent words stay."""
+class Known(dict):
+    """Words met so far with their packed ids, in two generations: when the young one is full it becomes the old one, from
+    which words that come again are taken back, so frequent words stay."""
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer, self.old = tokenizer, {}
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = _packed(self.tokenizer.word(word.encode()))
+            ids = self.encode(word)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.old = dict(self)
@@ -221,13 +222,17 @@ def loaded(spec: bytes, special: bool) -> Tokenizer:
     return Tokenizer(spec, special)
 
 
-def id_lists(texts: pa.Array, tokenizer: Tokenizer) -> pa.ListArray:
-    """The ids of each text, null as empty."""
-    ids = [tokenizer.packed(t) for t in texts.fill_null("").to_pylist()]
+def lists_of(ids: list[bytes]) -> pa.ListArray:
+    """Lists of packed ids as an array."""
     ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
+def id_lists(texts: pa.Array, tokenizer: Tokenizer) -> pa.ListArray:
+    """The ids of each text, null as empty."""
+    return lists_of([tokenizer.packed(t) for t in texts.fill_null("").to_pylist()])
+
+
 def _encode(batches: Iterator[pa.RecordBatch], spec: Broadcast, special: bool, column: str, out: str) -> Iterator[pa.RecordBatch]:
     tokenizer = loaded(spec.value, special)
     for whole in batches:

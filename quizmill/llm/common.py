@@ -32,10 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder of spark.checkpoint.dir and read again: it cuts the lineage and
-    outlives a lost executor. The folder is the cluster's to clear."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder of spark.checkpoint.dir. The folder is the cluster's to clear."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
@@ -43,9 +41,14 @@ def staged(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = tempfile.mkdtemp(prefix="llm-")
         context.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: it cuts the lineage and outlives a lost executor."""
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def body(column: str | Column = "text") -> Column:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import public_tokenizers
 import pyarrow as pa
@@ -81,12 +82,12 @@ def test_odd_texts(spark, monkeypatch):
 
 
 def test_groups_and_links_of_given_lengths():
-    size_a, size_b = pa.array([0, 1, 2, 3], pa.int64()), pa.array([0, 1, 2, 3, 4], pa.int64())
+    size_a, size_b = pa.array([0, 1, 2, 3], pa.int32()), pa.array([0, 1, 2, 3, 4], pa.int32())
     a, b = pa.array([[1, 2, 3], [], [3]], pa.list_(pa.int32())), pa.array([[3, 1, 2], [], [1, 2]], pa.list_(pa.int32()))
     got = alignment.Aligned(a, b, size_a, size_b)
     assert got.groups().to_pylist() == [[{"a": [1, 2], "b": [3]}, {"a": [3], "b": [1, 2]}], [], [{"a": [3], "b": [1, 2]}]]
-    assert sorted(map(tuple, (r.values() for r in got.links.to_pylist()))) == [(0, 1, 3), (0, 2, 3), (0, 3, 1), (0, 3, 2), (2, 3, 1), (2, 3, 2)]
-    assert {(r["a"], r["b"]): r["n"] for r in got.counts().to_pylist()} == {(1, 3): 1, (2, 3): 1, (3, 1): 2, (3, 2): 2}
+    assert sorted((d, p >> 32, p & 0xFFFFFFFF) for d, p in zip(got.doc.tolist(), got.pair.tolist())) == [(0, 1, 3), (0, 2, 3), (0, 3, 1), (0, 3, 2), (2, 3, 1), (2, 3, 2)]
+    assert {(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF): r["n"] for r in got.counts().to_pylist()} == {(1, 3): 1, (2, 3): 1, (3, 1): 2, (3, 2): 2}
     cut = alignment.Aligned(a.slice(1), b.slice(1), size_a, size_b)
     assert cut.groups().to_pylist() == [[], [{"a": [3], "b": [1, 2]}]]
 
@@ -109,3 +110,13 @@ def test_groups_spell_the_text(spark):
     row = alignment.align(spark.createDataFrame([(1, "Some naïve façade, well-formed.")], "doc_id long, text string")).first()
     sides = [b"".join(table[i] for g in row.groups for i in g[side]) for side, table in (("a", left.bytes), ("b", right.bytes))]
     assert sides[0] == sides[1] == " Some naïve façade, well-formed.".encode()
+
+
+def test_stretches_are_encoded_as_whole_texts_are():
+    rng = random.Random(1)
+    right = alignment.Pieces(bpe.read(alignment.RIGHT))
+    assert right.apart
+    some = ["a", "b", " ", "  ", "\n", "é", "漢", "the", "ing", ".", "1", "\t", "́", "　", "\u00a0", "x\u200b", "Ａ", "ﬁ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(1, 25)))
+        assert right.id_lists([text]).to_pylist() == [B.encode(text)], repr(text)
