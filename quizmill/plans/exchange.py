@@ -8,9 +8,9 @@ from quizmill import lexicon as lx
 from quizmill.operators import oplog
 from quizmill.plans import sql as S
 from quizmill.plans.common import bank, flat
-from quizmill.plans.ops import AS_OF, LOG_COLUMNS, SINCE7, log_view
+from quizmill.plans.ops import AS_OF, LOG_COLUMNS, SINCE7, UPSERT, log_view
 from quizmill.session import load
-from quizmill.sources import bridge, exports, files, responses
+from quizmill.sources import bridge, exports, files, responses, stores
 from quizmill.streaming import progress
 
 K = ["assessment_id", "question_index"]
@@ -401,13 +401,25 @@ def log_by_day(s, d):
 add("session_log_window", log_by_day, [S.SESSIONS], f"SELECT {LOG_COLUMNS} FROM session_rows WHERE {SINCE7}")
 
 
+def merged_log(s, d):
+    """The session log after two overlapping batches: half of the reports, then the other half and some of the first again,
+    each merged into the days that it touches."""
+    out, rows = progress.scratch(s), bridge.session_rows(s, d)
+    for batch in (F.col("event_id") % 2 == 0, (F.col("event_id") % 2 == 1) | (F.col("event_id") % 6 == 0)):
+        stores.merge_log(rows.filter(batch), out, "task_id", "timestamp", "event_id")
+    return log_view(stores.read_merged(s, out))
+
+
+add("session_merge", merged_log, [S.SESSIONS, UPSERT], f"SELECT {LOG_COLUMNS} FROM latest")
+
+
 def without_collection(s, d):
-    """A chunk store appended in two parts, then rewritten without collection 1."""
-    store, target, rows = progress.scratch(s), progress.scratch(s), bridge.chunk_vectors(s, d).select("collection", "chunk_id", "text")
+    """A chunk store appended in two parts, from which the folder of collection 1 is then taken away."""
+    store, rows = progress.scratch(s), bridge.chunk_vectors(s, d).select("collection", "chunk_id", "text")
     for part in (0, 1):
         files.append_chunks(rows.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == part), store)
-    files.drop_collection(s, store, target, 1)
-    kept = s.read.parquet(target)
+    stores.remove_collection(s, store, 1)
+    kept = s.read.parquet(store)
     return kept.groupBy(F.col("collection").cast("bigint").alias("collection")).agg(F.count_distinct("chunk_id").alias("chunks"))
 
 

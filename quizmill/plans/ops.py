@@ -11,7 +11,8 @@ from quizmill.plans import sql as S
 from quizmill.plans.common import bank, flat, scored
 from quizmill.plans.questions import SCORE
 from quizmill.session import load
-from quizmill.sources import bridge
+from quizmill.sources import bridge, stores
+from quizmill.streaming.progress import scratch
 
 AS_OF = "2024-01-31 00:00:00"
 QUERIES: dict = {}
@@ -110,15 +111,24 @@ def content_hash(text, difficulty, n):
     return F.left(F.sha2(F.concat_ws("_", text, difficulty, n.cast("string")), 256), F.lit(16))
 
 
-add(
-    "generation_stat_append",
-    lambda s, d: load(s, d, "documents").select(
+def recorded_stats(s, d):
+    """Statistics of every document's run, appended in two parts and read back."""
+    out = scratch(s)
+    rows = load(s, d, "documents").select(
         content_hash(F.col("text"), F.lit("medium"), 1 + F.col("doc_id") % 12).alias("content_hash"),
         (1 + F.col("doc_id") % 12).alias("num_questions"),
         F.lit("medium").alias("difficulty"),
         ((F.col("doc_id") % 90) / 2.0).alias("generation_time"),
         F.lit(1.0).alias("success_rate"),
-    ),
+    )
+    for part in (0, 1):
+        stores.append_stats(rows.filter(F.pmod(F.xxhash64("content_hash"), F.lit(2)) == part), out)
+    return s.read.parquet(out).select(*rows.columns)
+
+
+add(
+    "generation_stat_append",
+    recorded_stats,
     [REQUESTS],
     "SELECT left(sha256(text || '_medium_' || (1 + doc_id % 12)), 16) AS content_hash, 1 + doc_id % 12 AS num_questions, 'medium' AS difficulty, "
     "(doc_id % 90) / 2.0e0 AS generation_time, 1e0 AS success_rate FROM documents",

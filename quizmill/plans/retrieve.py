@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.operators import retrieval as rt
+from quizmill.operators import vector_index as vi
 from quizmill.plans import sql as S
 from quizmill.plans.common import bank, flat
 from quizmill.session import load
-from quizmill.sources import bridge
+from quizmill.sources import bridge, stores
+from quizmill.streaming.progress import scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -74,6 +76,39 @@ add(
 )
 
 
+def kept_vectors(s, d):
+    """Three rounds of embedding against one store: even documents, all documents, all once more. A round embeds what the
+    store lacks and keeps it; texts without a vector are asked for again."""
+    vectors = bridge.chunk_vectors(s, d).select(F.sha2("text", 256).alias("text_hash"), "embedding", "doc_id")
+    made = vectors.groupBy("text_hash").agg(F.min_by("embedding", "doc_id").alias("embedding"))
+    store = stores.VectorStore(s, scratch(s))
+    rounds = []
+    for n, texts in enumerate((docs(s, d).filter("doc_id % 2 = 0"), docs(s, d), docs(s, d)), 1):
+        asked = stores.hashed(texts)
+        before = store.known(asked).select("text_hash").withColumn("state", F.lit("cached"))
+        state = before.unionByName(store.missing(asked).join(made, "text_hash", "left_semi").withColumn("state", F.lit("embedded")))
+        counts = asked.select("text_hash").distinct().join(state, "text_hash", "left")
+        counts = counts.groupBy(F.coalesce("state", F.lit("without")).alias("state")).agg(F.count("*").alias("texts")).withColumn("round", F.lit(n).cast("bigint"))
+        rounds.append(stores.written(counts, f"{scratch(s)}/round"))
+        store.add(store.missing(asked).join(made, "text_hash"))
+    return rounds[0].unionByName(rounds[1]).unionByName(rounds[2])
+
+
+add(
+    "embed_store",
+    kept_vectors,
+    [
+        S.VECTORS,
+        "kh AS (SELECT DISTINCT sha256(text) AS h FROM chunk_vectors)",
+        "dh AS (SELECT sha256(text) AS h, bool_or(doc_id % 2 = 0) AS early FROM documents GROUP BY 1)",
+        "st AS (SELECT 1::BIGINT AS round, CASE WHEN h IN (SELECT h FROM kh) THEN 'embedded' ELSE 'without' END AS state FROM dh WHERE early UNION ALL "
+        "SELECT 2, CASE WHEN h NOT IN (SELECT h FROM kh) THEN 'without' WHEN early THEN 'cached' ELSE 'embedded' END FROM dh UNION ALL "
+        "SELECT 3, CASE WHEN h IN (SELECT h FROM kh) THEN 'cached' ELSE 'without' END FROM dh)",
+    ],
+    "SELECT round, state, count(*) AS texts FROM st GROUP BY 1, 2",
+)
+
+
 def filled(s, d):
     """Cached vectors for even documents, new ones for the rest that have any."""
     v = bridge.chunk_vectors(s, d).select("doc_id", "text", "embedding")
@@ -150,6 +185,24 @@ add(
     V,
     "SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM topk",
 )
+
+
+def indexed(s, d):
+    """The stored chunks in an inverted-file index, written in two parts."""
+    path, chunks = scratch(s), bridge.chunk_vectors(s, d)
+    later = F.col("doc_id") % 5 == 0
+    vi.build(chunks.filter(~later), path)
+    vi.append(chunks.filter(later), s.read.parquet(f"{path}/centres"), path)
+    return path
+
+
+def index_topk(s, d):
+    """The nearest chunks by the index: first the nearest cells, then every cell that can hold a nearer chunk."""
+    hits = vi.search(s, indexed(s, d), queries_of(s, d), K30, exact=True)
+    return flat(hits.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank"))
+
+
+add("vector_topk_index", index_topk, V, "SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM topk")
 add(
     "metadata_filter",
     lambda s, d: flat(
