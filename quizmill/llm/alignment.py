@@ -147,7 +147,7 @@ def _added(parts: list[pa.Table]) -> pa.Table:
 def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadcast) -> Iterator[pa.RecordBatch]:
     """Rows of block, doc_id, a, b; and at the end of the task its link counts by block, without ids."""
     one, two = bpe.loaded(left.value, False), pieces(right.value)
-    size_a, size_b = sizes(one.bytes), sizes(two.bytes)
+    size_a, size_b = sizes(bpe.decoder(left.value).bytes), sizes(two.bytes)
     counts: dict[int, list[pa.Table]] = {}
     kind = None
     for whole in batches:
@@ -176,7 +176,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadc
 
 def _scored(docs: pa.Table, counts: pa.Table, left: Broadcast, right: Broadcast) -> pa.Table:
     """The rows of a block and the corpus-wide counts of its pairs: its result rows."""
-    size_a, size_b = sizes(bpe.loaded(left.value, False).bytes), sizes(pieces(right.value).bytes)
+    size_a, size_b = sizes(bpe.decoder(left.value).bytes), sizes(pieces(right.value).bytes)
     if not docs.num_rows:
         return pa.table({})
     docs = docs.combine_chunks()

@@ -26,7 +26,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Words of more bytes keep their boundaries in a linked list under a heap: one scan a merge would be quadratic.
 SHORT = 256
 #: Encoded words in a generation of those that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1 << 18, 64
+REMEMBERED, LONGEST = 1 << 17, 64
 _NONE = 1 << 30
 
 
@@ -84,8 +84,38 @@ def read(path: str) -> bytes:
         return f.read()
 
 
+class Decoder:
+    """The bytes of each id of a byte-level BPE file, added tokens included: `texts(lists)` and `text(ids)`."""
+
+    def __init__(self, spec: bytes) -> None:
+        said = json.loads(spec)
+        letters = byte_letters()
+        known = {i: bytes(letters[c] for c in token) for token, i in said["model"]["vocab"].items()}
+        known |= {t["id"]: t["content"].encode() for t in said.get("added_tokens", ())}
+        self.bytes = [known.get(i, b"") for i in range(max(known) + 1)]
+        #: all tokens' bytes one after the other, with where each begins; an empty one stands for unknown ids
+        self.size = np.array([*map(len, self.bytes), 0])
+        self.first = np.cumsum(self.size) - self.size
+        self.all = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def texts(self, lists: pa.ListArray) -> list[str]:
+        """The bytes of each list's ids read as UTF-8; a null list is empty, ids outside the vocabulary are passed over, broken
+        bytes become U+FFFD."""
+        sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+        ids = np.asarray(lists.flatten().cast(pa.int64()).fill_null(-1))
+        ids = np.where((ids >= 0) & (ids < len(self.bytes)), ids, len(self.bytes))
+        size = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        data = self.all[np.repeat(self.first[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        at = ends[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+
+    def text(self, ids: list[int]) -> str:
+        return self.texts(pa.array([ids], pa.list_(pa.int64())))[0]
+
+
 class Tokenizer:
-    """A byte-level BPE file: `ids(text)` and `text(ids)`. Words come from the file family's pattern; with `special` the
+    """A byte-level BPE file: `ids(text)`. Words come from the file family's pattern; with `special` the
     added tokens are cut out of the text first, the longest at a place."""
 
     def __init__(self, spec: bytes, special: bool = True) -> None:
@@ -106,16 +136,6 @@ class Tokenizer:
         self.made = [self.id[a + b] for a, b in pairs]
         self.single = [self.id.get(bytes((b,)), -1) for b in range(256)]
         added = {t["content"]: t["id"] for t in said.get("added_tokens", ())}
-        size = max([*self.id.values(), *added.values()]) + 1
-        self.bytes = [b""] * size
-        for token, i in self.id.items():
-            self.bytes[i] = token
-        for token, i in added.items():
-            self.bytes[i] = token.encode()
-        #: all tokens' bytes one after the other, with where each begins; an empty one stands for unknown ids
-        self.size = np.array([*map(len, self.bytes), 0])
-        self.first = np.cumsum(self.size) - self.size
-        self.all = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.added = added if special else {}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = _Splitter(letters)
@@ -181,22 +201,6 @@ class Tokenizer:
     def ids(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def texts(self, lists: pa.ListArray) -> list[str]:
-        """The bytes of each list's ids read as UTF-8; a null list is empty, ids outside the vocabulary are passed over, broken
-        bytes become U+FFFD."""
-        sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-        ids = np.asarray(lists.flatten().cast(pa.int64()).fill_null(-1))
-        ids = np.where((ids >= 0) & (ids < len(self.bytes)), ids, len(self.bytes))
-        size = self.size[ids]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        data = self.all[np.repeat(self.first[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
-        at = ends[np.concatenate(([0], np.cumsum(sizes)))].tolist()
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
-
-    def text(self, ids: list[int]) -> str:
-        return self.texts(pa.array([ids], pa.list_(pa.int64())))[0]
-
-
 class Known(dict):
     """Words met so far with their packed ids, in two generations: when the young one is full it becomes the old one, from
     which words that come again are taken back, so frequent words stay."""
@@ -222,6 +226,11 @@ def loaded(spec: bytes, special: bool) -> Tokenizer:
     return Tokenizer(spec, special)
 
 
+@lru_cache(maxsize=4)
+def decoder(spec: bytes) -> Decoder:
+    return Decoder(spec)
+
+
 def lists_of(ids: list[bytes]) -> pa.ListArray:
     """Lists of packed ids as an array."""
     ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
@@ -242,7 +251,7 @@ def _encode(batches: Iterator[pa.RecordBatch], spec: Broadcast, special: bool, c
 
 
 def _decode(batches: Iterator[pa.RecordBatch], spec: Broadcast, column: str, out: str) -> Iterator[pa.RecordBatch]:
-    tokenizer = loaded(spec.value, True)
+    table = decoder(spec.value)
     for batch in batches:
         held = at = 0
         lists = batch.column(column)
@@ -251,7 +260,7 @@ def _decode(batches: Iterator[pa.RecordBatch], spec: Broadcast, column: str, out
             held += int(sizes[end - 1])
             if held >= STEP // 4 or end == batch.num_rows:
                 part = batch.slice(at, end - at)
-                texts = pa.array(tokenizer.texts(part.column(column)), pa.string())
+                texts = pa.array(table.texts(part.column(column)), pa.string())
                 yield pa.record_batch({c: part.column(c) for c in part.schema.names if c != out} | {out: texts})
                 at, held = end, 0
 

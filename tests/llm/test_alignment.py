@@ -106,7 +106,7 @@ def test_query_over_the_whole_table(spark):
 
 
 def test_groups_spell_the_text(spark):
-    left, right = bpe.Tokenizer(bpe.read(alignment.LEFT), False), alignment.Pieces(bpe.read(alignment.RIGHT))
+    left, right = bpe.Decoder(bpe.read(alignment.LEFT)), alignment.Pieces(bpe.read(alignment.RIGHT))
     row = alignment.align(spark.createDataFrame([(1, "Some naïve façade, well-formed.")], "doc_id long, text string")).first()
     sides = [b"".join(table[i] for g in row.groups for i in g[side]) for side, table in (("a", left.bytes), ("b", right.bytes))]
     assert sides[0] == sides[1] == " Some naïve façade, well-formed.".encode()

@@ -22,21 +22,26 @@ def own():
     return bpe.Tokenizer(bpe.read(bpe.VOCABULARY))
 
 
-def test_any_mixture_of_pieces(library, own):
+@pytest.fixture(scope="module")
+def table():
+    return bpe.Decoder(bpe.read(bpe.VOCABULARY))
+
+
+def test_any_mixture_of_pieces(library, own, table):
     rng = random.Random(3)
     for _ in range(4000):
         text = "".join(rng.choice(PIECES) for _ in range(rng.randrange(30)))
         ids = library.encode(text, add_special_tokens=False).ids
         assert own.ids(text) == ids, repr(text)
-        assert own.text(ids) == library.decode(ids, skip_special_tokens=False)
+        assert table.text(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_any_ids_decode(library, own):
+def test_any_ids_decode(library, table):
     rng = random.Random(4)
     for _ in range(2000):
         ids = [rng.randrange(50257) for _ in range(rng.randrange(6))]
-        assert own.text(ids) == library.decode(ids, skip_special_tokens=False)
-    assert own.text([-1, 10**9]) == ""
+        assert table.text(ids) == library.decode(ids, skip_special_tokens=False)
+    assert table.text([-1, 10**9]) == ""
 
 
 def test_special_tokens_as_plain_text(library):
