@@ -9,9 +9,10 @@ from quizmill.operators import oplog
 from quizmill.plans import sql as S
 from quizmill.plans.common import bank, flat
 from quizmill.plans.ops import AS_OF, LOG_COLUMNS, SINCE7, UPSERT, log_view
+from quizmill.plans.ops import limit as RATE_LIMIT
 from quizmill.session import load
 from quizmill.sources import bridge, exports, files, responses, stores
-from quizmill.streaming import progress
+from quizmill.streaming import progress, rates
 
 K = ["assessment_id", "question_index"]
 KS = "assessment_id, question_index"
@@ -143,6 +144,38 @@ add(
     WHEN kind = 4 OR trim(correct_answer) = '' OR len([x FOR x IN distractors IF trim(x.text) = '']) > 0 THEN 'empty option text' WHEN kind = 3 THEN 'multiple correct answers' END r FROM gen WHERE kind >= 2)""",
 )
 
+
+def mixed(s, d):
+    """One response per question whose array mixes every shape: options as a map of texts and of details, as a list of texts
+    and of details, as lines of one text; a question without options, a number and a null."""
+    letters = F.slice(F.array(*[F.lit(x) for x in "ABCD"]), 1, F.size("texts"))
+
+    def detailed(t, i):
+        told = F.when(i > 0, F.struct(F.get("distractors", i - 1)["misconception_type"].alias("misconception_name"), F.get("distractors", i - 1)["explanation"].alias("why_its_wrong")))
+        return F.struct(t.alias("text"), (i == 0).alias("is_correct"), told.alias("explanation"))
+
+    lines = F.array_join(F.transform("texts", lambda t, i: F.concat(F.get(letters, i), F.lit(") "), F.translate(t, "\n", " "))), "\n")
+    shapes = [F.map_from_arrays(letters, "texts"), F.map_from_arrays(letters, F.transform("texts", detailed)), F.col("texts"), F.transform("texts", detailed), lines]
+    fields = ["question_text", F.col("concept").alias("concept_tested"), F.lit("A").alias("correct_position")]
+    items = [F.to_json(F.struct(*fields, x.alias("options"))) for x in shapes] + [F.to_json(F.struct(*fields)), F.lit("42"), F.lit("null")]
+    content = F.concat(F.lit("Here they are: ["), F.concat_ws(",", *items), F.lit("]"))
+    return exports.with_options(bank(s, d)).select(*K, "perspective", content.alias("content"))
+
+
+add(
+    "llm_response_shapes",
+    lambda s, d: responses.normalize_any(responses.parse_any(mixed(s, d))).select(
+        *K, "position", F.when(F.col("reject").isNull(), F.col("correct_answer")).alias("correct_answer"),
+        F.when(F.col("reject").isNull(), F.array_join(F.transform("distractors", lambda x: F.concat_ws("/", x["text"], x["misconception_type"], x["explanation"])), " | ")).alias("distractors_found"), "reject",
+    ),
+    B,
+    f"""SELECT {KS}, position, CASE WHEN r IS NULL THEN trim(CASE WHEN position = 4 THEN replace(correct_answer, chr(10), ' ') ELSE correct_answer END) END AS correct_answer,
+  CASE WHEN r IS NULL THEN array_to_string([trim(CASE WHEN position = 4 THEN replace(x.text, chr(10), ' ') ELSE x.text END) || '/' || CASE WHEN position IN (1, 3) THEN x.misconception_type ELSE 'General Misconception' END || '/' ||
+    CASE WHEN position IN (1, 3) THEN x.explanation ELSE 'Common error in ' || perspective || ' understanding' END FOR x IN distractors], ' | ') END AS distractors_found, r AS reject
+  FROM (SELECT *, CASE WHEN position >= 6 THEN 'not an object' WHEN trim(question_text) = '' THEN 'missing question text' WHEN position = 5 OR len(distractors) <> 3 THEN 'expected 4 options'
+    WHEN trim(correct_answer) = '' OR len([x FOR x IN distractors IF trim(x.text) = '']) > 0 THEN 'empty option text' END r FROM bank, (SELECT unnest(range(8)) AS position))""",
+)
+
 # --- exports --------------------------------------------------------------------------------------
 
 OPT = f"opt AS (SELECT *, {S.OPTION_TEXTS3} texts FROM bank)"
@@ -370,6 +403,14 @@ add(
     f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, endpoint, count(*) AS calls FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k w,
   CASE WHEN event_type IN ('purchase', 'error') THEN 'completions' ELSE 'embeddings' END AS endpoint FROM events, (SELECT unnest([0, 1, 2, 3]) k)) WHERE w + INTERVAL 1 HOUR <= {CLOSED} GROUP BY 1, 2""",
 )
+add(
+    "call_rate_stream",
+    lambda s, d: rates.run(rates.call_rates(progress.read_events(s, d)), progress.scratch(s)),
+    [S.CALLS],
+    f"""SELECT event_id, endpoint, calls_minute, calls_minute >= {RATE_LIMIT} AS at_limit, CASE WHEN calls_minute >= {RATE_LIMIT} THEN round(60 - (t - last_call) / 1000000, 6) ELSE 0e0 END AS wait_seconds
+  FROM (SELECT *, count(*) OVER m AS calls_minute, max(t) OVER m AS last_call FROM (SELECT *, epoch_us(ts) t FROM api_calls)
+  WINDOW m AS (PARTITION BY endpoint ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND 1 PRECEDING)) WHERE time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE <= {CLOSED}""",
+)
 add(
     "activity_stream",
     stream(progress.activity),

@@ -43,12 +43,85 @@ def _option(e: Column, correct: Column) -> Column:
 
 def normalize(questions: DataFrame) -> DataFrame:
     """Question rows with one answer and three distractors; reject holds the reason, null when accepted."""
-    d = lx.RESPONSE_DEFAULTS
     options = F.transform(
         F.coalesce(F.map_entries("options"), F.array().cast("array<struct<key:string,value:string>>")),
         lambda e: _option(e, F.col("correct_position")),
     )
-    rows = hold(questions, parts=options)
+    return _accepted(hold(questions, parts=options))
+
+
+def parse_any(responses: DataFrame) -> DataFrame:
+    """One row per item of each response's array, whatever shape its items and options have; text without a valid array
+    gives no rows (nor does an array with an object that names a key twice).
+
+    Each row has `parts`, its options as (key, text, is_correct, misconception_type, explanation), and `fault`, set where the
+    item itself is unusable: no object, or options that are neither a map, a list nor text. Options may be a map of texts or
+    of details; a list of either, lettered by position unless an entry names its own key or label; or one text with an option
+    a line, each behind its letter. An explanation that is not an object tells nothing.
+    """
+    body = F.try_parse_json(F.regexp_extract("content", r"(?s)\[.*\]", 0))
+    rest = [c for c in responses.columns if c != "content"]
+    found = hold(responses.select(*rest, body.alias("body")), kind=F.schema_of_variant("body")).filter(F.startswith("kind", F.lit("ARRAY")))
+    items = found.lateralJoin(found.sparkSession.tvf.variant_explode(F.col("body").outer())).select(*rest, F.col("pos").cast("bigint").alias("position"), F.col("value").alias("item"))
+
+    def field(item: Column, path: str, kind: str = "string") -> Column:
+        return F.try_variant_get(item, path, kind)
+
+    typed = hold(items, shape=F.schema_of_variant("item"), options=field(F.col("item"), "$.options", "variant"))
+    told = hold(
+        typed,
+        as_map=F.when(F.startswith(F.schema_of_variant("options"), F.lit("OBJECT")), field(F.col("options"), "$", "map<string,variant>")),
+        as_list=F.when(F.startswith(F.schema_of_variant("options"), F.lit("ARRAY")), field(F.col("options"), "$", "array<variant>")),
+        as_text=F.when(F.schema_of_variant("options") == "STRING", field(F.col("options"), "$")),
+        correct_position=field(F.col("item"), "$.correct_position"),
+    )
+    letters = F.array(*[F.lit(chr(65 + i)) for i in range(26)])
+
+    def part(key: Column, value: Column) -> Column:
+        detailed = F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+        own = F.when(detailed, F.coalesce(field(value, "$.key"), field(value, "$.label")))
+        named = F.coalesce(own, key)
+        text = F.when(detailed, field(value, "$.text")).otherwise(field(value, "$"))
+        right = F.when(detailed & field(value, "$.is_correct").isNotNull(), F.coalesce(field(value, "$.is_correct", "boolean"), F.lit(False)))
+        return F.struct(
+            named.alias("key"),
+            F.trim(text).alias("text"),
+            F.coalesce(right, F.when(~detailed | own.isNotNull(), named == F.col("correct_position")), F.lit(False)).alias("is_correct"),
+            F.when(detailed, field(value, "$.explanation.misconception_name")).alias("misconception_type"),
+            F.when(detailed, field(value, "$.explanation.why_its_wrong")).alias("explanation"),
+        )
+
+    lines = F.filter(F.split("as_text", r"\R"), lambda x: F.trim(x) != "")
+    marked = r"^\s*\(?([A-Za-z])[).:]\s*(.*)$"
+
+    def line(x: Column, i: Column) -> Column:
+        lettered = F.regexp_like(x, F.lit(marked))
+        key = F.when(lettered, F.upper(F.regexp_extract(x, marked, 1))).otherwise(F.get(letters, i))
+        text = F.trim(F.when(lettered, F.regexp_extract(x, marked, 2)).otherwise(x))
+        none = F.lit(None).cast("string")
+        return F.struct(key.alias("key"), text.alias("text"), F.coalesce(key == F.col("correct_position"), F.lit(False)).alias("is_correct"), none.alias("misconception_type"), none.alias("explanation"))
+
+    parts = F.coalesce(
+        F.transform(F.map_entries("as_map"), lambda e: part(e["key"], e["value"])),
+        F.transform("as_list", lambda v, i: part(F.get(letters, i), v)),
+        F.transform(lines, line),
+        F.array().cast("array<struct<key:string,text:string,is_correct:boolean,misconception_type:string,explanation:string>>"),
+    )
+    readable = F.col("as_map").isNotNull() | F.col("as_list").isNotNull() | F.col("as_text").isNotNull()
+    fault = F.when(~F.coalesce(F.startswith("shape", F.lit("OBJECT")), F.lit(False)), "not an object").when(F.col("options").isNotNull() & (F.schema_of_variant("options") != "VOID") & ~readable, "unreadable options")
+    fields = ("question_text", "concept_tested", "overall_explanation")
+    return told.select(*rest, "position", *[field(F.col("item"), f"$.{f}").alias(f) for f in fields], "correct_position", parts.alias("parts"), fault.alias("fault"))
+
+
+def normalize_any(items: DataFrame) -> DataFrame:
+    """normalize() for parse_any(): the rejects of items that are no questions come first."""
+    graded = _accepted(items)
+    return graded.withColumn("reject", F.coalesce("fault", "reject")).drop("fault")
+
+
+def _accepted(rows: DataFrame) -> DataFrame:
+    """Question rows from their options in `parts`."""
+    d = lx.RESPONSE_DEFAULTS
     right = F.filter("parts", lambda o: o["is_correct"])
     wrong = F.filter("parts", lambda o: ~o["is_correct"])
     text = F.trim(F.coalesce("question_text", F.lit("")))
@@ -70,7 +143,7 @@ def normalize(questions: DataFrame) -> DataFrame:
         ),
     )
     return rows.select(
-        *[c for c in questions.columns if c not in ("options", "question_text", "overall_explanation", "concept_tested", "correct_position")],
+        *[c for c in rows.columns if c not in ("parts", "options", "question_text", "overall_explanation", "concept_tested", "correct_position")],
         text.alias("question_text"),
         concept.alias("concept"),
         F.get(right, F.lit(0))["text"].alias("correct_answer"),
