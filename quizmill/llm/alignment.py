@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -22,51 +21,34 @@ from quizmill.llm.common import row_key, scratch, share, slices, staged
 #: The vocabularies: a byte-level BPE file and a sentencepiece model.
 LEFT, RIGHT = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text of a block, whose links are counted together, and the most blocks that are laid out as buckets.
-BLOCK, MOST = 8 << 20, 1 << 16
+BLOCK, MOST = 6 << 20, 1 << 16
 #: Bytes and tokens of a run that is aligned at a time, and pairs in a row of counts.
 STEP, TOKENS, ROW = 1 << 17, 1 << 17, 1 << 14
+#: Links of a block that meet their counts at a time.
+LINKS = 1 << 20
 
 _COUNTS = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
 _LIST = pa.list_(pa.int32())
 
 
 class Pieces:
-    """A sentencepiece model and the bytes of its pieces: U+2581 is a blank, <0xHH> is byte HH.
-
-    Where no piece has a blank behind another character, no merge crosses the place before a blank, so stretches of blanks
-    and the word behind them are encoded by themselves and remembered. Models that do not encode so take whole texts.
-    """
+    """A sentencepiece model and the bytes of its pieces: U+2581 is a blank, <0xHH> is byte HH."""
 
     def __init__(self, model: bytes) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes((int(p[3:5], 16),)) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-        self.known = bpe.Known(lambda stretch: bpe.packed(self._stretch(stretch)))
-        self.stretches = re.compile(r" *[^ ]+| +").findall
-        probes = ("a b", "a  b ", "  two", " ", "x\ny z\t", "é 漢  .")
-        self.apart = not any("▁" in p.lstrip("▁") for p in names) and all(self.model.encode(p) == np.frombuffer(self.packed(p), np.int32).tolist() for p in probes)
-
-    def _stretch(self, stretch: str) -> list[int]:
-        """Ids of blanks and a word, of which the model adds the first blank; none if they do not spell it."""
-        ids = self.model.encode(stretch[1:]) if len(stretch) > 1 else [self.model.piece_to_id("▁")]
-        return ids if self._spell(ids) == stretch.encode() else []
 
-    def _spell(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def id_lists(self, texts: list[str]) -> tuple[pa.ListArray, np.ndarray]:
+        """The ids of each text, and whether they spell blank and text."""
+        ids = self.model.encode(texts, num_threads=1)
+        good = [bool(t) and b"".join(map(self.bytes.__getitem__, i)) == f" {t}".encode() for t, i in zip(texts, ids, strict=True)]
+        return pa.array([i if g else [] for i, g in zip(ids, good, strict=True)], _LIST), np.array(good, bool)
 
-    def packed(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.stretches(f" {text}")))
 
-    def id_lists(self, texts: list[str]) -> pa.ListArray:
-        """The ids of each text; fewer bytes than the text where they do not spell it."""
-        if self.apart:
-            return bpe.lists_of([self.packed(t) if t else b"" for t in texts])
-        whole = self.model.encode(texts, num_threads=1)
-        return bpe.lists_of([bpe.packed(ids if t and self._spell(ids) == f" {t}".encode() else []) for t, ids in zip(texts, whole, strict=True)])
-
-
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def pieces(model: bytes) -> Pieces:
+    """One model a worker process."""
     return Pieces(model)
 
 
@@ -75,22 +57,11 @@ def sizes(tokens: list[bytes]) -> pa.Array:
     return pa.array([len(t) for t in tokens], pa.int32())
 
 
-def spelt(lists: pa.ListArray, size: pa.Array) -> np.ndarray:
-    """Bytes of the tokens of each list."""
-    sums = np.concatenate(([0], np.cumsum(np.asarray(size.take(lists.flatten())), dtype=np.int64)))
-    return np.diff(sums[np.asarray(lists.offsets) - lists.offsets[0].as_py()])
-
-
-def both(texts: pa.Array, left: bpe.Tokenizer, right: Pieces, size: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+def both(texts: list[str], left: bpe.Tokenizer, right: Pieces) -> tuple[pa.ListArray, pa.ListArray]:
     """Ids of blank and text by the left tokenizer, and of the text, to which it adds the blank, by the right one. A text
     that is empty, or that the pieces do not spell, has none of either."""
-    texts = texts.fill_null("")
-    b = right.id_lists(texts.to_pylist())
-    good = spelt(b, size) == np.asarray(pc.binary_length(texts)) + 1
-    whole = pc.if_else(pa.array(good), pc.binary_join_element_wise("", texts, " "), "")
-    if not good.all():
-        b = pc.if_else(pa.array(good), b, pa.scalar([], _LIST))
-    return bpe.id_lists(whole, left), b
+    b, good = right.id_lists(texts)
+    return left.id_lists([f" {t}" if g else "" for t, g in zip(texts, good, strict=True)]), b
 
 
 def ends(lists: pa.ListArray, size: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -144,16 +115,15 @@ def _added(parts: list[pa.Table]) -> pa.Table:
     return told.rename_columns(["n" if c == "n_sum" else c for c in told.column_names])
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadcast) -> Iterator[pa.RecordBatch]:
+def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadcast, size_a: pa.Array, size_b: pa.Array) -> Iterator[pa.RecordBatch]:
     """Rows of block, doc_id, a, b; and at the end of the task its link counts by block, without ids."""
     one, two = bpe.loaded(left.value, False), pieces(right.value)
-    size_a, size_b = sizes(bpe.decoder(left.value).bytes), sizes(two.bytes)
     counts: dict[int, list[pa.Table]] = {}
     kind = None
     for whole in batches:
         kind = whole.schema.field("doc_id").type
         for batch in slices(whole, step=STEP):
-            a, b = both(batch.column("text"), one, two, size_b)
+            a, b = both(batch.column("text").fill_null("").to_pylist(), one, two)
             yield pa.record_batch({"block": batch.column("block"), "doc_id": batch.column("doc_id"), "a": a, "b": b, "counts": pa.nulls(batch.num_rows, _COUNTS)})
             blocks = np.asarray(batch.column("block"))
             for block in np.unique(blocks):
@@ -174,14 +144,18 @@ def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadc
             yield pa.record_batch({"block": pa.array([block], pa.int32()), "doc_id": pa.nulls(1, kind), "a": none, "b": none, "counts": one_row})
 
 
-def _scored(docs: pa.Table, counts: pa.Table, left: Broadcast, right: Broadcast) -> pa.Table:
+def _scored(docs: pa.Table, counts: pa.Table, size_a: pa.Array, size_b: pa.Array) -> pa.Table:
     """The rows of a block and the corpus-wide counts of its pairs: its result rows."""
-    size_a, size_b = sizes(bpe.decoder(left.value).bytes), sizes(pieces(right.value).bytes)
+    bpe.loaded.cache_clear()  # this worker tokenises no more
+    pieces.cache_clear()
     if not docs.num_rows:
         return pa.table({})
     docs = docs.combine_chunks()
     a, b = (docs[c].combine_chunks() for c in ("a", "b"))
     tokens = np.cumsum(np.asarray(pc.list_value_length(a)) + np.asarray(pc.list_value_length(b)))
+    known = counts.select(["pair", "count", "best"]).combine_chunks()
+    known = known.set_column(2, "best", pc.cast(known["best"], pa.int64()))
+    sums = np.zeros((3, len(a)), np.int64)
     groups, links, at = [], [], 0
     while at < len(a):
         gone = tokens[at - 1] if at else 0
@@ -190,13 +164,12 @@ def _scored(docs: pa.Table, counts: pa.Table, left: Broadcast, right: Broadcast)
         groups.append(aligned.groups())
         links.append(pa.table({"doc": aligned.doc.astype(np.int32) + np.int32(at), "pair": aligned.pair}))
         at = end
-    known = counts.select(["pair", "count", "best"]).combine_chunks()
-    met = pa.concat_tables(links).join(known, "pair", join_type="left outer", use_threads=False)
-    met = met.set_column(met.column_names.index("best"), "best", pc.cast(met["best"], pa.int64()))
-    told = met.group_by("doc", use_threads=False).aggregate([([], "count_all"), ("best", "sum"), ("count", "sum")])
-    sums = np.zeros((3, len(a)), np.int64)
-    for row, name in zip(sums, ("count_all", "best_sum", "count_sum"), strict=True):
-        row[np.asarray(told["doc"])] = np.asarray(told[name])
+        if at == len(a) or sum(len(x) for x in links) >= LINKS:
+            met = pa.concat_tables(links).join(known, "pair", join_type="left outer", use_threads=False)
+            told = met.group_by("doc", use_threads=False).aggregate([([], "count_all"), ("best", "sum"), ("count", "sum")])
+            for row, name in zip(sums, ("count_all", "best_sum", "count_sum"), strict=True):
+                row[np.asarray(told["doc"])] = np.asarray(told[name])
+            links = []
     every = pa.chunked_array(groups)
     numbers = {"n_a": pc.list_value_length(a), "n_b": pc.list_value_length(b), "n_groups": pc.list_value_length(every)}
     columns = {"doc_id": docs["doc_id"]} | {c: pc.cast(x, pa.int64()) for c, x in numbers.items()}
@@ -209,7 +182,7 @@ def _laid_out(rows: DataFrame, blocks: int) -> DataFrame:
         return staged(rows)
     spark = rows.sparkSession
     name = f"aligned_{uuid.uuid4().hex}"
-    rows.write.option("path", scratch(spark)).bucketBy(blocks, "block").saveAsTable(name)
+    rows.write.option("path", scratch(spark)).option("compression", "zstd").bucketBy(blocks, "block").saveAsTable(name)
     return spark.table(name)
 
 
@@ -230,11 +203,12 @@ def align(docs: DataFrame, left: str = LEFT, right: str = RIGHT) -> DataFrame:
     """
     context = docs.sparkSession.sparkContext
     specs = {"left": context.broadcast(bpe.read(left)), "right": context.broadcast(bpe.read(right))}
+    size = {"size_a": sizes(bpe.Decoder(bpe.read(left)).bytes), "size_b": sizes(Pieces(bpe.read(right)).bytes)}
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = share(docs, of=BLOCK)
     schema = f"block int, doc_id {kind}, a array<int>, b array<int>, counts array<struct<pair: bigint, n: bigint>>"
     texts = docs.select(F.pmod(row_key(), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text").repartition(blocks, "block")
-    told = _laid_out(texts.mapInArrow(partial(_tokenised, **specs), schema), blocks)
+    told = _laid_out(texts.mapInArrow(partial(_tokenised, **specs, **size), schema), blocks)
     pairs = told.filter("counts IS NOT NULL").select(F.col("block").alias("home"), F.inline("counts"))
     counts = staged(pairs.groupBy("pair").agg(F.sum("n").alias("count")))
     named = counts.withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -246,6 +220,6 @@ def align(docs: DataFrame, left: str = LEFT, right: str = RIGHT) -> DataFrame:
     out = f"doc_id {kind}, {numbers}, groups array<struct<a: array<int>, b: array<int>>>"
 
     def scored(one: pa.Table, two: pa.Table) -> pa.Table:
-        return _scored(one, two, **specs)
+        return _scored(one, two, **size)
 
     return rows.groupBy("block").cogroup(shares.groupBy("home")).applyInArrow(scored, out)

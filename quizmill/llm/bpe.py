@@ -8,7 +8,7 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -55,7 +55,7 @@ def _ranges(codes: list[int]) -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(first, last, strict=True))
 
 
-class _Splitter:
+class Splitter:
     """Words of a text. Letters and digits younger than Python's own tables are known to some libraries only; a text with
     one of them is cut by the library that belongs to the file."""
 
@@ -138,8 +138,90 @@ class Tokenizer:
         added = {t["content"]: t["id"] for t in said.get("added_tokens", ())}
         self.added = added if special else {}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.words = _Splitter(letters)
-        self.known = Known(lambda word: packed(self.word(word.encode())))
+        self.words = Splitter(letters)
+        self.memory: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        keys = np.array(list(self.rank), np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.array(list(self.rank.values()), np.int32)[order]
+        self.ids_made, self.ids_single = np.array([*self.made, -1], np.int32), np.array(self.single, np.int32)
+        bytes_pair = self.ids_single[:, None].astype(np.int64) << 32 | self.ids_single[None, :]
+        self.first_ranks = self._rank(bytes_pair.ravel())
+
+    def _rank(self, pair: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], _NONE)
+
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of many short words: word(), a row of `parts` and of `ranks` for each word, one merge in all of
+        them at a time. Words that nothing merges in any more leave."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.array([len(w) for w in words])
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, SHORT)):
+            rows = np.flatnonzero((size > low) & (size <= high))
+            if not len(rows):
+                continue
+            width = int(size[rows].max())
+            codes = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width)
+            left, column = size[rows], np.arange(width)
+            parts = np.where(column < left[:, None], self.ids_single[codes], -1)
+            pair = codes[:, :-1].astype(np.int32) << 8 | codes[:, 1:]
+            ranks = np.where(column[1:] < left[:, None], self.first_ranks[pair], _NONE)
+            while len(rows):
+                at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(rows), int)
+                least = ranks[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), _NONE)
+                over = least == _NONE
+                for i, n, ids in zip(rows[over].tolist(), left[over].tolist(), parts[over], strict=True):
+                    out[i] = ids[:n].tobytes()
+                rows, left, parts, ranks, at, least = (x[~over] for x in (rows, left - 1, parts, ranks, at, least))
+                if not len(rows):
+                    break
+                line, column = np.arange(len(rows)), np.arange(width - 1)
+                parts[line, at] = self.ids_made[least]
+                parts = np.take_along_axis(parts, column + (column > at[:, None]), 1)
+                ranks = np.take_along_axis(ranks, column[:-1] + (column[:-1] >= at[:, None]), 1)
+                width -= 1
+                merged = parts[line, at].astype(np.int64)
+                some = at > 0
+                ranks[line[some], at[some] - 1] = self._rank(parts[line[some], at[some] - 1].astype(np.int64) << 32 | merged[some])
+                some = at < left - 1
+                ranks[line[some], at[some]] = self._rank(merged[some] << 32 | parts[line[some], at[some] + 1])
+        return out
+
+    def _cut(self, text: str) -> list[str]:
+        """Words of a text; added tokens, which no word can equal, among them."""
+        if not self.cut or not self.cut.search(text):
+            return self.words(text)
+        out, at = [], 0
+        for found in self.cut.finditer(text):
+            out += self.words(text[at : found.start()])
+            out.append(found.group())
+            at = found.end()
+        return out + self.words(text[at:])
+
+    def _encode(self, word: str) -> bytes:
+        return packed([self.added[word]]) if word in self.added else packed(self.word(word.encode()))
+
+    def id_lists(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text. Words met before are looked up and the new ones encoded together. Memory has two
+        generations: when the young one is full it becomes the old one, from which words that come again are taken back."""
+        young, old = self.memory
+        cut = [self._cut(t) for t in texts]
+        lacking = [w for w in set(chain.from_iterable(cut)) if w not in young]
+        young.update((w, old[w]) for w in lacking if w in old)
+        new = [w for w in lacking if w not in young]
+        short = [w for w in new if len(w) * 4 <= SHORT and w not in self.added]
+        young.update(zip(short, self.together([w.encode() for w in short]), strict=True))
+        young.update((w, self._encode(w)) for w in new if w not in young)
+        lists = lists_of([b"".join(map(young.__getitem__, words)) for words in cut])
+        for w in new:
+            if len(w) > LONGEST:
+                del young[w]
+        if len(young) > REMEMBERED:
+            self.memory = {}, young
+        return lists
+
+    def ids(self, text: str) -> list[int]:
+        return self.id_lists([text])[0].values.to_pylist() if text else []
 
     def word(self, word: bytes) -> list[int]:
         """The ids of one word. `parts` holds the id of each stretch between two boundaries and `ranks` the merge rank of
@@ -186,39 +268,6 @@ class Tokenizer:
                 look(before[i])
         return [p for p in parts if p >= 0]
 
-    def packed(self, text: str) -> bytes:
-        """The ids of a text as 32-bit numbers one after the other."""
-        known = self.known.__getitem__
-        if not self.cut or not self.cut.search(text):
-            return b"".join(map(known, self.words(text)))
-        out, at = [], 0
-        for found in self.cut.finditer(text):
-            out += map(known, self.words(text[at : found.start()]))
-            out.append(packed([self.added[found.group()]]))
-            at = found.end()
-        return b"".join(chain(out, map(known, self.words(text[at:]))))
-
-    def ids(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), np.int32).tolist()
-
-class Known(dict):
-    """Words met so far with their packed ids, in two generations: when the young one is full it becomes the old one, from
-    which words that come again are taken back, so frequent words stay."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.encode(word)
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
 
 @lru_cache(maxsize=4)
 def loaded(spec: bytes, special: bool) -> Tokenizer:
@@ -237,17 +286,12 @@ def lists_of(ids: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
-def id_lists(texts: pa.Array, tokenizer: Tokenizer) -> pa.ListArray:
-    """The ids of each text, null as empty."""
-    return lists_of([tokenizer.packed(t) for t in texts.fill_null("").to_pylist()])
-
-
 def _encode(batches: Iterator[pa.RecordBatch], spec: Broadcast, special: bool, column: str, out: str) -> Iterator[pa.RecordBatch]:
     tokenizer = loaded(spec.value, special)
     for whole in batches:
         for batch in slices(whole, column):
             rest = {c: batch.column(c) for c in batch.schema.names if c != out}
-            yield pa.record_batch(rest | {out: id_lists(batch.column(column), tokenizer)})
+            yield pa.record_batch(rest | {out: tokenizer.id_lists(batch.column(column).fill_null("").to_pylist())})
 
 
 def _decode(batches: Iterator[pa.RecordBatch], spec: Broadcast, column: str, out: str) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import random
 
 import public_tokenizers
 import pyarrow as pa
@@ -110,13 +109,3 @@ def test_groups_spell_the_text(spark):
     row = alignment.align(spark.createDataFrame([(1, "Some naïve façade, well-formed.")], "doc_id long, text string")).first()
     sides = [b"".join(table[i] for g in row.groups for i in g[side]) for side, table in (("a", left.bytes), ("b", right.bytes))]
     assert sides[0] == sides[1] == " Some naïve façade, well-formed.".encode()
-
-
-def test_stretches_are_encoded_as_whole_texts_are():
-    rng = random.Random(1)
-    right = alignment.Pieces(bpe.read(alignment.RIGHT))
-    assert right.apart
-    some = ["a", "b", " ", "  ", "\n", "é", "漢", "the", "ing", ".", "1", "\t", "́", "　", "\u00a0", "x\u200b", "Ａ", "ﬁ"]
-    for _ in range(3000):
-        text = "".join(rng.choice(some) for _ in range(rng.randrange(1, 25)))
-        assert right.id_lists([text]).to_pylist() == [B.encode(text)], repr(text)

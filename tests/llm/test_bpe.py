@@ -67,6 +67,13 @@ def test_both_forms_of_a_word_agree(own):
         assert own._long(word) == own.word(word)
 
 
+def test_words_merge_together_as_alone(own):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinrst hé漢.") for _ in range(rng.randrange(1, 40))).encode() for _ in range(3000)] + [b"a", b"\0", b"\0\0the", b"x" * 256]
+    assert own.together(words) == [bpe.packed(own.word(w)) for w in words]
+    assert own.together([]) == []
+
+
 def test_a_small_memory_changes_nothing(library, own, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     fresh = bpe.Tokenizer(bpe.read(bpe.VOCABULARY))
