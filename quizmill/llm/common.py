@@ -136,7 +136,7 @@ class Words:
     def __init__(self, texts: pa.Array | pa.ChunkedArray) -> None:
         data, at = text_bytes(texts)
         self.at, self.data = at, _LOWER[data]
-        inside = _IN_WORD[data]
+        inside = self.inside(data)
         opens, closes = inside.copy(), inside.copy()
         opens[1:] &= ~inside[:-1]
         closes[:-1] &= ~inside[1:]
@@ -148,6 +148,11 @@ class Words:
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, at)
 
+    @staticmethod
+    def inside(data: np.ndarray) -> np.ndarray:
+        """Which bytes belong to words."""
+        return _IN_WORD[data]
+
     @property
     def count(self) -> np.ndarray:
         return np.diff(self.first)

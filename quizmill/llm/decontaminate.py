@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quizmill.llm.common import Words, body, slices
+from quizmill.llm.common import Words as AnyWords
+from quizmill.llm.common import body, slices
 
-#: Words of a passage and of the step between two; items of fewer words than LEAST must stand word for word.
+#: Words of a passage and of the step between two; items of fewer words than LEAST must stand word for word, and are
+#: reported but prove no leak.
 PASSAGE, STEP, LEAST = 64, 32, 8
 #: Items that the driver takes at a time, passages that one model covers (and so its latent dimensions, at most), models
 #: that a task holds, and power passes.
@@ -30,6 +32,24 @@ VERIFY = 300
 IDF_DIMS = 1 << 16
 LOWERED = "__lowered"
 
+_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+#: Signs of two and three bytes that part words: U+0080 to U+00BF without its letters, U+2000 to U+207F, U+3000 to U+303F.
+_SIGNS = {0xC2: np.array([128 <= b < 192 and b not in (0xAA, 0xB5, 0xBA) for b in range(256)]), 0xE2: np.isin(np.arange(256), (0x80, 0x81)), 0xE3: np.arange(256) == 0x80}
+
+
+class Words(AnyWords):
+    """Words of this operator are runs of letters and digits: what stands between them, and how, tells no copy apart."""
+
+    @staticmethod
+    def inside(data: np.ndarray) -> np.ndarray:
+        out = _LETTER[data]
+        for lead, after in _SIGNS.items():
+            at = np.flatnonzero(data[:-1] == lead)
+            at = at[after[data[at + 1]]]
+            for i in range(2 if lead == 0xC2 else 3):
+                out[np.minimum(at + i, len(data) - 1)] = False
+        return out
+
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, tokens = np.zeros(IDF_DIMS + 1, np.int64), np.zeros(IDF_DIMS + 1, np.int64)
@@ -357,15 +377,15 @@ def _cosine(seen: list[tuple[Latent, Windows]], doc: int, k: int) -> float:
     return best
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark in blocks of whole items with at most GROUP * RANK passages (or one longer item), with document
+def blocks(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> Iterator[Block]:
+    """The benchmark's items of `least` words or more in blocks of whole items with at most GROUP * RANK passages (or one longer item), with document
     frequencies over all of docs. Each model of a block has at most RANK passages. The driver holds about BLOCK items."""
     named = benchmark.filter("text IS NOT NULL").select("item_id", F.lower("text").alias("text"))
     parts = max(1, -(-named.count() // BLOCK))
     known = None
     for k in range(parts):
         part = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        items = [i for i in _items(sorted(part.collect(), key=lambda r: (str(r.item_id), r.text))) if i.words]
+        items = [i for i in _items(sorted(part.collect(), key=lambda r: (str(r.item_id), r.text))) if len(i.words) >= least]
         some, size = [], 0
         for item in [*items, None]:
             more = len(_passages([item])) if item else 0
@@ -388,8 +408,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     block of the benchmark (a stated query set; a benchmark of any size goes block by block, one scan of docs each, so what
     a task holds is bounded). Rare or short passages that this misses are looked up by their own words: every place where an item may
     stand within one and a half times its length is verified, however common its words are. Candidates are verified on the
-    words themselves, in lower case; items of fewer than LEAST words, down to one, must stand word for word. Items that are
-    null or have no word take no part; null texts hold nothing. A repeated row is reported
+    words themselves, runs of letters and digits in lower case; items of fewer than LEAST words, down to one, must stand
+    word for word. Items that are null or have no word take no part; null texts hold nothing. A repeated row is reported
     each time, equal items each by their id; an empty table gives no rows.
     """
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType())])
@@ -410,10 +430,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark item, as leaks() finds them; every column of the others stays. Each row
-    is judged where it stands, so nothing is shuffled."""
+    """docs without the rows that hold a benchmark item of LEAST words or more, as leaks() finds them; every column of the
+    others stays. Shorter items, which stand in texts by chance, take no row away: leaks() lists them. Each row is judged
+    where it stands, so nothing is shuffled."""
     out = docs.withColumn(LOWERED, F.lower(body()))
-    for block in blocks(docs, benchmark):
+    for block in blocks(docs, benchmark, LEAST):
 
         def clean(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for whole in batches:

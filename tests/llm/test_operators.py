@@ -230,6 +230,28 @@ def test_short_items_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(len(texts))]
 
 
+def test_other_punctuation_hides_no_copy(spark):
+    rng = np.random.default_rng(9)
+    items = [" ".join(f"term{x}" for x in rng.integers(0, 5000, 20)) + ". Answer forty two." for _ in range(40)]
+    signs = [",", ".", ";", " -", "\u2014", "\u2026", "!", "\u00a0", "\u3001", ")"]
+
+    def again(text):
+        return " ".join("\u201c" * (i % 3 == 0) + w.strip(".") + (signs[(i // 4) % len(signs)] if i % 4 == 0 else "") for i, w in enumerate(text.split()))
+
+    docs = verbatim(spark, [again(t) for t in items], 11)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i in range(40)}
+    words = decontaminate.Words(pa.array(["a\u201cb\u201d c\u2014d \u00bfe\u00b5? f's \u3001g 1.5", "\u2026", None, "\u00e9\u6f22x_y"]))
+    assert words.count.tolist() == [10, 0, 0, 2]
+
+
+def test_tiny_items_are_listed_and_take_nothing_away(spark):
+    docs = spark.createDataFrame([(1, "well yes it is"), (2, "no"), (3, "one two three four five six seven eight nine")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "yes"), (1, "One, two; three four five six seven eight!")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 0), (3, 1)}
+    assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {1, 2}
+
+
 def test_passages_of_long_items_are_found(spark):
     rng = np.random.default_rng(8)
     texts = [" ".join(f"long{x}" for x in rng.integers(0, 20000, n)) for n in (65, 100, 200, 200, 200, 701)]
