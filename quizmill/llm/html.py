@@ -5,8 +5,10 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -17,13 +19,16 @@ from pyspark.sql import types as T
 
 from quizmill.llm.common import slices, with_columns
 
-#: Most pages that the trees are grown on (each twice, once with side matter set into it), trees, depth, bins and step.
-SAMPLE, TREES, DEPTH, BINS, RATE = 300, 40, 3, 16, 0.3
+#: Most pages that the trees are grown on (each eight times: without and with side matter set into it, under four sets of
+#: names), trees, depth, bins and step.
+SAMPLE, TREES, DEPTH, BINS, RATE = 300, 60, 4, 16, 0.3
 SEED = 5
 
 #: Element kinds, and class, id and role words that name main or side matter.
 BLOCKS = set("html body main article section div nav header footer aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd blockquote pre figure figcaption table thead tbody tfoot tr address details summary dialog menu center hr".split())
-SILENT = set("script style title noscript template iframe svg math object canvas select option button textarea audio video head".split())
+SILENT = set("script style title noscript template iframe svg object canvas select option button textarea audio video head".split())
+#: Silent elements that pages forget to end: without an end of their own they reach to the next block.
+CONTROLS = set("button select option canvas object audio video".split())
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SIDE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog"}
@@ -33,7 +38,7 @@ MAIN_WORDS = set("article articlebody body-text content entry main maincontent p
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_WORD = re.compile(r"[a-z]+")
+_CONTROL = re.compile(r"<(/?)(button|select|option|canvas|object|audio|video)\b", re.I)
 
 
 @dataclass(slots=True)
@@ -53,7 +58,16 @@ def parse(page: str) -> list[Node]:
     its references decoded and its white space made single blanks."""
     nodes = [Node("html", -1, 0)]
     stack, piece, link, in_link, hush = [0], [], 0, False, []
-    at, raw = 0, ""
+    at, raw, loose = 0, "", False
+    marks: dict[str, tuple[list[int], list[int]]] = {}
+    for m in _CONTROL.finditer(page):
+        marks.setdefault(m.group(2).lower(), ([], []))[bool(m.group(1))].append(m.start())
+
+    def unended(tag: str, place: int) -> bool:
+        """Whether the control that starts here is not ended before another of its kind starts."""
+        opens, closes = marks[tag]
+        i, j = bisect_right(opens, place), bisect_right(closes, place)
+        return j == len(closes) or (i < len(opens) and opens[i] < closes[j])
 
     def close() -> None:
         nonlocal link
@@ -98,6 +112,9 @@ def parse(page: str) -> list[Node]:
         at = m.end()
         if not tag:
             continue
+        if hush and loose and tag in BLOCKS:
+            hush.clear()
+            loose = False
         if hush:
             if tag in SILENT:
                 if not closing:
@@ -113,6 +130,7 @@ def parse(page: str) -> list[Node]:
             if not closing and not m.group(0).endswith("/>"):
                 hush.append(tag)
                 raw = tag if tag in RAW else ""
+                loose = tag in CONTROLS and unended(tag, m.start())
         elif tag == "a":
             in_link = not closing
         elif tag in ("br", "td", "th", "wbr"):
@@ -131,7 +149,7 @@ def parse(page: str) -> list[Node]:
             if tag == "hr":
                 continue
             up = stack[-1]
-            words = frozenset(w for v in _NAMES.findall(m.group(3)) for w in _WORD.findall(v.lower())) if m.group(3) else frozenset()
+            words = frozenset(w for v in _NAMES.findall(m.group(3)) for w in v.strip("\"'").lower().split()) if m.group(3) else frozenset()
             nodes[up].children.append(len(nodes))
             nodes.append(Node(tag, up, nodes[up].depth + 1, words))
             stack.append(len(nodes) - 1)
@@ -141,52 +159,69 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def _side(x: Node, in_main: bool) -> bool:
+    return x.tag in SIDE_TAGS or (x.tag == "header" and not in_main) or not SIDE_WORDS.isdisjoint(x.words)
+
+
+def _main(x: Node) -> bool:
+    return x.tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(x.words)
+
+
 def features(nodes: list[Node]) -> np.ndarray:
-    """A row per node: kind of element, attribute words, what stands above, depth, siblings, and subtree densities."""
+    """A row per node, in the order of NAMES: kind of element, attribute tokens, names above, depth, siblings, and subtree
+    densities."""
     n = len(nodes)
-    chars, linked, runs, stops, order = ([0] * n for _ in range(5))
-    side, main = [0] * n, [0] * n
+    chars, linked, runs, stops, order, links = ([0] * n for _ in range(6))
+    near, main = [-1] * n, [0] * n
     so_far = 0
     for i, x in enumerate(nodes):
         order[i] = so_far
-        own_side = (x.tag in SIDE_TAGS or (x.tag == "header" and not (i and main[x.up]))) + bool(x.words & SIDE_WORDS)
-        side[i] = own_side + (side[x.up] if i else 0)
-        main[i] = (x.tag in MAIN_TAGS) + bool(x.words & MAIN_WORDS) + (main[x.up] if i else 0)
+        above = main[x.up] if i else 0
+        near[i] = i if _side(x, bool(above)) else (near[x.up] if i else -1)
+        main[i] = _main(x) + above
         if not x.tag:
             chars[i], linked[i], runs[i] = len(x.text), x.linked, 1
             stops[i] = x.text.count(".") + x.text.count(",") + x.text.count("!") + x.text.count("?")
+            links[i] = x.linked > 0
             so_far += len(x.text)
     for i in range(n - 1, 0, -1):
         up = nodes[i].up
-        chars[up] += chars[i]
-        linked[up] += linked[i]
-        runs[up] += runs[i]
-        stops[up] += stops[i]
-    total = max(1, chars[0])
-    out = np.zeros((n, 24), np.float32)
+        for sums in (chars, linked, runs, stops, links):
+            sums[up] += sums[i]
+    total, named = max(1, chars[0]), any(main)
+    kinds = [Counter(nodes[j].tag for j in x.children) for x in nodes]
+    out = np.zeros((n, len(NAMES)), np.float32)
     for i, x in enumerate(nodes):
         up = nodes[x.up] if i else x
         tag = x.tag or up.tag
-        kin = up.children if i else [0]
-        alike = sum(nodes[j].tag == x.tag for j in kin) if len(kin) <= 64 else 64
-        size = max(1, chars[i])
+        size, kin, above = max(1, chars[i]), len(up.children) if i else 1, max(1, chars[x.up] if i else chars[0])
         out[i] = (
-            not x.tag, tag == "p", tag in HEADINGS, tag in ("li", "ul", "ol"), tag in ("div", "section"), tag in ("table", "tr"), tag in SIDE_TAGS, tag in MAIN_TAGS, tag in ("html", "body"),
-            len(x.words), side[i], main[i], min(side[i], 1) * min(main[i], 1), x.depth, len(kin), alike / max(1, min(len(kin), 64)), len(x.children),
+            not x.tag, tag == "p", tag in HEADINGS, tag in ("li", "ul", "ol"), tag in ("div", "section"), tag in ("table", "tr"), tag in ("html", "body"),
+            len(x.words), chars[near[i]] / total if near[i] >= 0 else 2, main[i], named, x.depth, kin, kinds[x.up][x.tag] / max(1, kin) if i else 1, len(x.children),
             math.log1p(chars[i]), linked[i] / size, chars[i] / total, math.log1p(chars[i] / max(1, runs[i])), 20 * stops[i] / size, order[i] / total, math.log1p(total),
+            linked[x.up if i else 0] / above, 20 * stops[x.up if i else 0] / above, math.log1p(chars[x.up if i else 0]), links[i] / max(1, runs[i]), runs[i], (total - order[i] - chars[i]) / total,
         )
     return out
 
 
+#: What each feature tells; those of text in a subtree are densities.
+NAMES = (
+    "run paragraph heading list division table page tokens side_share main_above main_named depth siblings alike children "
+    "chars links share run_chars stops before page_chars up_links up_stops up_chars linked_runs runs after"
+).split()
+DENSITIES = {"chars", "links", "share", "run_chars", "stops", "up_links", "up_stops", "up_chars", "linked_runs"}
+
+
 def rule_labels(nodes: list[Node]) -> np.ndarray:
-    """The labels that the trees learn: a run is main text if nothing around it is named side matter and, where a page has
-    an element named as main, it stands in one; an element is main if it holds such a run."""
+    """True labels of pages that name their parts: a run is main text if nothing around it is named side matter and, where a
+    page has an element named as main, it stands in one; an element is main if it holds such a run. The trees see most of these pages under
+    other names (see disguised), so they can't restate this."""
     n = len(nodes)
     side, main = [False] * n, [False] * n
     for i, x in enumerate(nodes):
-        above = i and main[x.up]
-        main[i] = bool(above or x.tag in MAIN_TAGS or x.words & MAIN_WORDS)
-        side[i] = bool((i and side[x.up]) or x.tag in SIDE_TAGS or (x.tag == "header" and not above) or x.words & SIDE_WORDS)
+        above = bool(i and main[x.up])
+        main[i] = above or _main(x)
+        side[i] = bool(i and side[x.up]) or _side(x, above)
     named = any(main)
     label = np.array([not x.tag and not side[i] and (main[i] or not named) for i, x in enumerate(nodes)])
     for i in range(n - 1, 0, -1):
@@ -194,6 +229,40 @@ def rule_labels(nodes: list[Node]) -> np.ndarray:
     return label
 
 
+def wrapped(nodes: list[Node], at: int, tag: str, words: frozenset) -> list[Node]:
+    """The page with one more element around all that the node at `at` holds; it stands right behind that node."""
+    out = []
+    for i, x in enumerate(nodes):
+        inner = i > at  # nodes behind it may be others' children: only its own get deeper
+        up = x.up if x.up < at or not inner else (at + 1 if x.up == at else x.up + 1)
+        deeper = inner and (x.up == at or (x.up > at and out[x.up + 1].depth > nodes[x.up].depth))
+        out.append(replace(x, up=up, depth=x.depth + deeper, children=[c + (c > at) for c in x.children]))
+        if i == at:
+            out.append(Node(tag, at, x.depth + 1, words, children=[c + 1 for c in x.children]))
+            out[at].children = [at + 1]
+    return out
+
+
+def disguised(nodes: list[Node], label: np.ndarray, kind: int, rng: np.random.Generator) -> tuple[list[Node], np.ndarray]:
+    """The same page under other names, and its labels: 0 as it is; 1 without any names, semantic elements as plain
+    divisions; 2 without the names of main matter; 3 with a side name around all of it. But for 0, up to two plain divisions
+    stand around its parts as well."""
+    out = [replace(x) for x in nodes]
+    if kind in (1, 2):
+        for x in out:
+            if _main(x) or (kind == 1 and (x.tag in SIDE_TAGS or x.tag == "header")):
+                x.tag = "div"
+            x.words = frozenset() if kind == 1 else x.words - MAIN_WORDS
+    whole = next((i for i, x in enumerate(out) if x.tag == "body"), 0)
+    around = [("div", frozenset())] * int(rng.integers(3)) if kind else []
+    if kind == 3:
+        name = sorted(SIDE_WORDS)[rng.integers(len(SIDE_WORDS))]
+        around.insert(int(rng.integers(len(around) + 1)), ("form", frozenset()) if rng.integers(2) else ("div", frozenset({name})))
+    for tag, words in around:
+        out, label = wrapped(out, whole, tag, words), np.insert(label, whole, label[whole])
+    return out, label
+
+
 def with_side_matter(page: str, other: str, rng: np.random.Generator) -> str:
     """The page with blocks of another page set around and into it under names of side matter, and its main element under
     another name now and then: what the given pages lack, the trees learn from these."""
@@ -300,8 +369,9 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Forest | None:
         part = part.drop_duplicates("html").sort_values("order", ignore_index=True)
         rng, some = np.random.default_rng(SEED), list(part["html"])
         some += [with_side_matter(p, some[k - 1], rng) for k, p in enumerate(some)]
-        parsed = [parse(p) for p in some]
-        f = grow(np.vstack([features(x) for x in parsed]), np.concatenate([rule_labels(x) for x in parsed]).astype(float))
+        told = [(x, rule_labels(x)) for x in map(parse, some)]
+        seen = [disguised(x, y, kind, rng) for x, y in told for kind in range(4)]
+        f = grow(np.vstack([features(x) for x, _ in seen]), np.concatenate([y for _, y in seen]).astype(float))
         return pd.DataFrame({"name": ["bias", "feature", "limit", "leaf"], "value": [np.asarray(v, float).tobytes() for v in (f.bias, f.feature, f.limit, f.leaf)]})
 
     got = {r.name: np.frombuffer(r.value) for r in few.groupBy("task").applyInPandas(train, "name string, value binary").collect()}
