@@ -381,6 +381,16 @@ add(
     "CAST(ceil((question_index + 1) / 5) AS BIGINT) AS page_number, difficulty AS split_difficulty, concept AS split_concept FROM bank",
 )
 
+
+def moodle_files(s, d):
+    """The bank written as question documents, an assessment a folder, and read back."""
+    out = progress.scratch(s)
+    exports.write_moodle(bank(s, d), out)
+    return exports.read_moodle(s, out).select(*K, "question_text", "correct_answer", F.size("texts").cast("bigint").alias("n_options"), F.col("broken").isNotNull().alias("broken"))
+
+
+add("moodle_files", moodle_files, B, f"SELECT {KS}, question_text, correct_answer, 1 + len(distractors) AS n_options, false AS broken FROM bank")
+
 # --- streams: results hold the windows the watermark has closed --------------------------------------
 
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.functions import rules
-from quizmill.operators import scoring, stats
+from quizmill.operators import frequent, scoring, stats
 from quizmill.plans import sql as S
 from quizmill.plans.common import bank, flat, scored
 from quizmill.sources import bridge
@@ -156,6 +156,18 @@ add(
     "CAST(sum(uses) OVER (PARTITION BY assessment_id) AS BIGINT) AS total_distractors, count(*) OVER (PARTITION BY assessment_id) AS unique_misconceptions, "
     "round(count(*) OVER (PARTITION BY assessment_id) / sum(uses) OVER (PARTITION BY assessment_id), 6) AS diversity_score FROM mis_c QUALIFY use_rank <= 5",
 )
+add(
+    "frequent_concepts",
+    lambda s, d: flat(frequent.top_values(bank(s, d).select("source_file", "concept"), "concept", ["source_file"], 10)),
+    B,
+    "SELECT source_file, concept, count(*) AS uses, row_number() OVER (PARTITION BY source_file ORDER BY count(*) DESC, concept) AS rank FROM bank WHERE concept IS NOT NULL GROUP BY source_file, concept QUALIFY rank <= 10",
+)
+add(
+    "frequent_misconceptions",
+    lambda s, d: flat(frequent.top_values(bank(s, d).select(F.explode("distractors.misconception_type").alias("misconception_type")), "misconception_type", [], 3)),
+    B,
+    "SELECT m AS misconception_type, count(*) AS uses, row_number() OVER (ORDER BY count(*) DESC, m) AS rank FROM (SELECT unnest(distractors).misconception_type AS m FROM bank) GROUP BY m QUALIFY rank <= 3",
+)
 add(
     "assessment_recommendations",
     lambda s, d: flat(stats.assessment_advice(scored(s, d))),

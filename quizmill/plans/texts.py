@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.functions import text as tx
 from quizmill.operators import chunking as ch
+from quizmill.operators import finders
 from quizmill.plans import sql as S
 from quizmill.plans.common import flat
 from quizmill.session import load
@@ -142,6 +145,22 @@ add(
     P + [EQS],
     f"SELECT {DP}, start_pos, end_pos, kind, full_match, {content} AS content FROM eqs",
 )
+NAMED = [(name, re.compile(p, re.DOTALL | re.IGNORECASE)) for name, p in lx.NAMED_EQUATIONS]
+
+
+def python_equations(text):
+    """A finder as a user would write it: every named pattern's matches."""
+    for name, pattern in NAMED:
+        for m in pattern.finditer(text):
+            yield name, m.group(1), m.group(0), m.start()
+
+
+add(
+    "element_finder",
+    lambda s, d: finders.elements(pages(s, d), python_equations).select("doc_id", "page_num", "start_pos", "end_pos", "kind", "full_match", "content"),
+    P + [EQS],
+    f"SELECT {DP}, start_pos, end_pos, kind, full_match, {content} AS content FROM eqs",
+)
 add(
     "equations_by_page",
     lambda s, d: ch.equations_by_page(pages(s, d)).select("doc_id", "page_num", "id", "kind", "start_pos", "end_pos"),

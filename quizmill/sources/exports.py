@@ -6,7 +6,7 @@ assessment never gathers it in one value. The writers below sort inside partitio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
@@ -140,8 +140,8 @@ def export_qti(bank: DataFrame, teacher: bool = True) -> DataFrame:
     return with_options(bank).select(KEY, IDX, to_xml(item, "item").alias("xml"))
 
 
-def export_moodle(bank: DataFrame) -> DataFrame:
-    """One multiple-choice question element per question, with feedback per option."""
+def _moodle() -> list[Column]:
+    """Parts of a multiple-choice question element, with feedback per option."""
 
     def html(*parts: Column | str) -> Column:
         return F.concat(F.lit("<p>"), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("</p>"))
@@ -157,7 +157,7 @@ def export_moodle(bank: DataFrame) -> DataFrame:
             F.struct(F.lit("html").alias("_format"), feedback.alias("text")).alias("feedback"),
         )
 
-    item = [
+    return [
         F.lit("multichoice").alias("_type"),
         F.struct(F.concat(F.lit("Question "), number()).alias("text")).alias("name"),
         F.struct(F.lit("html").alias("_format"), html(F.col("question_text")).alias("text")).alias("questiontext"),
@@ -165,7 +165,44 @@ def export_moodle(bank: DataFrame) -> DataFrame:
         F.lit("true").alias("single"), F.lit("true").alias("shuffleanswers"),
         F.transform("texts", answer).alias("answer"),
     ]
-    return with_options(bank).select(KEY, IDX, to_xml(item, "question").alias("xml"))
+
+
+def export_moodle(bank: DataFrame) -> DataFrame:
+    """One multiple-choice question element per question."""
+    return with_options(bank).select(KEY, IDX, to_xml(_moodle(), "question").alias("xml"))
+
+
+def write_moodle(bank: DataFrame, path: str) -> None:
+    """XML documents of question elements, a folder per assessment. An assessment's questions are dealt by number, so one of
+    any size is written by as many tasks as it needs; each file is a document of its own."""
+    items = with_options(bank).select(KEY, F.floor(F.col(IDX) / 10_000).alias("part"), *_moodle())
+    items.repartition(KEY, "part").drop("part").write.format("xml").option("rootTag", "quiz").option("rowTag", "question").mode("overwrite").partitionBy(KEY).save(path)
+
+
+#: Question elements as they are read; `broken` takes the text of an element that is none.
+MOODLE = (
+    "_type string, name struct<text: string>, questiontext struct<_format: string, text: string>, defaultgrade string, penalty string, hidden string, single string, shuffleanswers string, "
+    "answer array<struct<_fraction: string, _format: string, text: string, feedback: struct<_format: string, text: string>>>, broken string"
+)
+
+
+def read_moodle(spark: SparkSession, path: str) -> DataFrame:
+    """(assessment_id, question_index, question_text, correct_answer, texts, feedback, broken) from question documents. An element
+    that can't be read has its text in `broken` and nulls elsewhere; others go on."""
+    reader = spark.read.format("xml").option("rowTag", "question").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("ignoreSurroundingSpaces", "false")
+    rows = reader.schema(f"{MOODLE}, {KEY} bigint").load(path)
+
+    def bare(c: Column) -> Column:
+        return F.regexp_replace(c, r"(?s)^<p>(.*)</p>$", "$1")
+
+    number_of = F.try_to_number(F.regexp_extract(F.col("name.text"), r"(\d+)\s*$", 1), F.lit("9999999999")).cast("bigint")
+    right = F.filter("answer", lambda a: a["_fraction"] == "100")
+    return rows.select(
+        KEY, (number_of - 1).alias(IDX), bare(F.col("questiontext.text")).alias("question_text"), bare(F.get(right, F.lit(0))["text"]).alias("correct_answer"),
+        F.transform("answer", lambda a: bare(a["text"])).alias("texts"), F.transform("answer", lambda a: bare(a["feedback"]["text"])).alias("feedback"), "broken",
+    )
+
+
 
 
 def answer_key(bank: DataFrame) -> DataFrame:
