@@ -80,15 +80,22 @@ class Aligned:
 
     The keys of both sides meet in a hash join: what it keeps are the bytes where tokens of both sides end, the ends of
     groups. Between two ends of any kind lies a stretch inside one token of either side, which is a link: `doc`, its list;
-    `pair`, the left id above 32 bits and the right one below.
+    `pair`, the left id above 32 bits and the right one below. Lists that an alignment has marked need no second join.
     """
 
-    def __init__(self, a: pa.ListArray, b: pa.ListArray, a_size: pa.Array, b_size: pa.Array) -> None:
+    def __init__(self, a: pa.ListArray, b: pa.ListArray, a_size: pa.Array, b_size: pa.Array, marked: bool = False) -> None:
         self.lists = len(a)
+        self.offsets = [pc.subtract(x.offsets, x.offsets[0]) for x in (a, b)]
+        flags = None
+        if marked:
+            (a, flags), (b, _) = _unmarked(a), _unmarked(b)
         self.flat_a, parent, key_a = ends(a, a_size)
         self.flat_b, _, key_b = ends(b, b_size)
-        met = pa.table({"key": key_a}).join(pa.table({"key": key_b}), "key", join_type="left semi", use_threads=False)
-        self.shared = np.sort(np.asarray(met["key"].combine_chunks()))
+        if marked:
+            self.shared = np.asarray(key_a)[flags]
+        else:
+            met = pa.table({"key": key_a}).join(pa.table({"key": key_b}), "key", join_type="left semi", use_threads=False)
+            self.shared = np.sort(np.asarray(met["key"].combine_chunks()))
         self.a, self.b, self.parent = np.asarray(key_a), np.asarray(key_b), np.asarray(parent)
         every = np.concatenate((self.a, self.b))
         every.sort(kind="stable")  # two sorted runs
@@ -97,17 +104,43 @@ class Aligned:
         self.doc = self.parent[at]
         self.pair = np.asarray(self.flat_a)[at].astype(np.int64) << 32 | np.asarray(self.flat_b)[np.searchsorted(self.b, stretch)]
 
-    def counts(self) -> pa.Table:
-        """How often each pair of ids is linked: pair, n."""
-        told = pa.table({"pair": self.pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
+    def marked(self) -> tuple[pa.ListArray, pa.ListArray]:
+        """Both lists with twice the id for each token, and one more where it ends a group."""
+        out = []
+        for flat, keys, offsets in ((self.flat_a, self.a, self.offsets[0]), (self.flat_b, self.b, self.offsets[1])):
+            twice = np.asarray(flat) * np.int32(2)
+            twice[np.searchsorted(keys, self.shared)] += 1
+            out.append(pa.ListArray.from_arrays(offsets, pa.array(twice)))
+        return tuple(out)
+
+    def counts(self, docs: np.ndarray | None = None) -> pa.Table:
+        """How often each pair of ids is linked, in all lists or in those that `docs` marks: pair, n."""
+        pairs = self.pair if docs is None else self.pair[docs[self.doc]]
+        told = pa.table({"pair": pairs}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
         return told.rename_columns(["n" if c == "count_all" else c for c in told.column_names])
 
-    def groups(self) -> pa.ListArray:
-        """For each list, its groups as structs of the ids of either side."""
+    def _groups(self) -> tuple[pa.ListArray, pa.ListArray, pa.Array]:
+        """The ids of either side in each group, and where each list's groups begin."""
         at_a, at_b = (np.concatenate(([0], np.searchsorted(keys, self.shared) + 1)).astype(np.int32) for keys in (self.a, self.b))
-        pairs = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at_a), self.flat_a), pa.ListArray.from_arrays(pa.array(at_b), self.flat_b)], ["a", "b"])
         per = np.bincount(self.parent[at_a[1:] - 1], minlength=self.lists)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)), pairs)
+        first = pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(at_a), self.flat_a), pa.ListArray.from_arrays(pa.array(at_b), self.flat_b), first
+
+    def groups(self) -> pa.ListArray:
+        """For each list, its groups as structs of the ids of either side."""
+        a, b, first = self._groups()
+        return pa.ListArray.from_arrays(first, pa.StructArray.from_arrays([a, b], ["a", "b"]))
+
+    def group_texts(self) -> pa.Array:
+        """For each list, its groups as a1,a2|b1;a3|b2,b3."""
+        a, b, first = self._groups()
+        sides = [pc.binary_join(pa.ListArray.from_arrays(x.offsets, pc.cast(x.values, pa.string())), ",") for x in (a, b)]
+        return pc.binary_join(pa.ListArray.from_arrays(first, pc.binary_join_element_wise(*sides, "|")), ";")
+
+
+def _unmarked(lists: pa.ListArray) -> tuple[pa.ListArray, np.ndarray]:
+    flat = np.asarray(lists.flatten())
+    return pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), pa.array(flat >> 1)), (flat & 1).astype(bool)
 
 
 def _added(parts: list[pa.Table]) -> pa.Table:
@@ -116,7 +149,7 @@ def _added(parts: list[pa.Table]) -> pa.Table:
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadcast, size_a: pa.Array, size_b: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Rows of block, doc_id, a, b; and at the end of the task its link counts by block, without ids."""
+    """Rows of block, doc_id, a, b, marked with the ends of groups; and at the end of the task its link counts by block, without ids."""
     one, two = bpe.loaded(left.value, False), pieces(right.value)
     counts: dict[int, list[pa.Table]] = {}
     kind = None
@@ -124,16 +157,15 @@ def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadc
         kind = whole.schema.field("doc_id").type
         for batch in slices(whole, step=STEP):
             a, b = both(batch.column("text").fill_null("").to_pylist(), one, two)
+            aligned, blocks = Aligned(a, b, size_a, size_b), np.asarray(batch.column("block"))
+            a, b = aligned.marked()
             yield pa.record_batch({"block": batch.column("block"), "doc_id": batch.column("doc_id"), "a": a, "b": b, "counts": pa.nulls(batch.num_rows, _COUNTS)})
-            blocks = np.asarray(batch.column("block"))
             for block in np.unique(blocks):
-                here = pa.array(blocks == block)
-                x, y = (a, b) if pc.all(here).as_py() else (a.filter(here), b.filter(here))
-                if len(x.flatten()):
-                    parts = counts.setdefault(int(block), [])
-                    parts.append(Aligned(x, y, size_a, size_b).counts())
-                    if len(parts) == 16:
-                        parts[:] = [_added(parts)]
+                here = blocks == block
+                parts = counts.setdefault(int(block), [])
+                parts.append(aligned.counts(None if here.all() else here))
+                if len(parts) == 16:
+                    parts[:] = [_added(parts)]
     for block, parts in counts.items():
         told = _added(parts).combine_chunks()
         for i in range(0, told.num_rows, ROW):
@@ -144,7 +176,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadc
             yield pa.record_batch({"block": pa.array([block], pa.int32()), "doc_id": pa.nulls(1, kind), "a": none, "b": none, "counts": one_row})
 
 
-def _scored(docs: pa.Table, counts: pa.Table, size_a: pa.Array, size_b: pa.Array) -> pa.Table:
+def _scored(docs: pa.Table, counts: pa.Table, size_a: pa.Array, size_b: pa.Array, as_text: bool) -> pa.Table:
     """The rows of a block and the corpus-wide counts of its pairs: its result rows."""
     bpe.loaded.cache_clear()  # this worker tokenises no more
     pieces.cache_clear()
@@ -156,12 +188,13 @@ def _scored(docs: pa.Table, counts: pa.Table, size_a: pa.Array, size_b: pa.Array
     known = counts.select(["pair", "count", "best"]).combine_chunks()
     known = known.set_column(2, "best", pc.cast(known["best"], pa.int64()))
     sums = np.zeros((3, len(a)), np.int64)
-    groups, links, at = [], [], 0
+    groups, n_groups, links, at = [], [], [], 0
     while at < len(a):
         gone = tokens[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(tokens, gone + TOKENS, side="right")))
-        aligned = Aligned(a.slice(at, end - at), b.slice(at, end - at), size_a, size_b)
-        groups.append(aligned.groups())
+        aligned = Aligned(a.slice(at, end - at), b.slice(at, end - at), size_a, size_b, marked=True)
+        groups.append(aligned.group_texts() if as_text else aligned.groups())
+        n_groups.append(np.bincount(aligned.parent[np.searchsorted(aligned.a, aligned.shared)], minlength=end - at))
         links.append(pa.table({"doc": aligned.doc.astype(np.int32) + np.int32(at), "pair": aligned.pair}))
         at = end
         if at == len(a) or sum(len(x) for x in links) >= LINKS:
@@ -170,10 +203,9 @@ def _scored(docs: pa.Table, counts: pa.Table, size_a: pa.Array, size_b: pa.Array
             for row, name in zip(sums, ("count_all", "best_sum", "count_sum"), strict=True):
                 row[np.asarray(told["doc"])] = np.asarray(told[name])
             links = []
-    every = pa.chunked_array(groups)
-    numbers = {"n_a": pc.list_value_length(a), "n_b": pc.list_value_length(b), "n_groups": pc.list_value_length(every)}
+    numbers = {"n_a": pc.list_value_length(a), "n_b": pc.list_value_length(b), "n_groups": pa.array(np.concatenate(n_groups))}
     columns = {"doc_id": docs["doc_id"]} | {c: pc.cast(x, pa.int64()) for c, x in numbers.items()}
-    return pa.table(columns | {c: pa.array(x) for c, x in zip(("n_links", "n_best", "count_sum"), sums, strict=True)} | {"groups": every})
+    return pa.table(columns | {c: pa.array(x) for c, x in zip(("n_links", "n_best", "count_sum"), sums, strict=True)} | {"groups": pa.chunked_array(groups)})
 
 
 def _laid_out(rows: DataFrame, blocks: int) -> DataFrame:
@@ -186,10 +218,10 @@ def _laid_out(rows: DataFrame, blocks: int) -> DataFrame:
     return spark.table(name)
 
 
-def align(docs: DataFrame, left: str = LEFT, right: str = RIGHT) -> DataFrame:
+def align(docs: DataFrame, left: str = LEFT, right: str = RIGHT, as_text: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): n_a and n_b, its tokens by the byte-level file `left` (of blank and text,
     special tokens as plain text) and by the model `right` (which adds the blank); `groups`, array<struct<a array<int>,
-    b array<int>>>, its tokens cut where both end at one byte, and n_groups; n_links, the pairs of an a and a b token whose bytes
+    b array<int>>> (or, `as_text`, a text a1,a2|b1;a3|b2,b3), its tokens cut where both end at one byte, and n_groups; n_links, the pairs of an a and a b token whose bytes
     overlap; count_sum, over these, how many links of all docs join their two ids; and n_best, how many of them no other
     a id exceeds for their b id, ties included.
 
@@ -217,9 +249,9 @@ def align(docs: DataFrame, left: str = LEFT, right: str = RIGHT) -> DataFrame:
     shares = pairs.select("home", "pair").join(known, "pair").select("home", "pair", "count", "best")
     rows = told.filter("counts IS NULL").select("block", "doc_id", "a", "b")
     numbers = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
-    out = f"doc_id {kind}, {numbers}, groups array<struct<a: array<int>, b: array<int>>>"
+    out = f"doc_id {kind}, {numbers}, groups {'string' if as_text else 'array<struct<a: array<int>, b: array<int>>>'}"
 
     def scored(one: pa.Table, two: pa.Table) -> pa.Table:
-        return _scored(one, two, **size)
+        return _scored(one, two, **size, as_text=as_text)
 
     return rows.groupBy("block").cogroup(shares.groupBy("home")).applyInArrow(scored, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm import alignment, bpe, decontaminate, html, jaccard, languages, lines, mixing, neighbours, prediction, quality, secrets, spelling
@@ -69,13 +69,8 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = alignment.align(table(spark, sf_dir, "documents"))
-
-    def ids(column: Column) -> Column:
-        return F.array_join(column.cast("array<string>"), ",")
-
-    groups = F.array_join(F.transform("groups", lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
-    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2(groups.cast("binary"), 256))
+    told = alignment.align(table(spark, sf_dir, "documents"), as_text=True)
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
     return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -87,6 +88,12 @@ def test_groups_and_links_of_given_lengths():
     assert got.groups().to_pylist() == [[{"a": [1, 2], "b": [3]}, {"a": [3], "b": [1, 2]}], [], [{"a": [3], "b": [1, 2]}]]
     assert sorted((d, p >> 32, p & 0xFFFFFFFF) for d, p in zip(got.doc.tolist(), got.pair.tolist())) == [(0, 1, 3), (0, 2, 3), (0, 3, 1), (0, 3, 2), (2, 3, 1), (2, 3, 2)]
     assert {(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF): r["n"] for r in got.counts().to_pylist()} == {(1, 3): 1, (2, 3): 1, (3, 1): 2, (3, 2): 2}
+    assert got.group_texts().to_pylist() == ["1,2|3;3|1,2", "", "3|1,2"]
+    again = alignment.Aligned(*got.marked(), size_a, size_b, marked=True)
+    assert again.groups() == got.groups() and again.pair.tolist() == got.pair.tolist() and again.doc.tolist() == got.doc.tolist()
+    assert got.counts(np.array([False, True, True])).to_pylist() == [{"pair": 3 << 32 | 1, "n": 1}, {"pair": 3 << 32 | 2, "n": 1}]
+    later = [x.slice(1) for x in got.marked()]
+    assert alignment.Aligned(*later, size_a, size_b, marked=True).group_texts().to_pylist() == ["", "3|1,2"]
     cut = alignment.Aligned(a.slice(1), b.slice(1), size_a, size_b)
     assert cut.groups().to_pylist() == [[], [{"a": [3], "b": [1, 2]}]]
 
