@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as tx
 from quizmill.session import ensure_checkpoint_dir
+from quizmill.sources.stores import written
+from quizmill.streaming.progress import scratch
 
 KEY = "assessment_id"
 IDX = "question_index"
+#: Resemblances of an assessment that one task settles; with more it takes rounds.
+FEW_EDGES = 200_000
 
 
 def exact_duplicates(bank: DataFrame, text: str = "question_text") -> DataFrame:
@@ -38,12 +43,15 @@ def token_set(text: Column) -> Column:
 
 
 def distinct_sets(bank: DataFrame, text: str = "question_text") -> DataFrame:
-    """(assessment, question, tokens, rep_index): rep_index is the first question with the same words."""
+    """(assessment, question, tokens, rep_index): rep_index is the first question with the same words. Word sets are made
+    once and written, as whatever compares them reads them several times."""
+    spark = bank.sparkSession
     sets = bank.select(KEY, IDX, token_set(F.col(text)).alias("tokens")).withColumn(
         "set_key", F.sha2(F.array_join("tokens", " "), 256)
     )
+    sets = written(sets, scratch(spark))
     reps = sets.groupBy(KEY, "set_key").agg(F.min(IDX).alias("rep_index"))
-    return sets.join(reps, [KEY, "set_key"]).drop("set_key")
+    return written(sets.join(reps, [KEY, "set_key"]).drop("set_key"), scratch(spark))
 
 
 def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
@@ -89,38 +97,50 @@ def near_duplicates(bank: DataFrame, threshold: float = 0.8) -> DataFrame:
     return copies.unionByName(similar_pairs(reps, threshold).withColumn("rep_index", F.col(IDX)))
 
 
-def greedy_admit(bank: DataFrame, threshold: float = 0.8) -> DataFrame:
+def _admitted(edges: pd.DataFrame) -> pd.DataFrame:
+    """One assessment's questions with a resembling one, in order: those that resemble none accepted before them."""
+    earlier = edges.groupby(IDX)["near_index"].apply(list).to_dict()
+    accepted: set[int] = set()
+    for i in sorted({*edges[IDX], *edges["near_index"]}):
+        if accepted.isdisjoint(earlier.get(i, ())):
+            accepted.add(i)
+    return pd.DataFrame({KEY: edges[KEY].iloc[0], IDX: sorted(accepted)})
+
+
+def greedy_admit(bank: DataFrame, threshold: float = 0.8, few: int = FEW_EDGES) -> DataFrame:
     """Accept questions in order unless they resemble one already accepted.
 
-    Rows without an edge are accepted at once and copies rejected at once. The rest is settled in
-    rounds: a row with an accepted earlier neighbour is rejected, a row whose earlier neighbours are
-    all rejected is accepted. Only undecided rows and their edges go into the next round.
+    Rows without an edge are accepted at once and copies rejected at once. An assessment of up to `few` edges is settled in
+    one pass over them. Larger ones are settled in rounds: a row with an accepted earlier neighbour is rejected, a row whose
+    earlier neighbours are all rejected is accepted, and only undecided rows and their edges go into the next round.
     """
-    spark = bank.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(bank.sparkSession)
     sets = distinct_sets(bank)
     reps = sets.filter(F.col(IDX) == F.col("rep_index")).select(KEY, IDX, "tokens")
     edges = similar_pairs(reps, threshold).select(KEY, IDX, "near_index").checkpoint()
     open_rows = edges.select(KEY, IDX).unionByName(edges.select(KEY, F.col("near_index").alias(IDX))).distinct()
-    accepted_parts = [reps.select(KEY, IDX).join(open_rows, [KEY, IDX], "left_anti")]
-    undecided, remaining = open_rows.checkpoint(), edges
-    while True:
+    free = reps.select(KEY, IDX).join(open_rows, [KEY, IDX], "left_anti")
+    crowded = edges.groupBy(KEY).agg(F.count("*").alias("n")).filter(F.col("n") > few).select(KEY)
+    kinds = f"{KEY} {dict(edges.dtypes)[KEY]}, {IDX} {dict(edges.dtypes)[IDX]}"
+    settled = edges.join(crowded, KEY, "left_anti").groupBy(KEY).applyInPandas(_admitted, kinds)
+    return free.unionByName(settled).unionByName(_in_rounds(edges.join(crowded, KEY, "left_semi")))
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    """Accepted rows of assessments with any number of edges."""
+    edges = edges.checkpoint()
+    undecided = edges.select(KEY, IDX).unionByName(edges.select(KEY, F.col("near_index").alias(IDX))).distinct().checkpoint()
+    out, remaining = edges.select(KEY, IDX).limit(0), edges
+    while not undecided.isEmpty():
         blocked = remaining.select(KEY, IDX).distinct()
         accepted = undecided.join(blocked, [KEY, IDX], "left_anti").checkpoint()
-        if accepted.isEmpty():
-            break
-        accepted_parts.append(accepted)
+        out = out.unionByName(accepted)
         near = accepted.withColumnRenamed(IDX, "near_index")
         rejected = remaining.join(near, [KEY, "near_index"], "left_semi").select(KEY, IDX).distinct().checkpoint()
         settled = accepted.unionByName(rejected)
         undecided = undecided.join(settled, [KEY, IDX], "left_anti").checkpoint()
         done = settled.withColumnRenamed(IDX, "near_index")
-        remaining = (
-            remaining.join(rejected, [KEY, IDX], "left_anti").join(done, [KEY, "near_index"], "left_anti").checkpoint()
-        )
-    out = accepted_parts[0]
-    for part in accepted_parts[1:]:
-        out = out.unionByName(part)
+        remaining = remaining.join(rejected, [KEY, IDX], "left_anti").join(done, [KEY, "near_index"], "left_anti").checkpoint()
     return out
 
 

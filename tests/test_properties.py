@@ -59,14 +59,15 @@ def test_near_duplicates_match_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_greedy_admit_matches_sequential_rule(spark):
+@pytest.mark.parametrize("few", [dedupe.FEW_EDGES, 3, 0])
+def test_greedy_admit_matches_sequential_rule(spark, few):
     b, rows = family_bank(spark, 2)
     want, kept = set(), defaultdict(list)
     for a, i, q, *_ in rows:
         if not any(alike(q, k) for k in kept[a]):
             kept[a].append(q)
             want.add((a, i))
-    got = {(r.assessment_id, r.question_index) for r in dedupe.greedy_admit(b).collect()}
+    got = {(r.assessment_id, r.question_index) for r in dedupe.greedy_admit(b, few=few).collect()}
     assert got == want
 
 
