@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quizmill.llm.common import body, staged
 
-#: A line on so many sites is boilerplate; lines of fewer words are left alone.
-SITES, WORDS = 10, 3
+#: A line on so many sites is boilerplate; lines of fewer words are left alone, so a blank line is.
+SITES, WORDS = 10, 1
+#: White space at the ends of a line and between its words: the blank and the controls 9 to 13.
+SPACE = r"[\t-\r ]+"
 #: log2 of a sketch's registers, and how many standard errors around SITES are counted exactly.
 LG_K, NEAR = 10, 4
 
@@ -17,8 +19,8 @@ def split_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row per line that may be boilerplate: doc_id and text_key of its document, site, place and line key. A line is
     what stands between two \\n, trimmed and in lower case for its key."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("source").alias("site"), F.posexplode(F.split(body(), "\n")).alias("place", "line"))
-    key = F.lower(F.trim("line"))
-    return lines.withColumn("line", key).filter(F.size(F.split("line", r"\s+")) >= words).withColumn("line_key", F.xxhash64("line", F.md5(F.col("line").cast("binary")))).drop("line")
+    key = F.lower(F.regexp_replace("line", f"^{SPACE}|{SPACE}$", ""))
+    return lines.withColumn("line", key).filter((F.col("line") != "") & (F.size(F.split("line", SPACE)) >= words)).withColumn("line_key", F.xxhash64("line", F.md5(F.col("line").cast("binary")))).drop("line")
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
@@ -75,7 +77,7 @@ WITH l AS (
   SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS place
   FROM documents
 ), k AS (
-  SELECT *, lower(trim(line)) AS key, len(regexp_split_to_array(lower(trim(line)), '\\s+')) >= {WORDS} AS counts FROM l
+  SELECT *, key <> '' AND len(regexp_split_to_array(key, '{SPACE}')) >= {WORDS} AS counts FROM (SELECT *, lower(regexp_replace(line, '^{SPACE}|{SPACE}$', '', 'g')) AS key FROM l)
 ), b AS (
   SELECT key, arg_min(place, (doc_id, place)) AS place, min(doc_id) AS doc_id FROM k WHERE counts GROUP BY key HAVING count(DISTINCT source) >= {SITES}
 ), f AS (

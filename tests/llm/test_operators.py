@@ -34,8 +34,8 @@ def plain_lines(rows, sites=lines.SITES, words=lines.WORDS):
     seen, keep = {}, {}
     for doc_id, text, source in rows:
         for place, line in enumerate((text or "").split("\n")):
-            key = line.strip(" ").lower()
-            if len(re.split(r"\s+", key)) >= words:
+            key = line.strip("\t\n\x0b\x0c\r ").lower()
+            if key and len(re.split(r"[\t-\r ]+", key)) >= words:
                 seen.setdefault(key, set()).add(source)
                 first = (doc_id is None, doc_id or 0, place)
                 keep[key] = min(keep.get(key, first), first)
@@ -46,7 +46,7 @@ def plain_lines(rows, sites=lines.SITES, words=lines.WORDS):
             continue
         all_lines, left = text.split("\n"), []
         for place, line in enumerate(all_lines):
-            key = line.strip(" ").lower()
+            key = line.strip("\t\n\x0b\x0c\r ").lower()
             if len(seen.get(key, set()) - {None}) < sites or keep[key] == (doc_id is None, doc_id or 0, place):
                 left.append(line)
         out.append((doc_id, "\n".join(left), len(all_lines), len(all_lines) - len(left)))
@@ -66,6 +66,12 @@ def test_lines_near_the_threshold_are_exact(spark):
     assert sorted(r.n_sites for r in got) == list(range(lines.SITES, 25))
 
 
+def test_short_lines_and_ends_of_lines_count(spark):
+    rows = [(i, f"Read more\t\r\n \nown text {i} here\n\n{'Log in' if i % 2 else ' log IN  '}", f"site{i}", "") for i in range(12)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert got == {i: rows[i][1] if i == 0 else f" \nown text {i} here\n" for i in range(12)}
+
+
 # -- near duplicates
 
 
