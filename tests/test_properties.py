@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import xml.etree.ElementTree as ET
 from collections import defaultdict
 
@@ -238,3 +239,25 @@ def test_sessions_of_a_busy_task(spark):
         last[task][1][1] += 1
         last[task][1][2] += status == "error"
     assert got == sorted(map(tuple, want))
+
+
+def test_text_vectors_recomputed(spark):
+    """Hashed tf-idf, term by term: the bin of each word, its count, the logarithm of the inverse document frequency, unit length."""
+    from pyspark.ml.feature import HashingTF
+
+    texts = ["Hash the block, hash it again", "The block is chained", "unseen words only here", ""]
+    got = {r.id: r.embedding for r in retrieval.text_vectors(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 64).collect()}
+    bins = HashingTF(numFeatures=64)
+    words = [re.findall(r"\w+", t.lower()) for t in texts]
+    terms = [defaultdict(int) for _ in texts]
+    for i, ws in enumerate(words):
+        for w in ws:
+            terms[i][bins.indexOf(w)] += 1
+    df = defaultdict(int)
+    for t in terms:
+        for b in t:
+            df[b] += 1
+    for i, t in enumerate(terms):
+        raw = {b: n * math.log((len(texts) + 1) / (df[b] + 1)) for b, n in t.items()}
+        size = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        assert got[i] == pytest.approx([raw.get(b, 0.0) / size for b in range(64)], abs=1e-6)
