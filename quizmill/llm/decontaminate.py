@@ -35,6 +35,7 @@ LOWERED = "__lowered"
 _LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: Signs of two and three bytes that part words: U+0080 to U+00BF without its letters, U+2000 to U+207F, U+3000 to U+303F.
 _SIGNS = {0xC2: np.array([128 <= b < 192 and b not in (0xAA, 0xB5, 0xBA) for b in range(256)]), 0xE2: np.isin(np.arange(256), (0x80, 0x81)), 0xE3: np.arange(256) == 0x80}
+_LEADS = np.isin(np.arange(256), list(_SIGNS))
 
 
 class Words(AnyWords):
@@ -43,8 +44,9 @@ class Words(AnyWords):
     @staticmethod
     def inside(data: np.ndarray) -> np.ndarray:
         out = _LETTER[data]
+        leads = np.flatnonzero(_LEADS[data[:-1]])
         for lead, after in _SIGNS.items():
-            at = np.flatnonzero(data[:-1] == lead)
+            at = leads[data[leads] == lead]
             at = at[after[data[at + 1]]]
             for i in range(2 if lead == 0xC2 else 3):
                 out[np.minimum(at + i, len(data) - 1)] = False
