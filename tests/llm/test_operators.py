@@ -403,6 +403,21 @@ def test_neighbours(spark):
     assert len(of) == sum(i % 50 == 0 for i in ids) and hits >= 0.9 * len(got)
 
 
+def test_under_half_of_the_rows_are_verified(spark):
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names, k = np.arange(len(x)), 5
+    plane = np.random.default_rng(neighbours.SEED).normal(size=(x.shape[1], neighbours.DIMS))
+    tree, ratio = neighbours.Tree(x @ plane), neighbours.quantile(neighbours.SURE, neighbours.DIMS)
+    hits, verified, asked = 0, 0, names[::20]
+    for i in asked:
+        best, _, n = tree.search(x[i] @ plane, x[i], x, names, i, k, ratio)
+        s = x @ x[i]
+        s[i] = -9
+        hits, verified = hits + len({*best.tolist()} & {*np.argsort(-s)[:k].tolist()}), verified + n
+    assert hits >= 0.9 * k * len(asked) and verified < 0.5 * len(x) * len(asked)
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, float(i % 3), 0.5]) for i in range(1, 200)] + [(0, [1.0, 0.0, 0.5]), (0, [1.0, 0.0, 0.5]), (None, [1.0, 1.0, 1.0]), (300, None), (350, [0.0, 0.0, 0.0]), (400, [nan, 1.0, 0.0]), (450, [inf, 1.0, 0.0]), (500, [None, 1.0, 0.0]), (550, [1.0, 2.0]), (600, [1e300, 2e300, 0.0])]
