@@ -320,8 +320,9 @@ def full_analysis(scored: DataFrame, vocabulary: int = 50, top: int = 10) -> Dat
     """Every assessment-level figure on one row, from one aggregate over questions and one chain over counted terms.
 
     Words, word pairs, issues, misconceptions and the questions themselves are counted together as terms of five kinds;
-    their totals give ranks and inverse frequencies, and meet the counts once. What is ranked inside an assessment are
-    its distinct terms; arrays hold at most `vocabulary` of them.
+    their totals give ranks and inverse frequencies. Every step groups by the assessment first: where `scored` comes placed by
+    it (bridge.question_bank, placed), no term is shuffled, elsewhere the counts are, once. Windows sort and spill; arrays
+    hold at most `vocabulary` terms.
     """
     words, pairs = question_terms(True)
     kinds = {
@@ -337,13 +338,14 @@ def full_analysis(scored: DataFrame, vocabulary: int = 50, top: int = 10) -> Dat
         .groupBy(KEY, "question_index", "kind", "term")
         .agg(F.count("*").alias("tf"))
     )
-    totals = counts.groupBy(KEY, "kind", "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     textual = F.col("kind").isin("word", "pair")
+    per = W.partitionBy(KEY, "kind", "term")
+    # equal terms are of one kind within a group (a pair holds a space, a word none), so a dense rank numbers the distinct ones
     order = W.partitionBy(KEY, F.when(textual, "text").otherwise(F.col("kind"))).orderBy(F.desc("cf"), "term")
-    n = F.max(F.when(F.col("kind") == "question", F.col("cf"))).over(W.partitionBy(KEY))
-    terms = totals.withColumns({"rk": F.row_number().over(order), "n": n})
+    n = F.sum(F.when(F.col("kind") == "question", F.col("tf"))).over(W.partitionBy(KEY))
+    terms = counts.withColumns({"cf": F.sum("tf").over(per), "df": F.count("*").over(per)}).withColumns({"rk": F.dense_rank().over(order), "n": n})
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    wide = counts.join(terms, [KEY, "kind", "term"]).withColumns(
+    wide = terms.withColumns(
         {"w": F.col("tf") * idf, "counted": textual & (F.col("rk") <= vocabulary), "word": F.col("kind") == "word"}
     )
     question = W.partitionBy(KEY, "question_index")

@@ -14,8 +14,8 @@ def bank(spark, sf_dir) -> DataFrame:
     return bridge.question_bank(spark, sf_dir)
 
 
-def scored(spark, sf_dir) -> DataFrame:
-    return score_questions(bank(spark, sf_dir))
+def scored(spark, sf_dir, placed: bool = False) -> DataFrame:
+    return score_questions(bridge.question_bank(spark, sf_dir, placed))
 
 
 def flat(df: DataFrame, *columns: str) -> DataFrame:

@@ -192,7 +192,7 @@ add(
 )
 add(
     "full_assessment_analysis",
-    lambda s, d: flat(stats.full_analysis(scored(s, d))),
+    lambda s, d: flat(stats.full_analysis(scored(s, d, placed=True))),
     BS + [OVERVIEW, DISTRIBUTION, BALANCE, COVERAGE, DIVERSITY, ADVICE, SCORE, MISCONCEPTIONS],
     """SELECT assessment_id, o.total_questions, o.average_quality_score, o.overall_grade, o.high_quality_percentage, median, std_dev, balance_score, well_balanced,
   content_diversity, quality_score, recommendations, coalesce(top_concepts, '') AS top_concepts, coalesce(unique_misconceptions, 0) AS unique_misconceptions

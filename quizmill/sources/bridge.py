@@ -55,9 +55,14 @@ def page_texts(lines: Column, doc_id: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), page)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, with work for every core."""
-    return dealt(load(spark, sf_dir, "documents"), "doc_id")
+def documents(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """The documents table, with work for every core. Placed, its rows lie by doc_id: texts move once, and whatever is made
+    of them is grouped by doc_id where it is."""
+    docs = load(spark, sf_dir, "documents")
+    if not placed:
+        return dealt(docs, "doc_id")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return docs.repartition(parts, "doc_id")
 
 
 def doc_pages(spark: SparkSession, sf_dir: str, keep_blank: bool = False) -> DataFrame:
@@ -71,9 +76,10 @@ def doc_pages(spark: SparkSession, sf_dir: str, keep_blank: bool = False) -> Dat
     return rows if keep_blank else rows.filter(F.trim("text") != "")
 
 
-def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One assessment per document; every five sentences are a question, its answer and distractors."""
-    docs = documents(spark, sf_dir).select(
+def question_bank(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """One assessment per document; every five sentences are a question, its answer and distractors. Placed, the questions of an
+    assessment lie together."""
+    docs = documents(spark, sf_dir, placed).select(
         "doc_id", "source", tx.sentences(F.trim("text")).alias("s")
     )
     s = F.col("s")

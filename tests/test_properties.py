@@ -221,6 +221,14 @@ def test_full_analysis_scans_three_times(spark):
     assert plan.count("FileScan parquet") <= 3
 
 
+def test_full_analysis_shuffles_texts_only(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["full_assessment_analysis"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("hashpartitioning(doc_id" in line for line in moved)
+
+
 def test_sessions_of_a_busy_task(spark):
     """One task with most events: runs within, across and at the edge of hours."""
     rnd = random.Random(9)
