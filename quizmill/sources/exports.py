@@ -172,23 +172,37 @@ def export_moodle(bank: DataFrame) -> DataFrame:
     return with_options(bank).select(KEY, IDX, to_xml(_moodle(), "question").alias("xml"))
 
 
+#: Questions in one document of a whole bank.
+DOCUMENT = 10_000
+
+
+def write_bank(bank: DataFrame, path: str) -> None:
+    """XML documents of question elements that name their assessment in `idnumber`. A task writes the questions that it has,
+    so the number of files follows that of the questions, not of the assessments, and nothing is shuffled."""
+    own = F.concat(F.coalesce(F.col(KEY).cast("string"), F.lit("")), F.lit("-"), F.col(IDX)).alias("idnumber")
+    items = with_options(bank).select(own, *_moodle())
+    items.write.format("xml").option("rootTag", "quiz").option("rowTag", "question").option("maxRecordsPerFile", DOCUMENT).mode("overwrite").save(path)
+
+
 def write_moodle(bank: DataFrame, path: str) -> None:
-    """XML documents of question elements, a folder per assessment. An assessment's questions are dealt by number, so one of
-    any size is written by as many tasks as it needs; each file is a document of its own."""
+    """XML documents of question elements, a folder per assessment: for assessments that are handed out one by one, whole banks
+    are for write_bank(). An assessment's questions are dealt by number, so one of any size is written by as many tasks as it
+    needs; each file is a document of its own."""
     items = with_options(bank).select(KEY, F.floor(F.col(IDX) / 10_000).alias("part"), *_moodle())
     items.repartition(KEY, "part").drop("part").write.format("xml").option("rootTag", "quiz").option("rowTag", "question").mode("overwrite").partitionBy(KEY).save(path)
 
 
 #: Question elements as they are read; `broken` takes the text of an element that is none.
 MOODLE = (
-    "_type string, name struct<text: string>, questiontext struct<_format: string, text: string>, defaultgrade string, penalty string, hidden string, single string, shuffleanswers string, "
+    "idnumber string, _type string, name struct<text: string>, questiontext struct<_format: string, text: string>, defaultgrade string, penalty string, hidden string, single string, shuffleanswers string, "
     "answer array<struct<_fraction: string, _format: string, text: string, feedback: struct<_format: string, text: string>>>, broken string"
 )
 
 
 def read_moodle(spark: SparkSession, path: str) -> DataFrame:
-    """(assessment_id, question_index, question_text, correct_answer, texts, feedback, broken) from question documents. An element
-    that can't be read has its text in `broken` and nulls elsewhere; others go on."""
+    """(assessment_id, question_index, question_text, correct_answer, texts, feedback, broken) from question documents. The
+    assessment is told by the folder, or by the element. An element that can't be read has its text in `broken` and nulls
+    elsewhere; others go on."""
     reader = spark.read.format("xml").option("rowTag", "question").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("ignoreSurroundingSpaces", "false")
     rows = reader.schema(f"{MOODLE}, {KEY} bigint").load(path)
 
@@ -197,8 +211,10 @@ def read_moodle(spark: SparkSession, path: str) -> DataFrame:
 
     number_of = F.try_to_number(F.regexp_extract(F.col("name.text"), r"(\d+)\s*$", 1), F.lit("9999999999")).cast("bigint")
     right = F.filter("answer", lambda a: a["_fraction"] == "100")
+    named = F.coalesce("idnumber", F.regexp_extract("broken", r"<idnumber>([^<]*)</idnumber>", 1))
+    told = F.regexp_extract(named, r"^(-?\d+)-\d+$", 1).try_cast("bigint")
     return rows.select(
-        KEY, (number_of - 1).alias(IDX), bare(F.col("questiontext.text")).alias("question_text"), bare(F.get(right, F.lit(0))["text"]).alias("correct_answer"),
+        F.coalesce(KEY, told).alias(KEY), (number_of - 1).alias(IDX), bare(F.col("questiontext.text")).alias("question_text"), bare(F.get(right, F.lit(0))["text"]).alias("correct_answer"),
         F.transform("answer", lambda a: bare(a["text"])).alias("texts"), F.transform("answer", lambda a: bare(a["feedback"]["text"])).alias("feedback"), "broken",
     )
 

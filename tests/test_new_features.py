@@ -93,3 +93,14 @@ def test_a_broken_element_is_kept_apart(spark, tmp_path):
     rows = exports.read_moodle(spark, str(tmp_path / "quiz")).collect()
     assert any(r.broken and "Question 4" in r.broken and r.question_text is None for r in rows)
     assert (7, 2, "Why?", "So", ["So"]) in [(r.assessment_id, r.question_index, r.question_text, r.correct_answer, r.texts) for r in rows if not r.broken]
+
+
+def test_a_whole_bank_takes_few_documents(spark, tmp_path):
+    path = tmp_path / "quiz"
+    bank = bridge.question_bank(spark, SF).coalesce(2)
+    exports.write_bank(bank, str(path))
+    assert len(list(path.rglob("*.xml"))) <= 2
+    want = collections.Counter((r.assessment_id, r.question_index, r.question_text) for r in bank.collect())
+    assert collections.Counter((r.assessment_id, r.question_index, r.question_text) for r in exports.read_moodle(spark, str(path)).collect()) == want
+    (path / "a.xml").write_text("<quiz><question><idnumber>-7-3</idnumber><name><text>Question 4</name></question></quiz>")
+    assert [r.assessment_id for r in exports.read_moodle(spark, str(path)).filter("broken IS NOT NULL").collect()] == [-7]
