@@ -78,13 +78,14 @@ add(
 
 def kept_vectors(s, d):
     """Three rounds of embedding against one store: even documents, all documents, all once more. A round embeds what the
-    store lacks and keeps it; texts without a vector are asked for again."""
-    vectors = bridge.chunk_vectors(s, d).select(F.sha2("text", 256).alias("text_hash"), "embedding", "doc_id")
-    made = vectors.groupBy("text_hash").agg(F.min_by("embedding", "doc_id").alias("embedding"))
+    store lacks and keeps it; texts without a vector are asked for again. Texts are hashed where they are read, once: no text
+    is shuffled, and every round works on hashes."""
+    texts = stores.written(stores.hashed(docs(s, d)).select("doc_id", "text_hash"), f"{scratch(s)}/texts")
+    vectors = load(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(texts, "doc_id")
+    made = stores.written(vectors.groupBy("text_hash").agg(F.min_by("embedding", "doc_id").alias("embedding")), f"{scratch(s)}/made")
     store = stores.VectorStore(s, scratch(s))
     rounds = []
-    for n, texts in enumerate((docs(s, d).filter("doc_id % 2 = 0"), docs(s, d), docs(s, d)), 1):
-        asked = stores.hashed(texts)
+    for n, asked in enumerate((texts.filter("doc_id % 2 = 0"), texts, texts), 1):
         before = store.known(asked).select("text_hash").withColumn("state", F.lit("cached"))
         state = before.unionByName(store.missing(asked).join(made, "text_hash", "left_semi").withColumn("state", F.lit("embedded")))
         counts = asked.select("text_hash").distinct().join(state, "text_hash", "left")

@@ -216,3 +216,23 @@ def test_vectors_without_direction(spark, tmp_path):
 def test_nothing_to_index(spark, tmp_path):
     with pytest.raises(ValueError):
         vi.build(spark.createDataFrame([], "collection long, chunk_id string, embedding array<float>"), str(tmp_path / "ix"))
+
+
+def test_the_vector_store_shuffles_hashes_only(spark, monkeypatch):
+    """Of every plan that a round writes, no exchange takes a text in."""
+    import re
+
+    import __spark_entry__ as entry
+    from quizmill.sources import stores
+
+    plans, write = [], stores.written
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    monkeypatch.setattr(stores, "written", lambda df, path: plans.append(df._jdf.queryExecution().explainString(mode)) or write(df, path))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entry.queries()["embed_store"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = [m for p in plans for m in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", p)]
+    assert moved and not any(re.search(r"\btext#", m) for m in moved)
