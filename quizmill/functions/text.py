@@ -7,6 +7,7 @@ yields the matched and the unmatched parts in order.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,10 +34,32 @@ def either(patterns: list[str], flags: str = "s") -> str:
     return f"(?{flags}:" + "|".join(f"(?:{unicode_words(p)})" for p in patterns) + ")"
 
 
-EQUATION_RE = either(lx.EQUATION_PATTERNS, "si")
-CODE_RE = either(lx.CODE_PATTERNS)
+def guarded(patterns: list[str], guards: list[tuple[str, str]], flags: str = "s") -> str:
+    """either(), where neighbours that begin with the same characters stand behind one look at the next character. A guard is a
+    test and the start of the patterns it is for; it must hold wherever one of them matches."""
+    groups: list[tuple[str, list[str]]] = []
+    for p in patterns:
+        guard = next((look for look, start in guards if re.match(start, p)), "")
+        if groups and groups[-1][0] == guard:
+            groups[-1][1].append(p)
+        else:
+            groups.append((guard, [p]))
+    return "|".join(f"(?:{look}{either(ps, flags)})" for look, ps in groups)
+
+
+#: $ and backslashes begin the equations of markup, word characters at a word's start those of operators, whose two kinds differ
+#: behind the first word only, others than ASCII those of symbols; code begins with one of a few characters. Long classes of
+#: symbols are slow to test, so each stands behind a short one.
+OPERATORS = r"\b(?:\w+\s*[=≠<>≤≥±∞]+\s*\w+|\w+\s*[+\-*/∇∂]+\s*\w+)"
+ONE_LOOK = rf"(?<!{WORD})\w++\s*+(?=[=<>+\-*/\x{{80}}-\x{{10FFFF}}])(?:[=≠<>≤≥±∞]+|[+\-*/∇∂]+)\s*\w+"
+EQUATION_RE = guarded(
+    [ONE_LOOK if p == OPERATORS else p for p in lx.EQUATION_PATTERNS],
+    [(r"(?=[$\\])", r"\\[$\\]"), (rf"(?={WORD})", r"\(\?<!"), (r"(?=[^\x00-\x7F])", r"\[")], "si",
+)
+CODE_RE = guarded(lx.CODE_PATTERNS, [(r"(?=[`dfciw#\s])", r"[`dfciw#^]")])
 PROTECTED_RE = EQUATION_RE + "|" + CODE_RE
-SECTION_RE = either(lx.SECTION_PATTERNS, "i")
+#: All begin at the text's start, so no other place is tried.
+SECTION_RE = "^" + either([p.removeprefix("^") for p in lx.SECTION_PATTERNS], "i")
 
 
 def word_count(c: Column) -> Column:
@@ -122,7 +145,7 @@ def spans(c: Column, pattern: str, kind: str, order: int = 0) -> Column:
 def tidy_gap(c: Column) -> Column:
     """White space and word-boundary repairs for text outside equations and code."""
     for pattern, repl in [
-        (r"\s+", " "),
+        (r"\s\s+|[^\S ]", " "),  # a single space stays as it is
         (r"([a-z])([A-Z])", "$1 $2"),
         (r"(\d)([A-Za-z])", "$1 $2"),
         (r"([.!?])([A-Z])", "$1 $2"),

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_goldens import bank
 
+from quizmill import lexicon as lx
+from quizmill.functions import text as tx
 from quizmill.operators import assembly, chunking, dedupe, oplog, retrieval, stats
 from quizmill.session import load
 from quizmill.sources import bridge, exports
@@ -269,3 +271,34 @@ def test_text_vectors_recomputed(spark):
         raw = {b: n * math.log((len(texts) + 1) / (df[b] + 1)) for b, n in t.items()}
         size = math.sqrt(sum(x * x for x in raw.values())) or 1.0
         assert got[i] == pytest.approx([raw.get(b, 0.0) / size for b in range(64)], abs=1e-6)
+
+
+def test_guarded_patterns_find_what_plain_ones_do(spark):
+    """The one-look patterns against the plain alternation, on random texts of their characters; a search of plain text is
+    faster by at least a third."""
+    import time
+
+    plain = tx.either(lx.EQUATION_PATTERNS, "si") + "|" + tx.either(lx.CODE_PATTERNS)
+    rnd = random.Random(3)
+    bits = ["$", "x", "$$", "\\frac{a}{b}", "\\begin{align}", "\\end{align}", "=", " = ", "+-", " ", "  ", "\n", "\t", "≤", "∞", "∑", "αβ", "é", "`", "```", "def f(x):", "class A {", "for (i) {",
+            "import os", "from a import", "#include <x>", "word", "9", "_", "\\lim_{n}", "\\sum_{i}^{n}", "<", "*", "1. ", "Part 1: A", "12 Abc", "Summary", "•", ".B", "aB", "\u00a0", "𝑥"]
+    df = spark.createDataFrame([("".join(rnd.choices(bits, k=rnd.randrange(1, 25))),) for _ in range(4000)], "text string").cache()
+    section = tx.either(lx.SECTION_PATTERNS, "i")
+    c = F.col("text")
+    row = df.filter(
+        (tx.marked(c, plain) != tx.marked(c, tx.PROTECTED_RE)) | (F.rlike(c, F.lit(section)) != tx.starts_like_section(c))
+        | (F.rlike(c, F.lit(tx.either(lx.EQUATION_PATTERNS, "si"))) != tx.has_equation(c)) | (F.regexp_replace(c, r"\s+", " ") != F.regexp_replace(c, r"\s\s+|[^\S ]", " "))
+    ).first()
+    assert row is None, row
+    prose = spark.range(0, 10, 1, 1).select(F.repeat(F.lit("Some words of plain prose in a long page of text. "), 4000).alias("text")).cache()
+    prose.count()
+
+    def seconds(pattern):
+        best = []
+        for _ in range(3):
+            at = time.perf_counter()
+            prose.filter(F.rlike(c, F.lit(pattern))).count()
+            best.append(time.perf_counter() - at)
+        return min(best)
+
+    assert seconds(tx.PROTECTED_RE) < seconds(plain) / 1.5
