@@ -13,6 +13,8 @@ ITEM = (
     "array<struct<question_text:string,concept_tested:string,correct_position:string,"
     "overall_explanation:string,options:map<string,string>>>"
 )
+ANY_ITEM = "struct<question_text:string,concept_tested:string,overall_explanation:string,correct_position:string,options:variant>"
+ANY_OPTION = "struct<key:string,label:string,text:string,is_correct:variant,explanation:struct<misconception_name:string,why_its_wrong:string>>"
 OPTION = "text string, is_correct boolean, explanation struct<misconception_name:string,why_its_wrong:string>"
 
 
@@ -61,34 +63,36 @@ def parse_any(responses: DataFrame) -> DataFrame:
     """
     body = F.try_parse_json(F.regexp_extract("content", r"(?s)\[.*\]", 0))
     rest = [c for c in responses.columns if c != "content"]
-    found = hold(responses.select(*rest, body.alias("body")), kind=F.schema_of_variant("body")).filter(F.startswith("kind", F.lit("ARRAY")))
-    items = found.lateralJoin(found.sparkSession.tvf.variant_explode(F.col("body").outer())).select(*rest, F.col("pos").cast("bigint").alias("position"), F.col("value").alias("item"))
-
-    def field(item: Column, path: str, kind: str = "string") -> Column:
-        return F.try_variant_get(item, path, kind)
-
-    typed = hold(items, shape=F.schema_of_variant("item"), options=field(F.col("item"), "$.options", "variant"))
-    told = hold(
-        typed,
-        as_map=F.when(F.startswith(F.schema_of_variant("options"), F.lit("OBJECT")), field(F.col("options"), "$", "map<string,variant>")),
-        as_list=F.when(F.startswith(F.schema_of_variant("options"), F.lit("ARRAY")), field(F.col("options"), "$", "array<variant>")),
-        as_text=F.when(F.schema_of_variant("options") == "STRING", field(F.col("options"), "$")),
-        correct_position=field(F.col("item"), "$.correct_position"),
-    )
+
+    def told(value: Column, kind: str) -> Column:
+        """The variant in the given shape, null where it has another: one reading names all fields, no schema is derived."""
+        return F.try_variant_get(value, "$", kind)
+
+    found = hold(responses.select(*rest, body.alias("body")), items=told(F.col("body"), "array<variant>")).filter(F.col("items").isNotNull())
+    items = found.select(*rest, F.posexplode("items").alias("pos", "raw"))
+    read = hold(items.select(*rest, F.col("pos").cast("bigint").alias("position"), "raw"), item=told(F.col("raw"), ANY_ITEM))
+    options = F.col("item")["options"]
+    shaped = hold(read.drop("raw"), as_map=told(options, "map<string,variant>"), as_list=told(options, "array<variant>"), correct_position=F.col("item")["correct_position"])
+    other = F.col("as_map").isNull() & F.col("as_list").isNull()
+    shaped = hold(shaped, as_text=F.when(other & (F.schema_of_variant(options) == "STRING"), told(options, "string")))
     letters = F.array(*[F.lit(chr(65 + i)) for i in range(26)])
 
-    def part(key: Column, value: Column) -> Column:
-        detailed = F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
-        own = F.when(detailed, F.coalesce(field(value, "$.key"), field(value, "$.label")))
+    def detail(key: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), value.alias("value"), told(value, ANY_OPTION).alias("d"))
+
+    def part(e: Column) -> Column:
+        key, value, d = e["key"], e["value"], e["d"]
+        detailed = d.isNotNull()
+        own = F.coalesce(d["key"], d["label"])
         named = F.coalesce(own, key)
-        text = F.when(detailed, field(value, "$.text")).otherwise(field(value, "$"))
-        right = F.when(detailed & field(value, "$.is_correct").isNotNull(), F.coalesce(field(value, "$.is_correct", "boolean"), F.lit(False)))
+        text = F.when(detailed, d["text"]).otherwise(told(value, "string"))
+        right = F.when(d["is_correct"].isNotNull() & ~F.is_variant_null(d["is_correct"]), F.coalesce(told(d["is_correct"], "boolean"), F.lit(False)))
         return F.struct(
             named.alias("key"),
             F.trim(text).alias("text"),
             F.coalesce(right, F.when(~detailed | own.isNotNull(), named == F.col("correct_position")), F.lit(False)).alias("is_correct"),
-            F.when(detailed, field(value, "$.explanation.misconception_name")).alias("misconception_type"),
-            F.when(detailed, field(value, "$.explanation.why_its_wrong")).alias("explanation"),
+            d["explanation"]["misconception_name"].alias("misconception_type"),
+            d["explanation"]["why_its_wrong"].alias("explanation"),
         )
 
     lines = F.filter(F.split("as_text", r"\R"), lambda x: F.trim(x) != "")
@@ -102,15 +106,15 @@ def parse_any(responses: DataFrame) -> DataFrame:
         return F.struct(key.alias("key"), text.alias("text"), F.coalesce(key == F.col("correct_position"), F.lit(False)).alias("is_correct"), none.alias("misconception_type"), none.alias("explanation"))
 
     parts = F.coalesce(
-        F.transform(F.map_entries("as_map"), lambda e: part(e["key"], e["value"])),
-        F.transform("as_list", lambda v, i: part(F.get(letters, i), v)),
+        F.transform(F.transform(F.map_entries("as_map"), lambda e: detail(e["key"], e["value"])), part),
+        F.transform(F.transform("as_list", lambda v, i: detail(F.get(letters, i), v)), part),
         F.transform(lines, line),
         F.array().cast("array<struct<key:string,text:string,is_correct:boolean,misconception_type:string,explanation:string>>"),
     )
     readable = F.col("as_map").isNotNull() | F.col("as_list").isNotNull() | F.col("as_text").isNotNull()
-    fault = F.when(~F.coalesce(F.startswith("shape", F.lit("OBJECT")), F.lit(False)), "not an object").when(F.col("options").isNotNull() & (F.schema_of_variant("options") != "VOID") & ~readable, "unreadable options")
+    fault = F.when(F.col("item").isNull(), "not an object").when(options.isNotNull() & ~F.is_variant_null(options) & ~readable, "unreadable options")
     fields = ("question_text", "concept_tested", "overall_explanation")
-    return told.select(*rest, "position", *[field(F.col("item"), f"$.{f}").alias(f) for f in fields], "correct_position", parts.alias("parts"), fault.alias("fault"))
+    return shaped.select(*rest, "position", *[F.col("item")[f].alias(f) for f in fields], "correct_position", parts.alias("parts"), fault.alias("fault"))
 
 
 def normalize_any(items: DataFrame) -> DataFrame:

@@ -1,0 +1,23 @@
+"""What a plan must not do again: steps whose cost was found too high on large tables."""
+
+import io
+from contextlib import redirect_stdout
+
+from quizmill.plans import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df) -> str:
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain(True)
+    text = out.getvalue()
+    return text[text.index("== Optimized Logical Plan"):]
+
+
+def test_variant_shapes_are_read_without_deriving_schemas(spark):
+    """Only text among the options is told by its schema; arrays, items and details are read in their shape."""
+    plan = plan_of(registry.queries()["llm_response_shapes"](spark, SF))
+    logical = plan[: plan.index("== Physical Plan")]
+    assert logical.count("schemaOfVariant(") <= 1
