@@ -1,7 +1,7 @@
 """Text expressions: word counts, keyword tests, pattern spans, cleaning, chunk scoring.
 
-Everything here is Column -> Column and stays in the JVM. Pattern positions come from
-marking matches with two control characters and splitting on them, so one regexp pass
+Everything here is Column -> Column; the long patterns run in Arrow batches (linear.py), all else stays in the JVM. Pattern
+positions come from marking matches with two control characters and splitting on them, so one regexp pass
 yields the matched and the unmatched parts in order.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
+from quizmill.functions import linear
 
 OPEN, CLOSE = "\u0001", "\u0002"
 WORD = r"[\p{L}\p{N}_]"
@@ -58,6 +59,8 @@ EQUATION_RE = guarded(
 )
 CODE_RE = guarded(lx.CODE_PATTERNS, [(r"(?=[`dfciw#\s])", r"[`dfciw#^]")])
 PROTECTED_RE = EQUATION_RE + "|" + CODE_RE
+#: The same patterns for linear matching, which needs no guards.
+EQUATION, CODE = linear.either(lx.EQUATION_PATTERNS, "si"), linear.either(lx.CODE_PATTERNS)
 #: All begin at the text's start, so no other place is tried.
 SECTION_RE = "^" + either([p.removeprefix("^") for p in lx.SECTION_PATTERNS], "i")
 
@@ -139,35 +142,13 @@ def spans(c: Column, pattern: str, kind: str, order: int = 0) -> Column:
 
     # the pieces are named once, so the text is searched once
     start = F.struct(F.lit(-1).cast("bigint").alias("pos"), empty.alias("out"))
-    return F.aggregate(marked(c, pattern), start, step, lambda acc: acc["out"])
-
-
-def tidy_gap(c: Column) -> Column:
-    """White space and word-boundary repairs for text outside equations and code."""
-    for pattern, repl in [
-        (r"\s\s+|[^\S ]", " "),  # a single space stays as it is
-        (r"([a-z])([A-Z])", "$1 $2"),
-        (r"(\d)([A-Za-z])", "$1 $2"),
-        (r"([.!?])([A-Z])", "$1 $2"),
-        (r"•\s*", "• "),
-        (r"(\d+)\.\s*", "$1. "),
-    ]:
-        c = F.regexp_replace(c, pattern, repl)
-    return c
+    pieces = F.split(linear.marks(c, pattern), OPEN, -1)
+    return F.coalesce(F.aggregate(pieces, start, step, lambda acc: acc["out"]), empty)
 
 
 def clean_text(c: Column) -> Column:
     """Repair the text between equations and code; keep those spans verbatim."""
-    pieces = F.transform(
-        marked(c, PROTECTED_RE),
-        lambda p, i: F.when(i == 0, tidy_gap(p)).otherwise(
-            F.concat(
-                F.substring_index(p, CLOSE, 1),
-                tidy_gap(F.substring_index(p, CLOSE, -1)),
-            )
-        ),
-    )
-    return F.regexp_replace(F.array_join(pieces, ""), r"^\s+|\s+$", "")
+    return linear.repairs(c, EQUATION + "|" + CODE)
 
 
 def matches(c: Column, patterns: list[str], flags: str) -> Column:
@@ -183,11 +164,11 @@ def matches(c: Column, patterns: list[str], flags: str) -> Column:
 
 
 def has_equation(c: Column) -> Column:
-    return F.rlike(c, F.lit(EQUATION_RE))
+    return linear.tests(c, EQUATION)
 
 
 def has_code(c: Column) -> Column:
-    return F.rlike(c, F.lit(CODE_RE))
+    return linear.tests(c, CODE)
 
 
 def starts_like_section(c: Column) -> Column:

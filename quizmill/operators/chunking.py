@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
+from quizmill.functions import linear as ln
 from quizmill.functions import text as tx
 from quizmill.functions.frames import hold
 
@@ -27,7 +28,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_features(pages: DataFrame) -> DataFrame:
-    n = tx.word_count(F.col("text"))
+    n = ln.counts(F.col("text"), r"\S+")
     return pages.select(
         DOC,
         PAGE,
@@ -47,10 +48,14 @@ def _regex(pattern: str, flags: str) -> str:
     return f"(?{flags}:{tx.unicode_words(pattern)})"
 
 
+def _linear(pattern: str, flags: str) -> str:
+    return f"(?{flags}:{ln.words(pattern)})"
+
+
 def all_spans(text: Column, named: list[tuple[str, str]], flags: str) -> Column:
     """Spans of every pattern, pattern after pattern."""
     return F.flatten(
-        F.array(*[tx.spans(text, _regex(p, flags), name, i) for i, (name, p) in enumerate(named)])
+        F.array(*[tx.spans(text, _linear(p, flags), name, i) for i, (name, p) in enumerate(named)])
     )
 
 
@@ -140,6 +145,10 @@ def text_tables(pages: DataFrame) -> DataFrame:
 # --- semantic chunks -----------------------------------------------------------------
 
 
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+
+
 def _runs(ids: Column) -> Column:
     """Zero-based positions at which the id changes."""
     return F.when(F.size(ids) == 0, F.array().cast("array<int>")).otherwise(
@@ -151,18 +160,10 @@ def _runs(ids: Column) -> Column:
 
 
 def semantic_units(pages: DataFrame, limit: int = lx.UNIT_WORDS) -> DataFrame:
-    """Adds units: paragraphs, long ones cut at sentence ends and packed up to the limit.
+    """Adds units: paragraphs, long ones cut at sentence ends and packed up to the limit; and counts, their words.
 
     The fold carries word counts only; texts are sliced afterwards.
     """
-    paragraphs = F.filter(
-        F.transform(F.split("text", r"\n\s*\n"), strip), lambda p: p != ""
-    )
-
-    def parts(p: Column, i: Column) -> Column:
-        pieces = F.when(tx.word_count(p) > limit, tx.sentences(p)).otherwise(F.array(p))
-        return F.transform(pieces, lambda s: F.struct(i.alias("para"), s.alias("s"), tx.word_count(s).alias("n")))
-
     start = F.struct(
         F.array().cast("array<int>").alias("ids"), F.lit(-1).alias("u"),
         F.lit(0).cast("bigint").alias("w"), F.lit(-1).alias("para"),
@@ -176,11 +177,12 @@ def semantic_units(pages: DataFrame, limit: int = lx.UNIT_WORDS) -> DataFrame:
             F.when(same, acc["w"] + x["n"]).otherwise(x["n"]).alias("w"), x["para"].alias("para"),
         )
 
-    staged = hold(pages, parts=F.flatten(F.transform(paragraphs, parts)))
+    staged = hold(pages, parts=ln.parts(F.col("text"), limit))
     staged = hold(
         staged,
         ids=F.aggregate("parts", start, step, lambda acc: acc["ids"]),
         texts=F.transform("parts", lambda p: p["s"]),
+        sizes=F.transform("parts", lambda p: p["n"]),
     )
     staged = hold(staged, runs=_runs(F.col("ids")))
 
@@ -188,7 +190,11 @@ def semantic_units(pages: DataFrame, limit: int = lx.UNIT_WORDS) -> DataFrame:
         until = F.coalesce(F.get("runs", k + 1), F.size("texts"))
         return F.array_join(F.slice("texts", at + 1, until - at), " ")
 
-    return hold(staged, units=F.transform("runs", unit)).drop("parts", "ids", "texts", "runs")
+    def size(at: Column, k: Column) -> Column:
+        until = F.coalesce(F.get("runs", k + 1), F.size("texts"))
+        return total(F.slice("sizes", at + 1, until - at))
+
+    return hold(staged, units=F.transform("runs", unit), counts=F.transform("runs", size)).drop("parts", "ids", "texts", "sizes", "runs")
 
 
 def pack_units(units: DataFrame, size: int = lx.CHUNK_SIZE, overlap: int = lx.CHUNK_OVERLAP) -> DataFrame:
@@ -210,11 +216,9 @@ def pack_units(units: DataFrame, size: int = lx.CHUNK_SIZE, overlap: int = lx.CH
             c.alias("c"), w.alias("w"),
         )
 
-    staged = hold(
-        units,
-        counts=F.transform("units", tx.word_count),
-        words=tx.word_list(F.array_join("units", " ")),
-    )
+    # only a page of several chunks repeats words of one chunk at the next one's head
+    several = total(F.col("counts")) > size
+    staged = hold(units, words=F.when(several, tx.word_list(F.array_join("units", " "))))
     staged = hold(staged, fold=F.aggregate("counts", start, step, lambda acc: acc["out"]))
     staged = hold(staged, owner=F.transform("fold", lambda f: f["c"]))
     staged = hold(staged, runs=_runs(F.col("owner")))
@@ -226,7 +230,7 @@ def pack_units(units: DataFrame, size: int = lx.CHUNK_SIZE, overlap: int = lx.CH
 
     def chunk(at: Column, k: Column) -> Column:
         words_before = F.get("fold", at - 1)["w"]
-        offset = F.aggregate(F.slice("counts", F.lit(1), at), F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+        offset = total(F.slice("counts", F.lit(1), at))
         tail = F.array_join(F.slice("words", (offset - overlap + 1).cast("int"), F.lit(overlap)), " ")
         lead = F.when(words_before <= overlap, own(k - 1)).otherwise(tail)
         until = F.coalesce(F.get("runs", k + 1), F.size("units"))
@@ -266,7 +270,7 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
         {
             "chunk_type": tx.chunk_type(t),
             "importance_score": tx.importance_score(t),
-            "word_count": tx.word_count(t),
+            "word_count": ln.counts(t, r"\S+"),
             "char_count": F.length(t).cast("bigint"),
             "has_equations": tx.has_equation(t),
             "has_code": tx.has_code(t),
@@ -407,7 +411,7 @@ def element_counts(pages: DataFrame, *more: Column) -> DataFrame:
     t = F.col("text")
 
     def n(patterns: list[str], flags: str) -> Column:
-        return sum((F.regexp_count(t, F.lit(_regex(p, flags))) for p in patterns), F.lit(0)).cast("bigint")
+        return ln.counts(t, *[_linear(p, flags) for p in patterns])
 
     per_page = pages.select(
         DOC,
@@ -415,7 +419,7 @@ def element_counts(pages: DataFrame, *more: Column) -> DataFrame:
         n(lx.TABLE_PATTERNS, "m").alias("tables"),
         n(lx.FIGURE_PATTERNS, "i").alias("figures"),
         n([p for _, p in lx.NAMED_CODE], "sm").alias("code_blocks"),
-        F.regexp_count(t, F.lit(lx.SYMBOL_CLASS)).cast("bigint").alias("symbols"),
+        ln.counts(t, lx.SYMBOL_CLASS).alias("symbols"),
         F.length(t).cast("bigint").alias("chars"),
         *more,
     )

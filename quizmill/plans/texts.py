@@ -262,8 +262,8 @@ U = P + [CLEAN, UNITS]
 C = U + [CHUNKS]
 add_rec(
     "semantic_units",
-    lambda s, d: ch.semantic_units(cleaned(s, d)).select("doc_id", "page_num", F.posexplode("units").alias("p", "text")).select(
-        "doc_id", "page_num", (F.col("p") + 1).cast("bigint").alias("unit"), tx.word_count(F.col("text")).alias("words"), "text"
+    lambda s, d: ch.semantic_units(cleaned(s, d)).select("doc_id", "page_num", F.posexplode(F.arrays_zip("units", "counts")).alias("p", "u")).select(
+        "doc_id", "page_num", (F.col("p") + 1).cast("bigint").alias("unit"), F.col("u.counts").alias("words"), F.col("u.units").alias("text")
     ),
     U,
     f"SELECT {DP}, k AS unit, n AS words, text FROM units",

@@ -3,6 +3,10 @@
 import io
 from contextlib import redirect_stdout
 
+from pyspark.sql import functions as F
+
+from quizmill.functions import linear
+from quizmill.functions import text as tx
 from quizmill.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +25,31 @@ def test_variant_shapes_are_read_without_deriving_schemas(spark):
     plan = plan_of(registry.queries()["llm_response_shapes"](spark, SF))
     logical = plan[: plan.index("== Physical Plan")]
     assert logical.count("schemaOfVariant(") <= 1
+
+
+def test_long_patterns_run_in_linear_time(spark):
+    """Cleaning, units, element counts and chunk flags leave no long pattern to the JVM and ask each one once a row."""
+    for name in ("chunk_record", "chunk_size_profile", "semantic_units", "doc_summary", "stem_chunks", "doc_complexity"):
+        plan = plan_of(registry.queries()[name](spark, SF))
+        logical = plan[: plan.index("== Physical Plan")]
+        assert "Diagram" not in logical and "begin" not in logical, name
+        assert "regexp_count(" not in logical, name
+    plan = plan_of(registry.queries()["chunk_record"](spark, SF))
+    # one step cleans, one cuts paragraphs, one tests and counts
+    assert plan[plan.index("== Physical Plan"):].count("ArrowEvalPython") <= 3
+
+
+def test_paragraphs_are_cut_and_counted(spark):
+    rows = spark.createDataFrame([(1, "A b. C d e! F\n \n x\n\n"), (2, ""), (3, None), (4, "\n\none two three. four"), (5, "a b c")], "i int, t string")
+    got = {r.i: [tuple(p) for p in r.p] for r in rows.select("i", linear.parts(F.col("t"), 3).alias("p")).collect()}
+    assert got == {
+        1: [(0, "A b.", 2), (0, "C d e!", 3), (0, "F", 1), (1, "x", 1)], 2: [], 3: [],
+        4: [(0, "one two three.", 3), (0, "four", 1)], 5: [(0, "a b c", 3)],
+    }
+
+
+def test_cleaning_keeps_spans_and_mends_gaps(spark):
+    texts = ["a  b$x  y$cD  1.e", "no span  atAll", None, "", " \n lead `c  d` 2.x \n", "$a$$b  c$", "x =  y"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.c for r in rows.select("i", tx.clean_text(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got == ["a b$x  y$c D 1. e", "no span at All", None, "", "lead `c  d` 2. x", "$a$$b  c$", "x =  y"]
