@@ -216,6 +216,8 @@ def pack_units(units: DataFrame, size: int = lx.CHUNK_SIZE, overlap: int = lx.CH
             c.alias("c"), w.alias("w"),
         )
 
+    if "counts" not in units.columns:
+        units = hold(units, counts=F.transform("units", tx.word_count))
     # only a page of several chunks repeats words of one chunk at the next one's head
     several = total(F.col("counts")) > size
     staged = hold(units, words=F.when(several, tx.word_list(F.array_join("units", " "))))
