@@ -65,8 +65,14 @@ EQUATION, CODE = linear.either(lx.EQUATION_PATTERNS, "si"), linear.either(lx.COD
 SECTION_RE = "^" + either([p.removeprefix("^") for p in lx.SECTION_PATTERNS], "i")
 
 
+def heads(c: Column, pattern: str) -> Column:
+    """How many matches of the pattern have something in its group, which holds one character at most: only those are kept, so
+    no list of matches is made."""
+    return F.length(F.regexp_replace(c, pattern, "$1")).cast("bigint")
+
+
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\S+")).cast("bigint")
+    return heads(c, r"\s*+(\S?)\S*+")
 
 
 def word_list(c: Column) -> Column:

@@ -214,6 +214,8 @@ PLACEHOLDER_PATTERNS = [
     r"insert\s+text",
     r"answer\s+here",
 ]
+#: What stands in lower case wherever the pattern of the same place matches.
+PLACEHOLDER_SIGNS = ["option", "choice", "[", "{", "xxx", "...", "placeholder", "insert", "answer"]
 QUESTION_WORDS_MIN, QUESTION_WORDS_MAX = 5, 50
 OPTION_WORDS_MIN, OPTION_WORDS_MAX = 3, 30
 

@@ -17,14 +17,21 @@ IDX = "question_index"
 FEW_EDGES = 200_000
 
 
+def text_key(text: str = "question_text") -> Column:
+    return F.sha2(F.trim(F.lower(text)), 256)
+
+
 def exact_duplicates(bank: DataFrame, text: str = "question_text") -> DataFrame:
-    """Later rows whose trimmed lower-case text already occurred, with the first row's index.
+    """Later rows whose trimmed lower-case text already occurred, with the first row's index."""
+    return later_copies(bank.select(KEY, IDX, text_key(text).alias("text_key")))
+
+
+def later_copies(keyed: DataFrame) -> DataFrame:
+    """exact_duplicates() of (assessment_id, question_index, text_key).
 
     Texts are grouped first (map-side combined), and only groups with copies are joined back, so a
     group holding most of the rows is one build row and a split probe side.
     """
-    norm = F.sha2(F.trim(F.lower(text)), 256).alias("text_key")
-    keyed = bank.select(KEY, IDX, norm)
     firsts = (
         keyed.groupBy(KEY, "text_key")
         .agg(F.min(IDX).alias("first_index"), F.count("*").alias("copies"))

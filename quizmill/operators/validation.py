@@ -14,7 +14,9 @@ from quizmill.functions import rules
 from quizmill.functions import text as tx
 from quizmill.functions.frames import hold
 from quizmill.operators import stats
-from quizmill.operators.dedupe import exact_duplicates
+from quizmill.operators.dedupe import later_copies, text_key
+from quizmill.sources.stores import written
+from quizmill.streaming.progress import scratch
 
 KEY = "assessment_id"
 ISSUE = "struct<severity:string,issue_type:string,description:string,suggestion:string>"
@@ -54,18 +56,19 @@ def bounded(pattern: str) -> str:
     return f"(?:^|{edge}){inner[1]}(?:{edge}|$)" if inner else pattern
 
 
-def text_issues(text: Column, field: str) -> Column:
-    """Problems of one text field; an empty field has no further issues."""
+def text_issues(text: Column, field: str, low: Column | None = None, n: Column | None = None) -> Column:
+    """Problems of one text field; an empty field has no further issues. Its lower case and its words may be given where they
+    are known. A placeholder's pattern is tried only where the sign it holds stands in the text."""
     is_question = field == "question_text"
-    low = lx.QUESTION_WORDS_MIN if is_question else lx.OPTION_WORDS_MIN
-    high = lx.QUESTION_WORDS_MAX if is_question else lx.OPTION_WORDS_MAX
-    n = tx.word_count(text)
+    least = lx.QUESTION_WORDS_MIN if is_question else lx.OPTION_WORDS_MIN
+    most = lx.QUESTION_WORDS_MAX if is_question else lx.OPTION_WORDS_MAX
+    low, n = F.lower(text) if low is None else low, tx.word_count(text) if n is None else n
     checks = [
-        (F.rlike(text, F.lit("(?i)" + bounded(p))), issue("placeholder", field=field, text=F.left(text, F.lit(50))))
-        for p in lx.PLACEHOLDER_PATTERNS
+        (F.contains(low, F.lit(sign)) & F.rlike(text, F.lit("(?i)" + bounded(p))), issue("placeholder", field=field, text=F.left(text, F.lit(50))))
+        for p, sign in zip(lx.PLACEHOLDER_PATTERNS, lx.PLACEHOLDER_SIGNS, strict=True)
     ]
-    checks.append((n < low, issue("short", field=field, n=n, limit=str(low))))
-    checks.append((n > high, issue("long", field=field, n=n, limit=str(high))))
+    checks.append((n < least, issue("short", field=field, n=n, limit=str(least))))
+    checks.append((n > most, issue("long", field=field, n=n, limit=str(most))))
     if not is_question:
         checks.append((F.endswith(text, F.lit("?")), issue("question_mark", field=field)))
     return F.when(
@@ -79,25 +82,27 @@ def option(letter: str) -> Column:
 
 
 def with_options(bank: DataFrame) -> DataFrame:
-    """Adds option_A to option_D and option_lengths, computed once per question."""
+    """Adds option_A to option_D, their lower case and option_lengths, computed once per question."""
     texts = hold(bank, option_list=rules.option_texts(3))
     each = {f"option_{k}": F.get("option_list", F.lit(i)) for i, k in enumerate("ABCD")}
-    return hold(texts, option_lengths=F.transform("option_list", tx.word_count), **each)
+    low = {f"low_{k}": F.lower(c) for k, c in zip("ABCD", each.values(), strict=True)}
+    return hold(texts, option_lengths=F.transform("option_list", tx.word_count), **each, **low)
 
 
 def option_issues() -> Column:
     """Reads the columns of with_options()."""
     lengths = F.col("option_lengths")
     mean = rules.total(lengths) / F.size(lengths)
+    words = {k: F.get(lengths, F.lit(i)) for i, k in enumerate("ABCD")}
     missing = found(*[(option(k).isNull(), issue("missing_option", key=k)) for k in "ABCD"])
     texts = [
-        F.when(option(k).isNull(), F.array().cast(f"array<{ISSUE}>")).otherwise(text_issues(option(k), f"option_{k}"))
+        F.when(option(k).isNull(), F.array().cast(f"array<{ISSUE}>")).otherwise(text_issues(option(k), f"option_{k}", F.col(f"low_{k}"), words[k]))
         for k in "ABCD"
     ]
     uneven = found(
         *[
             (
-                (F.size(lengths) >= 3) & (F.abs(tx.word_count(option(k)) - mean) > mean * 0.75),
+                (F.size(lengths) >= 3) & (F.abs(words[k] - mean) > mean * 0.75),
                 issue("unbalanced", key=k),
             )
             for k in "ABCD"
@@ -123,12 +128,14 @@ def issue_rows(bank: DataFrame, issues: Column) -> DataFrame:
     return with_options(bank).select(KEY, (F.col("question_index") + 1).alias("question_id"), F.inline(issues))
 
 
-def all_issues(bank: DataFrame) -> DataFrame:
-    return issue_rows(bank, own_issues()).unionByName(duplicate_issues(bank))
+def _all_issues(rows: DataFrame) -> DataFrame:
+    """The issues of examined() questions, those that are copies among them."""
+    own = rows.select(KEY, (F.col("question_index") + 1).alias("question_id"), F.inline("issues"))
+    return own.unionByName(_copy_issues(rows))
 
 
-def duplicate_issues(bank: DataFrame) -> DataFrame:
-    dup = exact_duplicates(bank)
+def _copy_issues(keyed: DataFrame) -> DataFrame:
+    dup = later_copies(keyed.select(KEY, "question_index", "text_key"))
     return dup.select(
         KEY,
         (F.col("question_index") + 1).alias("question_id"),
@@ -137,31 +144,43 @@ def duplicate_issues(bank: DataFrame) -> DataFrame:
 
 
 def own_issues() -> Column:
-    """Everything wrong with a question by itself; reads the columns of with_options()."""
-    return F.concat(field_issues(), text_issues(F.col("question_text"), "question_text"), option_issues())
+    """Everything wrong with a question by itself; reads the columns of with_options(), low_question and question_length."""
+    question = text_issues(F.col("question_text"), "question_text", F.col("low_question"), F.col("question_length"))
+    return F.concat(field_issues(), question, option_issues())
 
 
-def copy_counts(bank: DataFrame) -> DataFrame:
+def copy_counts(keyed: DataFrame) -> DataFrame:
     """Questions per assessment whose text an earlier one has: two map-side counts, no question meets another."""
-    texts = bank.filter("question_text IS NOT NULL").groupBy(KEY, F.sha2(F.trim(F.lower("question_text")), 256).alias("text_key")).agg(F.count("*").alias("n"))
+    texts = keyed.filter("text_key IS NOT NULL").groupBy(KEY, "text_key").agg(F.count("*").alias("n"))
     return texts.groupBy(KEY).agg(F.sum(F.col("n") - 1).alias("copies"))
 
 
+def examined(bank: DataFrame) -> DataFrame:
+    """(assessment_id, question_index, correct_position, difficulty, text_key, issues): what is wrong with each question by
+    itself."""
+    rows = hold(with_options(bank), low_question=F.lower("question_text"), question_length=tx.word_count(F.col("question_text")))
+    return rows.select(KEY, "question_index", "correct_position", "difficulty", text_key().alias("text_key"), own_issues().alias("issues"))
+
+
 def validation_scores(bank: DataFrame) -> DataFrame:
     """Severity counts and the 0-100 score of each assessment."""
+    return _scores(written(examined(bank).withColumn("issues", F.transform("issues", lambda x: F.struct(x["severity"]))), scratch(bank.sparkSession)))
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    """validation_scores() of examined() questions."""
     severities = ("critical", "major", "minor")
 
     def equals(severity: str) -> Callable[[Column], Column]:
         return lambda x: x == severity
 
     copy_severity = lx.VALIDATION["duplicate"][0]
-    held = hold(with_options(bank), severity=F.transform(own_issues(), lambda x: x["severity"]))
-    own = {f"own_{s}": F.sum(F.size(F.filter("severity", equals(s)))) for s in severities}
+    own = {f"own_{s}": F.sum(F.size(F.filter("issues.severity", equals(s)))) for s in severities}
     letters = {f"at_{p}": F.count_if(F.col("correct_position") == p) for p in "ABCD"}
-    shape = held.groupBy(KEY).agg(F.count("*").alias("total_questions"), F.count_distinct("difficulty").alias("variety_score"), *[c.alias(n) for n, c in (own | letters).items()])
+    shape = rows.groupBy(KEY).agg(F.count("*").alias("total_questions"), F.count_distinct("difficulty").alias("variety_score"), *[c.alias(n) for n, c in (own | letters).items()])
     top = F.greatest(*[F.col(n) / F.col("total_questions") for n in letters])
     copies = F.coalesce("copies", F.lit(0))
-    joined = shape.join(copy_counts(bank), KEY, "left").select(
+    joined = shape.join(copy_counts(rows), KEY, "left").select(
         KEY, (top > 0.4).alias("bias_detected"), F.round(top, 6).alias("max_share"), "total_questions", "variety_score",
         *[(F.col(f"own_{s}") + (copies if s == copy_severity else 0)).alias(f"{s}_issues") for s in severities],
         copies.alias("duplicate_questions"),
@@ -180,10 +199,11 @@ def validation_scores(bank: DataFrame) -> DataFrame:
 def report_lines(bank: DataFrame, shown: int = 10) -> DataFrame:
     """The text report as (assessment_id, section, seq, line): write it sorted, or per assessment.
 
-    Sections are rows of their own, so no assessment is gathered into one value.
+    Sections are rows of their own, so no assessment is gathered into one value. Questions are examined once and written, as
+    scores, details and copies each read them.
     """
-    scores = validation_scores(bank)
-    issues = all_issues(bank)
+    rows = written(examined(bank), scratch(bank.sparkSession))
+    scores, issues = _scores(rows), _all_issues(rows)
     rank = W.partitionBy(KEY, "severity").orderBy("question_id", "issue_type", "description")
     top = issues.withColumn("seq", F.row_number().over(rank)).filter(F.col("seq") <= shown)
     bullet = F.concat(F.lit("   • Q"), F.col("question_id"), F.lit(": "), F.col("description"), F.lit("\n     → "), F.col("suggestion"))
@@ -215,13 +235,13 @@ def report_lines(bank: DataFrame, shown: int = 10) -> DataFrame:
         cond = F.col(name) if name == "bias_detected" else F.col(name) > 0
         head.append((7, i, F.when(cond, F.lit(text))))
     head.append((8, 1, F.lit(lx.REPORT_LAST)))
-    rows = F.array(
+    lines = F.array(
         *[
             F.struct(F.lit(sec).alias("section"), F.lit(seq).cast("bigint").alias("seq"), text.alias("line"))
             for sec, seq, text in head
         ]
     )
-    return scores.select(KEY, F.inline(rows)).filter(F.col("line").isNotNull()).unionByName(detail)
+    return scores.select(KEY, F.inline(lines)).filter(F.col("line").isNotNull()).unionByName(detail)
 
 
 def constrain(df: DataFrame, rules_by_name: dict[str, Column]) -> DataFrame:

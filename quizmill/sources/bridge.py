@@ -103,15 +103,18 @@ def question_bank(spark: SparkSession, sf_dir: str, placed: bool = False) -> Dat
     second = F.coalesce(F.get(b, 1), F.lit(""))
     answer = F.when(clause == "", second).otherwise(F.concat(clause, F.lit(": "), second))
 
-    def distractor(x: Column, i: Column) -> Column:
+    def distractor(i: int) -> Column:
         kind = F.concat(F.lit("m"), ((a + q * (i + 1)) % 5).cast("string"))
         return F.struct(
-            x.alias("text"),
+            F.get(b, F.lit(i + 2)).alias("text"),
             kind.alias("misconception_type"),
             F.concat(F.lit("Mixes it up with "), kind).alias("explanation"),
             (1 + (a * 7 + q * 5 + (i + 1) * 3) % 10).cast("bigint").alias("closeness_score"),
         )
 
+    # one by one, as a lambda is not compiled
+    wrong = F.slice(F.array(*[distractor(i) for i in range(3)]), 1, F.greatest(F.size(b) - 2, F.lit(0)))
+
     return rows.select(
         a.alias("assessment_id"),
         q.alias("question_index"),
@@ -119,7 +122,7 @@ def question_bank(spark: SparkSession, sf_dir: str, placed: bool = False) -> Dat
         F.when((a + q) % 7 == 0, "true_false").otherwise("multiple_choice").alias("question_type"),
         F.when((a * 3 + q) % 10 < 3, "easy").when((a * 3 + q) % 10 < 8, "medium").otherwise("hard").alias("difficulty"),
         answer.alias("correct_answer"),
-        F.transform(F.slice(b, 3, 3), distractor).alias("distractors"),
+        wrong.alias("distractors"),
         F.concat(F.lit("Stated in "), F.col("source")).alias("explanation"),
         F.lower(F.substring_index(second, " ", 1)).alias("concept"),
         pick(lx.PERSPECTIVES, (a + q) % len(lx.PERSPECTIVES)).alias("perspective"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import linear
 from quizmill.functions import text as tx
+from quizmill.operators import validation
 from quizmill.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,29 @@ def test_cleaning_keeps_spans_and_mends_gaps(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.c for r in rows.select("i", tx.clean_text(F.col("t")).alias("c")).orderBy("i").collect()]
     assert got == ["a b$x  y$c D 1. e", "no span at All", None, "", "lead `c  d` 2. x", "$a$$b  c$", "x =  y"]
+
+
+def bank_passes(spark, name: str) -> int:
+    """How often the plan cuts the documents into questions."""
+    plan = plan_of(registry.queries()[name](spark, SF))
+    return plan[plan.index("== Physical Plan"):].count("documents.parquet")
+
+
+def test_the_report_examines_questions_once(spark):
+    """Each question is examined once and written; scores, details and copies read what was written."""
+    assert bank_passes(spark, "quality_report") == 0
+    assert bank_passes(spark, "validation_score") == 0
+
+
+def test_placeholder_signs_stand_wherever_patterns_match(spark):
+    texts = ["Option  A", "CHOICE b", "[Fill]", "{X}", "an XXXX", "wait....", "PlaceHolder", "INSERT \t Text", "Answer  HERE", "plain words only"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = rows.select("i", F.explode(validation.text_issues(F.col("t"), "option_A")).alias("x")).filter("x.issue_type = 'placeholder'")
+    assert sorted(r.i for r in found.collect()) == list(range(9))
+
+
+def test_words_are_counted_without_a_list_of_them(spark):
+    texts = ["", " ", "\t\n", "a", " a", "a ", "a  b\nc\x0bd", "é ∑x \U0001F600 $1 \\", "x" * 5000, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.word_count(F.col("t")).alias("n"))
+    assert [r.n for r in rows.orderBy("i").collect()] == [0, 0, 0, 1, 1, 1, 4, 5, 1, None]
+    assert "regexp_extract_all" not in plan_of(rows)
