@@ -149,8 +149,9 @@ def question_terms(bigrams: bool, text: str = "question_text") -> tuple[Column,
 
 
 def term_counts(bank: DataFrame, bigrams: bool, text: str = "question_text") -> DataFrame:
-    """(assessment, question, term, tf): words of two letters or more, stop words removed."""
-    terms = F.concat(*question_terms(bigrams, text))
+    """(assessment, question, term, tf): words of two letters or more, stop words removed, and once the empty term of every
+    question."""
+    terms = F.concat(F.array(F.lit("")), *[F.coalesce(t, F.array().cast("array<string>")) for t in question_terms(bigrams, text)])
     return (
         bank.select(KEY, "question_index", F.explode(terms).alias("term"))
         .groupBy(KEY, "question_index", "term")
@@ -158,15 +159,20 @@ def term_counts(bank: DataFrame, bigrams: bool, text: str = "question_text") ->
     )
 
 
-def weighted_terms(tf: DataFrame, sizes: DataFrame, keep: int | None = None) -> DataFrame:
-    """L2-normalised tf-idf weights per question; optionally only the most frequent terms."""
-    terms = tf.groupBy(KEY, "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+def weighted_terms(tf: DataFrame, keep: int | None = None) -> DataFrame:
+    """L2-normalised tf-idf weights per question of term_counts(); optionally only the most frequent terms.
+
+    One chain of windows: rows are read once, and where they come placed by assessment none is shuffled. The empty term is the
+    first of its assessment, so all rows after it know the number of questions.
+    """
+    per = W.partitionBy(KEY, "term")
+    n = F.sum(F.when(F.col("term") == "", F.col("tf"))).over(W.partitionBy(KEY).orderBy("term"))
+    terms = tf.withColumns({"cf": F.sum("tf").over(per), "df": F.count("*").over(per), "n": n}).filter("term <> ''")
     if keep is not None:
         order = W.partitionBy(KEY).orderBy(F.desc("cf"), "term")
-        terms = terms.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= keep)
+        terms = terms.withColumn("rk", F.dense_rank().over(order)).filter(F.col("rk") <= keep)
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    terms = terms.join(sizes, KEY).select(KEY, "term", idf.alias("idf"))
-    raw = tf.join(terms, [KEY, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    raw = terms.withColumn("w", F.col("tf") * idf)
     # one window group is the terms of one question
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(KEY, "question_index")))
     return raw.select(KEY, "question_index", "term", (F.col("w") / norm).alias("weight"))
@@ -178,7 +184,7 @@ def assessment_sizes(bank: DataFrame) -> DataFrame:
 
 def concept_coverage(bank: DataFrame, vocabulary: int = 50, top: int = 10) -> DataFrame:
     """Top terms by summed weight, among the most frequent single words and word pairs."""
-    weights = weighted_terms(term_counts(bank, bigrams=True), assessment_sizes(bank), keep=vocabulary)
+    weights = weighted_terms(term_counts(bank, bigrams=True), keep=vocabulary)
     sums = weights.groupBy(KEY, "term").agg(F.round(F.sum("weight"), 9).alias("s"))
     # at most vocabulary rows per assessment are left here
     order = W.partitionBy(KEY).orderBy(F.desc("s"), "term")
@@ -208,7 +214,7 @@ def content_diversity(bank: DataFrame) -> DataFrame:
     sizes = bank.groupBy(KEY).agg(
         F.count("*").alias("n"), F.count_distinct("question_type").alias("types")
     )
-    weights = weighted_terms(term_counts(bank, bigrams=False), sizes.select(KEY, "n"))
+    weights = weighted_terms(term_counts(bank, bigrams=False))
     per_term = weights.groupBy(KEY, "term").agg(F.sum("weight").alias("s"))
     square = per_term.groupBy(KEY).agg(F.sum(F.col("s") * F.col("s")).alias("square"))
     n = F.col("n")

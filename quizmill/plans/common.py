@@ -10,8 +10,8 @@ from quizmill.operators.scoring import score_questions
 from quizmill.sources import bridge
 
 
-def bank(spark, sf_dir) -> DataFrame:
-    return bridge.question_bank(spark, sf_dir)
+def bank(spark, sf_dir, placed: bool = False) -> DataFrame:
+    return bridge.question_bank(spark, sf_dir, placed)
 
 
 def scored(spark, sf_dir, placed: bool = False) -> DataFrame:

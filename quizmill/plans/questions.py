@@ -146,8 +146,8 @@ ascore AS (SELECT assessment_id, {S.r3("least(1e0, m + CASE WHEN n > 1 THEN grea
 add("assessment_overview", lambda s, d: flat(stats.overview(scored(s, d))), BS + [OVERVIEW], "SELECT * FROM overview")
 add("quality_distribution", lambda s, d: flat(stats.score_distribution(scored(s, d))), BS + [DISTRIBUTION], "SELECT * FROM distribution")
 add("difficulty_balance", lambda s, d: flat(stats.difficulty_balance(bank(s, d))), B + [BALANCE], "SELECT * FROM balance")
-add("concept_coverage", lambda s, d: flat(stats.concept_coverage(bank(s, d))), B + [COVERAGE], "SELECT * FROM coverage")
-add("content_diversity", lambda s, d: flat(stats.content_diversity(bank(s, d))), B + [DIVERSITY], "SELECT * FROM diversity")
+add("concept_coverage", lambda s, d: flat(stats.concept_coverage(bank(s, d, placed=True))), B + [COVERAGE], "SELECT * FROM coverage")
+add("content_diversity", lambda s, d: flat(stats.content_diversity(bank(s, d, placed=True))), B + [DIVERSITY], "SELECT * FROM diversity")
 add(
     "misconception_usage",
     lambda s, d: flat(stats.misconception_usage(bank(s, d))),

@@ -80,3 +80,9 @@ def test_words_are_counted_without_a_list_of_them(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.word_count(F.col("t")).alias("n"))
     assert [r.n for r in rows.orderBy("i").collect()] == [0, 0, 0, 1, 1, 1, 4, 5, 1, None]
     assert "regexp_extract_all" not in plan_of(rows)
+
+
+def test_terms_are_weighed_where_their_assessment_lies(spark):
+    assert bank_passes(spark, "concept_coverage") == 1
+    plan = plan_of(registry.queries()["concept_coverage"](spark, SF))
+    assert plan[plan.index("== Physical Plan"):].count("Exchange ") == 1
