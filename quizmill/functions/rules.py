@@ -205,23 +205,23 @@ def question_advice() -> Column:
 # --- gates ---------------------------------------------------------------------
 
 
-def six_checks() -> dict[str, Column]:
-    texts = option_texts()
-    n_words = option_words()
-    n = tx.word_count(question())
+def six_checks(low: Column | None = None, n: Column | None = None, texts: Column | None = None, n_words: Column | None = None) -> dict[str, Column]:
+    """The question's lower case and words, the options' lower case and words may be given where they are known."""
+    low, n = F.lower(question()) if low is None else low, tx.word_count(question()) if n is None else n
+    texts, n_words = F.transform(option_texts(), F.lower) if texts is None else texts, option_words() if n_words is None else n_words
     return {
-        "no_placeholder": ~F.exists(texts, lambda t: tx.any_word(F.lower(t), lx.GATE_PLACEHOLDERS)),
+        "no_placeholder": ~F.exists(texts, lambda t: tx.any_word(t, lx.GATE_PLACEHOLDERS)),
         "option_length": F.forall(n_words, lambda k: (k >= 3) & (k <= 35)),
         "distractors_ok": (F.size(distractors()) >= 2)
         & F.forall(distractors(), lambda d: F.length(F.trim(d["text"])) >= 5),
         "clear_question": F.rlike(question(), F.lit(r"\?\s*$")) & n.between(3, 25),
-        "no_negative": ~tx.any_word(F.lower(question()), lx.GATE_NEGATIVES),
+        "no_negative": ~tx.any_word(low, lx.GATE_NEGATIVES),
         "balanced": F.array_max(n_words) <= 2 * F.array_min(n_words),
     }
 
 
-def six_check_pass() -> Column:
-    passed = reduce(lambda a, b: a + b, [c.cast("int") for c in six_checks().values()])
+def six_check_pass(**known: Column) -> Column:
+    passed = reduce(lambda a, b: a + b, [c.cast("int") for c in six_checks(**known).values()])
     return passed >= 5
 
 

@@ -151,9 +151,9 @@ def _in_rounds(edges: DataFrame) -> DataFrame:
     return out
 
 
-def used_concepts(questions: DataFrame) -> DataFrame:
-    return questions.select(KEY, F.lower("concept").alias("concept")).filter("concept <> ''").distinct()
-
-
-def unused_concepts(candidates: DataFrame, used: DataFrame) -> DataFrame:
-    return used_concepts(candidates).join(used, [KEY, "concept"], "left_anti")
+def concept_states(checked: DataFrame) -> DataFrame:
+    """(assessment_id, concept, state) of questions with `passes`: a concept is used if one of its questions passes, free if
+    none does."""
+    told = checked.select(KEY, F.lower("concept").alias("concept"), "passes").filter("concept <> '' AND passes IS NOT NULL")
+    used = told.groupBy(KEY, "concept").agg(F.bool_or("passes").alias("used"))
+    return used.select(KEY, "concept", F.when(F.col("used"), "used").otherwise("free").alias("state"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.functions import rules
+from quizmill.functions import text as tx
+from quizmill.functions.frames import hold
 
 
 def score_questions(bank: DataFrame) -> DataFrame:
@@ -37,6 +39,22 @@ def score_questions(bank: DataFrame) -> DataFrame:
     )
 
 
+def checked(bank: DataFrame) -> DataFrame:
+    """Adds passes: the six checks, made once a question; a filter on it is not pushed below the making of the question."""
+    known = {
+        "low": F.lower("question_text"), "n": tx.word_count(F.col("question_text")),
+        "texts": F.transform(rules.option_texts(), F.lower), "n_words": rules.option_words(),
+    }
+    made = bank.withColumns({f"_{k}": c for k, c in known.items()})
+    passed = made.withColumn("_passes", rules.six_check_pass(**{k: F.col(f"_{k}") for k in known}))
+    return hold(passed.drop(*[f"_{k}" for k in known]), passes=F.col("_passes")).drop("_passes")
+
+
+def gated(bank: DataFrame) -> DataFrame:
+    """The questions that pass the six checks."""
+    return checked(bank).filter("passes").drop("passes")
+
+
 def basic_scores(bank: DataFrame) -> DataFrame:
     """Constant scores used when the full analysis is switched off; closeness is still measured."""
     d = rules.distractor_quality()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.functions import rules
-from quizmill.operators import dedupe, validation
+from quizmill.operators import dedupe, scoring, validation
 from quizmill.plans import sql as S
 from quizmill.plans.common import bank, flat
 from quizmill.plans.questions import BIAS
@@ -206,7 +206,7 @@ add(
 # questions that resemble another are gone through in order, with the list of those accepted; copies never are
 add(
     "greedy_admit",
-    lambda s, d: dedupe.greedy_admit(bank(s, d).filter(rules.six_check_pass())),
+    lambda s, d: dedupe.greedy_admit(scoring.gated(bank(s, d))),
     B + [S.GATE, NEAR.replace("FROM bank)", "FROM gate WHERE passed >= 5)"), """
 edge AS (SELECT assessment_id, question_index, list(near_index) AS nears FROM near WHERE similarity < 1 GROUP BY 1, 2),
 linked AS (SELECT assessment_id, question_index FROM near WHERE similarity < 1 UNION SELECT assessment_id, near_index FROM near WHERE similarity < 1),
@@ -218,16 +218,9 @@ walk AS (SELECT assessment_id, 1 AS k, [question_index] AS taken FROM line WHERE
 )
 
 
-def concept_use(s, d):
-    b = bank(s, d)
-    used = dedupe.used_concepts(b.filter(rules.six_check_pass()))
-    free = dedupe.unused_concepts(b.filter(~rules.six_check_pass()), used)
-    return used.withColumn("state", F.lit("used")).unionByName(free.withColumn("state", F.lit("free")))
-
-
 add(
     "used_concepts",
-    concept_use,
+    lambda s, d: dedupe.concept_states(scoring.checked(bank(s, d))),
     B + [S.GATE],
     "SELECT DISTINCT assessment_id, concept, 'used' AS state FROM gate WHERE passed >= 5 AND concept <> '' UNION ALL "
     "(SELECT assessment_id, concept, 'free' FROM gate WHERE passed < 5 AND concept <> '' EXCEPT SELECT assessment_id, concept, 'free' FROM gate WHERE passed >= 5)",

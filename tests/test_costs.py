@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import linear
 from quizmill.functions import text as tx
-from quizmill.operators import validation
+from quizmill.operators import dedupe, validation
 from quizmill.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,14 @@ def test_terms_are_weighed_where_their_assessment_lies(spark):
     assert bank_passes(spark, "concept_coverage") == 1
     plan = plan_of(registry.queries()["concept_coverage"](spark, SF))
     assert plan[plan.index("== Physical Plan"):].count("Exchange ") == 1
+
+
+def test_the_gate_is_passed_once(spark):
+    """Concepts are told used or free by one pass."""
+    assert bank_passes(spark, "used_concepts") == 1
+
+
+def test_concepts_of_mixed_and_unknown_questions(spark):
+    rows = [(1, "A", True), (1, "a", False), (1, "b", False), (1, "b", None), (1, "c", None), (1, "", True), (1, None, True), (2, "a", False)]
+    got = dedupe.concept_states(spark.createDataFrame(rows, "assessment_id long, concept string, passes boolean")).collect()
+    assert sorted(map(tuple, got)) == [(1, "a", "used"), (1, "b", "free"), (2, "a", "free")]
