@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.functions import text as tx
+from quizmill.sources.stores import written
+from quizmill.streaming.progress import scratch
 
 KEY, IDX = "assessment_id", "question_index"
 
@@ -36,8 +38,11 @@ def fallback_forms(question: str, subject: str) -> tuple[str, str, str]:
 
 
 def _like(words: Column, text: str) -> Column:
-    own = F.array(*[F.lit(w) for w in sorted(_word_set(text))])
-    return F.size(F.array_intersect(words, own)) / F.size(F.array_union(words, own)) > 0.8
+    """Of distinct words; only sets of about the same size are compared."""
+    wanted = sorted(_word_set(text))
+    n, k = F.size(words), len(wanted)
+    shared = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in wanted])))
+    return F.when((n >= k * 0.8 - 1e-9) & (n * 0.8 - 1e-9 <= k), shared / (n + k - shared) > 0.8).otherwise(False)
 
 
 def fallback_fill(accepted: DataFrame, requests: DataFrame, subject: str = "blockchain", difficulty: str = "medium") -> DataFrame:
@@ -51,9 +56,9 @@ def fallback_fill(accepted: DataFrame, requests: DataFrame, subject: str = "bloc
     templates = lx.FALLBACK_TEMPLATES
     forms = [fallback_forms(t[0], subject) for t in templates]
     words = F.array_distinct(F.split(tx.normalize_text(F.col("question_text")), " "))
-    seen = accepted.groupBy(KEY).agg(
+    seen = accepted.select(KEY, words.alias("words")).groupBy(KEY).agg(
         F.count("*").alias("n"),
-        *[F.bool_or(_like(words, forms[t][f])).alias(f"seen_{t}_{f}") for t in range(len(templates)) for f in (0, 1)],
+        *[F.bool_or(_like(F.col("words"), forms[t][f])).alias(f"seen_{t}_{f}") for t in range(len(templates)) for f in (0, 1)],
     )
     short = requests.select(KEY, "requested").join(seen, KEY, "left").withColumn("missing", F.col("requested") - F.coalesce("n", F.lit(0)))
     rows = short.filter("missing > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("missing") - 1)))
@@ -90,9 +95,11 @@ def fallback_fill(accepted: DataFrame, requests: DataFrame, subject: str = "bloc
 
 
 def guaranteed_set(accepted: DataFrame, requests: DataFrame, subject: str = "blockchain") -> DataFrame:
-    """Exactly the requested number of rows per assessment: accepted questions in order, then fallbacks."""
+    """Exactly the requested number of rows per assessment: accepted questions in order, then fallbacks. The accepted ones are
+    written once, as they are ranked, counted and compared."""
     order = W.partitionBy(KEY).orderBy(IDX)
-    first = exact_count(accepted.select(KEY, IDX, "question_text"), requests)
+    accepted = written(accepted.select(KEY, IDX, "question_text"), scratch(accepted.sparkSession))
+    first = exact_count(accepted, requests)
     kept = first.withColumn("place", F.row_number().over(order).cast("bigint")).select(KEY, "place", "question_text", F.lit("generated").alias("origin"))
     counts = accepted.groupBy(KEY).agg(F.count("*").alias("n"))
     spare = fallback_fill(accepted, requests, subject).join(counts, KEY, "left")

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.functions import rewrites as rw
-from quizmill.functions import rules
-from quizmill.operators import assembly, distractors
+from quizmill.operators import assembly, distractors, scoring
 from quizmill.plans import sql as S
 from quizmill.plans.common import bank, flat, scored
 from quizmill.plans.ops import AS_OF, REQUESTS, requests
@@ -121,7 +120,7 @@ add(
 
 
 def accepted(s, d):
-    return bank(s, d).filter(rules.six_check_pass())
+    return scoring.gated(bank(s, d))
 
 
 GR = B + [S.GATE, REQUESTS]

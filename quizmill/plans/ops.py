@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quizmill import lexicon as lx
 from quizmill.functions import rules
-from quizmill.operators import oplog, stats
+from quizmill.operators import oplog, scoring, stats
 from quizmill.plans import sql as S
 from quizmill.plans.common import bank, flat, scored
 from quizmill.plans.questions import SCORE
@@ -334,7 +334,7 @@ add(
 )
 add(
     "generation_statistics",
-    lambda s, d: stats.generation_statistics(bank(s, d).filter(rules.six_check_pass()), requests(s, d)),
+    lambda s, d: stats.generation_statistics(scoring.gated(bank(s, d)), requests(s, d)),
     [S.BANK, S.GATE, REQUESTS],
     "SELECT r.assessment_id, requested, coalesce(n, 0) AS generated, round(coalesce(n, 0) / requested, 6) AS success_rate, "
     "CASE WHEN n > 0 THEN round(generation_time / n, 6) ELSE 0e0 END AS time_per_question, coalesce(n, 0) = requested AS exact_count "

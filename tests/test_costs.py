@@ -97,3 +97,8 @@ def test_concepts_of_mixed_and_unknown_questions(spark):
     rows = [(1, "A", True), (1, "a", False), (1, "b", False), (1, "b", None), (1, "c", None), (1, "", True), (1, None, True), (2, "a", False)]
     got = dedupe.concept_states(spark.createDataFrame(rows, "assessment_id long, concept string, passes boolean")).collect()
     assert sorted(map(tuple, got)) == [(1, "a", "used"), (1, "b", "free"), (2, "a", "free")]
+
+
+def test_accepted_questions_are_written_before_they_are_ranked_and_compared(spark):
+    # the requests are read from the documents, twice
+    assert bank_passes(spark, "guaranteed_set") == 2
