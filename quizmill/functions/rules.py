@@ -48,10 +48,12 @@ def total(values: Column) -> Column:
 # --- scores --------------------------------------------------------------------
 
 
-def readability() -> dict[str, Column]:
-    words = F.greatest(F.lit(1), tx.word_count(question()))
-    sents = F.greatest(F.lit(1), F.regexp_count(question(), F.lit("[.!?]+")))
-    syl = tx.syllables(tx.word_list(question()))
+def readability(n: Column | None = None) -> dict[str, Column]:
+    """The question's words may be given where they are known, here and below."""
+    n = tx.word_count(question()) if n is None else n
+    words = F.greatest(F.lit(1), n)
+    sents = F.greatest(F.lit(1), tx.heads(question(), "[^.!?]*+([.!?]?)[.!?]*+"))
+    syl = tx.syllables(question(), n)
     ease = F.lit(206.835) - F.lit(1.015) * (words / sents) - F.lit(84.6) * (syl / words)
     grade = F.lit(0.39) * (words / sents) + F.lit(11.8) * (syl / words) - F.lit(15.59)
     return {
@@ -102,18 +104,20 @@ def distractor_issues() -> Column:
     )
 
 
-def bloom_level() -> Column:
-    low = F.lower(question())
-    hits = {level: tx.count_present(low, words) for level, words in lx.BLOOM_WORDS.items()}
-    best = F.greatest(*hits.values())
-    out = None
+def bloom_hits(low: Column) -> Column:
+    """How many words of each level the question holds."""
+    return F.array(*[tx.count_present(low, words) for words in lx.BLOOM_WORDS.values()])
+
+
+def bloom_level(low: Column | None = None, hits: Column | None = None) -> Column:
+    low = F.lower(question()) if low is None else low
+    hits = bloom_hits(low) if hits is None else hits
+    best = F.array_max(hits)
+    out = F.when(best > 0, F.get(F.array(*map(F.lit, lx.BLOOM_WORDS)), (F.array_position(hits, best) - 1).cast("int")))
+    out = out.when(best.isNull(), None)
     for level, words in lx.BLOOM_FALLBACK:
-        cond = (best == 0) & tx.any_word(low, words)
-        out = F.when(cond, level) if out is None else out.when(cond, level)
-    out = out.when(best == 0, "understand")
-    for level, n in hits.items():
-        out = out.when(n == best, level)
-    return out
+        out = out.when(tx.any_word(low, words), level)
+    return out.otherwise("understand")
 
 
 def bloom_score(level: Column) -> Column:
@@ -121,18 +125,18 @@ def bloom_score(level: Column) -> Column:
     return F.round(F.array_position(ranks, level) / F.lit(len(lx.BLOOM_WORDS)), 6)
 
 
-def clarity_issues(with_options: bool = True) -> Column:
+def clarity_issues(with_options: bool = True, low: Column | None = None, n: Column | None = None, lengths: Column | None = None) -> Column:
     m = lx.CLARITY_ISSUES
-    low = F.lower(question())
-    n = tx.word_count(question())
-    vague = tx.present(low, lx.AMBIGUOUS_WORDS)
-    lengths = option_words(3)
+    low = F.lower(question()) if low is None else low
+    n = tx.word_count(question()) if n is None else n
+    vague = F.concat_ws(", ", *[F.when(F.contains(low, F.lit(w)), w) for w in lx.AMBIGUOUS_WORDS])
+    lengths = option_words(3) if lengths is None else lengths
     checks = [
         (F.contains(low, F.lit("not")), m["negative"]),
-        (F.regexp_count(question(), F.lit(r"\?")) != 1, m["marks"]),
+        (F.length(question()) - F.length(F.replace(question(), F.lit("?"))) != 1, m["marks"]),
         (n < 5, m["short"]),
         (n > 30, m["long"]),
-        (F.size(vague) > 0, F.concat(F.lit(m["ambiguous"]), F.array_join(vague, ", "))),
+        (vague != "", F.concat(F.lit(m["ambiguous"]), vague)),
     ]
     if with_options:
         checks.append((F.array_max(lengths) > 2 * F.array_min(lengths), m["unbalanced"]))
@@ -143,8 +147,8 @@ def clarity_score(found: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), 1.0 - F.size(found) * 0.2), 6)
 
 
-def predicted_difficulty() -> Column:
-    size = F.least(F.lit(1.0), tx.word_count(question()) / 20)
+def predicted_difficulty(words: Column | None = None) -> Column:
+    size = F.least(F.lit(1.0), (tx.word_count(question()) if words is None else words) / 20)
     n = F.size(distractors())
     with_distractors = (size + total(closeness()) / n / 10 + 0.5) / 3
     return F.round(F.when(n > 0, with_distractors).otherwise((size + 0.5) / 2), 6)
@@ -154,9 +158,9 @@ def difficulty_band(score: Column) -> Column:
     return F.when(score < 0.4, "EASY").when(score < 0.7, "MEDIUM").otherwise("HARD")
 
 
-def language_issues() -> Column:
+def language_issues(words: Column | None = None) -> Column:
     m = lx.LANGUAGE_ISSUES
-    words = tx.word_list(F.lower(question()))
+    words = tx.word_list(F.lower(question())) if words is None else words
     return tx.issues(
         (~F.rlike(question(), F.lit(r"^\p{Lu}")), m["capital"]),
         (~F.rlike(question(), F.lit(r"\?\s*$")), m["end"]),

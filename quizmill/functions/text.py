@@ -224,14 +224,12 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
 
 
-def syllables(words: Column) -> Column:
-    """Vowel groups per word, at least one each."""
-    return F.aggregate(
-        words,
-        F.lit(0).cast("bigint"),
-        lambda acc, w: acc
-        + F.greatest(F.lit(1), F.regexp_count(F.lower(w), F.lit("[aeiouy]+"))).cast("bigint"),
-    )
+def syllables(text: Column, words: Column | None = None) -> Column:
+    """Vowel groups per word, at least one each: all groups, and one more for each word without a vowel. The number of words
+    may be given where it is known."""
+    low, words = F.lower(text), word_count(text) if words is None else words
+    voiced = heads(low, r"\s*+[^aeiouy\s]*+([aeiouy]?)\S*+")
+    return heads(low, r"[^aeiouy]*+([aeiouy]?)[aeiouy]*+") + words - voiced
 
 
 def table_markdown(rows: Column) -> Column:

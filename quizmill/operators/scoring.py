@@ -13,17 +13,21 @@ from quizmill.functions.frames import hold
 
 def score_questions(bank: DataFrame) -> DataFrame:
     """All per-question scores, issue lists, the weighted overall score, its grade and advice."""
-    first = bank.withColumns(
+    low, n, lengths, hits, words = (F.col(c) for c in ("_low", "_n", "_lengths", "_hits", "_words"))
+    read = bank.withColumns({"_low": F.lower("question_text"), "_lengths": rules.option_words(3)}).withColumns(
+        {"_hits": rules.bloom_hits(low), "_words": tx.word_list(low), "_n": tx.word_count(F.col("question_text"))}
+    )
+    first = read.withColumns(
         {
-            **rules.readability(),
+            **rules.readability(n),
             **rules.distractor_quality(),
             "distractor_issues": rules.distractor_issues(),
-            "bloom_level": rules.bloom_level(),
-            "clarity_issues": rules.clarity_issues(),
-            "language_issues": rules.language_issues(),
-            "predicted_score": rules.predicted_difficulty(),
+            "bloom_level": rules.bloom_level(low, hits),
+            "clarity_issues": rules.clarity_issues(low=low, n=n, lengths=lengths),
+            "language_issues": rules.language_issues(words),
+            "predicted_score": rules.predicted_difficulty(n),
         }
-    )
+    ).drop("_low", "_n", "_lengths", "_hits", "_words")
     second = first.withColumns(
         {
             "readability_level": rules.readability_level(F.col("flesch_score")),

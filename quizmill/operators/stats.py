@@ -14,6 +14,8 @@ from quizmill import lexicon as lx
 from quizmill.functions import rules
 from quizmill.functions import text as tx
 from quizmill.functions.frames import hold
+from quizmill.sources.stores import written
+from quizmill.streaming.progress import scratch
 
 KEY = "assessment_id"
 
@@ -431,8 +433,9 @@ def low_quality(scores: DataFrame, column: str, limit: float = 0.7, cut: int = 1
         F.substring("question_text", 1, cut).alias("preview"),
         F.col(column).alias("s"),
     )
-    rows = hold(rows, score=F.col("s")).drop("s")
-    return rows.filter(F.col("score") < limit).orderBy("score", KEY, "question_number")
+    rows = hold(rows, score=F.col("s")).drop("s").filter(F.col("score") < limit)
+    # a sort reads its rows twice, so they are written before
+    return written(rows, scratch(rows.sparkSession)).orderBy("score", KEY, "question_number")
 
 
 def concept_sets(bank: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """What a plan must not do again: steps whose cost was found too high on large tables."""
 
 import io
+import re
 from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
@@ -102,3 +103,16 @@ def test_concepts_of_mixed_and_unknown_questions(spark):
 def test_accepted_questions_are_written_before_they_are_ranked_and_compared(spark):
     # the requests are read from the documents, twice
     assert bank_passes(spark, "guaranteed_set") == 2
+
+
+def test_scores_are_made_once_for_lists_and_advice(spark):
+    """Scored questions are written before a sort reads them again."""
+    assert bank_passes(spark, "low_quality_list") == 0
+
+
+def test_syllables_are_vowel_groups_and_one_for_words_without(spark):
+    texts = ["", "Why", "rhythm bcd 123", "  Queue\tAEIOU x-ray ", "éa ooze", "zzz " * 40, "b" * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.syllables(F.col("t")).alias("n"))
+    want = [sum(max(1, len(re.findall("[aeiouy]+", w))) for w in t.lower().split()) for t in texts]
+    assert [r.n for r in rows.orderBy("i").collect()] == want
+    assert "regexp_extract_all" not in plan_of(rows)
