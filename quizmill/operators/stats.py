@@ -258,7 +258,7 @@ def misconception_usage(bank: DataFrame, top: int = 5) -> DataFrame:
 
 
 def common_issues(scored: DataFrame, top: int = 3, share: float = 0.3) -> DataFrame:
-    """Issues among the top ones that touch more than a share of the questions."""
+    """Issues among the top ones that touch more than a share of the questions. Reads the scored questions twice."""
     sizes = assessment_sizes(scored)
     counts = (
         scored.select(
@@ -277,7 +277,9 @@ def common_issues(scored: DataFrame, top: int = 3, share: float = 0.3) -> DataFr
 
 
 def assessment_advice(scored: DataFrame) -> DataFrame:
-    """recommendations: array of texts per assessment."""
+    """recommendations: array of texts per assessment. What they rest on is written once and read three times."""
+    read = [KEY, "overall_score", "predicted_level", "bloom_level", "clarity_issues", "distractor_issues", "language_issues"]
+    scored = written(scored.select(*read), scratch(scored.sparkSession))
     own = gathered(scored, _advice())
     texts = F.transform(
         F.array_sort(F.collect_list(F.struct("issue_rank", "issue"))),

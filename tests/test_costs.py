@@ -106,8 +106,9 @@ def test_accepted_questions_are_written_before_they_are_ranked_and_compared(spar
 
 
 def test_scores_are_made_once_for_lists_and_advice(spark):
-    """Scored questions are written before a sort reads them again."""
+    """Scored questions are written before a sort, or several counts, read them again."""
     assert bank_passes(spark, "low_quality_list") == 0
+    assert bank_passes(spark, "assessment_recommendations") == 0
 
 
 def test_syllables_are_vowel_groups_and_one_for_words_without(spark):
