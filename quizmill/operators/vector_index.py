@@ -1,6 +1,6 @@
 """Inverted-file index of stored chunks: vectors by nearest cell, kept as tables and probed by equi-joins.
 
-Two tables under one folder: `rows`, every chunk with its unit vector, one folder per cell; and `stats`, which has for each
+Two tables under one folder: `rows`, every chunk with its vector and that vector's length, one folder per cell; and `stats`, which has for each
 collection and cell how many of its chunks lie there and how far the farthest stands from the centre. Centres are learnt
 from a bounded sample; every chunk is indexed.
 """
@@ -42,7 +42,7 @@ def unit(vector: Column, length: Column) -> Column:
 
 def _units(chunks: DataFrame) -> DataFrame:
     sized = hold(chunks.filter(usable(F.col("embedding"))), length=vx.norm(F.col("embedding")))
-    return sized.withColumn("unit", unit(F.col("embedding"), F.col("length"))).drop("length")
+    return sized.withColumn("unit", unit(F.col("embedding"), F.col("length")))
 
 
 def cells_for(rows: int) -> int:
@@ -67,16 +67,17 @@ def learn(chunks: DataFrame, cells: int | None = None, seed: int = 5) -> DataFra
 def _nearest(batches: Iterator[pd.DataFrame], matrix: np.ndarray) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
-            near = np.argmax(np.stack(batch["unit"].to_list()) @ matrix.T, axis=1)
-            yield batch.assign(cell=near.astype(np.int32))
+            cosines = np.stack(batch.pop("unit").to_list()) @ matrix.T
+            near = np.argmax(cosines, axis=1)
+            yield batch.assign(cell=near.astype(np.int32), away=np.arccos(np.clip(cosines[np.arange(len(near)), near], -1.0, 1.0)))
 
 
 def _placed(chunks: DataFrame, centres: DataFrame) -> DataFrame:
-    """Chunks with unit vector, nearest cell and the angle to its centre. At most MOST_CELLS centres travel to the tasks."""
+    """Chunks with the length of their vector, nearest cell and the angle to its centre. At most MOST_CELLS centres travel to the tasks."""
     matrix = np.array([r.centre for r in centres.orderBy("cell").collect()])
     matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     units = _units(chunks)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema) + ", cell int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema if f.name != "unit") + ", cell int, away double"
     return units.mapInPandas(partial(_nearest, matrix=matrix), schema)
 
 
@@ -88,8 +89,8 @@ def append(chunks: DataFrame, centres: DataFrame, path: str) -> None:
     """Index more chunks (collection, chunk_id, embedding, ...) under the same centres: rows go to their cell's folder, and
     the counts and radii of what came are written beside the earlier ones. Chunks without a direction are left out."""
     placed = _placed(chunks, centres)
-    placed.repartition("cell").write.mode("append").partitionBy("cell").parquet(f"{path}/rows")
-    fresh = placed.join(centres, "cell").select("collection", "cell", angle(vx.dot(F.col("unit"), F.col("centre")) / vx.norm(F.col("centre"))).alias("away"))
+    placed.drop("away").repartition("cell").write.mode("append").partitionBy("cell").parquet(f"{path}/rows")
+    fresh = _placed(chunks.select("collection", "embedding"), centres)
     fresh.groupBy("collection", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).write.mode("append").parquet(f"{path}/stats")
 
 
@@ -101,7 +102,8 @@ def build(chunks: DataFrame, path: str, cells: int | None = None) -> None:
 
 def _scored(asked: DataFrame, rows: DataFrame) -> DataFrame:
     met = asked.join(rows, ["collection", "cell"])
-    return hold(met, distance=F.round(1.0 - vx.dot(F.col("unit"), F.col("asked")), 9)).drop("asked", "unit")
+    near = hold(met, unit=unit(F.col("embedding"), F.col("length")))
+    return hold(near, distance=F.round(1.0 - vx.dot(F.col("unit"), F.col("asked")), 9)).drop("asked", "unit", "embedding", "length")
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -130,7 +132,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, first: in
     nearer than the angle to its centre less its radius. The result is that of a full scan. Queries of a collection that
     is not stored, and queries without a direction, find nothing; ties go to the lesser chunk_id.
     """
-    rows = spark.read.parquet(f"{path}/rows").drop("embedding")
+    rows = spark.read.parquet(f"{path}/rows")
     asked = probes(spark, path, queries)
     near = _best(_scored(asked.filter(F.col("turn") <= first).select("query_id", "collection", "asked", "cell"), rows), k)
     if not exact:

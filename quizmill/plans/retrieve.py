@@ -189,8 +189,9 @@ add(
 
 
 def indexed(s, d):
-    """The stored chunks in an inverted-file index, written in two parts."""
-    path, chunks = scratch(s), bridge.chunk_vectors(s, d)
+    """The stored chunks in an inverted-file index, written in two parts. What a search returns is indexed, texts stay where
+    they are."""
+    path, chunks = scratch(s), bridge.chunk_vectors(s, d).select("collection", "chunk_id", "doc_id", "embedding")
     later = F.col("doc_id") % 5 == 0
     vi.build(chunks.filter(~later), path)
     vi.append(chunks.filter(later), s.read.parquet(f"{path}/centres"), path)

@@ -10,6 +10,7 @@ from quizmill.functions import linear
 from quizmill.functions import text as tx
 from quizmill.operators import dedupe, validation
 from quizmill.plans import registry
+from quizmill.plans.retrieve import indexed
 
 SF = "/root/testdata/sf0.001"
 
@@ -117,3 +118,8 @@ def test_syllables_are_vowel_groups_and_one_for_words_without(spark):
     want = [sum(max(1, len(re.findall("[aeiouy]+", w))) for w in t.lower().split()) for t in texts]
     assert [r.n for r in rows.orderBy("i").collect()] == want
     assert "regexp_extract_all" not in plan_of(rows)
+
+
+def test_the_index_holds_vectors_once_and_no_texts(spark):
+    stored = spark.read.parquet(f"{indexed(spark, SF)}/rows")
+    assert sorted(stored.columns) == ["cell", "chunk_id", "collection", "doc_id", "embedding", "length"]
