@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ FLOOR, NEAR = 0.1, 0.25
 LEAK, PARAPHRASE = 0.8, 0.6
 #: What verifying a place costs, in looks at a word; it decides only how many words of an item are looked up.
 VERIFY = 300
+#: Rows of a model's basis that are added up at a time.
+ROWS = 512
 IDF_DIMS = 1 << 16
 LOWERED = "__lowered"
 
@@ -83,6 +86,16 @@ class Item:
     item_id: object
     words: list[int]
     answer: list[int]
+    often: Counter = field(init=False)  # how often it has each word
+    known: frozenset = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.often = Counter(self.words)
+        self.known = frozenset(self.often)
+
+    def most(self, region: list[int]) -> int:
+        """No fewer than the words it has in common with the region, in order: those that stand there in any order."""
+        return sum(map(self.often.__getitem__, self.known.intersection(region)))
 
 
 def _items(rows: list) -> list[Item]:
@@ -97,6 +110,16 @@ def _items(rows: list) -> list[Item]:
     return out
 
 
+def _hits(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where h holds known words (sorted), and the place of each among them."""
+    some = np.zeros(IDF_DIMS, bool)
+    some[(known >> np.uint64(48)).astype(np.int64)] = True
+    here = np.flatnonzero(some[(h >> np.uint64(48)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(known, h[here]), len(known) - 1)
+    same = known[at] == h[here]
+    return here[same], at[same]
+
+
 def _weigh(h: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return idf[(h >> np.uint64(48)).astype(np.int64)]
 
@@ -241,10 +264,9 @@ def _places(u: Units, words: Words, h: np.ndarray) -> Iterator[tuple[int, int, i
     """(part, row, first, last) of all runs of words that may belong to a part, in this order."""
     if not len(h):
         return
-    at = np.minimum(np.searchsorted(u.words, h), len(u.words) - 1)
-    hit = np.flatnonzero(u.words[at] == h)
-    n = np.diff(u.first)[at[hit]]
-    begin = np.repeat(u.first[at[hit]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(hit) else np.zeros(0, np.int64)
+    hit, at = _hits(u.words, h)
+    n = np.diff(u.first)[at]
+    begin = np.repeat(u.first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(hit) else np.zeros(0, np.int64)
     key = np.sort(u.parts[begin + np.arange(len(begin))].astype(np.int64) * len(h) + np.repeat(hit, n))
     part, place = np.divmod(key, len(h))
     end = np.arange(len(key)) + u.need[part] - 1
@@ -263,8 +285,9 @@ def common_words(a: list[int], b: list[int]) -> int:
     full = (1 << len(a)) - 1
     row = full
     for w in b:
-        met = row & where.get(w, 0)
-        row = (row + met | row - met) & full
+        if here := where.get(w):
+            met = row & here
+            row = (row + met | row - met) & full
     return len(a) - row.bit_count()
 
 
@@ -274,6 +297,8 @@ def leaked(item: Item, region: list[int]) -> float:
     n = len(item.words)
     if n < LEAST:
         return float(any(region[i : i + n] == item.words for i in range(len(region) - n + 1)))
+    if item.most(region) / n < PARAPHRASE:
+        return 0.0
     share = common_words(item.words, region) / len(item.words)
     if share >= LEAK:
         return share
@@ -290,6 +315,19 @@ class Windows:
     norm: np.ndarray
 
 
+def _sums(basis: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The rows of basis that `at` names, added up from each start to the next, and a row of zeros behind them. Few rows
+    at a time go through one small array."""
+    out = np.zeros((len(starts) + 1, basis.shape[1]), np.float32)
+    ends = np.append(starts[1:], len(at))
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + ROWS, side="right")))
+        np.add.reduceat(basis[at[starts[i] : ends[j - 1]]], starts[i:j] - starts[i], axis=0, out=out[i:j])
+        i = j
+    return out
+
+
 def _windows(model: Latent, words: Words, h: np.ndarray) -> Windows | None:
     """The passages that have a word of the model."""
     weight = _weigh(h, model.idf)
@@ -301,19 +339,17 @@ def _windows(model: Latent, words: Words, h: np.ndarray) -> Windows | None:
     step = np.repeat(begins, steps) + (np.arange(first[-1]) - first[owner]) * STEP
     of_word = first[words.owner] + (np.arange(len(h)) - begins[words.owner]) // STEP
     square = np.bincount(of_word, weights=weight.astype(float) ** 2, minlength=first[-1])
-    at = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1) if len(h) else np.zeros(0, int)
-    hit = np.flatnonzero(model.words[at] == h) if len(h) else np.zeros(0, int)
+    hit, at = _hits(model.words, h)
     if not len(hit):
         return None
     cell = of_word[hit]  # ascending
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    cells, sums = cell[starts], np.add.reduceat(model.basis[at[hit]], starts, axis=0)
+    cells, sums = cell[starts], _sums(model.basis, at, starts)
     spots = np.unique(np.concatenate([cells, cells[(cells > 0) & (owner[cells] == owner[cells - 1])] - 1]))
     look = np.full(first[-1] + 1, -1)
     look[cells] = np.arange(len(cells))
-    padded = np.vstack([sums, np.zeros((1, sums.shape[1]), np.float32)])
     follows = (spots + 1 < first[-1]) & (owner[np.minimum(spots + 1, first[-1] - 1)] == owner[spots])
-    vector = padded[look[spots]] + padded[np.where(follows, look[np.minimum(spots + 1, first[-1])], -1)]
+    vector = sums[look[spots]] + sums[np.where(follows, look[np.minimum(spots + 1, first[-1])], -1)]
     norm = np.sqrt(square[spots] + np.where(follows, square[np.minimum(spots + 1, first[-1] - 1)], 0))
     return Windows(owner[spots], step[spots], vector, np.maximum(norm, 1e-9))
 

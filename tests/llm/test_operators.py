@@ -293,6 +293,34 @@ def test_look_up_finds_every_item():
         assert found[0, k] >= 0.8
 
 
+def test_places_that_lack_an_items_words_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(10)
+    calls = []
+
+    def counted(a, b):
+        calls.append(b)
+        return plain_lcs(a, b)
+
+    monkeypatch.setattr(decontaminate, "common_words", counted)
+    for _ in range(400):
+        words, region = rng.integers(0, 30, rng.integers(8, 40)).tolist(), rng.integers(0, 60, rng.integers(0, 90)).tolist()
+        item = decontaminate.Item(0, words, words[-4:])
+        share, proof = plain_lcs(words, region) / len(words), plain_lcs(words[-4:], region) >= decontaminate.LEAK * 4
+        assert decontaminate.leaked(item, region) == (share if share >= (decontaminate.PARAPHRASE if proof else decontaminate.LEAK) else 0)
+    assert 0 < len(calls) < 400
+    calls.clear()
+    assert decontaminate.leaked(decontaminate.Item(0, [*range(10)], [9]), [0, 1, 2, 3, 4, *range(50, 99)]) == 0 and not calls
+    basis, at, starts = rng.normal(size=(50, 7)).astype(np.float32), rng.integers(0, 50, 3000), np.array([0, 1, 700, 701, 2900])
+    want = [basis[at[i:j]].sum(axis=0) for i, j in zip(starts, [*starts[1:], 3000])]
+    assert np.allclose(decontaminate._sums(basis, at, starts), [*want, np.zeros(7)], atol=1e-3)
+    known, h = np.sort(rng.integers(0, 1 << 63, 200, dtype=np.uint64)), rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    h[::7] = rng.choice(known, len(h[::7]))
+    h[1::7] = h[0::7][: len(h[1::7])] + np.uint64(1)
+    where, place = decontaminate._hits(known, h)
+    assert where.tolist() == np.flatnonzero(np.isin(h, known)).tolist() and (known[place] == h[where]).all()
+    assert all(len(x) == 0 for pair in ((known[:0], h), (known, h[:0])) for x in decontaminate._hits(*pair))
+
+
 # -- prediction by partial matching
 
 
