@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -16,21 +17,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.llm import bpe
-from quizmill.llm.common import row_key, scratch, share, slices, staged
+from quizmill.llm.common import rest, row_key, scratch, share, slices, staged, text_bytes
 
 #: The vocabularies: a byte-level BPE file and a sentencepiece model.
 LEFT, RIGHT = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text of a block, whose links are counted together, and the most blocks that are laid out as buckets.
 BLOCK, MOST = 6 << 20, 1 << 16
-#: Bytes and tokens of a run that is aligned at a time, and pairs in a row of counts.
-STEP, TOKENS, ROW = 1 << 17, 1 << 17, 1 << 14
+#: Bytes of text that are encoded at a time; bytes and tokens of a run that is aligned at a time, and pairs in a row of counts.
+TEXTS, STEP, TOKENS, ROW = 1 << 18, 1 << 17, 1 << 17, 1 << 14
 #: Links of a block that meet their counts at a time.
 LINKS = 1 << 20
+#: Bytes of different runs that are encoded as one text.
+GROUP = 1 << 12
 
 _COUNTS = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
 _LIST = pa.list_(pa.int32())
 
 
+#: Bytes behind which a blank opens a new run: ASCII signs that are no white space and no controls.
+_SIGN = np.array([32 < b < 127 for b in range(256)])
+
+
 class Pieces:
     """A sentencepiece model and the bytes of its pieces: U+2581 is a blank, <0xHH> is byte HH."""
 
@@ -45,11 +52,89 @@ class Pieces:
         good = [bool(t) and b"".join(map(self.bytes.__getitem__, i)) == f" {t}".encode() for t, i in zip(texts, ids, strict=True)]
         return pa.array([i if g else [] for i, g in zip(ids, good, strict=True)], _LIST), np.array(good, bool)
 
+    def runs_alone(self) -> bool:
+        """Whether the ids of a text without U+2581 spell it, and are those of its parts if it is cut before blanks that
+        follow anything else: ranked merges, the text as it stands behind one blank, unknown characters as bytes, and no
+        piece with a blank behind another character. False where the model's description cannot be read."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2 as kinds
+        except ImportError:
+            return False
+        said = kinds.ModelProto.FromString(self.model.serialized_model_proto())
+        rule, taught, kind = said.normalizer_spec, said.trainer_spec, said.SentencePiece
+        plain = not rule.precompiled_charsmap and rule.add_dummy_prefix and rule.escape_whitespaces and not rule.remove_extra_whitespaces
+        merges = taught.model_type == taught.BPE and taught.byte_fallback and not taught.treat_whitespace_as_suffix
+        usual = {p.type for p in said.pieces} <= {kind.NORMAL, kind.UNKNOWN, kind.CONTROL, kind.BYTE} and sum(p.type == kind.BYTE for p in said.pieces) == 256
+        names = [p.piece for p in said.pieces]
+        return bool(plain and merges and usual and "▁" in names and not any("▁" in p.lstrip("▁") for p in names))
+
+
+def runs(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """Blank and text of each, cut before every blank behind a sign of _SIGN, and where the runs of each text begin (one
+    more than texts). No word of a byte-level text and no piece goes on over such a cut, nor looks over it. A text that is
+    null or empty or has U+2581 in it has no runs."""
+    good = pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.match_substring(texts, "▁"))).fill_null(False)
+    data, at = text_bytes(pc.if_else(good, pc.binary_join_element_wise(" ", texts, ""), ""))
+    opens = data == 32
+    opens[1:] &= _SIGN[data[:-1]]
+    opens[at[:-1][at[1:] > at[:-1]]] = True
+    start = np.flatnonzero(opens)
+    ends = np.append(start, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))), np.searchsorted(start, at)
+
+
+def _joined(distinct: pa.StringArray) -> pa.StringArray:
+    """Distinct runs one after the other in texts of about GROUP bytes; one that does not end in a sign ends its text."""
+    if not len(distinct):
+        return distinct
+    _, at, data = distinct.buffers()
+    at, data = np.frombuffer(at, np.int32)[: len(distinct) + 1], np.frombuffer(data, np.uint8)
+    ends = at[1:]
+    last = ~_SIGN[data[ends - 1]]
+    last[:-1] |= ends[1:] // GROUP > ends[:-1] // GROUP
+    last[-1] = True
+    cut = np.concatenate((at[:1], ends[last]))
+    return pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), distinct.buffers()[2])
+
+
+def _spread(flat: np.ndarray, size: np.ndarray, ends: np.ndarray, index: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """The ids of texts, of which `index` names the runs: `flat` has the ids of distinct runs, which end at the bytes `ends`."""
+    cut = np.concatenate(([0], np.searchsorted(np.cumsum(size[flat]), ends) + 1))
+    n = np.diff(cut)[index]
+    to = np.concatenate(([0], np.cumsum(n)))
+    at = np.repeat(cut[:-1][index] - to[:-1], n) + np.arange(to[-1])
+    return pa.ListArray.from_arrays(pa.array(to[first].astype(np.int32)), pa.array(flat[at]))
+
+
+class Sides:
+    """Both tokenizers, of which each different run of the texts at hand is encoded once."""
+
+    def __init__(self, left: bpe.Tokenizer, right: Pieces, alone: bool) -> None:
+        self.left, self.right, self.alone = left, right, alone and -1 not in left.single
+        self.blank = [right.model.piece_to_id("▁")]
+
+    def id_lists(self, texts: pa.Array, size_a: pa.Array, size_b: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+        """Ids of blank and text by the left tokenizer, and of the text, to which it adds the blank, by the right one. A text
+        that is null or empty, or that the pieces do not spell, has none of either."""
+        if not self.alone:
+            given = texts.fill_null("").to_pylist()
+            b, good = self.right.id_lists(given)
+            return self.left.id_lists([f" {t}" if g else "" for t, g in zip(given, good, strict=True)]), b
+        every, first = runs(texts)
+        told = every.dictionary_encode()
+        ends = np.cumsum(np.asarray(pc.binary_length(told.dictionary)))
+        given = _joined(told.dictionary).to_pylist()
+        a = np.asarray(self.left.id_lists(given).values)
+        b = self.right.model.encode([t[1:] for t in given], num_threads=1) if given else []  # to nothing it adds no blank
+        b = np.fromiter(chain.from_iterable(i or self.blank for i in b), np.int32)
+        index = np.asarray(told.indices)
+        return _spread(a, np.asarray(size_a), ends, index, first), _spread(b, np.asarray(size_b), ends, index, first)
+
 
 @lru_cache(maxsize=1)
-def pieces(model: bytes) -> Pieces:
-    """One model a worker process."""
-    return Pieces(model)
+def sides(left: bytes, right: bytes, alone: bool) -> Sides:
+    """One pair a worker process."""
+    return Sides(bpe.loaded(left, False), Pieces(right), alone)
 
 
 def sizes(tokens: list[bytes]) -> pa.Array:
@@ -57,13 +142,6 @@ def sizes(tokens: list[bytes]) -> pa.Array:
     return pa.array([len(t) for t in tokens], pa.int32())
 
 
-def both(texts: list[str], left: bpe.Tokenizer, right: Pieces) -> tuple[pa.ListArray, pa.ListArray]:
-    """Ids of blank and text by the left tokenizer, and of the text, to which it adds the blank, by the right one. A text
-    that is empty, or that the pieces do not spell, has none of either."""
-    b, good = right.id_lists(texts)
-    return left.id_lists([f" {t}" if g else "" for t, g in zip(texts, good, strict=True)]), b
-
-
 def ends(lists: pa.ListArray, size: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     """The flat ids of the lists, their parents, and the key of each: the byte where its list begins in the run and the
     byte where it ends in the list, added up. Sums are cumulative in each list: those of the run less what was before."""
@@ -148,24 +226,29 @@ def _added(parts: list[pa.Table]) -> pa.Table:
     return told.rename_columns(["n" if c == "n_sum" else c for c in told.column_names])
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadcast, size_a: pa.Array, size_b: pa.Array) -> Iterator[pa.RecordBatch]:
+def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadcast, alone: bool, size_a: pa.Array, size_b: pa.Array) -> Iterator[pa.RecordBatch]:
     """Rows of block, doc_id, a, b, marked with the ends of groups; and at the end of the task its link counts by block, without ids."""
-    one, two = bpe.loaded(left.value, False), pieces(right.value)
+    pair = sides(left.value, right.value, alone)
     counts: dict[int, list[pa.Table]] = {}
     kind = None
     for whole in batches:
         kind = whole.schema.field("doc_id").type
-        for batch in slices(whole, step=STEP):
-            a, b = both(batch.column("text").fill_null("").to_pylist(), one, two)
-            aligned, blocks = Aligned(a, b, size_a, size_b), np.asarray(batch.column("block"))
-            a, b = aligned.marked()
-            yield pa.record_batch({"block": batch.column("block"), "doc_id": batch.column("doc_id"), "a": a, "b": b, "counts": pa.nulls(batch.num_rows, _COUNTS)})
-            for block in np.unique(blocks):
-                here = blocks == block
-                parts = counts.setdefault(int(block), [])
-                parts.append(aligned.counts(None if here.all() else here))
-                if len(parts) == 16:
-                    parts[:] = [_added(parts)]
+        for batch in slices(whole, step=TEXTS):
+            every_a, every_b = pair.id_lists(batch.column("text"), size_a, size_b)
+            ends, at = np.cumsum(np.asarray(pc.binary_length(batch.column("text")).fill_null(0))), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+                run, a, b = (x.slice(at, end - at) for x in (batch, every_a, every_b))
+                aligned, blocks = Aligned(a, b, size_a, size_b), np.asarray(run.column("block"))
+                a, b = aligned.marked()
+                yield pa.record_batch({"block": run.column("block"), "doc_id": run.column("doc_id"), "a": a, "b": b, "counts": pa.nulls(run.num_rows, _COUNTS)})
+                for block in np.unique(blocks):
+                    here = blocks == block
+                    parts = counts.setdefault(int(block), [])
+                    parts.append(aligned.counts(None if here.all() else here))
+                    if len(parts) == 16:
+                        parts[:] = [_added(parts)]
+                at = end
     for block, parts in counts.items():
         told = _added(parts).combine_chunks()
         for i in range(0, told.num_rows, ROW):
@@ -178,8 +261,10 @@ def _tokenised(batches: Iterator[pa.RecordBatch], left: Broadcast, right: Broadc
 
 def _scored(docs: pa.Table, counts: pa.Table, size_a: pa.Array, size_b: pa.Array, as_text: bool) -> pa.Table:
     """The rows of a block and the corpus-wide counts of its pairs: its result rows."""
-    bpe.loaded.cache_clear()  # this worker tokenises no more
-    pieces.cache_clear()
+    if sides.cache_info().currsize:  # this worker tokenises no more
+        bpe.loaded.cache_clear()
+        sides.cache_clear()
+        rest()
     if not docs.num_rows:
         return pa.table({})
     docs = docs.combine_chunks()
@@ -235,12 +320,13 @@ def align(docs: DataFrame, left: str = LEFT, right: str = RIGHT, as_text: bool =
     """
     context = docs.sparkSession.sparkContext
     specs = {"left": context.broadcast(bpe.read(left)), "right": context.broadcast(bpe.read(right))}
-    size = {"size_a": sizes(bpe.Decoder(bpe.read(left)).bytes), "size_b": sizes(Pieces(bpe.read(right)).bytes)}
+    told = Pieces(bpe.read(right))
+    alone, size = told.runs_alone(), {"size_a": sizes(bpe.Decoder(bpe.read(left)).bytes), "size_b": sizes(told.bytes)}
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = share(docs, of=BLOCK)
     schema = f"block int, doc_id {kind}, a array<int>, b array<int>, counts array<struct<pair: bigint, n: bigint>>"
     texts = docs.select(F.pmod(row_key(), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text").repartition(blocks, "block")
-    told = _laid_out(texts.mapInArrow(partial(_tokenised, **specs, **size), schema), blocks)
+    told = _laid_out(texts.mapInArrow(partial(_tokenised, **specs, alone=alone, **size), schema), blocks)
     pairs = told.filter("counts IS NOT NULL").select(F.col("block").alias("home"), F.inline("counts"))
     counts = staged(pairs.groupBy("pair").agg(F.sum("n").alias("count")))
     named = counts.withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
