@@ -7,6 +7,7 @@ all the functions of a projection.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "\u0001", "\u0002"
 SPACE = " \t\n\f\r"
 WORD = r"[\p{L}\p{N}_]"
+#: Bytes of text that one step over a batch takes.
+STEP = 4 << 20
 PART = pa.struct([("para", pa.int32()), ("s", pa.string()), ("n", pa.int64())])
 TIDY = [(r"\s+", " "), (r"([a-z])([A-Z])", r"\1 \2"), (r"(\d)([A-Za-z])", r"\1 \2"), (r"([.!?])([A-Z])", r"\1 \2"), (r"•\s*", "• "), (r"(\d+)\.\s*", r"\1. ")]
 
@@ -145,3 +148,44 @@ def _parts(limit: int):
 def parts(c: Column, limit: int) -> Column:
     """Paragraphs as (para, s, n words), those above the limit cut at sentence ends."""
     return _parts(limit)(c)
+
+
+def laid(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts one after the other, and where each text begins, with the end of the last; no text may be null."""
+    _, at, data = x.buffers()
+    at = np.frombuffer(at, np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64) if len(x) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def texts(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The texts that laid() has laid out."""
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+
+
+def steps(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most STEP bytes of text; a longer text stands alone."""
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))])
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + STEP, side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def without_signs(x: pa.Array) -> pa.Array:
+    """The texts with another control in place of OPEN and CLOSE. Lengths stay, and no pattern tells one control from the other."""
+    data, at = laid(x)
+    signs = (data == ord(OPEN)) | (data == ord(CLOSE))
+    return texts(np.where(signs, np.uint8(3), data), at) if signs.any() else x
+
+
+def found(x: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where every match begins and ends, counted in bytes of all the texts one after the other. x holds no OPEN and no CLOSE."""
+    hit = pc.match_substring_regex(x, pattern)
+    data, at = laid(pc.replace_substring_regex(x.filter(hit), pattern, rf"{OPEN}\0{CLOSE}"))
+    begins, ends = np.flatnonzero(data == ord(OPEN)), np.flatnonzero(data == ord(CLOSE))
+    row = np.searchsorted(at, begins, side="right") - 1
+    signs = 2 * (np.arange(len(begins)) - np.searchsorted(begins, at[row]))  # in the text before the match
+    moved = laid(x)[1][np.flatnonzero(hit)][row] - at[row] - signs
+    return begins + moved, ends + moved - 1

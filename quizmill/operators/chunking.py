@@ -6,6 +6,11 @@ they are computed on (doc, page, count) rows, never on the texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +22,8 @@ from quizmill.functions.frames import hold
 
 DOC, PAGE = "doc_id", "page_num"
 LINK_BLOCK = 1000
+#: Pieces of pages that a worker hands over, or looks at, at once.
+ROWS = 1 << 16
 
 
 def strip(c: Column) -> Column:
@@ -75,10 +82,6 @@ def code_spans(text: Column) -> Column:
     return all_spans(text, lx.NAMED_CODE, "sm")
 
 
-def table_spans(text: Column) -> Column:
-    return all_spans(text, [("text_pattern_table", p) for p in lx.TABLE_PATTERNS], "m")
-
-
 def span_content(kind: Column, full: Column, named: list[tuple[str, str]], flags: str) -> Column:
     """First group of the pattern that made the match."""
     out = None
@@ -320,76 +323,78 @@ def simple_chunks(docs: DataFrame, size: int = lx.SIMPLE_CHUNK, overlap: int = l
 # --- chunks cut at elements ------------------------------------------------------------
 
 
-def element_bounds(text: Column) -> Column:
-    """All elements of a page as (start, group, ord, end, type), in text order."""
-
-    def tagged(spans: Column, group: int, kind: str, whole: bool = False) -> Column:
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                (F.lit(0).cast("bigint") if whole else s["start_pos"]).alias("start"),
-                F.lit(group).alias("grp"),
-                s["ord"].alias("ord"),
-                (F.length(text).cast("bigint") if whole else s["end_pos"]).alias("end"),
-                F.lit(kind).alias("type"),
-            ),
-        )
-
-    return F.array_sort(
-        F.concat(
-            tagged(equation_spans(text), 0, "equation"),
-            tagged(table_spans(text), 1, "table", whole=True),
-            tagged(figure_spans(text), 2, "figure"),
-            tagged(code_spans(text), 3, "code"),
-        )
-    )
+#: What cuts a page, in the order in which elements that start together are taken. A table spans its whole page.
+ELEMENTS = [
+    ("equation", [p for _, p in lx.NAMED_EQUATIONS], "si"),
+    ("table", lx.TABLE_PATTERNS, "m"),
+    ("figure", lx.FIGURE_PATTERNS, "i"),
+    ("code", [p for _, p in lx.NAMED_CODE], "sm"),
+]
+TYPES = ["text", *[name for name, _, _ in ELEMENTS]]
+
+
+def _elements(x: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and type of every element in text order; at holds the starts of the texts."""
+    spans = []
+    for kind, (name, patterns, flags) in enumerate(ELEMENTS, 1):
+        for pattern in (_linear(p, flags) for p in patterns):
+            if name == "table":
+                row = np.flatnonzero(pc.match_substring_regex(x, pattern))
+                start, end = at[row], at[row + 1]
+            else:
+                start, end = ln.found(x, pattern)
+            spans.append((start, end, np.full(len(start), kind)))
+    start, end, kind = map(np.concatenate, zip(*spans, strict=True))
+    order = np.argsort(start, kind="stable")
+    return start[order], end[order], kind[order]
+
+
+def _pieces(pages: pa.RecordBatch) -> pa.RecordBatch:
+    """The stripped pieces of the pages, numbered page by page. They are runs of the pages' own bytes: elements that count, and what lies
+    between them."""
+    x = pc.fill_null(pages.column("text").cast(pa.string()), "")
+    data, at = ln.laid(x)
+    start, end, kind = _elements(ln.without_signs(x), at)
+    taken, reached = np.zeros(len(start), bool), 0
+    for at_once in range(0, len(start), ROWS):
+        some = slice(at_once, at_once + ROWS)
+        for i, (s, e) in enumerate(zip(start[some].tolist(), end[some].tolist(), strict=True), at_once):
+            if reached <= s < e:
+                taken[i], reached = True, e
+    cuts = np.unique(np.concatenate([at, start[taken], end[taken]]))
+    kinds = np.zeros(len(cuts) - 1, np.int64)
+    kinds[np.searchsorted(cuts, start[taken])] = kind[taken]
+    text = pc.ascii_trim(ln.texts(data, cuts), ln.SPACE)
+    full = np.flatnonzero(pc.not_equal(text, ""))
+    row = np.searchsorted(at, cuts[full], side="right") - 1
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    columns = {
+        DOC: pages.column(DOC).take(pa.array(row)),
+        PAGE: pages.column(PAGE).take(pa.array(row)),
+        "chunk_index": pa.array(number.astype(np.int32)),
+        "text": text.take(pa.array(full)),
+        "content_type": pa.array(TYPES).take(pa.array(kinds[full])),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _cut_at_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pages in ln.steps(batch, "text"):
+            made = _pieces(pages)
+            yield from (made.slice(i, ROWS) for i in range(0, made.num_rows, ROWS))
 
 
 def stem_chunks(pages: DataFrame) -> DataFrame:
     """Cut each page at its elements: text, equation, table, figure and code pieces in order.
 
-    An element that starts before the position already reached is skipped.
+    An element that starts before the position already reached is skipped. A worker takes a few megabytes of text at a time, and
+    only pieces come back, so its memory does not grow with the batch; a longer page stands alone.
     """
-    kind = "array<struct<s:bigint,e:bigint,type:string>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("cur"), F.array().cast(kind).alias("out"))
-
-    def piece(s: Column, e: Column, t: Column) -> Column:
-        return F.struct(s.alias("s"), e.alias("e"), t.alias("type"))
-
-    def step(acc: Column, b: Column) -> Column:
-        gap = F.when(
-            b["start"] > acc["cur"], F.array(piece(acc["cur"], b["start"], F.lit("text")))
-        ).otherwise(F.array().cast(kind))
-        taken = F.struct(
-            b["end"].alias("cur"),
-            F.concat(acc["out"], gap, F.array(piece(b["start"], b["end"], b["type"]))).alias("out"),
-        )
-        return F.when(b["start"] >= acc["cur"], taken).otherwise(acc)
-
-    def finish(acc: Column) -> Column:
-        size = F.length("text").cast("bigint")
-        rest = F.when(acc["cur"] < size, F.array(piece(acc["cur"], size, F.lit("text")))).otherwise(F.array().cast(kind))
-        return F.concat(acc["out"], rest)
-
-    staged = hold(pages, bounds=element_bounds(F.col("text")))
-    staged = hold(staged, cuts=F.aggregate("bounds", start, step, finish))
-    pieces = (
-        staged.withColumn(
-            "pieces",
-            F.filter(
-                F.transform(
-                    "cuts",
-                    lambda c: F.struct(
-                        strip(F.substring("text", (c["s"] + 1).cast("int"), (c["e"] - c["s"]).cast("int"))).alias("text"),
-                        c["type"].alias("content_type"),
-                    ),
-                ),
-                lambda p: p["text"] != "",
-            ),
-        )
-    )
-    return pieces.select(DOC, PAGE, F.posexplode("pieces").alias("chunk_index", "p")).select(
-        DOC, PAGE, F.concat_ws("_", F.lit("chunk"), PAGE, "chunk_index").alias("id"), "chunk_index", "p.*"
+    kinds = dict(pages.select(DOC, PAGE).dtypes)
+    schema = f"{DOC} {kinds[DOC]}, {PAGE} {kinds[PAGE]}, chunk_index int, text string, content_type string"
+    return pages.select(DOC, PAGE, "text").mapInArrow(_cut_at_elements, schema).select(
+        DOC, PAGE, F.concat_ws("_", F.lit("chunk"), PAGE, "chunk_index").alias("id"), "chunk_index", "text", "content_type"
     )
 
 

@@ -4,11 +4,12 @@ import io
 import re
 from contextlib import redirect_stdout
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quizmill.functions import linear
 from quizmill.functions import text as tx
-from quizmill.operators import dedupe, validation
+from quizmill.operators import chunking, dedupe, validation
 from quizmill.plans import registry
 from quizmill.plans.retrieve import indexed
 
@@ -123,3 +124,47 @@ def test_syllables_are_vowel_groups_and_one_for_words_without(spark):
 def test_the_index_holds_vectors_once_and_no_texts(spark):
     stored = spark.read.parquet(f"{indexed(spark, SF)}/rows")
     assert sorted(stored.columns) == ["cell", "chunk_id", "collection", "doc_id", "embedding", "length"]
+
+
+def test_pages_come_back_cut_not_once_per_pattern(spark):
+    """One copy of a page goes to the worker and its pieces come back; no column holds a marked copy of it."""
+    plan = plan_of(registry.queries()["stem_chunks"](spark, SF))
+    assert "marks(" not in plan and "ArrowEvalPython" not in plan and plan.count("MapInArrow") >= 1
+
+
+def test_a_worker_cuts_a_few_megabytes_at_a_time():
+    page = "$E = mc^2$ where α ≤ β\n" + "plain words of a text " * 100
+    n = 32 * linear.STEP // len(page.encode())
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1] * n), "page_num": pa.array(range(n)), "text": pa.array([page] * n)})
+    pool, before = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        rows = sum(made.num_rows for made in chunking._cut_at_elements(iter([batch])))
+    finally:
+        pa.set_memory_pool(before)
+    assert rows == 4 * n and 0 < pool.max_memory() < 8 * linear.STEP
+
+
+def test_pages_are_cut_at_their_elements(spark):
+    texts = {
+        1: "a\x01b $x$ c\x02d",  # signs that marks are made of
+        2: "\x0b a $x$ \n b \x0b",
+        3: "$a$ |x|y| z",
+        4: "b $a$ |x|y|",
+        5: "Figure 1: see $x$\n`y`é$z$",
+        6: " \n",
+        7: None,
+        8: "",
+    }
+    rows = spark.createDataFrame([(i, 1, t) for i, t in texts.items()], "doc_id int, page_num long, text string")
+    got: dict = {}
+    for r in chunking.stem_chunks(rows).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.content_type))
+        assert (r.chunk_index, r.id) == (len(got[r.doc_id]) - 1, f"chunk_1_{r.chunk_index}")
+    assert got == {
+        1: [("a\x01b", "text"), ("$x$", "equation"), ("c\x02d", "text")],
+        2: [("\x0b a", "text"), ("$x$", "equation"), ("b \x0b", "text")],
+        3: [("$a$", "equation"), ("|x|y| z", "text")],
+        4: [("b $a$ |x|y|", "table")],
+        5: [("Figure 1: see $x$", "figure"), ("`y`", "code"), ("é", "text"), ("$z$", "equation")],
+    }
